@@ -1,35 +1,57 @@
-"""A corpus pipeline of five stages over the documents table."""
+"""A corpus pipeline of five stages over the documents table.
+
+Each stage takes what the one before kept.  Rows are taken as documents with an id of their own: where an id
+occurs more than once, a stage that drops documents decides by id, and rows that share text and id are one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import exact_dedup, packing, simhash
+from strandweave.llm import exact_dedup, packing, quality, simhash, suffix_array
 from strandweave.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
-    kept = exact_dedup.exact_groups(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id").select(*COLUMNS)
+def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents whose ids are chosen; a null id counts as an id."""
+    ids = chosen.select(F.col("doc_id").alias("chosen_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["chosen_id"]), "left_semi").select(*COLUMNS)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model of trusted text does not reject."""
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return _keep(docs, quality.classify(docs, trusted).where("kept"))
+
+
+def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal but for white space."""
+    return _keep(docs, exact_dedup.exact_groups(docs).where("kept"))
+
+
+def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of texts of similarity 0.8 or more, on shingles of five words."""
+    groups = simhash.near_groups(docs, width=5, similarity=0.8)
+    return _keep(docs, groups.where("doc_id <=> component_id"))
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies stays."""
-    kept = simhash.near_groups(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id").select(*COLUMNS)
+def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings of length 50 that a smaller document has too; n_chars is counted anew."""
+    cut = suffix_array.remove_repeated_bytes(docs, length=50, carry=("lang", "source"))
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, TOKENIZER)
+    return packing.pack_documents(docs, TOKENIZER, size=2048, end_id=1)
 
 
-STAGES = [("exact_dedup", exact), ("near_dedup", near), ("packing", pack)]
+STAGES = [("quality", quality_filter), ("exact_dedup", exact_filter), ("near_dedup", near_filter), ("suffix_dedup", repeat_filter), ("packing", pack)]
 
+#: SQL can express neither the language model nor SimHash nor the tokenizer.
 ORACLE_SQL = None
 
 

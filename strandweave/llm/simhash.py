@@ -6,15 +6,16 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import frames as fr
+from .anchors import mix
 from .components import components
 
+#: Bits of one word of a fingerprint.
 BITS = 64
 
 
@@ -32,46 +33,71 @@ def shingle_hashes(text: str, width: int, seed: int) -> Iterator[np.ndarray]:
     else:
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     digest = xxhash.xxh64_intdigest
-    for k in range(0, len(starts), 1 << 18):
-        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts[k : k + (1 << 18)].tolist(), ends[k : k + (1 << 18)].tolist(), strict=True)], dtype=np.uint64)
+    for k in range(0, len(starts), 1 << 16):
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts[k : k + (1 << 16)].tolist(), ends[k : k + (1 << 16)].tolist(), strict=True)], dtype=np.uint64)
 
 
-def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
-    """Bit i is 1 if it is set in over half of the shingles' hashes; 0 for a text without words."""
-    ones, n = np.zeros(BITS, np.int64), 0
+def fingerprint(text: str, width: int = 3, seed: int = 42, words: int = 1) -> np.ndarray:
+    """Words of 64 bits; a bit is 1 if it is set in over half of the shingles' hashes; 0 for a text without words.
+
+    The first word takes the hashes as they are, each further one a mix of them.
+    """
+    ones, n = np.zeros((words, BITS), np.int64), 0
     for h in shingle_hashes(text, width, seed):
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for k in range(words):
+            own = mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) if k else h
+            ones[k] += np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0
+    return np.packbits((2 * ones > n) & (n > 0), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(df: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a signed long."""
+def fingerprints(df: DataFrame, width: int = 3, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and fp, the fingerprint's words as big-endian bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in fr.batches_of(batches):
-            found = np.array([fingerprint(t, width, seed) for t in table.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = [fingerprint(t, width, seed, words).astype(">u8").tobytes() for t in table.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(found, pa.binary())], names=["doc_id", "fp"])
 
-    return fr.with_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return fr.with_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp binary")
 
 
-def bucket_keys(fp: Column, radius: int, spare: int) -> list[Column]:
-    """Keys of which two fingerprints within radius share at least one.
+def stretches(radius: int, spare: int) -> np.ndarray:
+    """Masks over 64 bits, at least one of which hides all differences of two fingerprints within radius.
 
-    The bits are cut into radius + spare stretches; of these, spare at least are alike, so each choice of
-    spare stretches is a key.  More spare stretches make longer keys, for more fingerprints.
+    The bits are cut into radius + spare stretches, of which spare at least are then alike; each choice of spare
+    stretches is a mask.  More spare stretches make longer keys, for more fingerprints.
     """
     edges = np.linspace(0, BITS, radius + spare + 1).round().astype(int).tolist()
-    masks = [sum(1 << b for b in range(a, z)) for a, z in zip(edges[:-1], edges[1:], strict=True)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [fp.bitwiseAND(F.lit(signed(sum(masks[i] for i in chosen)))) for chosen in combinations(range(len(masks)), spare)]
+    cut = [sum(1 << b for b in range(a, z)) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+    return np.array([[sum(cut[i] for i in chosen)] for chosen in combinations(range(len(cut)), spare)], dtype=np.uint64)
+
+
+def apart(similarity: float) -> float:
+    """The share of bits in which fingerprints of equally long texts of that Jaccard similarity are expected to differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def samples(rows: int, similarity: float, words: int, recall: float = 0.98, load: int = 5) -> np.ndarray:
+    """Masks of bits drawn at random (with a fixed seed), for fingerprints that differ too much to cut into stretches.
+
+    A mask has log2(rows) - load bits, so a bucket holds about 2 ** load unrelated rows at every size, and there
+    are as many masks as it takes for two texts of that similarity to share a bucket with probability recall.
+    """
+    width = max(12, int(np.ceil(np.log2(max(rows, 2)))) - load)
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - apart(similarity)) ** width)))
+    rng = np.random.default_rng(7)
+    masks = np.zeros((tables, words), np.uint64)
+    for t in range(tables):
+        for bit in rng.choice(words * BITS, width, replace=False).tolist():
+            masks[t, bit // BITS] |= np.uint64(1 << bit % BITS)
+    return masks
 
 
 def close_rows(fps: np.ndarray, group: np.ndarray, radius: int, slice_size: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one group within radius; rows of a group stand together.
 
-    The fingerprints are stored as 64 bit planes, 64 rows to a word; each group starts a new word.  A query
+    fps has a column for each word.  The fingerprints are stored as bit planes, 64 rows to a word; each group starts a new word.  A query
     row meets a word of its group's planes one plane at a time: the difference bits go into carry-save
     counters of 1, 2, 4, ... for all 64 rows at once, and every 8 planes the (query, word) blocks in which
     all rows exceed the radius are abandoned.
@@ -88,10 +114,10 @@ def close_rows(fps: np.ndarray, group: np.ndarray, radius: int, slice_size: int
     total = int(first_word[-1])
     row_at = np.full(total * 64, -1, np.int64)
     row_at[lane] = np.arange(n)
-    planes = np.empty((BITS, total), np.uint64)
-    for b in range(BITS):
+    planes = np.empty((BITS * fps.shape[1], total), np.uint64)
+    for b in range(len(planes)):
         bits = np.zeros(total * 64, np.uint8)
-        bits[lane] = (fps >> np.uint64(b)) & np.uint64(1)
+        bits[lane] = (fps[:, b // BITS] >> np.uint64(b % BITS)) & np.uint64(1)
         planes[b] = np.packbits(bits, bitorder="little").view("<u8")
     used = np.packbits(row_at >= 0, bitorder="little").view("<u8")
 
@@ -105,12 +131,13 @@ def close_rows(fps: np.ndarray, group: np.ndarray, radius: int, slice_size: int
         word = first_word[of[query]] + flat - (ends[query] - count[query])
         ahead = word >= lane[query] >> 6  # each pair once
         query, word = query[ahead], word[ahead]
-        own = fps[query]
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
         counters = [np.full(len(word), full if start_at >> k & 1 else 0, np.uint64) for k in range(levels)]
         over = ~used[word]
-        for b in range(BITS):
-            carry = planes[b][word] ^ (np.uint64(0) - ((own >> np.uint64(b)) & np.uint64(1)))
+        for b in range(len(planes)):
+            if b % BITS == 0:
+                own = fps[query, b // BITS]
+            carry = planes[b][word] ^ (np.uint64(0) - ((own >> np.uint64(b % BITS)) & np.uint64(1)))
             for k in range(levels):
                 counters[k], carry = counters[k] ^ carry, counters[k] & carry
             over |= carry
@@ -152,15 +179,25 @@ def join_rows(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
         root[:] = up
 
 
-def links(nodes: DataFrame, radius: int = 2, spare: int = 2, cell: int = 4096) -> DataFrame:
-    """Edges (u, v) that join all nodes (node, fp) whose fingerprints differ in at most radius bits.
+def links(nodes: DataFrame, masks: np.ndarray, radius: int, cell: int = 4096) -> DataFrame:
+    """Edges (u, v) that join all nodes (node, fp) whose fingerprints are alike under a mask and differ in at most radius bits.
 
     Fingerprints are distinct.  Buckets of more than cell rows are dealt to cells, and every two cells of a
     bucket meet in a task of their own, so no task holds more than about two cells.  Of each meeting only a
     spanning forest goes out, never all pairs.
     """
-    keys = bucket_keys(F.col("fp"), radius, spare)
-    rows = nodes.select("node", "fp", F.posexplode(F.array(*keys)).alias("band", "key"))
+    schema = pa.schema([("node", pa.int64()), ("fp", pa.binary()), ("band", pa.int32()), ("key", pa.int64())])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = _matrix(batch.column("fp"), masks.shape[1])
+            for band, mask in enumerate(masks):
+                key = np.zeros(len(fps), np.uint64)
+                for k in range(masks.shape[1]):
+                    key = mix(key ^ (fps[:, k] & mask[k]))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("fp"), pa.array(np.full(len(fps), band, np.int32)), pa.array(key.view(np.int64))], schema=schema)
+
+    rows = nodes.select("node", "fp").mapInArrow(keyed, "node long, fp binary, band int, key long")
     sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cells = F.ceil(F.col("n") / cell).cast("int")
     rows = rows.join(sizes, ["band", "key"]).withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
@@ -168,53 +205,71 @@ def links(nodes: DataFrame, radius: int = 2, spare: int = 2, cell: int = 4096) -
     meetings = meetings.select("band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "fp")
     dealt = meetings.repartition(fr.partitions(nodes.sparkSession), "band", "key", "a", "b").sortWithinPartitions("band", "key", "a", "b", "node")
 
-    def compare(frame: pd.DataFrame, group: np.ndarray) -> pa.RecordBatch:
-        root = np.arange(len(frame))
-        for left, right in close_rows(frame["fp"].to_numpy().view(np.uint64), group, radius):
+    def compare(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        root = np.arange(table.num_rows)
+        for left, right in close_rows(_matrix(table.column("fp"), masks.shape[1]), group, radius):
             join_rows(root, left, right)
-        linked = np.flatnonzero(root != np.arange(len(frame)))
-        node = frame["node"].to_numpy()
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        node = table.column("node").to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            frame = batch.to_pandas()
-            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
             group = _groups(held)
-            last = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            last = int(np.searchsorted(group, group[-1]))
             if last:
-                yield compare(held.iloc[:last], group[:last])
-                held = held.iloc[last:].reset_index(drop=True)
-        if held is not None and len(held):
+                yield compare(held.slice(0, last), group[:last])
+                held = held.slice(last)
+        if held is not None and held.num_rows:
             yield compare(held, _groups(held))
 
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _groups(frame: pd.DataFrame) -> np.ndarray:
-    keys = frame[["band", "key", "a", "b"]].to_numpy()
-    return np.cumsum(np.concatenate([[False], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.zeros(0, np.int64)
+def _matrix(column: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").reshape(-1, words).astype(np.uint64)
+
 
+def _groups(table: pa.Table) -> np.ndarray:
+    keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("band", "key", "a", "b")], axis=1)
+    return np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1)))
 
-def near_groups(df: DataFrame, width: int = 3, radius: int = 2, spare: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def near_groups(df: DataFrame, width: int = 3, radius: int = 2, spare: int = 2, seed: int = 42, similarity: float | None = None, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id and group_size of every row.
 
+    Without similarity, fingerprints have 64 bits and all that differ in at most radius bits are linked.  With it,
+    they have `words` words, and those are linked whose distance is at most what texts of that Jaccard similarity are
+    expected to have, and one and a half standard deviations; two texts just that similar are found with probability
+    0.9, more similar ones more surely.
+
     Rows with one fingerprint are one node, whose number is their smallest id; close nodes are linked and
     component_id is the smallest id reachable.  Texts without words have fingerprint zero and are linked like
     any other; a null text has no words.  A null id orders before every other one and stays null in both columns.
     Repeated rows are answered each; an empty table gives no rows.
     """
-    docs = fr.stored(fingerprints(df, width, seed, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(int(fr.NULL_ID)))))
+    words = 1 if similarity is None else words
+    docs = fr.stored(fingerprints(df, width, seed, words, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(int(fr.NULL_ID)))))
     nodes = fr.stored(docs.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
-    # One id may stand for rows of different texts; a node is then its fingerprint, and equal numbers are linked by that alone.
-    labels = nodes.join(components(links(nodes, radius, spare)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if similarity is None:
+        masks = stretches(radius, spare)
+    else:
+        share, bits = apart(similarity), words * BITS
+        radius = int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
+        masks = samples(nodes.count(), similarity, words)
+    # Rows of different texts may share an id; their fingerprints are then one node.
+    labels = nodes.join(components(links(nodes, masks, radius)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = labels.groupBy("component").agg(F.sum("n").alias("group_size"))
     labels = labels.join(sizes, "component").select("fp", "component", "group_size")
     null_id = F.lit(int(fr.NULL_ID))
     return docs.join(labels, "fp").select(
         F.nullif(F.col("doc_id"), null_id).alias("doc_id"),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.lower(F.hex("fp")).alias("fingerprint"),
         F.nullif(F.col("component"), null_id).alias("component_id"),
         "group_size",
     )
