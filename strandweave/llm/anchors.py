@@ -29,6 +29,9 @@ RUN = 64
 
 HASH_BITS = 48
 
+#: Bytes of text in a block here; a task takes about eighty times that memory for one.
+BLOCK_BYTES = 3 << 20
+
 
 @dataclass
 class Units:
@@ -42,9 +45,10 @@ class Units:
 
 @dataclass
 class Segments:
-    """A shard's segments; row tells the documents of a block apart."""
+    """A shard's segments, end to end in text; row tells the documents of a block apart."""
 
-    texts: list[pa.Array]
+    text: np.ndarray
+    sizes: np.ndarray
     doc_id: np.ndarray
     block: np.ndarray
     row: np.ndarray
@@ -66,7 +70,7 @@ def byte_units(data: np.ndarray, offsets: np.ndarray) -> Units:
     """Bytes, with 16-grams."""
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
     eight = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
-    return Units(data, np.arange(len(data) + 1), offsets, mix(mix(eight[: len(data)] + np.uint64(0x9E3779B97F4A7C15)) ^ eight[8:]))
+    return Units(data, np.arange(len(data) + 1, dtype=np.int32), offsets, mix(mix(eight[: len(data)] + np.uint64(0x9E3779B97F4A7C15)) ^ eight[8:]))
 
 
 def split_blanks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,9 +107,14 @@ def binary(text: np.ndarray, at: np.ndarray) -> pa.Array:
 
 def slices(text: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
     """text[first[i]:end[i]] for all i."""
+    return binary(*joined(text, first, end))
+
+
+def joined(text: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """text[first[i]:end[i]] for all i end to end, and where they start (with the end)."""
     sizes = end - first
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    return binary(text[np.repeat(first - at[:-1], sizes) + np.arange(at[-1])], at)
+    at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return text[np.repeat(first - at[:-1], sizes) + np.arange(at[-1])], at
 
 
 @dataclass
@@ -137,8 +146,11 @@ def runs_of(units: Units, length: int, gram: int) -> Runs:
         step = min(reach, width - reach)
         low[: n - step] = np.minimum(low[: n - step], low[step:]) if n > step else low[: n - step]
         reach += step
-    ends = np.repeat(units.docs[1:], np.diff(units.docs))
-    starts = np.flatnonzero(np.arange(n) + length <= ends)
+    fits = np.ones(n, bool)
+    for back in range(1, length):  # the last windows of each document would reach over its end
+        at = units.docs[1:] - back
+        fits[at[at >= units.docs[:-1]]] = False
+    starts = np.flatnonzero(fits)
     if not len(starts):
         return Runs(*(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64))
     anchor = low[starts]
@@ -229,25 +241,30 @@ class Finder:
             at = sent.segment[sent.shard == shard]
             first, last = sent.runs.first[at], sent.runs.last[at]
             row = np.searchsorted(units.docs, first, side="right") - 1
-            table = pa.table({"text": slices(units.text, units.at[first], units.at[last + self.length]), "doc_id": ids[row], "row": row, "start": first})
-            rows.append((block, int(shard), fr.table_to_bytes(table)))
+            text, ends = joined(units.text, units.at[first], units.at[last + self.length])
+            rows_there, place = np.unique(row, return_inverse=True)
+            sent_arrays = {"text": text, "size": np.diff(ends).astype(np.uint32), "doc_id": ids[rows_there], "row": rows_there.astype(np.int32), "place": place.astype(np.uint32)}
+            if self.within:
+                sent_arrays["start"] = first.astype(np.int32)
+            rows.append((block, int(shard), fr.arrays_to_bytes(**sent_arrays)))
         return pd.DataFrame(rows, columns=["block", "part", "payload"])
 
     def matched(self, blocks: list[int], payloads: list[bytes]) -> list[bytes]:
-        tables = [fr.bytes_to_table(p) for p in payloads]
-        column = lambda name: np.concatenate([t.column(name).to_numpy() for t in tables])
-        texts = [t.column("text").combine_chunks() for t in tables]
-        block = np.repeat(np.array(blocks), [t.num_rows for t in tables])
-        flags = self.match(Segments(texts, column("doc_id"), block, column("row"), column("start")), self.length)
-        windows = [int(self.windows(t).sum()) for t in texts]
-        return [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(windows)[:-1])]
-
-    def windows(self, texts: pa.Array) -> np.ndarray:
+        sent = [fr.bytes_to_arrays(p) for p in payloads]
+        block = np.repeat(np.array(blocks), [len(x["size"]) for x in sent])
+        text = np.concatenate([x["text"] for x in sent])
+        sizes = np.concatenate([x["size"] for x in sent]).astype(np.int64)
+        doc_id, row = (np.concatenate([x[c][x["place"]] for x in sent]) for c in ("doc_id", "row"))
+        start = np.concatenate([x["start"] for x in sent]) if self.within else np.zeros(len(sizes), np.int32)
+        windows = np.split(self.windows(text, sizes), np.cumsum([len(x["size"]) for x in sent])[:-1])
+        flags = self.match(Segments(text, sizes, doc_id, block, row, start), self.length)
+        return [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum([int(w.sum()) for w in windows])[:-1])]
+
+    def windows(self, text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Windows in each segment."""
-        sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1])
         if self.make is byte_units:
             return sizes - self.length + 1
-        return np.array([t.count(b" ") for t in texts.to_pylist()], dtype=np.int64) - self.length + 1
+        return np.add.reduceat(text == 32, np.cumsum(sizes) - sizes, dtype=np.int64) - self.length + 1
 
     def covered(self, payload: bytes, bits: dict[int, bytes], found: dict[int, bytes]) -> tuple[Units, np.ndarray, np.ndarray]:
         """The units, the ids, and which units lie in a window that has an earlier equal."""
@@ -274,7 +291,7 @@ class Finder:
 
 def remove_repeats(df: DataFrame, finder: Finder, rows_of: Callable[[Units, np.ndarray, np.ndarray, pa.Table], pd.DataFrame], schema: str) -> DataFrame:
     """rows_of(units, ids, covered units, documents) over all blocks of df, which has doc_id and text."""
-    blocks = fr.stored(fr.block_rows(df))
+    blocks = fr.stored(fr.block_rows(df, limit=BLOCK_BYTES))
     bits = fr.stored(fr.by_part(fr.part_rows(blocks, finder.anchors), finder.repeated))
     segments = fr.by_block(blocks, [bits], lambda block, payload, answers: finder.segments(block, payload, answers[0]), fr.PART_SCHEMA)
 

@@ -113,15 +113,14 @@ def match_by_fm_index(segments: Segments, length: int) -> np.ndarray:
     The shard's segments are indexed and then streamed through the index, so each window finds itself at least; the
     interval of its matches tells the smallest document, and the earliest place in its own.
     """
-    raw = [t for part in segments.texts for t in part.to_pylist()]
-    text = np.frombuffer(b"".join(raw), np.uint8)
+    text = segments.text
     word_ends = np.flatnonzero(text == 32) + 1
     coded = binary(text, np.concatenate([[0], word_ends])).dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64) + 1
-    at = np.concatenate([[0], np.searchsorted(word_ends, np.cumsum([len(t) for t in raw]), side="left") + 1])
-    owner = np.repeat(np.arange(len(raw)), np.diff(at))
+    at = np.concatenate([[0], np.searchsorted(word_ends, np.cumsum(segments.sizes), side="left") + 1])
+    owner = np.repeat(np.arange(len(segments.sizes)), np.diff(at))
     # The indexed text: each segment and a separator.
-    symbols = np.zeros(len(codes) + len(raw), np.int64)
+    symbols = np.zeros(len(codes) + len(segments.sizes), np.int64)
     symbols[np.arange(len(codes)) + owner] = codes
     index = FMIndex(symbols, len(coded.dictionary) + 1, length)
     place, low, high = index.matches(codes, at)

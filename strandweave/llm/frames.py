@@ -8,6 +8,7 @@ hot word, line or passage costs one entry a block and never one row an occurrenc
 
 from __future__ import annotations
 
+import json
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -53,13 +54,20 @@ def bytes_to_table(payload: bytes) -> pa.Table:
 
 
 def arrays_to_bytes(**columns: np.ndarray) -> bytes:
-    """Columns of unequal length as one row of lists."""
-    return table_to_bytes(pa.table({k: pa.array([v], pa.list_(pa.from_numpy_dtype(v.dtype))) for k, v in columns.items()}))
+    """Arrays of unequal length, compressed in one go; short, as most of them are sent in small pieces."""
+    head = json.dumps([[name, v.dtype.str, len(v)] for name, v in columns.items()]).encode()
+    body = b"".join([len(head).to_bytes(4, "little"), head, *(np.ascontiguousarray(v).tobytes() for v in columns.values())])
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def bytes_to_arrays(payload: bytes) -> dict[str, np.ndarray]:
-    table = bytes_to_table(payload)
-    return {k: table.column(k).chunk(0).values.to_numpy(zero_copy_only=False) for k in table.column_names}
+    body = pa.decompress(payload[8:], decompressed_size=int.from_bytes(payload[:8], "little"), codec="zstd", asbytes=True)
+    at = 4 + int.from_bytes(body[:4], "little")
+    out = {}
+    for name, kind, n in json.loads(body[4:at]):
+        out[name] = np.frombuffer(body, kind, n, at)
+        at += out[name].nbytes
+    return out
 
 
 def with_text(df: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:

@@ -25,14 +25,13 @@ class Buckets:
     def __init__(self, keys: np.ndarray, depth: int):
         """keys order the suffixes by their first depth symbols: the initial q-gram buckets."""
         self.n, self.depth = len(keys), depth
-        self.order = np.argsort(keys, kind="stable")
+        self.order = np.argsort(keys)
         self.head = _heads(keys[self.order])
         self.pointer = np.empty(self.n, np.int64)
         self._point(np.arange(self.n))
 
     def _point(self, slots: np.ndarray) -> None:
-        first = np.maximum.accumulate(np.where(self.head, np.arange(self.n), 0))
-        self.pointer[self.order[slots]] = first[slots]
+        self.pointer[self.order[slots]] = _firsts(self.head)[slots]
 
     def refine(self, step: int) -> None:
         """Sorts each bucket of several suffixes on the buckets of the suffixes step (at most depth) symbols later.
@@ -48,17 +47,12 @@ class Buckets:
         beyond = later >= self.n
         second = np.where(beyond, later, self.pointer[np.minimum(later, self.n - 1)])
         keys = (self.pointer[suffix] << 32) | second
-        by = np.argsort(keys, kind="stable")
+        by = np.argsort(keys)
         self.order[slots] = suffix[by]
         self.head[slots] = _heads(keys[by])
         self._point(slots)
         self.depth += step
 
-    def refine_to(self, depth: int) -> Buckets:
-        while self.depth < depth:
-            self.refine(min(self.depth, depth - self.depth))
-        return self
-
     def sort(self) -> Buckets:
         """To the full suffix array; ends where every bucket holds one suffix."""
         while not self.head.all():
@@ -66,24 +60,54 @@ class Buckets:
         return self
 
 
-def byte_buckets(text: np.ndarray, depth: int) -> Buckets:
-    """Buckets of equal byte strings of length depth (8 at least), from 8-grams on."""
+def window_buckets(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Bucket pointers of the suffixes at starts, alike where the next `length` (8 at least) bytes are.
+
+    The initial buckets are those of 8-grams.  A refinement sorts the members of each bucket on the bucket that each
+    one's later offset is in, and moves their pointers on within the bucket's slots; these are the keys of the next
+    refinement, at twice the depth.  Only suffixes that a later refinement reads are refined.
+    """
+    n = len(text)
+    depths = [8]
+    while depths[-1] < length:
+        depths.append(min(2 * depths[-1], length))
+    wanted = np.zeros(n, bool)
+    wanted[starts] = True
+    rounds = []
+    for known, depth in zip(depths[-2::-1], depths[:0:-1], strict=True):
+        rounds.append((depth - known, np.flatnonzero(wanted)))
+        wanted[depth - known :] |= wanted[: n - (depth - known)].copy()
+
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(text),), ">u8", padded, strides=(1,)).astype(np.uint64)
-    return Buckets(eight, 8).refine_to(depth)
+    grams = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
+    order = np.argsort(grams)
+    pointer = np.empty(n, np.int64)
+    pointer[order] = _firsts(_heads(grams[order]))
+    del grams, order
+    for step, suffixes in reversed(rounds):
+        sizes = np.bincount(pointer[suffixes], minlength=n)
+        suffixes = suffixes[sizes[pointer[suffixes]] > 1]
+        keys = (pointer[suffixes] << 32) | pointer[suffixes + step]
+        by = np.argsort(keys)
+        keys = keys[by]
+        bucket = keys >> 32
+        pointer[suffixes[by]] = bucket + _firsts(_heads(keys)) - _firsts(_heads(bucket))
+    return pointer[starts]
+
+
+def _firsts(heads: np.ndarray) -> np.ndarray:
+    """For each place, the last head up to it."""
+    return np.maximum.accumulate(np.where(heads, np.arange(len(heads)), 0))
 
 
 def match_by_suffix_array(segments: Segments, length: int) -> np.ndarray:
     """Windows whose byte string starts in a smaller document too."""
-    texts = pa.concat_arrays(segments.texts)
-    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    text = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
-    at = at - at[0]
-    windows = np.diff(at) - length + 1
+    at = np.concatenate([[0], np.cumsum(segments.sizes)])
+    windows = segments.sizes - length + 1
     starts = np.repeat(at[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
     doc = np.repeat(segments.doc_id, windows)
-    bucket = byte_buckets(text, length).pointer[starts]
-    least = np.full(len(text), np.iinfo(np.int64).max)
+    bucket = window_buckets(segments.text, starts, length)
+    least = np.full(len(segments.text), np.iinfo(np.int64).max)
     np.minimum.at(least, bucket, doc)
     return least[bucket] < doc
 
