@@ -162,7 +162,10 @@ def long_haplotypes(sample: Sample, least: int, share: float, mode: str = "accur
 
 
 def windows(depth: dict[int, int], start: int, end: int, size: int) -> list[tuple[int, int]]:
-    """Working windows from the most covered position on, one a step to the side with more reads a window away."""
+    """Working windows from the most covered position on, one a step to the side with more reads a window away.
+
+    Less than 20 positions to a border join the last window, which is then wider.
+    """
     most = max(depth.get(p, 0) for p in range(start, end + 1))
     at = [p for p in range(start, end + 1) if depth.get(p, 0) == most]
     low = high = at[len(at) // 2]
@@ -172,13 +175,13 @@ def windows(depth: dict[int, int], start: int, end: int, size: int) -> list[tupl
         left = depth.get(low - size, 0) if low - size >= start else 0
         right = depth.get(high + size, 0) if high + size <= end else 0
         if low > start and (left > right or high >= end):
-            low = max(start, low - size)
+            before, low = low, max(start, low - size)
             low = start if low - start < 20 else low
-            out.append((low, min(low + size, end)))
+            out.append((low, min(max(low + size, before), end)))
         else:
-            high = min(end, high + size)
+            before, high = high, min(end, high + size)
             high = end if end - high < 20 else high
-            out.append((max(start, high - size), high))
+            out.append((max(start, min(high - size, before)), high))
     return out
 
 
