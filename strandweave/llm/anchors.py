@@ -289,9 +289,15 @@ class Finder:
         return units, ids, np.cumsum(edge)[:n] > 0
 
 
-def remove_repeats(df: DataFrame, finder: Finder, rows_of: Callable[[Units, np.ndarray, np.ndarray, pa.Table], pd.DataFrame], schema: str) -> DataFrame:
-    """rows_of(units, ids, covered units, documents) over all blocks of df, which has doc_id and text."""
-    blocks = fr.stored(fr.block_rows(df, limit=BLOCK_BYTES))
+def remove_repeats(df: DataFrame, finder: Finder, rows_of: Callable[[Units, np.ndarray, np.ndarray, pa.Table], pd.DataFrame], schema: str, stable: bool = False) -> DataFrame:
+    """rows_of(units, ids, covered units, documents) over all blocks of df, which has doc_id and text.
+
+    stable: df gives the same rows in the same tasks whenever it is read, as a scan of files does; then blocks are cut
+    anew in each round, also after an executor is lost.  Otherwise they are stored once.
+    """
+    blocks = fr.block_rows(df, limit=BLOCK_BYTES)
+    if not stable:
+        blocks = fr.stored(blocks)
     bits = fr.stored(fr.by_part(fr.part_rows(blocks, finder.anchors), finder.repeated))
     segments = fr.by_block(blocks, [bits], lambda block, payload, answers: finder.segments(block, payload, answers[0]), fr.PART_SCHEMA)
 

@@ -155,7 +155,7 @@ def _minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return np.minimum.reduceat(np.append(values, values[-1]), borders)[::2][back]
 
 
-def remove_repeated_words(df: DataFrame, length: int = 20, parts: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_words(df: DataFrame, length: int = 20, parts: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, kept_text and kept_sha256 of every row.
 
     A word goes if a window of length words that covers it has an equal window that starts earlier: in a document
@@ -163,6 +163,8 @@ def remove_repeated_words(df: DataFrame, length: int = 20, parts: int | None = N
 
     A null text has no words; a null id orders before every other and stays null; rows with one id do not remove
     each other's words; repeated rows are answered each; an empty table gives no rows.
+
+    stable: see `anchors.remove_repeats`.
     """
     width = fr.partitions(df.sparkSession)
     finder = Finder(word_units, match_by_fm_index, length, 8, True, parts or 2 * width, shards or 4 * width)
@@ -173,4 +175,4 @@ def remove_repeated_words(df: DataFrame, length: int = 20, parts: int | None = N
         return pd.DataFrame({"doc_id": fr.nullable(ids), "n_words": np.diff(units.docs), "n_removed": removed, "n_spans": spans, "kept_sha256": sha, "kept_text": [t.decode("utf-8") for t in kept]})
 
     schema = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return remove_repeats(fr.with_text(df, id_col, text_col), finder, rows_of, schema)
+    return remove_repeats(fr.with_text(df, id_col, text_col), finder, rows_of, schema, stable)

@@ -40,7 +40,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fm_index.remove_repeated_words(_documents(spark, sf_dir), length=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return fm_index.remove_repeated_words(_documents(spark, sf_dir), length=20, stable=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array.remove_repeated_bytes(_documents(spark, sf_dir), length=50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_array.remove_repeated_bytes(_documents(spark, sf_dir), length=50, stable=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -112,7 +112,7 @@ def match_by_suffix_array(segments: Segments, length: int) -> np.ndarray:
     return least[bucket] < doc
 
 
-def remove_repeated_bytes(df: DataFrame, length: int = 50, parts: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_bytes(df: DataFrame, length: int = 50, parts: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), stable: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes, kept_text, spans and the columns in carry.
 
     spans lists begin and end of each removed stretch in turn.
@@ -122,6 +122,8 @@ def remove_repeated_bytes(df: DataFrame, length: int = 50, parts: int | None = N
 
     A null text is empty; a null id orders before every other and stays null; rows with one id do not remove
     each other's bytes; repeated rows are answered each; an empty table gives no rows.
+
+    stable: see `anchors.remove_repeats`.
     """
     width = fr.partitions(df.sparkSession)
     finder = Finder(byte_units, match_by_suffix_array, length, 16, False, parts or 2 * width, shards or 4 * width)
@@ -146,4 +148,4 @@ def remove_repeated_bytes(df: DataFrame, length: int = 50, parts: int | None = N
 
     kinds = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in carry)
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, kept_text string, spans array<long>{kinds}"
-    return remove_repeats(docs, finder, rows_of, schema)
+    return remove_repeats(docs, finder, rows_of, schema, stable)
