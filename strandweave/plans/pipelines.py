@@ -145,6 +145,30 @@ def edge_graph(sample: Sample, least: int, share: float, long_reads: bool, **opt
     return stored(pruned.select(graph.vertex(F.col("p1"), F.col("a1")).alias("u"), graph.vertex(F.col("p2"), F.col("a2")).alias("v")))
 
 
+def rotated(sample: Sample, least: int, share: float) -> Sample:
+    """The sample with minors as majors where they are about as frequent and have more neighbours in that role.
+
+    Positions are bounded by the reference's length; only the candidates' degrees come to the driver.
+    """
+    found = stored(linkage.rotation_candidates(sample.profile).select("pos", F.col("allele").alias("other")))
+    if found.limit(1).count() == 0:
+        return sample
+    swapped = stored(sample.majors.join(found, "pos", "left").select("pos", F.coalesce("other", "major").alias("major")))
+    turned = Sample(sample.pile, sample.shapes, sample.length, sample.deletions, sample.error, sample.close, swapped)
+
+    def degrees(of: Sample) -> dict[int, int]:
+        edges = of.edges(least, share)
+        return {r["p"]: r["degree"] for r in linkage.degrees(edges).join(found, F.col("p") == F.col("pos"), "left_semi").groupBy("p").agg(F.sum("degree").alias("degree")).collect()}
+
+    before, after = degrees(sample), degrees(turned)
+    better = [p for p, n in after.items() if n > before.get(p, 0)]
+    if not better:
+        return sample
+    kept = found.where(F.col("pos").isin(better))
+    majors = stored(sample.majors.join(kept, "pos", "left").select("pos", F.coalesce("other", "major").alias("major")))
+    return Sample(sample.pile, sample.shapes, sample.length, sample.deletions, sample.error, sample.close, majors)
+
+
 def _resolved(sample: Sample, cliques: DataFrame) -> DataFrame:
     return stored(graph.numbered(graph.resolve_conflicts(cliques, sample.frequencies).select("vs")))
 
@@ -188,6 +212,7 @@ def windows(depth: dict[int, int], start: int, end: int, size: int) -> list[tupl
 def short_haplotypes(sample: Sample, least: int, share: float, mode: str = "accurate", start: int = 0, end: int = 1_000_000, fragment: int | None = None) -> Found:
     """Windows of a fragment's length, each with the edges inside it and within haplotypes found before."""
     end = min(end, sample.length - 1)
+    sample = rotated(sample, least, share)
     edges = edge_graph(sample, least, share, False)
     sizes = sample.shapes.select((F.when(F.col("r_off") >= 0, F.least(F.col("r_end"), F.lit(sample.length - 2))).otherwise(F.col("l_end")) - F.col("l_off") + 1).alias("size"))
     if fragment is None:
@@ -228,6 +253,7 @@ def _called(sample: Sample, rows: list[dict]) -> DataFrame:
 
 def short_variants(sample: Sample, least: int, share: float) -> DataFrame:
     """pos, allele, freq, alleles and corrected of the SNPs of all haplotypes, from cliques that are not merged."""
+    sample = rotated(sample, least, share)
     cliques = stored(graph.numbered(graph.maximal_cliques(edge_graph(sample, least, share, False))))
     return haplotypes.vc_frequencies(_called(sample, process_cliques(sample, cliques, SHORT_RATE, False)), sample.counts)
 

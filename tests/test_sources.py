@@ -136,3 +136,18 @@ def test_stream_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.table("profile_counts").collect()} == {(0, "A", 1), (1, "C", 2), (2, "G", 2)}
+
+
+def test_rotation_turns_frequent_minors(spark):
+    """Two haplotypes of nearly equal share: the minor of one place is frequent, and so a candidate."""
+    from strandweave.plans import pipelines
+    from strandweave.plans.samples import Sample
+
+    rows = [(i, p, "C" if i % 2 and p in (2, 9, 15) else "A") for i in range(120) for p in range(20)]
+    pile = spark.createDataFrame(rows, "read_id long, pos int, allele string")
+    shapes = spark.createDataFrame([(i, 0, 19, -1, -2) for i in range(120)], "read_id long, l_off int, l_end int, r_off int, r_end int")
+    sample = Sample(pile, shapes, 20, deletions=False, error=0.2)
+    turned = pipelines.rotated(sample, 10, 0.05)
+    assert {r["pos"]: r["major"] for r in turned.majors.collect()}[3] == "A"
+    found = pipelines.short_haplotypes(sample, 10, 0.05)
+    assert {r["haplotype"] for r in found.rows} == {"A" * 20, "".join("C" if p in (2, 9, 15) else "A" for p in range(20))}
