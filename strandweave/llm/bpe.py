@@ -261,10 +261,14 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         table = [w for part in sorted(answers[0]) for w in fr.bytes_to_table(answers[0][part]).column("ids").to_pylist()]
         ids, ends = spread(own["codes"], table)
         ends = ends[own["doc_words"]]
+        # The id-to-piece join: pieces stand end to end in the order of the ids.
+        joined = pieces(path).take(pa.array(ids))
+        places = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :][ends] if len(ids) else ends
+        spelled = joined.buffers()[2].to_pybytes() if len(ids) else b""
         out = []
-        for doc_id, a, b in zip(own["doc_id"].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        for doc_id, a, b, x, y in zip(own["doc_id"].tolist(), ends[:-1].tolist(), ends[1:].tolist(), places[:-1].tolist(), places[1:].tolist(), strict=True):
             raw = ids[a:b].tobytes()
-            text = b"".join(pieces(path).take(pa.array(ids[a:b])).to_pylist()).decode("utf-8", "replace").encode()
+            text = spelled[x:y].decode("utf-8", "replace").encode()
             out.append((doc_id, b - a, raw, hashlib.sha256(raw).hexdigest(), text, hashlib.sha256(text).hexdigest()))
         frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"])
         return frame.assign(doc_id=fr.nullable(own["doc_id"]))
