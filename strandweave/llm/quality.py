@@ -1,9 +1,8 @@
 """A quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Words become symbols first: a frequent word is itself, another word equal to the one before is REPEAT, any other
-word is its shape (first character, symbols or digits inside, punctuation at the end, length).  So the n-grams that occur
-are few beside the words, and blocks of documents exchange distinct n-grams with the sharded count tables instead of
-occurrences.  All counts are taken over all trusted documents.
+Every word of counted text is a symbol of its own, a 64-bit hash; words that it lacks share the mass of the open
+vocabulary.  Blocks of documents ask sharded tables for the shares of their distinct n-grams of every order and
+interpolate them.  All counts are taken over all trusted documents, so nothing depends on how blocks are cut.
 """
 
 from __future__ import annotations
@@ -14,32 +13,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import frames as fr
 from .anchors import binary, mix, split_blanks
 
-START, END, REPEAT, SHAPES = 1, 2, 3, 16
-SYMBOL_BITS = 20
-MASK = (1 << SYMBOL_BITS) - 1
-FIRST_WORD = SHAPES + 144
-#: Scores travel as 16-bit numbers of steps.
-STEPS, UNKNOWN = 2048, (1 << 16) - 1
-#: Bytes of text in a block: few large ones share more trigrams.
+START, END, UNSEEN = 0, 1, 2
+FIRST_WORD = 3
+#: Bytes of text in a block: few large ones share more n-grams.
 BLOCK_BYTES = 16 << 20
-LENGTHS = (1, 3, 6, 10, 15)
-PUNCTUATION = ".,;:!?"
 
 
-def shape(word: bytes) -> int:
-    """A number under 144, from the word's form."""
-    text = word.decode("utf-8", "replace").rstrip()
-    body = text.rstrip(PUNCTUATION)
-    tail = 0 if body == text else 1
-    head = 3 if not body else 0 if body[0].islower() else 1 if body[0].isalpha() else 2 if body[0].isnumeric() else 3
-    inside = 0 if body[1:].isalpha() or not body[1:] else 1 if all(c.isalnum() or c in "'’-" for c in body[1:]) else 2
-    return ((head * 2 + tail) * 3 + inside) * 6 + sum(len(text) > n for n in LENGTHS)
+def _hashes(values: list) -> np.ndarray:
+    return pd.util.hash_array(np.array([*values, None], dtype=object)[:-1], categorize=False)
 
 
 def _words(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -50,123 +37,87 @@ def _words(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return coded.indices.to_numpy(), coded.dictionary.to_pylist(), docs
 
 
-def frequent_words(docs: DataFrame, share: float) -> list[bytes]:
-    """Words with at least that share in blocks that hold half of all words: at most 2 / share of them, by counting."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in fr.batches_of(batches):
-            codes, words, _ = _words(table)
-            counts = np.bincount(codes, minlength=len(words))
-            often = np.flatnonzero(counts >= max(1, share * len(codes))) if len(codes) else []
-            # The row without a word carries the block's size.
-            found = [None, *(words[i] for i in often)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([len(codes)] * len(found))], names=["word", "n"])
-
-    sums = fr.stored(docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = sums.where("word is null").agg(F.sum("n")).first()[0] or 0
-    return sorted(bytes(r["word"]) for r in sums.where(F.col("word").isNotNull() & (F.col("n") * 2 >= total)).select("word").collect())
-
-
-def symbols(codes: np.ndarray, words: list[bytes], docs: np.ndarray, known: dict[bytes, int]) -> np.ndarray:
-    """The symbol of every word."""
-    number = np.array([known.get(w) or SHAPES + shape(w) for w in words] or [0], dtype=np.uint32)
-    out = number[codes]
-    again = np.append(False, codes[1:] == codes[:-1])[: len(codes)]
-    again[docs[:-1][docs[:-1] < len(codes)]] = False
-    out[again & (out < FIRST_WORD)] = REPEAT
-    return out
-
-
-def trigrams(symbol: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed trigrams of every word and of each document's end, and the n+1 offsets of the documents."""
-    sizes = np.diff(docs) + 3
-    ends = np.cumsum(sizes)
-    line = np.full(int(sizes.sum()), START, np.int64)
-    doc = np.repeat(np.arange(len(sizes)), np.diff(docs))
-    line[np.arange(len(symbol)) + 2 + 3 * doc] = symbol
-    line[ends - 1] = END
-    grams = (line[:-2] << 2 * SYMBOL_BITS) | (line[1:-1] << SYMBOL_BITS) | line[2:]
-    keep = np.ones(len(line) - 2, bool)
-    keep[ends[:-1] - 2] = keep[ends[:-1] - 1] = False
-    return grams[keep], np.concatenate([[0], np.cumsum(sizes - 2)])
-
-
-def _pack(table: pa.Table, known: dict[bytes, int]) -> bytes:
-    """A block's documents as symbols; a few MB of text at a time are split into words."""
-    parts, docs = [], [np.zeros(1, np.int64)]
+def keys(seed: np.ndarray, *words: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each n-gram; seed is the hash of its language."""
+    key = seed + np.uint64(len(words))
+    for w in words:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64))
+    return mix(key)
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """Ascending with the key."""
+    return (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _pack(table: pa.Table) -> bytes:
+    """A block's documents as words; a few MB of text at a time are split into words."""
+    parts, docs = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
     for piece in fr.batches_of(table.to_batches()):
         codes, words, ends = _words(piece)
-        parts.append(symbols(codes, words, ends, known))
+        parts.append(_hashes(words)[codes])
         docs.append(ends[1:] + docs[-1][-1])
+    words, code = np.unique(np.concatenate(parts), return_inverse=True)
     langs, lang = np.unique(table.column("lang").to_numpy(zero_copy_only=False).astype(str), return_inverse=True) if table.num_rows else ([], np.zeros(0, np.int64))
-    small = np.uint16 if len(known) + FIRST_WORD < 1 << 16 else np.uint32
-    return fr.arrays_to_bytes(doc_id=fr.ids_of(table.column("doc_id")), docs=np.concatenate(docs), symbol=np.concatenate(parts).astype(small), lang=lang.astype(np.int32), langs=np.frombuffer(json.dumps(list(map(str, langs))).encode(), np.uint8))
+    small = np.uint16 if len(words) < 1 << 16 else np.uint32
+    return fr.arrays_to_bytes(doc_id=fr.ids_of(table.column("doc_id")), docs=np.concatenate(docs), words=words, code=code.astype(small), lang=lang.astype(np.int32), langs=np.frombuffer(json.dumps(list(map(str, langs))).encode(), np.uint8))
 
 
 class Block:
-    def __init__(self, payload: bytes):
+    """line holds each document's words between two STARTs and an END; at are the places of words and ENDs.
+
+    known: the words of each language that have a symbol; all if None.
+    """
+
+    def __init__(self, payload: bytes, known: dict[str, np.ndarray] | None = None):
         own = fr.bytes_to_arrays(payload)
         self.doc_id, self.lang = own["doc_id"], own["lang"]
         self.langs = json.loads(own["langs"].tobytes())
-        self.grams, self.docs = trigrams(own["symbol"].astype(np.int64), own["docs"])
-
-    def distinct(self, chosen: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each language, its number, distinct trigrams and their counts, over all or the chosen documents."""
-        of = np.repeat(self.lang if chosen is None else np.where(chosen, self.lang, -1), np.diff(self.docs))
-        for k in range(len(self.langs)):
-            grams, counts = np.unique(self.grams[of == k], return_counts=True)
-            if len(grams):
-                yield k, grams, counts
-
-
-def _part(grams: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(grams.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-
-
-def _deal(block: Block, parts: int, chosen: np.ndarray | None = None, with_counts: bool = False) -> Iterator[tuple[int, bytes]]:
-    """A block's distinct trigrams by part: ascending within a language, as steps, and their counts where asked for."""
-    held: dict[int, list[tuple[str, np.ndarray, np.ndarray]]] = {}
-    for k, grams, counts in block.distinct(chosen):
-        part = _part(grams, parts)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        for p in range(parts):
-            own = order[edges[p] : edges[p + 1]]
-            if len(own):
-                held.setdefault(p, []).append((block.langs[k], grams[own], counts[own]))
-    for p, rows in sorted(held.items()):
-        sent = {"steps": np.concatenate([np.diff(g, prepend=0) for _, g, _ in rows]), "sizes": np.array([len(g) for _, g, _ in rows]), "langs": np.frombuffer(json.dumps([x for x, _, _ in rows]).encode(), np.uint8)}
-        if with_counts:
-            sent["n"] = np.concatenate([n for _, _, n in rows]).astype(np.uint32)
-        yield p, fr.arrays_to_bytes(**sent)
-
-
-def _dealt(payload: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Language, trigrams and counts (1 where none were sent) of what `_deal` made, in its order."""
-    sent = fr.bytes_to_arrays(payload)
-    at = 0
-    for lang, size in zip(json.loads(sent["langs"].tobytes()), sent["sizes"].tolist(), strict=True):
-        grams = np.cumsum(sent["steps"][at : at + size])
-        yield lang, grams, sent["n"][at : at + size] if "n" in sent else np.ones(size, np.uint32)
-        at += size
-
-
-def count_grams(parts: DataFrame) -> DataFrame:
-    """lang, gram and n over all blocks."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for payload in frame["payload"]:
-            for lang, grams, n in _dealt(payload):
-                by.setdefault(lang, []).append((grams, n))
-        out = []
-        for lang, rows in by.items():
-            grams, back = np.unique(np.concatenate([g for g, _ in rows]), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate([n for _, n in rows])).astype(np.int64)
-            out.append(pd.DataFrame({"lang": lang, "gram": grams, "n": n}))
-        return pd.concat(out)
-
-    return parts.groupBy("part").applyInPandas(run, "lang string, gram long, n long")
+        self.n_words = np.diff(own["docs"])
+        sizes = self.n_words + 3
+        ends = np.cumsum(sizes)
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        doc = np.repeat(np.arange(len(sizes)), self.n_words)
+        symbol = own["words"].view(np.int64)[own["code"]]
+        if known is not None:
+            symbol = symbol.copy()
+            for k, lang in enumerate(self.langs):
+                symbol[(self.lang[doc] == k) & ~np.isin(symbol, known.get(lang, np.zeros(0, np.int64)))] = UNSEEN
+        self.line = np.full(int(sizes.sum()), START, np.int64)
+        self.line[np.arange(len(symbol)) + 2 + 3 * doc] = symbol
+        self.line[ends - 1] = END
+        scored = np.ones(len(self.line), bool)
+        scored[ends - sizes] = scored[ends - sizes + 1] = False
+        self.at = np.flatnonzero(scored)
+
+    def asked(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Distinct keys, and the places in them of each document's language, each word, pair and trigram of the line."""
+        seeds = _hashes(self.langs)
+        line, at, seed = self.line, self.at, seeds[self.lang][self.doc]
+        found, places, n = [keys(seeds)], [self.lang], len(seeds)
+        for key in (keys(seed, line), keys(seed[1:], line[:-1], line[1:]), keys(seed[at], line[at - 2], line[at - 1], line[at])):
+            distinct, place = np.unique(key, return_inverse=True)
+            found.append(distinct)
+            places.append(place + n)
+            n += len(distinct)
+        return np.concatenate(found), places
+
+    def counted(self, chosen: np.ndarray) -> pd.DataFrame:
+        """lang, w1, w2, w3 and n of the chosen documents' distinct trigrams."""
+        at = self.at[chosen[self.doc[self.at]]]
+        lang, line = self.lang[self.doc[at]], self.line
+        _, first, n = np.unique(keys(_hashes(self.langs)[lang], line[at - 2], line[at - 1], line[at]), return_index=True, return_counts=True)
+        at = at[first]
+        return pd.DataFrame({"lang": np.array([*self.langs, None], dtype=object)[lang[first]], "w1": line[at - 2], "w2": line[at - 1], "w3": line[at], "n": n})
+
+
+def _deal(key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Parts, and the places of their keys, ascending by key."""
+    order = np.argsort(key)
+    edges = np.searchsorted(_part(key[order], parts), np.arange(parts + 1))
+    for p in range(parts):
+        if edges[p] < edges[p + 1]:
+            yield p, order[edges[p] : edges[p + 1]]
 
 
 def _discounted(table: DataFrame, count: str) -> DataFrame:
@@ -185,74 +136,80 @@ def _contexts(table: DataFrame, count: str, *context: str) -> DataFrame:
     return table.groupBy("lang", *context).agg(F.sum(count).cast("double").alias("total"), F.sum("discount").alias("free")).withColumn("free", F.col("free") / F.col("total"))
 
 
-def score_grams(grams: DataFrame, counts: DataFrame, size: int) -> DataFrame:
-    """lang, gram and logp of each trigram, of languages that counts has.
+def tables(counts: DataFrame) -> DataFrame:
+    """lang, k, x, y, z, a and b of every n-gram x y z of k words.
 
-    The count tables are joined by n-gram and by context; lower orders count the distinct words before.  A context
-    that trusted text lacks leaves the lower order, and a symbol that it lacks a share of 1 / size.  Each distinct pair
-    gets its probability once; trigrams then need three joins: with their counts, their contexts and their pairs.
+    a is its discounted share in its context, b the share that discounting sets free where it is a context; lower
+    orders count the distinct words before.  The row with k = 0 has in a what every word gets of the last share,
+    that of words never counted included.
     """
-    pair_of, context_of = F.col("gram").bitwiseAND((1 << 2 * SYMBOL_BITS) - 1), F.shiftright("gram", SYMBOL_BITS)
-    own = (F.col("n") - F.col("discount")).alias("own")
     three = fr.stored(_discounted(counts, "n"))
-    two = fr.stored(_discounted(three.groupBy("lang", pair_of.alias("pair")).agg(F.count(F.lit(1)).alias("n")), "n"))
-    word = F.col("pair").bitwiseAND(MASK).alias("word")
-    one = _discounted(two.groupBy("lang", word).agg(F.count(F.lit(1)).alias("n")), "n")
-
-    def interpolated(lower: Column) -> Column:
-        return F.coalesce(F.col("own") / F.col("total"), F.lit(0.0)) + F.coalesce("free", F.lit(1.0)) * lower
-
-    pairs = grams.select("lang", pair_of.alias("pair")).distinct()
-    words = pairs.select("lang", word).distinct().join(one.select("lang", "word", own), ["lang", "word"], "left").join(_contexts(one, "n"), "lang")
-    words = words.select("lang", "word", interpolated(F.lit(1 / size)).alias("lower"))
-    before = _contexts(two.withColumn("context", F.shiftright("pair", SYMBOL_BITS)), "n", "context")
-    pairs = pairs.withColumn("context", F.shiftright("pair", SYMBOL_BITS)).withColumn("word", word)
-    pairs = pairs.join(two.select("lang", "pair", own), ["lang", "pair"], "left").join(before, ["lang", "context"], "left").join(words, ["lang", "word"])
-    pairs = pairs.select("lang", "pair", interpolated(F.col("lower")).alias("lower"))
-    before = _contexts(three.withColumn("context", context_of), "n", "context")
-    rows = grams.join(three.select("lang", "gram", own), ["lang", "gram"], "left").withColumn("context", context_of).join(before, ["lang", "context"], "left")
-    rows = rows.withColumn("pair", pair_of).join(pairs, ["lang", "pair"])
-    return rows.select("lang", "gram", F.log(interpolated(F.col("lower"))).alias("logp"))
-
-
-def _answers(parts: DataFrame, scored: DataFrame, count: int) -> DataFrame:
-    """The scores of each block's trigrams, in the order in which the block sent them, in steps of 1 / STEPS nats."""
+    two = fr.stored(_discounted(three.groupBy("lang", "w2", "w3").agg(F.count(F.lit(1)).alias("n")), "n"))
+    one = fr.stored(_discounted(two.groupBy("lang", "w3").agg(F.count(F.lit(1)).alias("n")), "n"))
+    share = ((F.col("n") - F.col("discount")) / F.col("total")).alias("a")
+    of3, of2, of1 = _contexts(three, "n", "w1", "w2"), _contexts(two, "n", "w2"), _contexts(one, "n")
+    sizes = one.groupBy("lang").agg(F.sum(F.when(F.col("w3").isin(END, UNSEEN), 0).otherwise(1)).alias("known"))
+    none = F.lit(0).cast("long")
+
+    def rows(df: DataFrame, k: int) -> DataFrame:
+        names = [c if c in df.columns else none.alias(c) for c in ("x", "y", "z")]
+        return df.select("lang", F.lit(k).alias("k"), *names, F.coalesce("a", F.lit(0.0)).cast("float").alias("a"), F.coalesce("b", F.lit(1.0)).cast("float").alias("b"))
+
+    nothing = F.lit(None).cast("double").alias("b")
+    zero = of1.join(sizes, "lang").select("lang", (F.col("free") / (FIRST_WORD + F.col("known"))).alias("a"), nothing)
+    words = one.join(of1, "lang").select("lang", F.col("w3").alias("x"), share)
+    words = words.join(of2.select("lang", F.col("w2").alias("x"), F.col("free").alias("b")), ["lang", "x"], "full")
+    pairs = two.join(of2, ["lang", "w2"]).select("lang", F.col("w2").alias("x"), F.col("w3").alias("y"), share)
+    pairs = pairs.join(of3.select("lang", F.col("w1").alias("x"), F.col("w2").alias("y"), F.col("free").alias("b")), ["lang", "x", "y"], "full")
+    grams = three.join(of3, ["lang", "w1", "w2"]).select("lang", F.col("w1").alias("x"), F.col("w2").alias("y"), F.col("w3").alias("z"), share, nothing)
+    return rows(zero, 0).unionByName(rows(words, 1)).unionByName(rows(pairs, 2)).unionByName(rows(grams, 3))
+
+
+def _answers(sent: DataFrame, model: DataFrame, parts: int) -> DataFrame:
+    """a and b of each block's keys, in the order in which the block sent them; 0 and 1 for what the model lacks."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            part = _part(table.column("gram").to_numpy(), count)
-            order = np.argsort(part, kind="stable")
-            for p in np.unique(part):
-                rows = table.take(pa.array(order[np.searchsorted(part[order], p) : np.searchsorted(part[order], p, side="right")]))
-                yield pa.RecordBatch.from_pydict({"block": [-1], "part": [int(p)], "payload": [fr.table_to_bytes(rows.combine_chunks())]}, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())]))
+            if not batch.num_rows:
+                continue
+            langs = batch.column("lang").dictionary_encode()
+            seed = _hashes(langs.dictionary.to_pylist())[langs.indices.to_numpy()]
+            k, words = batch.column("k").to_numpy(), [batch.column(c).to_numpy() for c in ("x", "y", "z")]
+            key = np.empty(len(k), np.uint64)
+            for n in range(4):
+                key[k == n] = keys(seed[k == n], *(w[k == n] for w in words[:n]))
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            dealt = [(p, fr.arrays_to_bytes(key=key[at], a=a[at], b=b[at])) for p, at in _deal(key, parts)]
+            yield pa.RecordBatch.from_pydict({"block": [-1] * len(dealt), "part": [p for p, _ in dealt], "payload": [x for _, x in dealt]}, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())]))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        known = pa.concat_tables([fr.bytes_to_table(p) for p in frame.loc[frame["block"] < 0, "payload"]] or [pa.table({"lang": pa.array([], pa.string()), "gram": pa.array([], pa.int64()), "logp": pa.array([], pa.float64())})]).to_pandas()
-        tables = {lang: rows.sort_values("gram") for lang, rows in known.groupby("lang")}
-        tables = {lang: (rows["gram"].to_numpy(), np.round(-rows["logp"].to_numpy() * STEPS).clip(0, UNKNOWN - 1).astype(np.uint16)) for lang, rows in tables.items()}
+        known = [fr.bytes_to_arrays(p) for p in frame.loc[frame["block"] < 0, "payload"]]
+        key, a, b = (np.concatenate([np.zeros(0, kind), *(x[c] for x in known)]) for c, kind in (("key", np.uint64), ("a", np.float32), ("b", np.float32)))
+        order = np.argsort(key)
+        # The last row answers for all keys that are not there.
+        key, a, b = key[order], np.append(a[order], np.float32(0)), np.append(b[order], np.float32(1))
         out = []
         for block, part, payload in frame.loc[frame["block"] >= 0, ["block", "part", "payload"]].itertuples(index=False):
-            # A language without a model has no scores; one with a model has them for all that was sent.
-            values = [tables[lang][1][np.searchsorted(tables[lang][0], grams)] if lang in tables else np.full(len(grams), UNKNOWN, np.uint16) for lang, grams, _ in _dealt(payload)]
-            out.append((block, part, fr.arrays_to_bytes(v=np.concatenate(values))))
+            asked = np.cumsum(fr.bytes_to_arrays(payload)["steps"], dtype=np.uint64)
+            at = np.searchsorted(key, asked)
+            at[at < len(key)] = np.where(key[at[at < len(key)]] == asked[at < len(key)], at[at < len(key)], len(key))
+            out.append((block, part, fr.arrays_to_bytes(a=a[at], b=b[at])))
         return pd.DataFrame(out, columns=["block", "part", "payload"])
 
-    return parts.unionByName(scored.mapInArrow(pack, fr.PART_SCHEMA)).groupBy("part").applyInPandas(run, fr.PART_SCHEMA)
+    return sent.unionByName(model.mapInArrow(pack, fr.PART_SCHEMA)).groupBy("part").applyInPandas(run, fr.PART_SCHEMA)
 
 
-def perplexities(df: DataFrame, trusted: DataFrame, share: float = 3e-4, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def perplexities(df: DataFrame, trusted: DataFrame, share: float = 0.0, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, n_words, perplexity and held_out of every row, under its language's model of trusted text.
 
     trusted has the ids of trusted documents.  One third of them, by a hash of the id, is held out of the counts and
     marked, for thresholds that do not favour text which the model has seen; if that leaves a language without
-    counts, it has no model.  Perplexity is null for a language without a model.
+    counts, it has no model.  Perplexity is null for a language without a model.  All counted words have a symbol;
+    with a share, only those that are at least that share of their language's counted words.
     """
     parts = parts or 2 * fr.partitions(df.sparkSession)
     docs = fr.with_text(df, id_col, text_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    words = frequent_words(docs, share)
-    known = {w: FIRST_WORD + i for i, w in enumerate(words)}
-    size = FIRST_WORD + len(known)
-    blocks = fr.stored(fr.block_rows(docs, lambda table: _pack(table, known), BLOCK_BYTES))
+    blocks = fr.stored(fr.block_rows(docs, _pack, BLOCK_BYTES))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,33 +233,46 @@ def perplexities(df: DataFrame, trusted: DataFrame, share: float = 3e-4, parts:
             kind[found["place"]] = 1 + found["held"]
         return kind
 
+    known: dict[str, np.ndarray] | None = None
+
     def count(block: int, payload: bytes, answers: list[dict[int, bytes]]) -> pd.DataFrame:
-        own = Block(payload)
-        rows = list(_deal(own, parts, marked(own, answers[0]) == 1, with_counts=True))
-        return pd.DataFrame({"block": block, "part": [p for p, _ in rows], "payload": [x for _, x in rows]})
+        own = Block(payload, known)
+        return own.counted(marked(own, answers[0]) == 1)
+
+    def count_all() -> DataFrame:
+        rows = fr.by_block(blocks, [marks], count, "lang string, w1 long, w2 long, w3 long, n long")
+        return fr.stored(rows.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")))
+
+    counts = count_all()
+    if share:
+        words = counts.where(F.col("w3") != END).groupBy("lang", "w3").agg(F.sum("n").alias("n"))
+        totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
+        often = words.join(totals, "lang").where(F.col("n") >= share * F.col("total")).groupBy("lang").agg(F.collect_list("w3").alias("words"))
+        known = {r["lang"]: np.array(r["words"], np.int64) for r in often.collect()}  # 1 / share words a language at most
+        counts = count_all()
+
+    def ask(block: int, payload: bytes) -> Iterator[tuple[int, bytes]]:
+        key, _ = Block(payload, known).asked()
+        for p, at in _deal(key, parts):
+            yield p, fr.arrays_to_bytes(steps=np.diff(key[at], prepend=np.uint64(0)))
 
-    counts = fr.stored(count_grams(fr.by_block(blocks, [marks], count, fr.PART_SCHEMA)))
-    sent = fr.part_rows(blocks, lambda block, payload: _deal(Block(payload), parts))
-    scored = score_grams(count_grams(sent).select("lang", "gram"), counts, size)
-    answers = _answers(sent, scored, parts)
+    answers = _answers(fr.part_rows(blocks, ask), tables(counts), parts)
 
     def finish(block: int, payload: bytes, found: list[dict[int, bytes]]) -> pd.DataFrame:
-        own = Block(payload)
-        answer = {p: fr.bytes_to_arrays(x)["v"] for p, x in found[1].items()}
-        at = dict.fromkeys(answer, 0)
-        logp = np.zeros(len(own.grams))
-        of = np.repeat(own.lang, np.diff(own.docs))
-        for k, grams, _ in own.distinct():
-            part = _part(grams, parts)
-            values = np.empty(len(grams), np.uint16)
-            for p in np.unique(part).tolist():
-                here = part == p
-                values[here] = answer[p][at[p] : at[p] + int(here.sum())]
-                at[p] += int(here.sum())
-            mine = np.flatnonzero(of == k)
-            logp[mine] = np.where(values == UNKNOWN, np.nan, values / -STEPS)[np.searchsorted(grams, own.grams[mine])]
-        n = np.diff(own.docs)
-        sums = np.add.reduceat(logp, own.docs[:-1]) if len(n) else np.zeros(0)
+        own = Block(payload, known)
+        key, (lang, word, pair, gram) = own.asked()
+        a, b = np.zeros(len(key), np.float32), np.ones(len(key), np.float32)
+        for p, at in _deal(key, parts):
+            answer = fr.bytes_to_arrays(found[1][p])
+            a[at], b[at] = answer["a"], answer["b"]
+        a, b, at = a.astype(np.float64), b.astype(np.float64), own.at
+        # Only a language without a model leaves nothing for a word.
+        last = a[lang]
+        lower = a[word[at]] + last[own.doc[at]]
+        lower = a[pair[at - 1]] + b[word[at - 1]] * lower
+        logp = np.log(a[gram] + b[pair[at - 2]] * lower, where=last[own.doc[at]] > 0, out=np.full(len(at), np.nan))
+        n = own.n_words + 1
+        sums = np.add.reduceat(logp, np.cumsum(n) - n) if len(n) else np.zeros(0)
         return pd.DataFrame({"doc_id": fr.nullable(own.doc_id), "lang": [own.langs[k] for k in own.lang], "n_words": n - 1, "perplexity": np.exp(-sums / n), "held_out": marked(own, found[0]) == 2})
 
     out = fr.by_block(blocks, [marks, answers], finish, "doc_id long, lang string, n_words long, perplexity double, held_out boolean")

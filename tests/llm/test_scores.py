@@ -57,6 +57,16 @@ def test_model_against_a_plain_one(spark):
             assert abs(found[i]["perplexity"] - math.exp(-sum(map(logp, grams)) / len(grams))) < 1e-3 * found[i]["perplexity"]
 
 
+def test_rare_words_have_symbols(spark):
+    """Words of the same form: those that trusted text has, however rare, are likelier than those that it lacks."""
+    rng = np.random.default_rng(8)
+    seen, other = [f"se{i:04d}" for i in range(2000)], [f"ot{i:04d}" for i in range(2000)]
+    docs = [(i, " ".join(rng.choice(seen, 100))) for i in range(300)] + [(1000, " ".join(seen[:100])), (1001, " ".join(other[:100]))]
+    frame = spark.createDataFrame([(i, "the " * 60_000 + t if i == 0 else t, "en") for i, t in docs], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(frame, spark.range(0, 300)).collect()}
+    assert found[1001] > 2 * found[1000]
+
+
 def test_junk_goes_and_clean_text_stays(spark):
     rng = np.random.default_rng(4)
     clean = lambda: " ".join(rng.choice(["the", "of", "house", "river", "walks", "over", "a", "small"], 60)) + "."
