@@ -67,6 +67,22 @@ def test_rare_words_have_symbols(spark):
     assert found[1001] > 2 * found[1000]
 
 
+def test_blocks_and_other_languages_do_not_change_a_model(spark):
+    """The same rows, clustered by language, mixed in one block, or without the larger language."""
+    rng = np.random.default_rng(9)
+    words = {lang: [f"{lang}{i:03d}" for i in range(400)] for lang in ("aa", "bb")}
+    docs = [(i, " ".join(rng.choice(words[lang], 100)), lang) for i, lang in enumerate(["aa"] * 30 + ["bb"] * 120)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = []
+    for rows in (frame.coalesce(1), frame.repartitionByRange(5, "doc_id"), frame.orderBy("text").coalesce(2), frame.where("lang = 'aa'")):
+        made = quality.perplexities(rows, spark.range(0, 140)).where("lang = 'aa'").collect()
+        found.append({r["doc_id"]: r["perplexity"] for r in made})
+    assert len(found[0]) == 30
+    for other in found[1:]:
+        assert found[0].keys() == other.keys()
+        assert all(abs(other[i] - p) < 1e-6 * p for i, p in found[0].items())
+
+
 def test_junk_goes_and_clean_text_stays(spark):
     rng = np.random.default_rng(4)
     clean = lambda: " ".join(rng.choice(["the", "of", "house", "river", "walks", "over", "a", "small"], 60)) + "."
