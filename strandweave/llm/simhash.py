@@ -51,15 +51,18 @@ def fingerprint(text: str, width: int = 3, seed: int = 42, words: int = 1) -> np
     return np.packbits((2 * ones > n) & (n > 0), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(df: DataFrame, width: int = 3, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint's words as big-endian bytes."""
+def fingerprints(df: DataFrame, width: int = 3, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint's words as big-endian bytes; with digest, also one of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in fr.batches_of(batches):
-            found = [fingerprint(t, width, seed, words).astype(">u8").tobytes() for t in table.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(found, pa.binary())], names=["doc_id", "fp"])
+            texts = table.column("text").to_pylist()
+            found = {"doc_id": table.column("doc_id").combine_chunks(), "fp": pa.array([fingerprint(t, width, seed, words).astype(">u8").tobytes() for t in texts], pa.binary())}
+            if digest:
+                found["digest"] = pa.array([_digest(shingle_set(t, width, seed)) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
 
-    return fr.with_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp binary")
+    return fr.with_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp binary" + ", digest binary" * digest)
 
 
 def stretches(radius: int, spare: int) -> np.ndarray:
@@ -78,18 +81,30 @@ def apart(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def samples(rows: int, similarity: float, words: int, recall: float = 0.98, load: int = 5) -> np.ndarray:
+def found_share(distances: np.ndarray, likely: np.ndarray, bits: int, width: int, tables: int) -> float:
+    """The share of pairs, of distances that are so likely, that are alike under one of so many masks of width bits."""
+    return float((likely * (1 - (1 - (1 - distances / bits) ** width) ** tables)).sum())
+
+
+def samples(rows: int, similarity: float, words: int, radius: int, recall: float = 0.98, load: int = 5) -> np.ndarray:
     """Masks of bits drawn at random (with a fixed seed), for fingerprints that differ too much to cut into stretches.
 
     A mask has log2(rows) - load bits, so a bucket holds about 2 ** load unrelated rows at every size, and there
-    are as many masks as it takes for two texts of that similarity to share a bucket with probability recall.
+    are as many masks as it takes for two texts of that similarity to be within radius and share a bucket with
+    probability recall, over all distances that they may have if bits are independent.
     """
+    bits, share = words * BITS, apart(similarity)
     width = max(12, int(np.ceil(np.log2(max(rows, 2)))) - load)
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - apart(similarity)) ** width)))
+    d = np.arange(radius + 1)
+    ways = np.concatenate([[0.0], np.cumsum(np.log((bits - d[:-1]) / (d[:-1] + 1)))])
+    likely = np.exp(ways + d * np.log(share) + (bits - d) * np.log1p(-share))
+    tables = 1
+    while found_share(d, likely, bits, width, tables) < recall:
+        tables += 1
     rng = np.random.default_rng(7)
     masks = np.zeros((tables, words), np.uint64)
     for t in range(tables):
-        for bit in rng.choice(words * BITS, width, replace=False).tolist():
+        for bit in rng.choice(bits, width, replace=False).tolist():
             masks[t, bit // BITS] |= np.uint64(1 << bit % BITS)
     return masks
 
@@ -184,9 +199,10 @@ def links(nodes: DataFrame, masks: np.ndarray, radius: int, cell: int = 4096) ->
 
     Fingerprints are distinct.  Buckets of more than cell rows are dealt to cells, and every two cells of a
     bucket meet in a task of their own, so no task holds more than about two cells.  Of each meeting only a
-    spanning forest goes out, never all pairs.
+    spanning forest goes out, never all pairs; if nodes has a column tree, all pairs of different trees go out.
     """
-    schema = pa.schema([("node", pa.int64()), ("fp", pa.binary()), ("band", pa.int32()), ("key", pa.int64())])
+    carried = ["node", "fp", *(c for c in nodes.columns if c == "tree")]
+    schema = pa.schema([*((c, pa.binary() if c == "fp" else pa.int64()) for c in carried), ("band", pa.int32()), ("key", pa.int64())])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,23 +211,29 @@ def links(nodes: DataFrame, masks: np.ndarray, radius: int, cell: int = 4096) ->
                 key = np.zeros(len(fps), np.uint64)
                 for k in range(masks.shape[1]):
                     key = mix(key ^ (fps[:, k] & mask[k]))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("fp"), pa.array(np.full(len(fps), band, np.int32)), pa.array(key.view(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array(np.full(len(fps), band, np.int32)), pa.array(key.view(np.int64))], schema=schema)
 
-    rows = nodes.select("node", "fp").mapInArrow(keyed, "node long, fp binary, band int, key long")
+    rows = nodes.select(*carried).mapInArrow(keyed, ", ".join(f"{c} binary" if c == "fp" else f"{c} long" for c in carried) + ", band int, key long")
     sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cells = F.ceil(F.col("n") / cell).cast("int")
     rows = rows.join(sizes, ["band", "key"]).withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     meetings = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    meetings = meetings.select("band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "fp")
+    meetings = meetings.select("band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *carried)
     dealt = meetings.repartition(fr.partitions(nodes.sparkSession), "band", "key", "a", "b").sortWithinPartitions("band", "key", "a", "b", "node")
 
-    def compare(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+    def compare(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         root = np.arange(table.num_rows)
+        if "tree" in carried:
+            node, tree = table.column("node").to_numpy(), table.column("tree").to_numpy()
+            for left, right in close_rows(_matrix(table.column("fp"), masks.shape[1]), group, radius):
+                cross = tree[left] != tree[right]
+                yield pa.RecordBatch.from_arrays([pa.array(node[left[cross]]), pa.array(node[right[cross]])], names=["u", "v"])
+            return
         for left, right in close_rows(_matrix(table.column("fp"), masks.shape[1]), group, radius):
             join_rows(root, left, right)
         linked = np.flatnonzero(root != np.arange(len(root)))
         node = table.column("node").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -223,10 +245,10 @@ def links(nodes: DataFrame, masks: np.ndarray, radius: int, cell: int = 4096) ->
             group = _groups(held)
             last = int(np.searchsorted(group, group[-1]))
             if last:
-                yield compare(held.slice(0, last), group[:last])
+                yield from compare(held.slice(0, last), group[:last])
                 held = held.slice(last)
         if held is not None and held.num_rows:
-            yield compare(held, _groups(held))
+            yield from compare(held, _groups(held))
 
     return dealt.mapInArrow(run, "u long, v long")
 
@@ -240,34 +262,91 @@ def _groups(table: pa.Table) -> np.ndarray:
     return np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1)))
 
 
+def shingle_set(text: str, width: int, seed: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width, seed)]))
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.astype("<u8").tobytes())
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sorted sets of shingles; two empty sets are alike."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets (node, shingles) have at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [jaccard(a, b) >= similarity for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    first = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    second = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    return pairs.join(first, "u").join(second, "v").mapInArrow(run, "u long, v long")
+
+
+def similar_links(df: DataFrame, nodes: DataFrame, width: int, seed: int, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Verified edges (u, v) that join all nodes (node, digest, fp) found to have that similarity.
+
+    A forest of the closest fingerprints is verified first, so that a large group of near copies is one tree; then all
+    candidates of different trees are.
+    """
+    share, bits = apart(similarity), words * BITS
+    radius = int(bits * share + 3 * np.sqrt(bits * share * (1 - share)))
+    masks = samples(nodes.count(), similarity, words, radius)
+    docs = fr.with_text(df, id_col, text_col).withColumn("node", F.coalesce("doc_id", F.lit(int(fr.NULL_ID))))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in fr.batches_of(batches):
+            own = [shingle_set(t, width, seed) for t in table.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([table.column("node").combine_chunks(), pa.array([_digest(x) for x in own], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())], names=["node", "digest", "shingles"])
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = fr.stored(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+        own = docs.join(asked, "node", "left_semi").select("node", "text").mapInArrow(shingled, "node long, digest binary, shingles binary")
+        # Rows that share an id may differ in text; a node's own sets are those of its digests.
+        sets = own.join(nodes.select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"])
+        return fr.stored(verified(pairs, sets, similarity))
+
+    forest = checked(links(nodes, masks, int(bits * share)))
+    trees = nodes.join(components(forest), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("tree"))
+    return forest.union(checked(links(fr.stored(trees), masks, radius)))
+
+
 def near_groups(df: DataFrame, width: int = 3, radius: int = 2, spare: int = 2, seed: int = 42, similarity: float | None = None, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id and group_size of every row.
 
     Without similarity, fingerprints have 64 bits and all that differ in at most radius bits are linked.  With it,
-    they have `words` words, and those are linked whose distance is at most what texts of that Jaccard similarity are
-    expected to have, and one and a half standard deviations; two texts just that similar are found with probability
-    0.9, more similar ones more surely.
+    they have `words` words and only find candidates, within the expected distance of texts of that Jaccard
+    similarity and three standard deviations; a link is a pair whose sets of shingles have that similarity.
 
-    Rows with one fingerprint are one node, whose number is their smallest id; close nodes are linked and
+    Rows with one fingerprint (with similarity: one set of shingles) are one node, whose number is their smallest id; close nodes are linked and
     component_id is the smallest id reachable.  Texts without words have fingerprint zero and are linked like
     any other; a null text has no words.  A null id orders before every other one and stays null in both columns.
     Repeated rows are answered each; an empty table gives no rows.
     """
-    words = 1 if similarity is None else words
-    docs = fr.stored(fingerprints(df, width, seed, words, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(int(fr.NULL_ID)))))
-    nodes = fr.stored(docs.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
+    words, key = (1, "fp") if similarity is None else (words, "digest")
+    docs = fr.stored(fingerprints(df, width, seed, words, id_col, text_col, similarity is not None).withColumn("doc_id", F.coalesce("doc_id", F.lit(int(fr.NULL_ID)))))
     if similarity is None:
-        masks = stretches(radius, spare)
+        nodes = fr.stored(docs.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
+        edges = links(nodes, stretches(radius, spare), radius)
     else:
-        share, bits = apart(similarity), words * BITS
-        radius = int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
-        masks = samples(nodes.count(), similarity, words)
+        nodes = fr.stored(docs.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
+        edges = similar_links(df, nodes, width, seed, similarity, words, id_col, text_col)
     # Rows of different texts may share an id; their fingerprints are then one node.
-    labels = nodes.join(components(links(nodes, masks, radius)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = nodes.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = labels.groupBy("component").agg(F.sum("n").alias("group_size"))
-    labels = labels.join(sizes, "component").select("fp", "component", "group_size")
+    labels = labels.join(sizes, "component").select(key, "component", "group_size")
     null_id = F.lit(int(fr.NULL_ID))
-    return docs.join(labels, "fp").select(
+    return docs.join(labels, key).select(
         F.nullif(F.col("doc_id"), null_id).alias("doc_id"),
         F.lower(F.hex("fp")).alias("fingerprint"),
         F.nullif(F.col("component"), null_id).alias("component_id"),

@@ -109,6 +109,27 @@ def test_similar_texts_share_a_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(frame, width=5, similarity=0.8).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_links_have_the_similarity(spark):
+    """Texts about the limit: no link below it, and nearly all above it, against brute force on the sets."""
+    rng = np.random.default_rng(12)
+    docs = []
+    for base in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 300)]
+        other = list(words)
+        for at in range(5, 5 + 10 * (3 + base % 12), 10):
+            other[at] = f"x{base}"
+        docs += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(other))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in docs}
+    close = {b for b in range(150) if len(sets[2 * b] & sets[2 * b + 1]) >= 0.8 * len(sets[2 * b] | sets[2 * b + 1])}
+    assert 30 < len(close) < 120
+    made = simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), width=5, similarity=0.8).where("group_size > 1").collect()
+    found = {r["doc_id"] // 2 for r in made}
+    assert all(r["component_id"] // 2 == r["doc_id"] // 2 for r in made)
+    assert found <= close
+    assert len(found) >= 0.95 * len(close)
+    print("recall", len(found), len(close))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 100), (200, 201), (201, 200)]
     found = {tuple(r) for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
