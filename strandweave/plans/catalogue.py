@@ -136,6 +136,15 @@ def common_reads_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.common_reads(pairs, gone, s.shapes, linkage.joint_counts(gone))
 
 
+def common_reads_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all pairs of positions."""
+    s = long_sample(spark, sf_dir)
+    gone = s.pile.where("allele = 'N'")
+    places = spark.range(fixture.LENGTH).select(F.col("id").cast("int").alias("pos"))
+    pairs = places.select(F.col("pos").alias("p1")).join(places.select(F.col("pos").alias("p2")), F.col("p1") < F.col("p2"))
+    return linkage.common_reads(pairs, gone, s.shapes, linkage.joint_counts(gone))
+
+
 def _linked(s: Sample) -> DataFrame:
     return s.table(s.found(LEAST))
 
@@ -389,7 +398,7 @@ def variants_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     coverage_counts, coverage_counts_no_n, profile_freq, weighted_profile, consensus_with_del, consensus_no_del, consensus_string, profile_matrix,
     minors_sparse, major_counts, n_index, split_encode_roundtrip, overlap_merge, mate_pairing, cigar_projection, interval_parse, quantity_parse, contig_alias,
-    minor_hits, common_reads_short, common_reads_long, linkage_table, edges_ratio, edges_pvalue, linked_variants, non_edges, top_edges, second_minor_prune,
+    minor_hits, common_reads_short, common_reads_long, common_reads_long_all, linkage_table, edges_ratio, edges_pvalue, linked_variants, non_edges, top_edges, second_minor_prune,
     conflict_resolution, frequent_minor_candidates, deletion_regions, deletion_edges, fragment_length, most_covered_position, read_stats, snp_components,
     maximal_cliques, merged_cliques, clique_strings, merge_scores, subset_elimination, read_assignment, cluster_sizes, low_quality_filter, read_likelihood,
     em_one_step, em_frequencies, vc_frequencies, vcf_rows, imputed_reads, hamming_pairs, string_difference, nearest_truth, smart_double, si_format,

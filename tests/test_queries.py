@@ -31,6 +31,17 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert _sorted(found) == _sorted(expected)
 
 
+def test_common_reads_of_all_positions(spark, sf_dir, duck):
+    """Against the SQL of common_reads_long, asked for every position."""
+    chosen = " AND pos % 10 = 5"
+    sql = catalogue.oracle_sql()["common_reads_long"]
+    assert chosen in sql
+    expected = duck.execute(f"SELECT p1, p2, reads FROM ({sql.replace(chosen, '')}) q").fetchall()
+    found = [tuple(r) for r in catalogue.queries()["common_reads_long_all"](spark, sf_dir).select("p1", "p2", "reads").collect()]
+    assert len(found) == 7140
+    assert _sorted(found) == _sorted(expected)
+
+
 def test_every_sql_has_a_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
 
