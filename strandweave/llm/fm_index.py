@@ -8,8 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import frames as fr
-from .anchors import Finder, Segments, Units, binary, counts, digests, remove_repeats, word_units
-from .suffix_array import Buckets
+from .anchors import HOT_RUNS, Finder, Segments, Spans, Units, binary, kept_texts, remove_repeats, sha256, spread, word_units
 
 
 class Bits:
@@ -19,7 +18,7 @@ class Bits:
         padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, np.uint8)
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view("<u8")
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1]
+        self.before = np.append(0, np.cumsum(np.bitwise_count(self.words), dtype=np.int32))[:-1]
 
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Ones among the first i bits."""
@@ -52,110 +51,147 @@ class WaveletTree:
         return self._down(symbol, i) - self.base[symbol]
 
 
+def suffix_order(keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order, and whether each differs from the one before it in its first `length` symbols.
+
+    Prefix doubling, for building the index only.  Ranks are dense at every depth; once the largest power of two within
+    length is reached, two of them tell the first `length` symbols apart.
+    """
+    n = len(keys)
+    order = np.argsort(keys, kind="stable")
+    rank, depth, known = np.empty(n, np.int64), 1, None
+
+    def ranked(ordered: np.ndarray) -> None:
+        rank[order] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))
+
+    ranked(keys[order])
+    while True:
+        if known is None and 2 * depth > length:
+            known = rank.copy(), depth
+        if rank[order[-1]] == n - 1 and known is not None:
+            break
+        later = np.full(n, -1)
+        later[: n - depth] = rank[depth:]
+        both = rank * (n + 1) + later + 1
+        order = np.argsort(both)
+        ranked(both[order])
+        depth *= 2
+    own, reach = known
+    later = own[np.minimum(order + (length - reach), n - 1)]
+    own = own[order]
+    return order, np.append(True, (own[1:] != own[:-1]) | (later[1:] != later[:-1]))
+
+
 class FMIndex:
     """Segments of symbols, each ended by 0, searched backward; symbols are 1 to size - 1.
 
-    `bucket` widens an interval to all suffixes that agree with its first in `length` symbols, so that a match
-    can go on to the left without its last symbol.
+    What is kept is the wavelet tree over the Burrows-Wheeler transform, where each symbol begins, and one bit a suffix:
+    whether it differs from the one before in its first `length` symbols.  No suffix array is kept.
     """
 
     def __init__(self, symbols: np.ndarray, size: int, length: int):
-        self.symbols, self.length = symbols, length
+        self.n, self.length = len(symbols), length
         ends = symbols == 0
         # Separators differ from each other, so no window reaches over one.
-        keys = np.where(ends, np.cumsum(ends) - 1, int(ends.sum()) + symbols)
-        buckets = Buckets(keys, 1)
-        while 2 * buckets.depth <= length:
-            buckets.refine(buckets.depth)
-        known, pointer = buckets.depth, buckets.pointer.copy()
-        self.order = buckets.sort().order
-        later = pointer[np.minimum(self.order + (length - known), len(symbols) - 1)]
-        own = pointer[self.order]
-        head = np.append(True, (own[1:] != own[:-1]) | (later[1:] != later[:-1]))
-        number = np.cumsum(head) - 1
-        first = np.flatnonzero(head)
-        self.first = first[number]
-        self.end = np.append(first[1:], len(symbols))[number]
-        self.tree = WaveletTree(symbols[self.order - 1], size)
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=size))])[:-1]
-
-    def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The intervals of the matches with symbol before them."""
-        return self.before[symbol] + self.tree.rank(symbol, low), self.before[symbol] + self.tree.rank(symbol, high)
+        order, head = suffix_order(np.where(ends, np.cumsum(ends) - 1, int(ends.sum()) + symbols), length)
+        self.tree = WaveletTree(symbols[order - 1], size)
+        self.before = np.append(0, np.cumsum(np.bincount(symbols, minlength=size)))[:-1]
+        self.heads = Bits(head)
+        self.select = np.append(np.flatnonzero(head), self.n).astype(np.int32)
+
+    def shortened(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number and the interval of the suffixes that agree with the one at low in `length` symbols."""
+        number = self.heads.ones(low + 1) - 1
+        return number, self.select[number], self.select[number + 1]
+
+    def step(self, symbol: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """The intervals (low in the first row, high in the second) of the matches with symbol before them."""
+        return self.before[symbol] + self.tree.rank(symbol, both)
+
+    def longest(self, sequences: np.ndarray, place: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Interval and length of the longest match that begins at each place, of at most so many symbols."""
+        out = np.stack([np.zeros(len(place), np.int64), np.full(len(place), self.n), np.zeros(len(place), np.int64)])
+        for size in range(int(most.max(initial=0)), 0, -1):
+            left = np.flatnonzero((out[2] == 0) & (most >= size))
+            both = out[:2, left]
+            for back in range(size - 1, -1, -1):
+                both = self.step(sequences[place[left] + back], both)
+                left, both = left[both[0] < both[1]], both[:, both[0] < both[1]]
+            out[:2, left], out[2, left] = both, size
+        return tuple(out)
 
     def matches(self, sequences: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics, cut off at `length`, of sequences[at[i]:at[i + 1]], all of which are indexed.
+        """Matching statistics of sequences[at[i]:at[i + 1]]: where backward search holds `length` symbols, the first
+        symbol's place in sequences, the number of the interval that it found, and the interval's size.
 
-        For each window: its first symbol's place in sequences, and the interval of the suffixes that begin with
-        it.  All sequences go from right to left together, longer ones further.
+        All sequences go from right to left together, longer ones further.  A match that grew beyond `length` symbols
+        gives up its last one, and more where it does not fit.
         """
         sizes = np.diff(at)
         by = np.argsort(-sizes, kind="stable")
         ends, sizes = at[1:][by], sizes[by]
-        low, high = np.zeros(len(by), np.int64), np.full(len(by), len(self.symbols))
+        longest = int(sizes.max(initial=0))
+        active = np.searchsorted(-sizes, -np.arange(longest), side="left")
+        both = np.stack([np.zeros(len(by), np.int64), np.full(len(by), self.n)])
+        held = np.zeros(len(by), np.int64)
         found = [(np.zeros(0, np.int64),) * 3]
-        for t in range(int(sizes.max(initial=0))):
-            n = int(np.searchsorted(-sizes, -t, side="left"))
+        for t, n in enumerate(active.tolist()):
             place = ends[:n] - 1 - t
-            a, b = self.step(sequences[place], low[:n], high[:n])
-            if (a >= b).any():
-                raise ValueError("a sequence is not in the index")
-            if t + 1 >= self.length:
-                a, b = self.first[a], self.end[a]
-                found.append((place, a, b))
-            low[:n], high[:n] = a, b
+            symbol = sequences[place]
+            low, high = self.step(symbol, both[:, :n])
+            size = held[:n] + 1
+            lost = np.flatnonzero(low >= high)
+            if len(lost):
+                low[lost], high[lost], size[lost] = self.longest(sequences, place[lost], size[lost] - 1)
+            full = np.flatnonzero(size >= self.length)
+            number, low[full], high[full] = self.shortened(low[full])
+            found.append((place[full], number, high[full] - low[full]))
+            size[full] = self.length
+            both[0, :n], both[1, :n], held[:n] = low, high, size
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def match_by_fm_index(segments: Segments, length: int) -> np.ndarray:
     """Windows of words that also start in a smaller document, or earlier in their own.
 
-    The shard's segments are indexed and then streamed through the index, so each window finds itself at least; the
-    interval of its matches tells the smallest document, and the earliest place in its own.
+    The shard's segments are indexed and streamed through the index.  Windows are equal where the search gives one
+    interval; its smallest document, and its first place in each document, are taken over all windows that gave it.
     """
     text = segments.text
-    word_ends = np.flatnonzero(text == 32) + 1
-    coded = binary(text, np.concatenate([[0], word_ends])).dictionary_encode()
+    word_at = np.append(0, np.flatnonzero(text == 32) + 1)
+    coded = binary(text, word_at).dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64) + 1
-    at = np.concatenate([[0], np.searchsorted(word_ends, np.cumsum(segments.sizes), side="left") + 1])
-    owner = np.repeat(np.arange(len(segments.sizes)), np.diff(at))
+    at = np.searchsorted(word_at, segments.at)
+    sizes = np.diff(at)
     # The indexed text: each segment and a separator.
-    symbols = np.zeros(len(codes) + len(segments.sizes), np.int64)
-    symbols[np.arange(len(codes)) + owner] = codes
+    symbols = np.zeros(len(codes) + len(sizes), np.int64)
+    symbols[np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)] = codes
     index = FMIndex(symbols, len(coded.dictionary) + 1, length)
-    place, low, high = index.matches(codes, at)
-
-    doc_of = np.full(len(symbols), np.iinfo(np.int64).max)
-    doc_of[np.arange(len(codes)) + owner] = segments.doc_id[owner]
-    least = _minima(doc_of[index.order], low, high)
-    segment = owner[place]
-    smaller = least < segments.doc_id[segment]
-    row = segments.row[segment]
-    block = segments.block[segment]
-    start = segments.start[segment] + place - at[segment]
-    order = np.lexsort((start, row, block, low))
-    key = np.stack([low[order], block[order], row[order]])
-    new = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))
-    own_first = start[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    flags = np.zeros(len(codes), bool)
-    flags[place] = smaller
-    flags[place[order]] |= start[order] > own_first
-    return flags[np.arange(len(codes)) + length <= at[1:][owner]]
-
-
-def _minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The least of values[low[i]:high[i]]; the intervals are equal or apart."""
-    first, back = np.unique(low, return_inverse=True)
-    if not len(first):
-        return np.zeros(0, np.int64)
-    end = np.empty(len(first), np.int64)
-    end[back] = high
-    # Every second stretch between these borders is an interval.
-    borders = np.stack([first, end], axis=1).ravel()
-    return np.minimum.reduceat(np.append(values, values[-1]), borders)[::2][back]
-
-
-def remove_repeated_words(df: DataFrame, length: int = 20, parts: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> DataFrame:
+    place, number, _ = index.matches(codes, at)
+    windows = sizes - length + 1
+    if len(place) != windows.sum():
+        raise ValueError("a window of an indexed segment was not found")
+    by_place = np.empty(len(codes), np.int64)
+    by_place[place] = number
+    number = by_place[spread(at[:-1], windows)]
+
+    least = np.full(len(symbols), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, np.repeat(segments.least_doc(), windows))
+    n = windows[segments.content]
+    number = number[spread((np.cumsum(windows) - windows)[segments.content], n)]
+    smaller = least[number] < np.repeat(segments.doc_id, n)
+    start = spread(segments.start.astype(np.int64), n)
+    _, source = np.unique(segments.source, return_inverse=True)
+    key = number * len(segments.source) + np.repeat(source, n)
+    order = np.argsort(key)
+    head = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    first = np.repeat(np.minimum.reduceat(start[order], head), np.diff(np.append(head, len(order))))
+    earlier = np.empty(len(order), bool)
+    earlier[order] = start[order] > first
+    return smaller | earlier
+
+
+def remove_repeated_words(df: DataFrame, length: int = 20, parts: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, kept_text and kept_sha256 of every row.
 
     A word goes if a window of length words that covers it has an equal window that starts earlier: in a document
@@ -163,16 +199,14 @@ def remove_repeated_words(df: DataFrame, length: int = 20, parts: int | None = N
 
     A null text has no words; a null id orders before every other and stays null; rows with one id do not remove
     each other's words; repeated rows are answered each; an empty table gives no rows.
-
-    stable: see `anchors.remove_repeats`.
     """
     width = fr.partitions(df.sparkSession)
-    finder = Finder(word_units, match_by_fm_index, length, 8, True, parts or 2 * width, shards or 4 * width)
+    finder = Finder(word_units, match_by_fm_index, length, 8, True, parts or 2 * width, shards or 4 * width, hot_runs)
 
-    def rows_of(units: Units, ids: np.ndarray, covered: np.ndarray, table: pa.Table) -> pd.DataFrame:
-        kept, sha = digests(units.text, units.at, units.docs, covered, strip=1)
-        removed, spans = counts(covered, units.docs)
-        return pd.DataFrame({"doc_id": fr.nullable(ids), "n_words": np.diff(units.docs), "n_removed": removed, "n_spans": spans, "kept_sha256": sha, "kept_text": [t.decode("utf-8") for t in kept]})
+    def rows_of(units: Units, ids: np.ndarray, spans: Spans, table: pa.Table) -> pd.DataFrame:
+        kept = kept_texts(units.text, units.at[units.docs], units.at[spans.first], units.at[spans.end], strip=1)
+        removed, n_spans = spans.per_doc(len(ids))
+        return pd.DataFrame({"doc_id": fr.nullable(ids), "n_words": np.diff(units.docs), "n_removed": removed, "n_spans": n_spans, "kept_sha256": sha256(kept), "kept_text": [t.decode("utf-8") for t in kept]})
 
     schema = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return remove_repeats(fr.with_text(df, id_col, text_col), finder, rows_of, schema, stable)
+    return remove_repeats(fr.with_text(df, id_col, text_col), finder, rows_of, schema)

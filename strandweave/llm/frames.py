@@ -44,7 +44,7 @@ def partitions(spark: SparkSession) -> int:
 
 def table_to_bytes(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as writer:
         writer.write(table)
     return sink.getvalue().to_pybytes()
 
@@ -57,7 +57,7 @@ def arrays_to_bytes(**columns: np.ndarray) -> bytes:
     """Arrays of unequal length, compressed in one go; short, as most of them are sent in small pieces."""
     head = json.dumps([[name, v.dtype.str, len(v)] for name, v in columns.items()]).encode()
     body = b"".join([len(head).to_bytes(4, "little"), head, *(np.ascontiguousarray(v).tobytes() for v in columns.values())])
-    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(body, asbytes=True)
 
 
 def bytes_to_arrays(payload: bytes) -> dict[str, np.ndarray]:

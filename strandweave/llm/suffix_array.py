@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import frames as fr
-from .anchors import Finder, Segments, Units, byte_units, counts, digests, remove_repeats, stretches
+from .anchors import HOT_RUNS, Finder, Segments, Spans, Units, byte_units, kept_texts, remove_repeats, sha256, spread
 
 
 def _heads(keys: np.ndarray) -> np.ndarray:
@@ -102,17 +102,27 @@ def _firsts(heads: np.ndarray) -> np.ndarray:
 
 def match_by_suffix_array(segments: Segments, length: int) -> np.ndarray:
     """Windows whose byte string starts in a smaller document too."""
-    at = np.concatenate([[0], np.cumsum(segments.sizes)])
-    windows = segments.sizes - length + 1
-    starts = np.repeat(at[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-    doc = np.repeat(segments.doc_id, windows)
+    windows = np.diff(segments.at) - length + 1
+    starts = spread(segments.at[:-1], windows)
     bucket = window_buckets(segments.text, starts, length)
     least = np.full(len(segments.text), np.iinfo(np.int64).max)
-    np.minimum.at(least, bucket, doc)
-    return least[bucket] < doc
+    np.minimum.at(least, bucket, np.repeat(segments.least_doc(), windows))
+    least = least[bucket]
+    n = windows[segments.content]
+    places = spread((np.cumsum(windows) - windows)[segments.content], n)
+    return least[places] < np.repeat(segments.doc_id, n)
 
 
-def remove_repeated_bytes(df: DataFrame, length: int = 50, parts: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), stable: bool = False) -> DataFrame:
+def whole_characters(text: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches less the characters at their ends of which they hold only some bytes; empty ones go."""
+    inside = np.append((text & 0xC0) == 0x80, False)
+    for _ in range(3):
+        first = first + (inside[first] & (first < end))
+        end = end - (inside[end] & (first < end))
+    return first[first < end], end[first < end]
+
+
+def remove_repeated_bytes(df: DataFrame, length: int = 50, parts: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes, kept_text, spans and the columns in carry.
 
     spans lists begin and end of each removed stretch in turn.
@@ -122,30 +132,18 @@ def remove_repeated_bytes(df: DataFrame, length: int = 50, parts: int | None = N
 
     A null text is empty; a null id orders before every other and stays null; rows with one id do not remove
     each other's bytes; repeated rows are answered each; an empty table gives no rows.
-
-    stable: see `anchors.remove_repeats`.
     """
     width = fr.partitions(df.sparkSession)
-    finder = Finder(byte_units, match_by_suffix_array, length, 16, False, parts or 2 * width, shards or 4 * width)
+    finder = Finder(byte_units, match_by_suffix_array, length, 16, False, parts or 2 * width, shards or 4 * width, hot_runs)
     docs = fr.with_text(df, id_col, text_col, *carry)
 
-    def rows_of(units: Units, ids: np.ndarray, covered: np.ndarray, table: pa.Table) -> pd.DataFrame:
-        kept, sha = digests(units.text, units.at, units.docs, covered)
-        removed, spans = counts(covered, units.docs)
-        # Whole characters: a lead byte and what follows it go only together.
-        lead = (units.text & 0xC0) != 0x80
-        char = np.cumsum(lead) - 1
-        gone = np.ones(int(lead.sum()), bool)
-        gone[char[~covered]] = False
-        texts, _ = digests(units.text, units.at, units.docs, gone[char] if len(char) else covered)
-        first, end = stretches(covered, units.docs)
-        owner = np.searchsorted(units.docs, first, side="right") - 1
-        per_doc: list[list[int]] = [[] for _ in ids]
-        for d, a, b in zip(owner.tolist(), (first - units.docs[owner]).tolist(), (end - units.docs[owner]).tolist(), strict=True):
-            per_doc[d] += [a, b]
-        out = {"doc_id": fr.nullable(ids), "n_bytes": np.diff(units.docs), "n_removed": removed, "n_spans": spans, "kept_sha256": sha, "kept_bytes": kept, "kept_text": [t.decode("utf-8") for t in texts], "spans": per_doc}
+    def rows_of(units: Units, ids: np.ndarray, spans: Spans, table: pa.Table) -> pd.DataFrame:
+        kept = kept_texts(units.text, units.docs, spans.first, spans.end)
+        texts = kept_texts(units.text, units.docs, *whole_characters(units.text, spans.first, spans.end))
+        removed, n_spans = spans.per_doc(len(ids))
+        out = {"doc_id": fr.nullable(ids), "n_bytes": np.diff(units.docs), "n_removed": removed, "n_spans": n_spans, "kept_sha256": sha256(kept), "kept_bytes": kept, "kept_text": [t.decode("utf-8") for t in texts], "spans": spans.lists(units.docs)}
         return pd.DataFrame(out | {c: table.column(c).to_pandas() for c in carry})
 
     kinds = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in carry)
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, kept_text string, spans array<long>{kinds}"
-    return remove_repeats(docs, finder, rows_of, schema, stable)
+    return remove_repeats(docs, finder, rows_of, schema)

@@ -154,8 +154,9 @@ def test_words(odd, rows):
                 gone |= set(range(s, s + 20))
         kept = " ".join(w for p, w in enumerate(words) if p not in gone)
         expected.append((i, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    made = fm_index.remove_repeated_words(odd, parts=3, shards=4).collect()
-    assert sorted((order(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in made) == sorted(expected)
+    for hot_runs in (3, 1000):
+        made = fm_index.remove_repeated_words(odd, parts=3, shards=4, hot_runs=hot_runs).collect()
+        assert sorted((order(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in made) == sorted(expected)
     assert fm_index.remove_repeated_words(odd.where("1 = 0")).count() == 0
 
 
@@ -174,14 +175,45 @@ def test_bytes(odd, rows):
                 gone[s : s + 50] = True
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         expected.append((i, len(text), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(text, np.uint8)[~gone])).hexdigest()))
-    made = suffix_array.remove_repeated_bytes(odd, parts=3, shards=4).collect()
-    assert sorted((order(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in made) == sorted(expected)
+    for hot_runs in (3, 1000):
+        made = suffix_array.remove_repeated_bytes(odd, parts=3, shards=4, hot_runs=hot_runs).collect()
+        assert sorted((order(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in made) == sorted(expected)
     for r in made:
         assert len(r["kept_bytes"]) == r["n_bytes"] - r["n_removed"]
         assert len(r["kept_text"].encode()) >= len(r["kept_bytes"])
     assert suffix_array.remove_repeated_bytes(odd.where("1 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("remove", [fm_index.remove_repeated_words, suffix_array.remove_repeated_bytes])
+def test_input_planned_again(spark, sf_dir, tmp_path, remove):
+    """The scan is cut otherwise between the call and the action, as when executors come and go."""
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(12).write.parquet(str(tmp_path / "many"))
+    found = []
+    for before, after in ((1, 12), (12, 2)):
+        spark.conf.set("spark.sql.files.minPartitionNum", before)
+        made = remove(spark.read.parquet(str(tmp_path / "many")))
+        spark.conf.set("spark.sql.files.minPartitionNum", after)
+        found.append(sorted((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in made.collect()))
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("remove", [fm_index.remove_repeated_words, suffix_array.remove_repeated_bytes])
+def test_text_above_a_block(spark, remove):
+    """A text of several blocks' bytes, a passage of it elsewhere, and itself again."""
+    rng = np.random.default_rng(3)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 400_000))
+    assert len(long) > 4 << 20
+    words = long.split(" ")
+    passage = " ".join(words[200_000:200_100])
+    frame = spark.createDataFrame([(1, passage), (2, long), (3, long)], "doc_id long, text string")
+    made = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in remove(frame).select("doc_id", "n_removed", "n_spans").collect()}
+    by_words = remove is fm_index.remove_repeated_words
+    assert made[1] == (0, 0)
+    assert made[2][1] == 1 and (made[2][0] == 100 if by_words else 0 <= made[2][0] - len(passage) <= 2)
+    assert made[3] == (len(words) if by_words else len(long), 1)
+
+
 def test_suffix_array_and_fm_index():
     rng = np.random.default_rng(5)
     for _ in range(20):
@@ -190,10 +222,16 @@ def test_suffix_array_and_fm_index():
         symbols = np.append(rng.integers(1, 6, 80), 0)
         symbols[40] = 0
         index = fm_index.FMIndex(symbols, 6, 3)
-        place, low, high = index.matches(symbols[:40], np.array([0, 40]))
-        for p, a, b in zip(place.tolist(), low.tolist(), high.tolist(), strict=True):
-            own = symbols[p : p + 3].tolist()
-            assert sorted(index.order[a:b].tolist()) == [i for i in range(79) if symbols[i : i + 3].tolist() == own]
+        # A sequence that is indexed, and one of which the index holds only parts.
+        other = rng.integers(1, 6, 50)
+        sequences = np.concatenate([symbols[:40], other])
+        place, number, size = index.matches(sequences, np.array([0, 40, 90]))
+        wanted = {p: sum(symbols[i : i + 3].tolist() == sequences[p : p + 3].tolist() for i in range(79)) for p in (*range(38), *range(40, 88))}
+        assert dict(zip(place.tolist(), size.tolist(), strict=True)) == {p: n for p, n in wanted.items() if n}
+        texts = {}
+        for p, k in zip(place.tolist(), number.tolist(), strict=True):
+            texts.setdefault(k, set()).add(tuple(sequences[p : p + 3].tolist()))
+        assert all(len(x) == 1 for x in texts.values()) and len(set.union(*texts.values())) == len(texts)
 
 
 def test_wavelet_rank():
