@@ -1,14 +1,17 @@
-"""A quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
-
-Every word of counted text is a symbol of its own, a 64-bit hash; words that it lacks share the mass of the open
-vocabulary.  Blocks of documents ask sharded tables for the shares of their distinct n-grams of every order and
-interpolate them.  All counts are taken over all trusted documents, so nothing depends on how blocks are cut.
+"""A quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
+
+Every word is a symbol of its own, a 48-bit hash salted with its language; words that trusted text lacks share the mass
+of the open vocabulary.  Count tables are sharded by the hash of the n-gram.  Each order's table gives the next lower one
+what it needs: how many n-grams end in a shorter one (its continuation count), and for a context the sum of its counts
+and how many of them are 1, 2 or more.  Blocks of documents ask the tables for these whole numbers of their distinct
+n-grams of every order, and interpolate in double precision.  All counts are taken over all trusted documents, so
+nothing depends on how blocks are cut.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,265 +20,294 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import frames as fr
-from .anchors import binary, mix, split_blanks
+from .anchors import hashes, mix, split_blanks
 
-START, END, UNSEEN = 0, 1, 2
+START, END = 0, 1
+#: Symbols of the open vocabulary that are no counted word: START, END and all other words.
 FIRST_WORD = 3
-#: Bytes of text in a block: few large ones share more n-grams.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text in a block: few large ones share more n-grams; it is split into words by pieces.
+BLOCK_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
+#: Bits of a symbol or an n-gram's key.
+KEY_BITS = 48
+#: Ids of trusted documents (8 bytes each) that are broadcast at most; more are joined by shuffling.
+BROADCAST_IDS = 1 << 20
+#: Languages whose thresholds are broadcast at most.
+BROADCAST_LANGS = 100_000
 
+COUNTS = ("c", "total", "n1", "n2", "n3")
+STATS = ("ones", "twos", "threes", "fours", "grams", "sum", "known")
+LEVEL_SCHEMA = "kind int, part int, payload binary, lang string, " + ", ".join(f"{c} long" for c in STATS)
+TABLE, LOWER, STATISTICS = 0, 1, 2
 
-def _hashes(values: list) -> np.ndarray:
-    return pd.util.hash_array(np.array([*values, None], dtype=object)[:-1], categorize=False)
 
+def _seeds(langs: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array([*langs, None], dtype=object)[:-1], categorize=False)
 
-def _words(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    text, at, docs = split_blanks(*fr.text_bytes(table.column("text")))
-    if len(at) < 2:
-        return np.zeros(0, np.int64), [], docs
-    coded = binary(text, at).dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), docs
 
+def _special(which: int, seeds: np.ndarray) -> np.ndarray:
+    """START or END of each language."""
+    return mix(mix(seeds) + np.uint64(which + 1)) >> np.uint64(64 - KEY_BITS)
 
-def keys(seed: np.ndarray, *words: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each n-gram; seed is the hash of its language."""
-    key = seed + np.uint64(len(words))
-    for w in words:
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64))
-    return mix(key)
 
+def gram_keys(words: list[np.ndarray]) -> np.ndarray:
+    """The key of each n-gram; a single word's is its symbol."""
+    key = words[0]
+    for w in words[1:]:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + w)
+    return key if len(words) == 1 else key >> np.uint64(64 - KEY_BITS)
 
-def _part(key: np.ndarray, parts: int) -> np.ndarray:
-    """Ascending with the key."""
-    return (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest type that holds them."""
+    most = int(x.max(initial=0))
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
 
-def _pack(table: pa.Table) -> bytes:
-    """A block's documents as words; a few MB of text at a time are split into words."""
-    parts, docs = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-    for piece in fr.batches_of(table.to_batches()):
-        codes, words, ends = _words(piece)
-        parts.append(_hashes(words)[codes])
-        docs.append(ends[1:] + docs[-1][-1])
-    words, code = np.unique(np.concatenate(parts), return_inverse=True)
-    langs, lang = np.unique(table.column("lang").to_numpy(zero_copy_only=False).astype(str), return_inverse=True) if table.num_rows else ([], np.zeros(0, np.int64))
-    small = np.uint16 if len(words) < 1 << 16 else np.uint32
-    return fr.arrays_to_bytes(doc_id=fr.ids_of(table.column("doc_id")), docs=np.concatenate(docs), words=words, code=code.astype(small), lang=lang.astype(np.int32), langs=np.frombuffer(json.dumps(list(map(str, langs))).encode(), np.uint8))
 
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return _small(np.diff(ascending, prepend=np.uint64(0)))
 
-class Block:
-    """line holds each document's words between two STARTs and an END; at are the places of words and ENDs.
 
-    known: the words of each language that have a symbol; all if None.
-    """
+def _ascending(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64)
 
-    def __init__(self, payload: bytes, known: dict[str, np.ndarray] | None = None):
-        own = fr.bytes_to_arrays(payload)
-        self.doc_id, self.lang = own["doc_id"], own["lang"]
-        self.langs = json.loads(own["langs"].tobytes())
-        self.n_words = np.diff(own["docs"])
-        sizes = self.n_words + 3
-        ends = np.cumsum(sizes)
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
-        doc = np.repeat(np.arange(len(sizes)), self.n_words)
-        symbol = own["words"].view(np.int64)[own["code"]]
-        if known is not None:
-            symbol = symbol.copy()
-            for k, lang in enumerate(self.langs):
-                symbol[(self.lang[doc] == k) & ~np.isin(symbol, known.get(lang, np.zeros(0, np.int64)))] = UNSEEN
-        self.line = np.full(int(sizes.sum()), START, np.int64)
-        self.line[np.arange(len(symbol)) + 2 + 3 * doc] = symbol
-        self.line[ends - 1] = END
-        scored = np.ones(len(self.line), bool)
-        scored[ends - sizes] = scored[ends - sizes + 1] = False
-        self.at = np.flatnonzero(scored)
-
-    def asked(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Distinct keys, and the places in them of each document's language, each word, pair and trigram of the line."""
-        seeds = _hashes(self.langs)
-        line, at, seed = self.line, self.at, seeds[self.lang][self.doc]
-        found, places, n = [keys(seeds)], [self.lang], len(seeds)
-        for key in (keys(seed, line), keys(seed[1:], line[:-1], line[1:]), keys(seed[at], line[at - 2], line[at - 1], line[at])):
-            distinct, place = np.unique(key, return_inverse=True)
-            found.append(distinct)
-            places.append(place + n)
-            n += len(distinct)
-        return np.concatenate(found), places
-
-    def counted(self, chosen: np.ndarray) -> pd.DataFrame:
-        """lang, w1, w2, w3 and n of the chosen documents' distinct trigrams."""
-        at = self.at[chosen[self.doc[self.at]]]
-        lang, line = self.lang[self.doc[at]], self.line
-        _, first, n = np.unique(keys(_hashes(self.langs)[lang], line[at - 2], line[at - 1], line[at]), return_index=True, return_counts=True)
-        at = at[first]
-        return pd.DataFrame({"lang": np.array([*self.langs, None], dtype=object)[lang[first]], "w1": line[at - 2], "w2": line[at - 1], "w3": line[at], "n": n})
-
-
-def _deal(key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Parts, and the places of their keys, ascending by key."""
-    order = np.argsort(key)
-    edges = np.searchsorted(_part(key[order], parts), np.arange(parts + 1))
-    for p in range(parts):
-        if edges[p] < edges[p + 1]:
-            yield p, order[edges[p] : edges[p + 1]]
-
-
-def _discounted(table: DataFrame, count: str) -> DataFrame:
-    """table with the discount of each row's count; from the counts of counts of its language."""
-    n = [F.sum(F.when(F.col(count) == k, 1).otherwise(0)).cast("double") for k in (1, 2, 3, 4)]
-    of = table.groupBy("lang").agg(*[x.alias(f"n{k}") for k, x in enumerate(n, 1)])
-    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-    by = [F.greatest(F.lit(0.1), F.least(F.lit(k - 0.1), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(k * 0.5)))) for k in (1, 2, 3)]
-    of = of.select("lang", *[x.alias(f"d{k}") for k, x in enumerate(by, 1)])
-    level = F.when(F.col(count) == 1, F.col("d1")).when(F.col(count) == 2, F.col("d2")).otherwise(F.col("d3"))
-    return table.join(of, "lang").withColumn("discount", level).drop("d1", "d2", "d3")
-
-
-def _contexts(table: DataFrame, count: str, *context: str) -> DataFrame:
-    """Of each context, the sum of its counts and the probability that discounting sets free."""
-    return table.groupBy("lang", *context).agg(F.sum(count).cast("double").alias("total"), F.sum("discount").alias("free")).withColumn("free", F.col("free") / F.col("total"))
-
-
-def tables(counts: DataFrame) -> DataFrame:
-    """lang, k, x, y, z, a and b of every n-gram x y z of k words.
-
-    a is its discounted share in its context, b the share that discounting sets free where it is a context; lower
-    orders count the distinct words before.  The row with k = 0 has in a what every word gets of the last share,
-    that of words never counted included.
-    """
-    three = fr.stored(_discounted(counts, "n"))
-    two = fr.stored(_discounted(three.groupBy("lang", "w2", "w3").agg(F.count(F.lit(1)).alias("n")), "n"))
-    one = fr.stored(_discounted(two.groupBy("lang", "w3").agg(F.count(F.lit(1)).alias("n")), "n"))
-    share = ((F.col("n") - F.col("discount")) / F.col("total")).alias("a")
-    of3, of2, of1 = _contexts(three, "n", "w1", "w2"), _contexts(two, "n", "w2"), _contexts(one, "n")
-    sizes = one.groupBy("lang").agg(F.sum(F.when(F.col("w3").isin(END, UNSEEN), 0).otherwise(1)).alias("known"))
-    none = F.lit(0).cast("long")
-
-    def rows(df: DataFrame, k: int) -> DataFrame:
-        names = [c if c in df.columns else none.alias(c) for c in ("x", "y", "z")]
-        return df.select("lang", F.lit(k).alias("k"), *names, F.coalesce("a", F.lit(0.0)).cast("float").alias("a"), F.coalesce("b", F.lit(1.0)).cast("float").alias("b"))
-
-    nothing = F.lit(None).cast("double").alias("b")
-    zero = of1.join(sizes, "lang").select("lang", (F.col("free") / (FIRST_WORD + F.col("known"))).alias("a"), nothing)
-    words = one.join(of1, "lang").select("lang", F.col("w3").alias("x"), share)
-    words = words.join(of2.select("lang", F.col("w2").alias("x"), F.col("free").alias("b")), ["lang", "x"], "full")
-    pairs = two.join(of2, ["lang", "w2"]).select("lang", F.col("w2").alias("x"), F.col("w3").alias("y"), share)
-    pairs = pairs.join(of3.select("lang", F.col("w1").alias("x"), F.col("w2").alias("y"), F.col("free").alias("b")), ["lang", "x", "y"], "full")
-    grams = three.join(of3, ["lang", "w1", "w2"]).select("lang", F.col("w1").alias("x"), F.col("w2").alias("y"), F.col("w3").alias("z"), share, nothing)
-    return rows(zero, 0).unionByName(rows(words, 1)).unionByName(rows(pairs, 2)).unionByName(rows(grams, 3))
-
-
-def _answers(sent: DataFrame, model: DataFrame, parts: int) -> DataFrame:
-    """a and b of each block's keys, in the order in which the block sent them; 0 and 1 for what the model lacks."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            langs = batch.column("lang").dictionary_encode()
-            seed = _hashes(langs.dictionary.to_pylist())[langs.indices.to_numpy()]
-            k, words = batch.column("k").to_numpy(), [batch.column(c).to_numpy() for c in ("x", "y", "z")]
-            key = np.empty(len(k), np.uint64)
-            for n in range(4):
-                key[k == n] = keys(seed[k == n], *(w[k == n] for w in words[:n]))
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            dealt = [(p, fr.arrays_to_bytes(key=key[at], a=a[at], b=b[at])) for p, at in _deal(key, parts)]
-            yield pa.RecordBatch.from_pydict({"block": [-1] * len(dealt), "part": [p for p, _ in dealt], "payload": [x for _, x in dealt]}, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())]))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        known = [fr.bytes_to_arrays(p) for p in frame.loc[frame["block"] < 0, "payload"]]
-        key, a, b = (np.concatenate([np.zeros(0, kind), *(x[c] for x in known)]) for c, kind in (("key", np.uint64), ("a", np.float32), ("b", np.float32)))
-        order = np.argsort(key)
-        # The last row answers for all keys that are not there.
-        key, a, b = key[order], np.append(a[order], np.float32(0)), np.append(b[order], np.float32(1))
-        out = []
-        for block, part, payload in frame.loc[frame["block"] >= 0, ["block", "part", "payload"]].itertuples(index=False):
-            asked = np.cumsum(fr.bytes_to_arrays(payload)["steps"], dtype=np.uint64)
-            at = np.searchsorted(key, asked)
-            at[at < len(key)] = np.where(key[at[at < len(key)]] == asked[at < len(key)], at[at < len(key)], len(key))
-            out.append((block, part, fr.arrays_to_bytes(a=a[at], b=b[at])))
-        return pd.DataFrame(out, columns=["block", "part", "payload"])
 
-    return sent.unionByName(model.mapInArrow(pack, fr.PART_SCHEMA)).groupBy("part").applyInPandas(run, fr.PART_SCHEMA)
+def _edges(ascending: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part's keys begin."""
+    return np.searchsorted((ascending * np.uint64(parts)) >> np.uint64(KEY_BITS), np.arange(parts + 1))
+
+
+class Grams:
+    """Distinct n-grams by key: the words, the language and the whole numbers of each."""
+
+    def __init__(self, words: list[np.ndarray], lang: np.ndarray, langs: list[str], counts: dict[str, np.ndarray]):
+        """Rows of one key are added up."""
+        key = gram_keys(words)
+        order = np.argsort(key)
+        sorted_key = key[order]
+        head = np.flatnonzero(np.append(True, sorted_key[1:] != sorted_key[:-1])[: len(key)])
+        first = order[head]
+        self.key, self.words, self.lang, self.langs = sorted_key[head], [w[first] for w in words], lang[first], langs
+        self.counts = {c: np.add.reduceat(x[order], head, dtype=np.int64) if len(head) else x.astype(np.int64) for c, x in counts.items()}
+
+    def dealt(self, parts: int) -> Iterator[tuple[int, bytes]]:
+        """Each part's rows, by their first word."""
+        edges = _edges(self.key, parts)
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            own = slice(edges[p], edges[p + 1])
+            by = np.argsort(self.words[0][own])
+            arrays = {"w0": _steps(self.words[0][own][by])}
+            for k, w in enumerate(self.words[1:], 1):
+                arrays[f"w{k}"] = w[own][by].view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].ravel()
+            arrays |= {c: _small(x[own][by]) for c, x in self.counts.items()}
+            arrays |= {"lang": _small(self.lang[own][by]), "langs": np.frombuffer(json.dumps(self.langs).encode(), np.uint8)}
+            yield p, fr.arrays_to_bytes(**arrays)
+
+    @staticmethod
+    def merged(payloads: list[bytes], order: int) -> Grams:
+        sent = [fr.bytes_to_arrays(p) for p in payloads]
+        langs = sorted({lang for x in sent for lang in json.loads(x["langs"].tobytes())})
+        place = {lang: k for k, lang in enumerate(langs)}
+        words = [np.concatenate([_ascending(x["w0"]) for x in sent])]
+        for k in range(1, order):
+            raw = np.concatenate([x[f"w{k}"] for x in sent]).reshape(-1, KEY_BITS // 8)
+            words.append(np.pad(raw, ((0, 0), (0, 8 - KEY_BITS // 8))).view("<u8").ravel())
+        lang = np.concatenate([np.array([place[v] for v in json.loads(x["langs"].tobytes())])[x["lang"]] for x in sent])
+        return Grams(words, lang, langs, {c: np.concatenate([x[c] for x in sent]) for c in COUNTS if c in sent[0]})
+
+    def lower(self) -> Grams:
+        """What the next lower order needs: a continuation for each n-gram's end, its count for its beginning."""
+        on = self.counts["c"] > 0
+        words, lang, c = [w[on] for w in self.words], self.lang[on], self.counts["c"][on]
+        one, none = np.ones(len(c), np.int64), np.zeros(len(c), np.int64)
+        counts = {"c": (one, none), "total": (none, c), "n1": (none, c == 1), "n2": (none, c == 2), "n3": (none, c > 2)}
+        both = [np.concatenate(x) for x in zip(words[1:], words[:-1], strict=True)]
+        return Grams(both, np.tile(lang, 2), self.langs, {k: np.concatenate(x) for k, x in counts.items()})
+
+    def statistics(self) -> pd.DataFrame:
+        """Counts of counts of each language; known is how many n-grams do not end in END."""
+        c, known = self.counts["c"], self.words[-1] != _special(END, _seeds(self.langs))[self.lang]
+        rows = []
+        for k, lang in enumerate(self.langs):
+            own = (self.lang == k) & (c > 0)
+            rows.append((lang, *(int((c[own] == n).sum()) for n in (1, 2, 3, 4)), int(own.sum()), int(c[own].sum()), int((own & known).sum())))
+        return pd.DataFrame(rows, columns=["lang", *STATS])
 
 
-def perplexities(df: DataFrame, trusted: DataFrame, share: float = 0.0, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+class Block:
+    """line holds the symbols of each document between two STARTs and an END; at are the places of words and ENDs."""
+
+    def __init__(self, payload: bytes):
+        table = fr.bytes_to_table(payload)
+        self.doc_id, self.mark = fr.ids_of(table.column("doc_id")), table.column("mark").to_numpy()
+        langs = table.column("lang").combine_chunks().dictionary_encode()
+        self.langs, self.lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+        seeds = _seeds(self.langs)
+        parts, sizes, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for piece in fr.batches_of(table.to_batches(), PIECE_BYTES):
+            text, at, docs = split_blanks(*fr.text_bytes(piece.column("text")))
+            n = np.diff(docs)
+            parts.append(mix(hashes(text, at) ^ np.repeat(seeds[self.lang[doc : doc + len(n)]], n)) >> np.uint64(64 - KEY_BITS))
+            sizes.append(n)
+            doc += len(n)
+        self.n_words = np.concatenate(sizes)
+        length = self.n_words + 3
+        ends = np.cumsum(length)
+        self.doc = np.repeat(np.arange(len(length)), length)
+        word = np.ones(len(self.doc), bool)
+        for back in (1, length, length - 1):
+            word[ends - back] = False
+        self.line = np.empty(len(word), np.uint64)
+        self.line[word] = np.concatenate(parts)
+        lang = self.lang
+        self.line[ends - 1] = _special(END, seeds)[lang]
+        self.line[ends - length] = self.line[ends - length + 1] = _special(START, seeds)[lang]
+        word[ends - 1] = True
+        self.at = np.flatnonzero(word)
+
+    def words(self, order: int, last: np.ndarray | slice) -> list[np.ndarray]:
+        """The words of the n-grams that end at these places; a slice stands for all that have one."""
+        if isinstance(last, slice):
+            return [self.line[k : len(self.line) - order + 1 + k] for k in range(order)]
+        return [self.line[last - order + 1 + k] for k in range(order)]
+
+    def counted(self, order: int) -> Grams:
+        """The n-grams of the documents that are counted."""
+        last = self.at[self.mark[self.doc[self.at]] == 1]
+        return Grams(self.words(order, last), self.lang[self.doc[last]], self.langs, {"c": np.ones(len(last), np.int64)})
+
+    def asked(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each order, distinct keys, and for the n-gram that ends at each place, where its key is."""
+        made = []
+        for k in range(1, order + 1):
+            distinct, place = np.unique(gram_keys(self.words(k, self.at if k == order else slice(None))), return_inverse=True)
+            made.append((distinct, place.astype(np.int32)))
+        return made
+
+
+def counts_of(blocks: DataFrame, order: int, parts: int) -> list[DataFrame]:
+    """The stored rows of each order's level, from the highest: tables, what goes to the next lower one, statistics."""
+
+    def merge(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def level(frame: pd.DataFrame) -> pd.DataFrame:
+            grams = Grams.merged(frame["payload"].tolist(), k)
+            own = {c: _small(x) for c, x in grams.counts.items()}
+            out = [(TABLE, frame["part"].iloc[0], fr.arrays_to_bytes(steps=_steps(grams.key), **own))]
+            if k > 1:
+                out += [(LOWER, p, x) for p, x in grams.lower().dealt(parts)]
+            made = pd.concat([pd.DataFrame(out, columns=["kind", "part", "payload"]), grams.statistics().assign(kind=STATISTICS)], ignore_index=True)
+            return made[["kind", "part", "payload", "lang", *STATS]].astype(dict.fromkeys(("part", *STATS), "Int64"))
+
+        return level
+
+    rows = fr.part_rows(blocks, lambda _, payload: Block(payload).counted(order).dealt(parts)).select("part", "payload")
+    levels = []
+    for k in range(order, 0, -1):
+        levels.append(fr.stored(rows.groupBy("part").applyInPandas(merge(k), LEVEL_SCHEMA)))
+        rows = levels[-1].where(F.col("kind") == LOWER).select("part", "payload")
+    return levels
+
+
+def discounts(ones: float, twos: float, threes: float, fours: float) -> np.ndarray:
+    """What counts of 0, 1, 2 and more are discounted by."""
+    n = (ones, twos, threes, fours)
+    y = ones / (ones + 2 * twos) if ones + twos else None
+    return np.array([0.0] + [max(0.1, min(k - 0.1, k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and y is not None else k * 0.5)) for k in (1, 2, 3)])
+
+
+def perplexities(df: DataFrame, trusted: DataFrame, order: int = 3, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, lang, n_words, perplexity and held_out of every row, under its language's model of trusted text.
 
     trusted has the ids of trusted documents.  One third of them, by a hash of the id, is held out of the counts and
     marked, for thresholds that do not favour text which the model has seen; if that leaves a language without
-    counts, it has no model.  Perplexity is null for a language without a model.  All counted words have a symbol;
-    with a share, only those that are at least that share of their language's counted words.
+    counts, it has no model.  Perplexity is null for a language without a model.  order is 2 or 3 words.
     """
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     parts = parts or 2 * fr.partitions(df.sparkSession)
-    docs = fr.with_text(df, id_col, text_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    blocks = fr.stored(fr.block_rows(docs, _pack, BLOCK_BYTES))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                ids = fr.bytes_to_arrays(payload.as_py())["doc_id"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids)], names=["block", "place", "doc_id"])
-
     chosen = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    marks = blocks.mapInArrow(places, "block long, place int, doc_id long").join(chosen, "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
-
-    def pack_marks(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "part": 0, "payload": [fr.arrays_to_bytes(place=frame["place"].to_numpy(), held=frame["held"].to_numpy().astype(np.uint8))]})
-
-    marks = fr.stored(marks.groupBy("block").applyInPandas(pack_marks, fr.PART_SCHEMA))
-
-    def marked(own: Block, answer: dict[int, bytes]) -> np.ndarray:
-        """1: counted, 2: held out, 0: not trusted."""
-        kind = np.zeros(len(own.doc_id), np.int64)
-        if answer:
-            found = fr.bytes_to_arrays(answer[0])
-            kind[found["place"]] = 1 + found["held"]
-        return kind
-
-    known: dict[str, np.ndarray] | None = None
-
-    def count(block: int, payload: bytes, answers: list[dict[int, bytes]]) -> pd.DataFrame:
-        own = Block(payload, known)
-        return own.counted(marked(own, answers[0]) == 1)
-
-    def count_all() -> DataFrame:
-        rows = fr.by_block(blocks, [marks], count, "lang string, w1 long, w2 long, w3 long, n long")
-        return fr.stored(rows.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")))
-
-    counts = count_all()
-    if share:
-        words = counts.where(F.col("w3") != END).groupBy("lang", "w3").agg(F.sum("n").alias("n"))
-        totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-        often = words.join(totals, "lang").where(F.col("n") >= share * F.col("total")).groupBy("lang").agg(F.collect_list("w3").alias("words"))
-        known = {r["lang"]: np.array(r["words"], np.int64) for r in often.collect()}  # 1 / share words a language at most
-        counts = count_all()
+    chosen = chosen.withColumn("mark", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0, 2).otherwise(1).cast("byte"))
+    if chosen.limit(broadcast_ids + 1).count() <= broadcast_ids:
+        chosen = F.broadcast(chosen)
+    docs = fr.with_text(df, id_col, text_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
+    # 1: counted, 2: held out, 0: not trusted.
+    docs = docs.join(chosen, "doc_id", "left").withColumn("mark", F.coalesce("mark", F.lit(0).cast("byte")))
+    blocks = fr.stored(fr.block_rows(docs, limit=BLOCK_BYTES))
+
+    levels = counts_of(blocks, order, parts)
+    discount: dict[int, dict[str, np.ndarray]] = {}
+    for k, level in zip(range(order, 0, -1), levels, strict=True):
+        rows = level.where(F.col("kind") == STATISTICS).groupBy("lang").agg(*[F.sum(c).alias(c) for c in STATS]).collect()  # a row a language
+        rows = [r for r in rows if r["grams"]]
+        discount[k] = {r["lang"]: discounts(*(float(r[c]) for c in STATS[:4])) for r in rows}
+    # The sum of the lowest order's counts, and what every word gets of the share that its discounts set free.
+    base = {}
+    for r in rows:
+        d = discount[1][r["lang"]]
+        free = d[1] * r["ones"] + d[2] * r["twos"] + d[3] * (r["grams"] - r["ones"] - r["twos"])
+        base[r["lang"]] = (float(r["sum"]), free / r["sum"] / (FIRST_WORD + r["known"]))
 
     def ask(block: int, payload: bytes) -> Iterator[tuple[int, bytes]]:
-        key, _ = Block(payload, known).asked()
-        for p, at in _deal(key, parts):
-            yield p, fr.arrays_to_bytes(steps=np.diff(key[at], prepend=np.uint64(0)))
+        keys = [distinct for distinct, _ in Block(payload).asked(order)]
+        edges = [_edges(key, parts) for key in keys]
+        for p in range(parts):
+            yield p, fr.arrays_to_bytes(**{f"s{k}": _steps(key[e[p] : e[p + 1]]) for k, (key, e) in enumerate(zip(keys, edges, strict=True), 1)})
+
+    def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        tables = {-block: fr.bytes_to_arrays(p) for block, p in zip(frame["block"], frame["payload"], strict=True) if block < 0}
+        known = {k: _ascending(t["steps"]) for k, t in tables.items()}
+        out = []
+        for block, part, payload in frame.loc[frame["block"] >= 0, ["block", "part", "payload"]].itertuples(index=False):
+            sent = fr.bytes_to_arrays(payload)
+            found = {}
+            for k in range(1, order + 1):
+                key = _ascending(sent[f"s{k}"])
+                columns = COUNTS[: 1 if k == order else 5]
+                if k not in tables:
+                    found |= {f"{c}{k}": np.zeros(len(key), np.uint8) for c in columns}
+                    continue
+                at = np.minimum(np.searchsorted(known[k], key), len(known[k]) - 1)
+                there = known[k][at] == key
+                found |= {f"{c}{k}": _small(np.where(there, tables[k][c][at], 0)) for c in columns}
+            out.append((block, part, fr.arrays_to_bytes(**found)))
+        return pd.DataFrame(out, columns=["block", "part", "payload"])
 
-    answers = _answers(fr.part_rows(blocks, ask), tables(counts), parts)
+    sent = fr.part_rows(blocks, ask)
+    for k, level in zip(range(order, 0, -1), levels, strict=True):
+        sent = sent.unionByName(level.where(F.col("kind") == TABLE).select(F.lit(-k).cast("long").alias("block"), "part", "payload"))
+    answers = sent.groupBy("part").applyInPandas(answer, fr.PART_SCHEMA)
 
     def finish(block: int, payload: bytes, found: list[dict[int, bytes]]) -> pd.DataFrame:
-        own = Block(payload, known)
-        key, (lang, word, pair, gram) = own.asked()
-        a, b = np.zeros(len(key), np.float32), np.ones(len(key), np.float32)
-        for p, at in _deal(key, parts):
-            answer = fr.bytes_to_arrays(found[1][p])
-            a[at], b[at] = answer["a"], answer["b"]
-        a, b, at = a.astype(np.float64), b.astype(np.float64), own.at
-        # Only a language without a model leaves nothing for a word.
-        last = a[lang]
-        lower = a[word[at]] + last[own.doc[at]]
-        lower = a[pair[at - 1]] + b[word[at - 1]] * lower
-        logp = np.log(a[gram] + b[pair[at - 2]] * lower, where=last[own.doc[at]] > 0, out=np.full(len(at), np.nan))
+        own = Block(payload)
+        asked = own.asked(order)
+        got = [fr.bytes_to_arrays(found[0][p]) for p in range(parts)]
+        at, lang = own.at, own.lang[own.doc[own.at]]
+
+        def column(name: str, k: int, last: np.ndarray) -> np.ndarray:
+            values = np.concatenate([x[f"{name}{k}"] for x in got])
+            place = asked[k - 1][1]
+            return values[place if k == order else place[last - k + 1]].astype(np.float64)
+
+        def discount_of(k: int) -> np.ndarray:
+            return np.array([discount[k].get(v, np.zeros(4)) for v in own.langs]).reshape(-1, 4)
+
+        total, last_share = (np.array([base.get(v, (np.nan, np.nan))[n] for v in own.langs])[lang] for n in (0, 1))
+        p = None
+        for k in range(1, order + 1):
+            d = discount_of(k)
+            c = column("c", k, at)
+            share = c - d[lang, np.minimum(c, 3).astype(np.int8)]
+            if p is None:
+                p = share / total + last_share
+                continue
+            total = column("total", k - 1, at - 1)
+            free = sum(d[lang, j] * column(f"n{j}", k - 1, at - 1) for j in (1, 2, 3))
+            p = np.where(total > 0, (share + free * p) / np.maximum(total, 1), p)
+        logp = np.log(p)
         n = own.n_words + 1
         sums = np.add.reduceat(logp, np.cumsum(n) - n) if len(n) else np.zeros(0)
-        return pd.DataFrame({"doc_id": fr.nullable(own.doc_id), "lang": [own.langs[k] for k in own.lang], "n_words": n - 1, "perplexity": np.exp(-sums / n), "held_out": marked(own, found[0]) == 2})
+        return pd.DataFrame({"doc_id": fr.nullable(own.doc_id), "lang": [own.langs[k] for k in own.lang], "n_words": n - 1, "perplexity": np.exp(-sums / n), "held_out": own.mark == 2})
 
-    out = fr.by_block(blocks, [marks, answers], finish, "doc_id long, lang string, n_words long, perplexity double, held_out boolean")
+    out = fr.by_block(blocks, [answers], finish, "doc_id long, lang string, n_words long, perplexity double, held_out boolean")
     return out.withColumn("perplexity", F.nanvl("perplexity", F.lit(None).cast("double")))
 
 
@@ -290,10 +322,15 @@ def classify(df: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin:
     """
     scored = fr.stored(perplexities(df, trusted, **options))
     held = scored.where("held_out and perplexity is not null")
-    means = held.groupBy("lang").agg((F.sum(F.log("perplexity") * (F.col("n_words") + 1)) / F.sum(F.col("n_words") + 1)).alias("mean"))
+
+    def by_lang(rows: DataFrame) -> DataFrame:
+        rows = fr.stored(rows)
+        return F.broadcast(rows) if rows.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS else rows
+
+    means = by_lang(held.groupBy("lang").agg((F.sum(F.log("perplexity") * (F.col("n_words") + 1)) / F.sum(F.col("n_words") + 1)).alias("mean")))
     n = F.col("n_words") + 1
     score = F.exp((F.log("perplexity") * n + F.col("mean") * prior_words) / (n + prior_words))
-    limits = held.join(means, "lang").groupBy("lang").agg((F.percentile_approx(score, F.lit(quantile), F.lit(10_000)) * margin).alias("threshold"))
+    limits = by_lang(held.join(means, "lang").groupBy("lang").agg((F.percentile_approx(score, F.lit(quantile), F.lit(10_000)) * margin).alias("threshold")))
     rows = scored.join(means, "lang", "left").join(limits, "lang", "left").withColumn("score", score)
     kept = F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)) | (F.col("n_words") == 0)
     return rows.select("doc_id", "lang", "n_words", *[F.round(c, 6).alias(c) for c in ("perplexity", "score", "threshold")], kept.alias("kept"))

@@ -7,19 +7,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from strandweave.llm import audio, quality
 
 
-def test_model_against_a_plain_one(spark):
-    """Probabilities of every trigram, worked out with dictionaries."""
+@pytest.mark.parametrize(("order", "broadcast_ids"), [(3, 1000), (2, 10)])
+def test_model_against_a_plain_one(spark, order, broadcast_ids):
+    """Probabilities of every n-gram, worked out with dictionaries."""
     rng = np.random.default_rng(2)
     words = ["the", "of", "and", "cat", "sat"]
     docs = [(i, " ".join(rng.choice(words, rng.integers(3, 15))), "en") for i in range(80)] + [(500, None, "en"), (501, "the cat", None)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     trusted = spark.createDataFrame([(i,) for i in range(60)] + [(None,), (3,)], "doc_id long")
-    found = {r["doc_id"]: r for r in quality.perplexities(frame, trusted, share=0.01).collect()}
+    found = {r["doc_id"]: r for r in quality.perplexities(frame, trusted, order=order, broadcast_ids=broadcast_ids).collect()}
     assert len(found) == len(docs)
     assert found[501]["perplexity"] is None
     held = {i for i, r in found.items() if r["held_out"]}
@@ -36,6 +38,8 @@ def test_model_against_a_plain_one(spark):
         return [max(0.1, min(k - 0.1, k - (k + 1) * y * n[k + 1] / n[k] if n[k] and y is not None else k * 0.5)) for k in (1, 2, 3)]
 
     two, one = Counter(g[1:] for g in three), Counter()
+    if order == 2:
+        two = Counter(g for i in range(60) if i not in held for g in zip(lines[i][1:], lines[i][2:], strict=False))
     for g in two:
         one[g[1:]] += 1
 
@@ -49,7 +53,8 @@ def test_model_against_a_plain_one(spark):
         return own / total + sum(d[min(v, 3) - 1] for v in mine.values()) / total * below
 
     def logp(g):
-        return math.log(share(three, g, share(two, g[1:], share(one, g[2:], 1 / size))))
+        p = share(two, g[1:], share(one, g[2:], 1 / size))
+        return math.log(share(three, g, p) if order == 3 else p)
 
     for i, line in lines.items():
         if i != 501:
@@ -88,7 +93,7 @@ def test_junk_goes_and_clean_text_stays(spark):
     clean = lambda: " ".join(rng.choice(["the", "of", "house", "river", "walks", "over", "a", "small"], 60)) + "."
     docs = [(i, clean()) for i in range(150)] + [(1000 + i, " ".join(rng.choice(["%%%", "||", "&&x", "###1"], 60))) for i in range(20)] + [(2000, None), (2001, "")]
     frame = spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string")
-    rows = quality.classify(frame, spark.range(0, 90).withColumnRenamed("id", "doc_id"), share=0.001).collect()
+    rows = quality.classify(frame, spark.range(0, 90).withColumnRenamed("id", "doc_id")).collect()
     kept = {r["doc_id"] for r in rows if r["kept"]}
     assert len(rows) == len(docs)
     assert not kept & set(range(1000, 1020))
