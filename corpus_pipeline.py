@@ -14,6 +14,9 @@ from strandweave.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Words of the language model's n-grams. On held-out labels two are as good as three, at half the traffic.
+ORDER = 2
+
 
 def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The documents whose ids are chosen; a null id counts as an id."""
@@ -24,7 +27,7 @@ def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of trusted text does not reject."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return _keep(docs, quality.classify(docs, trusted).where("kept"))
+    return _keep(docs, quality.classify(docs, trusted, order=ORDER).where("kept"))
 
 
 def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
