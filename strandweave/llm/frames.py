@@ -38,6 +38,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few bytes each (ids, marks) that are broadcast at most; more are joined by shuffling.
+BROADCAST_ROWS = 1 << 20
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast where it has at most limit rows; they are counted."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

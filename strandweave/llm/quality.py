@@ -29,10 +29,6 @@ FIRST_WORD = 3
 BLOCK_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
 #: Bits of a symbol or an n-gram's key.
 KEY_BITS = 48
-#: Ids of trusted documents (8 bytes each) that are broadcast at most; more are joined by shuffling.
-BROADCAST_IDS = 1 << 20
-#: Languages whose thresholds are broadcast at most.
-BROADCAST_LANGS = 100_000
 
 COUNTS = ("c", "total", "n1", "n2", "n3")
 STATS = ("ones", "twos", "threes", "fours", "grams", "sum", "known")
@@ -214,7 +210,7 @@ def discounts(ones: float, twos: float, threes: float, fours: float) -> np.ndarr
     return np.array([0.0] + [max(0.1, min(k - 0.1, k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and y is not None else k * 0.5)) for k in (1, 2, 3)])
 
 
-def perplexities(df: DataFrame, trusted: DataFrame, order: int = 3, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def perplexities(df: DataFrame, trusted: DataFrame, order: int = 3, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", broadcast_ids: int = fr.BROADCAST_ROWS) -> DataFrame:
     """doc_id, lang, n_words, perplexity and held_out of every row, under its language's model of trusted text.
 
     trusted has the ids of trusted documents.  One third of them, by a hash of the id, is held out of the counts and
@@ -226,8 +222,7 @@ def perplexities(df: DataFrame, trusted: DataFrame, order: int = 3, parts: int |
     parts = parts or 2 * fr.partitions(df.sparkSession)
     chosen = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     chosen = chosen.withColumn("mark", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0, 2).otherwise(1).cast("byte"))
-    if chosen.limit(broadcast_ids + 1).count() <= broadcast_ids:
-        chosen = F.broadcast(chosen)
+    chosen = fr.broadcast_if_small(chosen, broadcast_ids)
     docs = fr.with_text(df, id_col, text_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     # 1: counted, 2: held out, 0: not trusted.
     docs = docs.join(chosen, "doc_id", "left").withColumn("mark", F.coalesce("mark", F.lit(0).cast("byte")))
@@ -323,14 +318,10 @@ def classify(df: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin:
     scored = fr.stored(perplexities(df, trusted, **options))
     held = scored.where("held_out and perplexity is not null")
 
-    def by_lang(rows: DataFrame) -> DataFrame:
-        rows = fr.stored(rows)
-        return F.broadcast(rows) if rows.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS else rows
-
-    means = by_lang(held.groupBy("lang").agg((F.sum(F.log("perplexity") * (F.col("n_words") + 1)) / F.sum(F.col("n_words") + 1)).alias("mean")))
+    means = fr.broadcast_if_small(held.groupBy("lang").agg((F.sum(F.log("perplexity") * (F.col("n_words") + 1)) / F.sum(F.col("n_words") + 1)).alias("mean")))
     n = F.col("n_words") + 1
     score = F.exp((F.log("perplexity") * n + F.col("mean") * prior_words) / (n + prior_words))
-    limits = by_lang(held.join(means, "lang").groupBy("lang").agg((F.percentile_approx(score, F.lit(quantile), F.lit(10_000)) * margin).alias("threshold")))
+    limits = fr.broadcast_if_small(held.join(means, "lang").groupBy("lang").agg((F.percentile_approx(score, F.lit(quantile), F.lit(10_000)) * margin).alias("threshold")))
     rows = scored.join(means, "lang", "left").join(limits, "lang", "left").withColumn("score", score)
     kept = F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)) | (F.col("n_words") == 0)
     return rows.select("doc_id", "lang", "n_words", *[F.round(c, 6).alias(c) for c in ("perplexity", "score", "threshold")], kept.alias("kept"))

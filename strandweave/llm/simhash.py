@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,29 +37,42 @@ def shingle_hashes(text: str, width: int, seed: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], seed) for a, b in zip(starts[k : k + (1 << 16)].tolist(), ends[k : k + (1 << 16)].tolist(), strict=True)], dtype=np.uint64)
 
 
-def fingerprint(text: str, width: int = 3, seed: int = 42, words: int = 1) -> np.ndarray:
-    """Words of 64 bits; a bit is 1 if it is set in over half of the shingles' hashes; 0 for a text without words.
+def fingerprint_of(hashes: Iterable[np.ndarray], words: int = 1) -> np.ndarray:
+    """Words of 64 bits; a bit is 1 if it is set in over half of the hashes; 0 where there are none.
 
     The first word takes the hashes as they are, each further one a mix of them.
     """
     ones, n = np.zeros((words, BITS), np.int64), 0
-    for h in shingle_hashes(text, width, seed):
+    for h in hashes:
         for k in range(words):
             own = mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) if k else h
-            ones[k] += np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            whole = len(bits) // 255 * 255  # so many rows add up within a byte
+            ones[k] += bits[:whole].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.uint8)
         n += len(h)
     return np.packbits((2 * ones > n) & (n > 0), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
+def fingerprint(text: str, width: int = 3, seed: int = 42, words: int = 1) -> np.ndarray:
+    """Of the text's shingles; 0 for a text without words."""
+    return fingerprint_of(shingle_hashes(text, width, seed), words)
+
+
 def fingerprints(df: DataFrame, width: int = 3, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """doc_id and fp, the fingerprint's words as big-endian bytes; with digest, also one of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in fr.batches_of(batches):
-            texts = table.column("text").to_pylist()
-            found = {"doc_id": table.column("doc_id").combine_chunks(), "fp": pa.array([fingerprint(t, width, seed, words).astype(">u8").tobytes() for t in texts], pa.binary())}
+            fps, digests = [], []
+            for text in table.column("text").to_pylist():
+                hashes = shingle_hashes(text, width, seed)
+                if digest:
+                    hashes = list(hashes)
+                    digests.append(_digest(_set(hashes)))
+                fps.append(fingerprint_of(hashes, words).astype(">u8").tobytes())
+            found = {"doc_id": table.column("doc_id").combine_chunks(), "fp": pa.array(fps, pa.binary())}
             if digest:
-                found["digest"] = pa.array([_digest(shingle_set(t, width, seed)) for t in texts], pa.binary())
+                found["digest"] = pa.array(digests, pa.binary())
             yield pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
 
     return fr.with_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp binary" + ", digest binary" * digest)
@@ -194,15 +207,13 @@ def join_rows(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
         root[:] = up
 
 
-def links(nodes: DataFrame, masks: np.ndarray, radius: int, cell: int = 4096) -> DataFrame:
-    """Edges (u, v) that join all nodes (node, fp) whose fingerprints are alike under a mask and differ in at most radius bits.
+def meetings(nodes: DataFrame, masks: np.ndarray, cell: int = 4096) -> DataFrame:
+    """Rows (band, key, a, b, node, fp) of all places where nodes (node, fp) that are alike under a mask meet.
 
-    Fingerprints are distinct.  Buckets of more than cell rows are dealt to cells, and every two cells of a
-    bucket meet in a task of their own, so no task holds more than about two cells.  Of each meeting only a
-    spanning forest goes out, never all pairs; if nodes has a column tree, all pairs of different trees go out.
+    Buckets of more than cell rows are dealt to cells, and every two cells of a bucket meet in a task of their own, so no
+    task holds more than about two cells.
     """
-    carried = ["node", "fp", *(c for c in nodes.columns if c == "tree")]
-    schema = pa.schema([*((c, pa.binary() if c == "fp" else pa.int64()) for c in carried), ("band", pa.int32()), ("key", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("fp", pa.binary()), ("band", pa.int32()), ("key", pa.int64())])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,29 +222,18 @@ def links(nodes: DataFrame, masks: np.ndarray, radius: int, cell: int = 4096) ->
                 key = np.zeros(len(fps), np.uint64)
                 for k in range(masks.shape[1]):
                     key = mix(key ^ (fps[:, k] & mask[k]))
-                yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array(np.full(len(fps), band, np.int32)), pa.array(key.view(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("fp"), pa.array(np.full(len(fps), band, np.int32)), pa.array(key.view(np.int64))], schema=schema)
 
-    rows = nodes.select(*carried).mapInArrow(keyed, ", ".join(f"{c} binary" if c == "fp" else f"{c} long" for c in carried) + ", band int, key long")
+    rows = nodes.select("node", "fp").mapInArrow(keyed, "node long, fp binary, band int, key long")
     sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cells = F.ceil(F.col("n") / cell).cast("int")
     rows = rows.join(sizes, ["band", "key"]).withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
-    meetings = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    meetings = meetings.select("band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *carried)
-    dealt = meetings.repartition(fr.partitions(nodes.sparkSession), "band", "key", "a", "b").sortWithinPartitions("band", "key", "a", "b", "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    return rows.select("band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "fp")
 
-    def compare(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        root = np.arange(table.num_rows)
-        if "tree" in carried:
-            node, tree = table.column("node").to_numpy(), table.column("tree").to_numpy()
-            for left, right in close_rows(_matrix(table.column("fp"), masks.shape[1]), group, radius):
-                cross = tree[left] != tree[right]
-                yield pa.RecordBatch.from_arrays([pa.array(node[left[cross]]), pa.array(node[right[cross]])], names=["u", "v"])
-            return
-        for left, right in close_rows(_matrix(table.column("fp"), masks.shape[1]), group, radius):
-            join_rows(root, left, right)
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        node = table.column("node").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["u", "v"])
+
+def each_meeting(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What work makes of tables that hold whole meetings, and the number of each row's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -245,12 +245,30 @@ def links(nodes: DataFrame, masks: np.ndarray, radius: int, cell: int = 4096) ->
             group = _groups(held)
             last = int(np.searchsorted(group, group[-1]))
             if last:
-                yield from compare(held.slice(0, last), group[:last])
+                yield from work(held.slice(0, last), group[:last])
                 held = held.slice(last)
         if held is not None and held.num_rows:
-            yield from compare(held, _groups(held))
+            yield from work(held, _groups(held))
+
+    keys = ("band", "key", "a", "b")
+    return rows.repartition(fr.partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node").mapInArrow(run, schema)
+
+
+def links(nodes: DataFrame, masks: np.ndarray, radius: int, cell: int = 4096) -> DataFrame:
+    """Edges (u, v) that join all nodes (node, fp) whose fingerprints are alike under a mask and differ in at most radius bits.
+
+    Fingerprints are distinct.  Of each meeting only a spanning forest goes out, never all pairs.
+    """
 
-    return dealt.mapInArrow(run, "u long, v long")
+    def forest(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        root = np.arange(table.num_rows)
+        for left, right in close_rows(_matrix(table.column("fp"), masks.shape[1]), group, radius):
+            join_rows(root, left, right)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        node = table.column("node").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["u", "v"])
+
+    return each_meeting(meetings(nodes, masks, cell), forest, "u long, v long")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
@@ -262,63 +280,108 @@ def _groups(table: pa.Table) -> np.ndarray:
     return np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1)))
 
 
-def shingle_set(text: str, width: int, seed: int) -> np.ndarray:
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width, seed)]))
+def _set(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
 
 
 def _digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.astype("<u8").tobytes())
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of two sorted sets of shingles; two empty sets are alike."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets (node, shingles) have at least that Jaccard similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [jaccard(a, b) >= similarity for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    first = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    second = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(first, "u").join(second, "v").mapInArrow(run, "u long, v long")
+def jaccards(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The similarity of a sorted set of shingles to each of others; two empty sets are alike."""
+    sizes = np.array([len(x) for x in others])
+    if not len(own):
+        return (sizes == 0).astype(float)
+    values = np.concatenate(others)
+    there = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+    total = np.append(0, np.cumsum(there))
+    ends = np.cumsum(sizes)
+    both = total[ends] - total[ends - sizes]
+    return both / (len(own) + sizes - both)
+
+
+def first_met(fps: np.ndarray, band: np.ndarray, masks: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs are alike under no mask before that of the band where they meet: each pair meets often and counts once."""
+    first = np.ones(len(left), bool)
+    for k in range(int(band[left].max(initial=0))):
+        asked = np.flatnonzero(first & (band[left] > k))
+        differ = ((fps[left[asked]] ^ fps[right[asked]]) & masks[k]).any(axis=1)
+        first[asked] = differ
+    return first
+
+
+def unite(root: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, distance: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Checks pairs of rows, nearest first and none within one tree, and unites the trees of those that have the similarity."""
+    u, v = [], []
+    order = np.lexsort((distance, left))
+    left, right = left[order], right[order]
+    most = 1
+    while len(left):
+        apart_now = root[left] != root[right]
+        left, right = left[apart_now], right[apart_now]
+        if not len(left):
+            break
+        # Of each row the nearest few, twice as many as before.
+        head = np.flatnonzero(np.append(True, left[1:] != left[:-1]))
+        rank = np.arange(len(left)) - np.repeat(head, np.diff(np.append(head, len(left))))
+        now, most = rank < most, 2 * most
+        tried_l, tried_r = left[now], right[now]
+        cut = np.flatnonzero(np.append(True, tried_l[1:] != tried_l[:-1]))
+        alike = np.concatenate([jaccards(sets[tried_l[a]], [sets[r] for r in tried_r[a:b]]) for a, b in zip(cut, [*cut[1:], len(tried_l)], strict=True)]) >= similarity
+        for x, y in zip(tried_l[alike].tolist(), tried_r[alike].tolist(), strict=True):
+            if root[x] != root[y]:
+                u.append(x)
+                v.append(y)
+                join_rows(root, np.array([x]), np.array([y]))
+        left, right = left[~now], right[~now]
+    return u, v
 
 
 def similar_links(df: DataFrame, nodes: DataFrame, width: int, seed: int, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
     """Verified edges (u, v) that join all nodes (node, digest, fp) found to have that similarity.
 
-    A forest of the closest fingerprints is verified first, so that a large group of near copies is one tree; then all
-    candidates of different trees are.
+    Nodes that have a candidate take their sets of shingles to the meetings where the candidate is first met; pairs are
+    checked there, and only a spanning forest of the verified ones goes out.
     """
     share, bits = apart(similarity), words * BITS
     radius = int(bits * share + 3 * np.sqrt(bits * share * (1 - share)))
     masks = samples(nodes.count(), similarity, words, radius)
     docs = fr.with_text(df, id_col, text_col).withColumn("node", F.coalesce("doc_id", F.lit(int(fr.NULL_ID))))
 
+    def pairs(table: pa.Table, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        fps, band = _matrix(table.column("fp"), words), table.column("band").to_numpy()
+        for left, right in close_rows(fps, group, radius):
+            first = first_met(fps, band, masks, left, right)
+            left, right = left[first], right[first]
+            yield left, right, np.bitwise_count(fps[left] ^ fps[right]).sum(axis=1)
+
+    def candidates(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        has = np.zeros(table.num_rows, bool)
+        for left, right, _ in pairs(table, group):
+            has[left] = has[right] = True
+        yield from table.filter(pa.array(has)).to_batches()
+
+    def check(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        root, node = np.arange(table.num_rows), table.column("node").to_numpy()
+        sets = [np.frombuffer(x, "<u8") for x in table.column("shingles").to_pylist()]
+        for left, right, distance in pairs(table, group):
+            u, v = unite(root, sets, left, right, distance, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(node[u], pa.int64()), pa.array(node[v], pa.int64())], names=["u", "v"])
+
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in fr.batches_of(batches):
-            own = [shingle_set(t, width, seed) for t in table.column("text").to_pylist()]
+            own = [_set(list(shingle_hashes(t, width, seed))) for t in table.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([table.column("node").combine_chunks(), pa.array([_digest(x) for x in own], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())], names=["node", "digest", "shingles"])
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = fr.stored(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        own = docs.join(asked, "node", "left_semi").select("node", "text").mapInArrow(shingled, "node long, digest binary, shingles binary")
-        # Rows that share an id may differ in text; a node's own sets are those of its digests.
-        sets = own.join(nodes.select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"])
-        return fr.stored(verified(pairs, sets, similarity))
-
-    forest = checked(links(nodes, masks, int(bits * share)))
-    trees = nodes.join(components(forest), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("tree"))
-    return forest.union(checked(links(fr.stored(trees), masks, radius)))
+    met = fr.stored(each_meeting(meetings(nodes, masks), candidates, "band int, key long, a int, b int, node long, fp binary"))
+    asked = fr.broadcast_if_small(fr.stored(met.select("node").distinct()))
+    own = docs.join(asked, "node", "left_semi").select("node", "text").mapInArrow(shingled, "node long, digest binary, shingles binary")
+    # Rows that share an id may differ in text; a node's own sets are those of its digests.
+    sets = own.join(nodes.join(asked, "node", "left_semi").select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"])
+    fps = nodes.select("node", "digest", "fp")
+    rows = met.join(fps, ["node", "fp"]).join(sets, ["node", "digest"]).select("band", "key", "a", "b", "node", "fp", "shingles")
+    return each_meeting(rows, check, "u long, v long")
 
 
 def near_groups(df: DataFrame, width: int = 3, radius: int = 2, spare: int = 2, seed: int = 42, similarity: float | None = None, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
