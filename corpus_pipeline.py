@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import exact_dedup, packing, quality, simhash, suffix_array
+from strandweave.llm.frames import broadcast_if_small, stored
 from strandweave.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,27 +19,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORDER = 2
 
 
-def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The documents whose ids are chosen; a null id counts as an id."""
-    ids = chosen.select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["chosen_id"]), "left_semi").select(*COLUMNS)
+def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The documents but for those of whose id no row is kept (decided: doc_id, kept); a null id counts as an id."""
+    gone = stored(decided.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("kept")).where("not kept").select("gone_id"))
+    gone = broadcast_if_small(gone)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti").select(*COLUMNS)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of trusted text does not reject."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return _keep(docs, quality.classify(docs, trusted, order=ORDER).where("kept"))
+    return _keep(docs, quality.classify(docs, trusted, order=ORDER))
 
 
 def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal but for white space."""
-    return _keep(docs, exact_dedup.exact_groups(docs).where("kept"))
+    return _keep(docs, exact_dedup.exact_groups(docs))
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of texts of similarity 0.8 or more, on shingles of five words."""
     groups = simhash.near_groups(docs, width=5, similarity=0.8)
-    return _keep(docs, groups.where("doc_id <=> component_id"))
+    return _keep(docs, groups.withColumn("kept", F.expr("doc_id <=> component_id")))
 
 
 def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
