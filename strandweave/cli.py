@@ -8,10 +8,11 @@ import sys
 from dataclasses import asdict, dataclass, fields
 from pathlib import PurePosixPath
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.operators import pileup
+from strandweave.operators import graph, pileup
 from strandweave.plans import pipelines
 from strandweave.plans.samples import Sample
 from strandweave.session import ship
@@ -19,6 +20,9 @@ from strandweave.sources import text, writers
 
 log = logging.getLogger(__name__)
 
+#: Options that would change results or reports and are not there: refused rather than ignored.
+REFUSED = {"rn", "filter", "addFnedges"}
+
 
 @dataclass(frozen=True)
 class Params:
@@ -44,7 +48,6 @@ class Params:
     ignorecomponents: bool = False
     lowQFilter: bool = True
     fdf: str = "short"
-    rn: bool = False
     answer: str = ""
     tl: int = 10_800
     firstOnly: bool = False
@@ -62,6 +65,8 @@ class Params:
             else:
                 given[name] = "true"
             i += 1
+        if refused := sorted(given.keys() & REFUSED):
+            raise SystemExit(f"not supported: {', '.join('-' + n for n in refused)}")
         values: dict[str, object] = {}
         for f in fields(Params):
             raw = given.get(f.name.rstrip("_"))
@@ -96,7 +101,10 @@ def short_sample(spark: SparkSession, p: Params) -> Sample:
     both = lambda frame: frame.select("read_id", F.col("l").alias("seq"), F.col("l_off").alias("off")).union(frame.where("r_off >= 0").select("read_id", "r", "r_off"))
     merged = pipelines.stored(pileup.merge_overlaps(pairs))
     before = Sample(pileup.explode_reads(both(pairs)), pileup.shapes(pairs), length, False, p.re)
-    return Sample(pipelines.stored(pileup.explode_reads(both(merged))), pipelines.stored(pileup.shapes(merged)), length, False, p.re, max(p.cpt, 0), before.majors)
+    # In samples of single reads mostly, the ratio alone links only what lies well within a read.
+    single = pileup.read_stats(pairs).first()["single_read"]
+    reach = 0.8 * (p.fl if p.fl > 0 else pileup.fragment_length(pairs, length).first()["fragment_length"]) if single else None
+    return Sample(pipelines.stored(pileup.explode_reads(both(merged))), pipelines.stored(pileup.shapes(merged)), length, False, p.re, max(p.cpt, 0), before.majors, both(merged), p.ignoreDeletion, reach)
 
 
 def _report(spark: SparkSession, p: Params, found: pipelines.Found) -> None:
@@ -110,13 +118,16 @@ def _report(spark: SparkSession, p: Params, found: pipelines.Found) -> None:
 
 def haplotypes(spark: SparkSession, p: Params, long_reads: bool) -> pipelines.Found:
     sample = long_sample(spark, p) if long_reads else short_sample(spark, p)
+    settings = {"start": p.sp, "end": p.ep, "non_edge_rate": p.net if p.net > 0 else None, "by_component": not p.ignorecomponents}
     try:
         if long_reads:
-            found = pipelines.long_haplotypes(sample, p.t, p.tf, p.cm, p.lowQFilter)
+            found = pipelines.long_haplotypes(sample, p.t, p.tf, p.cm, p.lowQFilter, **settings)
         else:
-            found = pipelines.short_haplotypes(sample, p.t, p.tf, p.cm, p.sp, p.ep, p.fl if p.fl > 0 else None)
-    except Exception as error:  # the consensus stands for a failed run, with the error beside it
-        log.exception("the run failed")
+            found = pipelines.short_haplotypes(sample, p.t, p.tf, p.cm, fragment=p.fl if p.fl > 0 else None, **settings)
+    except PythonException as error:  # for a graph that is too dense the consensus stands, with the error beside it
+        if graph.TOO_DENSE not in str(error):
+            raise
+        log.exception("the graph is too dense")
         found = pipelines.default_haplotype(sample, str(error), 6)
     _report(spark, p, found)
     return found
@@ -124,7 +135,7 @@ def haplotypes(spark: SparkSession, p: Params, long_reads: bool) -> pipelines.Fo
 
 def variants(spark: SparkSession, p: Params, long_reads: bool) -> None:
     sample = long_sample(spark, p) if long_reads else short_sample(spark, p)
-    called = pipelines.long_variants(sample, p.t, p.tf) if long_reads else pipelines.short_variants(sample, p.t, p.tf)
+    called = pipelines.long_variants(sample, p.t, p.tf) if long_reads else pipelines.short_variants(sample, p.t, p.tf, p.el)
     writers.write_text(writers.vcf_lines(writers.vcf_rows(called, sample.majors, p.os, p.oe)), f"{p.outDir}/{_name(p.in_)}.vcf")
 
 

@@ -13,17 +13,20 @@ from pyspark.sql import functions as F
 
 from strandweave.storage import stored
 
+#: What an error says when a component has too many cliques to list.
+TOO_DENSE = "too many maximal cliques in one component"
+
 
 def vertex(pos: Column, allele: Column) -> Column:
-    return F.format_string("%06d%s", pos, allele)
+    return F.format_string("%010d%s", pos, allele)
 
 
 def vertex_pos(v: Column) -> Column:
-    return F.substring(v, 1, 6).cast("int")
+    return F.substring(v, 1, 10).cast("int")
 
 
 def vertex_allele(v: Column) -> Column:
-    return F.substring(v, 7, 1)
+    return F.substring(v, 11, 1)
 
 
 def components(edges: DataFrame, a: str = "u", b: str = "v", rounds: int = 64) -> DataFrame:
@@ -52,7 +55,7 @@ def bron_kerbosch(neighbours: dict, limit: int = 1_000_000) -> Iterator[frozense
         if not open_ and not closed:
             found += 1
             if found > limit:
-                raise RuntimeError(f"more than {limit} maximal cliques in one component")
+                raise RuntimeError(f"{TOO_DENSE}: more than {limit}")
             yield clique
             continue
         pivot = max(sorted(open_ | closed), key=lambda u: len(neighbours[u] & open_))

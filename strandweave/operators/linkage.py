@@ -19,17 +19,19 @@ from strandweave.operators.pileup import covers
 KEYS = ["p1", "a1", "p2", "a2"]
 
 
-def joint_counts(cells: DataFrame, salts: int = 1) -> DataFrame:
+def joint_counts(cells: DataFrame) -> DataFrame:
     """p1, a1, p2, a2 and n: reads with both cells, p1 < p2. The join's key is the read, so no position is hot."""
     a = cells.select("read_id", F.col("pos").alias("p1"), F.col("allele").alias("a1"))
     b = cells.select(F.col("read_id").alias("_r"), F.col("pos").alias("p2"), F.col("allele").alias("a2"))
     return a.join(b, (F.col("read_id") == F.col("_r")) & (F.col("p1") < F.col("p2"))).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
 
 
-def supported(cells: DataFrame, least: int) -> DataFrame:
-    """Minors on at least that many reads; a pair has no more joint reads than either minor."""
-    often = cells.where("allele <> 'N'").groupBy("pos", "allele").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
-    return cells.join(often, ["pos", "allele"], "left_semi")
+def between_frequent(pairs: DataFrame, cells: DataFrame, least: int) -> DataFrame:
+    """The pairs of which both minors are on at least that many reads."""
+    often = cells.where("allele <> 'N'").groupBy("pos", "allele").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    for p, a in (("p1", "a1"), ("p2", "a2")):
+        pairs = pairs.join(often.select(F.col("pos").alias(p), F.col("allele").alias(a)), [p, a], "left_semi")
+    return pairs
 
 
 def candidates(joint: DataFrame, least: int, close: int = 0, start: int = 0, end: int = 1_000_000) -> DataFrame:

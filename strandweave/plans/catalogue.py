@@ -129,14 +129,6 @@ def common_reads_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def common_reads_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = long_sample(spark, sf_dir)
-    gone = s.pile.where("allele = 'N' AND pos % 10 = 5")
-    places = spark.range(5, fixture.LENGTH, 10).select(F.col("id").cast("int").alias("pos"))
-    pairs = places.select(F.col("pos").alias("p1")).join(places.select(F.col("pos").alias("p2")), F.col("p1") < F.col("p2"))
-    return linkage.common_reads(pairs, gone, s.shapes, linkage.joint_counts(gone))
-
-
-def common_reads_long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all pairs of positions."""
     s = long_sample(spark, sf_dir)
     gone = s.pile.where("allele = 'N'")
@@ -260,6 +252,17 @@ def non_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.non_edges(s, nodes, SHARE).select("p1", "a1", "p2", "a2", "reads", "o22")
 
 
+def edge_graph_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of minors and of the deletions of a region, without second minors beside a more frequent deletion."""
+    return pipelines.edge_graph(short_sample(spark, sf_dir), LEAST, SHARE, False)
+
+
+def no_edge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = short_sample(spark, sf_dir)
+    edges = _graph(s)
+    return pipelines.no_edge_pairs(s, _cliques(edges), edges, SHARE)
+
+
 def clique_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = short_sample(spark, sf_dir)
     rows = assign.clique_strings(_planted(s), s.majors)
@@ -398,9 +401,9 @@ def variants_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     coverage_counts, coverage_counts_no_n, profile_freq, weighted_profile, consensus_with_del, consensus_no_del, consensus_string, profile_matrix,
     minors_sparse, major_counts, n_index, split_encode_roundtrip, overlap_merge, mate_pairing, cigar_projection, interval_parse, quantity_parse, contig_alias,
-    minor_hits, common_reads_short, common_reads_long, common_reads_long_all, linkage_table, edges_ratio, edges_pvalue, linked_variants, non_edges, top_edges, second_minor_prune,
+    minor_hits, common_reads_short, common_reads_long, linkage_table, edges_ratio, edges_pvalue, linked_variants, non_edges, top_edges, second_minor_prune,
     conflict_resolution, frequent_minor_candidates, deletion_regions, deletion_edges, fragment_length, most_covered_position, read_stats, snp_components,
-    maximal_cliques, merged_cliques, clique_strings, merge_scores, subset_elimination, read_assignment, cluster_sizes, low_quality_filter, read_likelihood,
+    maximal_cliques, merged_cliques, clique_strings, merge_scores, subset_elimination, edge_graph_short, no_edge_pairs, read_assignment, cluster_sizes, low_quality_filter, read_likelihood,
     em_one_step, em_frequencies, vc_frequencies, vcf_rows, imputed_reads, hamming_pairs, string_difference, nearest_truth, smart_double, si_format,
     near_duplicate_merge, haplotypes_long, haplotypes_short, variants_short, variants_long,
 )

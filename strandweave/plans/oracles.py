@@ -65,7 +65,7 @@ tested AS (
     ELSE coalesce(tail, 0) < 1e-7 / (120*119/2) OR coalesce(ratio > 0.2, true) END AS is_edge
   FROM rated LEFT JOIN tails USING (p1, a1, p2, a2)),
 edges AS (
-  SELECT printf('%06d%s', p1, a1) AS u, printf('%06d%s', p2, a2) AS v, * FROM tested WHERE is_edge),
+  SELECT printf('%010d%s', p1, a1) AS u, printf('%010d%s', p2, a2) AS v, * FROM tested WHERE is_edge),
 ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
 nodes AS (SELECT DISTINCT u FROM ways),
 grow AS (
@@ -78,7 +78,7 @@ cliques AS (
   WHERE len(vs) > 1 AND NOT EXISTS (
     SELECT 1 FROM nodes n WHERE NOT list_contains(vs, n.u)
     AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(vs) AS x) t WHERE NOT EXISTS (SELECT 1 FROM ways q WHERE q.u = t.x AND q.v = n.u)))),
-member AS (SELECT clique_id, v, CAST(substr(v, 1, 6) AS INT) AS pos, substr(v, 7) AS allele FROM (SELECT clique_id, unnest(vs) AS v FROM cliques)),
+member AS (SELECT clique_id, v, CAST(substr(v, 1, 10) AS INT) AS pos, substr(v, 11) AS allele FROM (SELECT clique_id, unnest(vs) AS v FROM cliques)),
 pm AS (SELECT haplotype AS clique_id, pos, allele FROM truth JOIN cons USING (pos) WHERE allele <> major),
 ids AS (SELECT range AS clique_id FROM range(4)),
 strings AS (
@@ -143,7 +143,7 @@ _SELECTS = {
         WHERE a.size > 1 AND a.flag % 2 = 1 AND (a.rec_id = b.rec_id OR a.pos < b.pos)""",
     "minor_hits": "SELECT p1, a1, p2, a2, o22 FROM hits",
     "common_reads_short": ", pq AS (SELECT DISTINCT p1, p2 FROM cand) SELECT p1, p2, count(*) AS reads FROM pq JOIN pile x ON x.pos = p1 JOIN pile y ON y.read_id = x.read_id AND y.pos = p2 WHERE x.allele <> 'N' AND y.allele <> 'N' GROUP BY p1, p2",
-    "common_reads_long": ", x AS (SELECT read_id, pos FROM lpile WHERE allele <> 'N' AND pos % 10 = 5) SELECT a.pos AS p1, b.pos AS p2, count(*) AS reads FROM x a JOIN x b ON a.read_id = b.read_id AND a.pos < b.pos GROUP BY a.pos, b.pos",
+    "common_reads_long": ", x AS (SELECT read_id, pos FROM lpile WHERE allele <> 'N') SELECT a.pos AS p1, b.pos AS p2, count(*) AS reads FROM x a JOIN x b ON a.read_id = b.read_id AND a.pos < b.pos GROUP BY a.pos, b.pos",
     "linkage_table": "SELECT p1, a1, p2, a2, o11, o12, o21, o22, reads FROM link",
     "edges_ratio": "SELECT p1, a1, p2, a2, o11, o12, o21, o22, reads, round(ratio, 6) AS ratio FROM rated WHERE ratio > 0.2",
     "edges_pvalue": "SELECT p1, a1, p2, a2, is_edge FROM tested",
@@ -155,7 +155,7 @@ _SELECTS = {
     "frequent_minor_candidates": "SELECT pos, allele, depth, round(freq, 9) AS freq FROM (SELECT pos, allele, freq, row_number() OVER (PARTITION BY pos ORDER BY freq DESC, strpos('ACGT-N', allele)) AS i, CAST(sum(n) OVER (PARTITION BY pos) AS BIGINT) AS depth FROM prof) WHERE i = 2 AND depth >= 40 AND freq >= 0.2 AND allele NOT IN ('N', '-')",
     "conflict_resolution": """, c AS (SELECT 0 AS clique_id, pos, allele FROM called UNION ALL SELECT clique_id, pos, allele FROM pm),
         b AS (SELECT c.*, freq, max(freq) OVER (PARTITION BY clique_id, c.pos) AS best FROM c JOIN prof USING (pos, allele))
-        SELECT CAST(clique_id AS BIGINT) AS clique_id, string_agg(printf('%06d%s', pos, allele), ',' ORDER BY printf('%06d%s', pos, allele)) AS vs FROM b WHERE freq = best GROUP BY clique_id""",
+        SELECT CAST(clique_id AS BIGINT) AS clique_id, string_agg(printf('%010d%s', pos, allele), ',' ORDER BY printf('%010d%s', pos, allele)) AS vs FROM b WHERE freq = best GROUP BY clique_id""",
     "deletion_regions": """, d AS (SELECT read_id, mate, off, fin, pos, pos - row_number() OVER (PARTITION BY read_id, mate ORDER BY pos) AS g FROM pile2 WHERE allele = '-'),
         r AS (SELECT read_id, mate, fin, min(pos) AS s, max(pos) AS e, count(*) AS len FROM d GROUP BY read_id, mate, fin, g)
         SELECT CAST(s AS INT) AS s, CAST(CASE WHEN e = fin THEN e + 1 ELSE e END AS INT) AS e, count(*) AS n FROM r WHERE len >= CASE WHEN e = fin THEN 3 ELSE 4 END GROUP BY ALL HAVING count(*) >= 10""",
@@ -163,6 +163,14 @@ _SELECTS = {
         r AS (SELECT read_id, mate, fin, min(pos) AS s, max(pos) AS e, count(*) AS len FROM d GROUP BY read_id, mate, fin, g),
         t AS (SELECT s, CASE WHEN e = fin THEN e + 1 ELSE e END AS e FROM r WHERE len >= CASE WHEN e = fin THEN 3 ELSE 4 END GROUP BY ALL HAVING count(*) >= 10)
         SELECT DISTINCT CAST(x.range AS INT) AS p1, CAST(y.range AS INT) AS p2 FROM t JOIN range(120) x ON x.range >= s AND x.range < e JOIN range(120) y ON y.range > x.range AND y.range < e""",
+    "edge_graph_short": """, d AS (SELECT read_id, mate, off, fin, pos, pos - row_number() OVER (PARTITION BY read_id, mate ORDER BY pos) AS g FROM pile2 WHERE allele = '-'),
+        r AS (SELECT read_id, mate, fin, min(pos) AS s, max(pos) AS e, count(*) AS len FROM d GROUP BY read_id, mate, fin, g),
+        t AS (SELECT s, CASE WHEN e = fin THEN e + 1 ELSE e END AS e FROM r WHERE len >= CASE WHEN e = fin THEN 3 ELSE 4 END GROUP BY ALL HAVING count(*) >= 10),
+        al AS (SELECT p1, a1, p2, a2 FROM edges UNION SELECT CAST(x.range AS INT), '-', CAST(y.range AS INT), '-' FROM t JOIN range(120) x ON x.range >= s AND x.range < e JOIN range(120) y ON y.range > x.range AND y.range < e),
+        way AS (SELECT p1 AS p, a1 AS a, p2 AS q, a2 AS b FROM al UNION ALL SELECT p2, a2, p1, a1 FROM al),
+        rk AS (SELECT w.*, row_number() OVER f AS i, first_value(b) OVER f AS winner FROM way w JOIN prof ON prof.pos = q AND prof.allele = b WINDOW f AS (PARTITION BY p, a, q ORDER BY freq DESC, b)),
+        best AS (SELECT * FROM rk WHERE i = 1 OR winner <> '-')
+        SELECT printf('%010d%s', p1, a1) AS u, printf('%010d%s', p2, a2) AS v FROM al WHERE EXISTS (SELECT 1 FROM best WHERE p = p1 AND a = a1 AND q = p2 AND b = a2) AND EXISTS (SELECT 1 FROM best WHERE p = p2 AND a = a2 AND q = p1 AND b = a1)""",
     "fragment_length": ", f AS (SELECT CASE WHEN rid % 3 = 0 THEN 60 ELSE 60 END AS size, count(*) AS n FROM o GROUP BY 1) SELECT CAST(min(size) AS INT) AS fragment_length FROM (SELECT size, sum(n) OVER (ORDER BY size) AS upto, sum(n) OVER () AS total FROM f) WHERE upto > 0.9 * total",
     "most_covered_position": ", d AS (SELECT pos, sum(n) AS depth FROM counts GROUP BY pos), m AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS i, count(*) OVER () AS c FROM d WHERE depth = (SELECT max(depth) FROM d)) SELECT pos FROM m WHERE i = c // 2",
     "read_stats": "SELECT count(DISTINCT rid) AS n_reads, count(DISTINCT CASE WHEN rid % 3 = 0 THEN rid END) AS n_single, count(DISTINCT CASE WHEN rid % 3 <> 0 THEN rid END) AS n_paired, CAST(max(fin) + 1 AS INT) AS reference_length, count(DISTINCT CASE WHEN rid % 3 <> 0 THEN rid END) < count(DISTINCT CASE WHEN rid % 3 = 0 THEN rid END) AS single_read FROM segs",
@@ -195,6 +203,17 @@ _SELECTS = {
         s AS (SELECT g, pos, arg_min(allele, (-n, strpos('ACGT-N', allele))) AS allele FROM c GROUP BY g, pos),
         d AS (SELECT t.haplotype, s.g, count(*) FILTER (s.allele <> t.allele) AS distance FROM truth t JOIN s USING (pos) GROUP BY ALL)
         SELECT CAST(haplotype AS INT) AS haplotype, arg_min(g, (distance, g)) AS nearest, min(distance) AS distance, min(distance) = 0 AS found FROM d GROUP BY haplotype""",
+    "no_edge_pairs": """, vx AS (SELECT DISTINCT p1 AS pos, a1 AS allele FROM edges UNION SELECT p2, a2 FROM edges),
+        pr AS (SELECT x.pos AS p1, x.allele AS a1, y.pos AS p2, y.allele AS a2 FROM vx x JOIN vx y ON x.pos < y.pos),
+        tb AS (SELECT pr.*, count(*) AS reads, count(*) FILTER (x.allele = m.major AND y.allele = n.major) AS o11, count(*) FILTER (x.allele = a1 AND y.allele = a2) AS o22
+          FROM pr JOIN pile x ON x.pos = p1 JOIN pile y ON y.read_id = x.read_id AND y.pos = p2 JOIN cons m ON m.pos = p1 JOIN cons n ON n.pos = p2 WHERE x.allele <> 'N' AND y.allele <> 'N' GROUP BY p1, a1, p2, a2),
+        sw AS (SELECT *, CASE WHEN o11 = 0 THEN o11 ELSE o22 END AS z FROM tb WHERE reads >= 50),
+        lo AS (SELECT p1, a1, p2, a2, reads, z, sum(exp(n.f - k.f - r.f + k.k*ln(0.02) + (reads-k.k)*ln(0.98))) AS cdf FROM sw JOIN lf n ON n.k = reads JOIN lf k ON k.k <= z JOIN lf r ON r.k = reads - k.k GROUP BY ALL),
+        bad AS (SELECT printf('%010d%s', p1, a1) AS x, printf('%010d%s', p2, a2) AS y FROM lo WHERE cdf < 1e-4),
+        un AS (SELECT x, y FROM bad WHERE NOT EXISTS (SELECT 1 FROM edges WHERE u = x AND v = y)),
+        both_ways AS (SELECT x, y FROM un UNION SELECT y, x FROM un)
+        SELECT DISTINCT a.clique_id AS c1, b.clique_id AS c2 FROM member a JOIN member b ON a.clique_id < b.clique_id
+        WHERE (a.pos = b.pos AND a.v <> b.v) OR EXISTS (SELECT 1 FROM both_ways w WHERE w.x = a.v AND w.y = b.v)""",
     "non_edges": """, vx AS (SELECT DISTINCT p1 AS pos, a1 AS allele FROM edges UNION SELECT p2, a2 FROM edges),
         pr AS (SELECT x.pos AS p1, x.allele AS a1, y.pos AS p2, y.allele AS a2 FROM vx x JOIN vx y ON x.pos < y.pos),
         tb AS (SELECT pr.*, count(*) AS reads, count(*) FILTER (x.allele = m.major AND y.allele = n.major) AS o11, count(*) FILTER (x.allele = a1 AND y.allele = a2) AS o22

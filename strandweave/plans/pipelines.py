@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions import linkage_tests
-from strandweave.operators import assign, graph, haplotypes, linkage, pileup
+from strandweave.operators import assign, deletions, graph, haplotypes, linkage, pileup
 from strandweave.plans.samples import Sample
 from strandweave.storage import stored
 
@@ -21,6 +21,8 @@ SHORT_RATE, LONG_RATE = 0.001, 0.01
 SHORT_CUT = 8e-4
 CONSENSUS_SHARE = 0.25
 TOP_CLUSTERS, CLUSTER_READS = 100, 10
+TOP_EDGES = 17_000
+UNLINKED_P, INDUCED_P, INDUCED_BETWEEN_P = 0.01, 1e-6, 5e-5
 
 
 @dataclass
@@ -88,16 +90,33 @@ def merged(sample: Sample, edges: DataFrame, rate: float, mode: str = "accurate"
     return graph.numbered(cliques.sparkSession.createDataFrame([(list(vs),) for vs in made], "vs array<string>"))
 
 
-def transitive(sample: Sample, edges: DataFrame, limit: float = 0.01) -> DataFrame:
-    """All pairs of a component but those that chance explains."""
+def transitive(sample: Sample, edges: DataFrame) -> DataFrame:
+    """All pairs of a component but those that chance explains, and those that only they induce.
+
+    An unlinked pair (f, s) is far enough apart and explained by chance.  A pair that is no edge itself goes too where
+    it joins f to a neighbour of s or the other way about, or a neighbour of f to one of s, unless it is surer.
+    """
     pairs = graph.transitive_edges(edges)
     at = lambda c: (graph.vertex_pos(F.col(c)), graph.vertex_allele(F.col(c)))
     (p1, a1), (p2, a2) = at("u"), at("v")
     asked = pairs.select(p1.alias("p1"), a1.alias("a1"), p2.alias("p2"), a2.alias("a2")).where("p1 < p2")
     found = asked.join(sample.joint.withColumnRenamed("n", "o22"), linkage.KEYS, "left").fillna(0, ["o22"])
-    rows = sample.table(found).withColumn("p", linkage_tests.edge_p(*(F.col(c) for c in ("o11", "o12", "o21", "o22", "reads")), sample.error))
-    kept = rows.where((F.col("reads") < MANY_READS) | (F.col("p") <= limit))
-    return kept.select(graph.vertex(F.col("p1"), F.col("a1")).alias("u"), graph.vertex(F.col("p2"), F.col("a2")).alias("v"))
+    p = linkage_tests.edge_p(*(F.col(c) for c in ("o11", "o12", "o21", "o22", "reads")), sample.error)
+    rows = sample.table(found).withColumn("p", F.when(F.col("reads") < MANY_READS, 0.0).otherwise(p))
+    rows = stored(rows.select(graph.vertex(F.col("p1"), F.col("a1")).alias("u"), graph.vertex(F.col("p2"), F.col("a2")).alias("v"), "p", (F.col("p2") - F.col("p1") > sample.close).alias("far")))
+    gone = rows.where(F.col("far") & (F.col("p") > UNLINKED_P)).select("u", "v")
+    both = gone.union(gone.select("v", "u")).toDF("f", "s")
+    ways = edges.select("u", "v").union(edges.select("v", "u")).toDF("x", "n")
+    beside = both.join(ways, F.col("s") == F.col("x")).select("f", "n")
+    between = both.join(ways.toDF("x", "a"), F.col("f") == F.col("x")).select("s", "a").join(ways, F.col("s") == F.col("x")).select("a", "n")
+    own = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    kept = rows.join(gone, ["u", "v"], "left_anti")
+    for induced, limit in ((beside, INDUCED_P), (between, INDUCED_BETWEEN_P)):
+        first, second = induced.columns
+        doubtful = induced.select(F.least(first, second).alias("u"), F.greatest(first, second).alias("v")).distinct().join(own, ["u", "v"], "left_anti")
+        doubtful = doubtful.join(rows.where(F.col("p") > limit), ["u", "v"], "left_semi")
+        kept = kept.join(doubtful, ["u", "v"], "left_anti")
+    return kept.select("u", "v")
 
 
 def process_cliques(sample: Sample, cliques: DataFrame, rate: float, long_reads: bool, with_consensus: bool = True, least_reads: int = CLUSTER_READS, start: int = 0, end: int = 1_000_000) -> list[dict]:
@@ -138,9 +157,19 @@ def process_cliques(sample: Sample, cliques: DataFrame, rate: float, long_reads:
     return made if long_reads else [r for r in made if r["frequency"] > SHORT_CUT]
 
 
-def edge_graph(sample: Sample, least: int, share: float, long_reads: bool, **options: object) -> DataFrame:
-    """u, v after pruning second minors."""
+def edge_graph(sample: Sample, least: int, share: float, long_reads: bool, top: int | None = None, **options: object) -> DataFrame:
+    """u, v after pruning second minors; of short reads with the deletions of a region linked to each other.
+
+    top: only so many edges, those of the highest share of joint reads, beside the ones of deletions.
+    """
     rows = sample.edges(least, share, drop_deletions=long_reads, **options)
+    if top is not None:
+        rows = linkage.top_edges(rows, top)
+    rows = rows.select(*linkage.KEYS)
+    if not long_reads and not sample.ignore_deletion and sample.segments is not None:
+        gone = F.lit("-")
+        runs = deletions.deletion_edges(deletions.deletion_regions(sample.segments, least))
+        rows = rows.union(runs.select("p1", gone.alias("a1"), "p2", gone.alias("a2"))).distinct()
     pruned = linkage.prune_second_minors(stored(rows), sample.frequencies, deletions_only=not long_reads)
     return stored(pruned.select(graph.vertex(F.col("p1"), F.col("a1")).alias("u"), graph.vertex(F.col("p2"), F.col("a2")).alias("v")))
 
@@ -154,7 +183,7 @@ def rotated(sample: Sample, least: int, share: float) -> Sample:
     if found.limit(1).count() == 0:
         return sample
     swapped = stored(sample.majors.join(found, "pos", "left").select("pos", F.coalesce("other", "major").alias("major")))
-    turned = Sample(sample.pile, sample.shapes, sample.length, sample.deletions, sample.error, sample.close, swapped)
+    turned = sample.replaced(majors=swapped)
 
     def degrees(of: Sample) -> dict[int, int]:
         edges = of.edges(least, share)
@@ -166,21 +195,25 @@ def rotated(sample: Sample, least: int, share: float) -> Sample:
         return sample
     kept = found.where(F.col("pos").isin(better))
     majors = stored(sample.majors.join(kept, "pos", "left").select("pos", F.coalesce("other", "major").alias("major")))
-    return Sample(sample.pile, sample.shapes, sample.length, sample.deletions, sample.error, sample.close, majors)
+    return sample.replaced(majors=majors)
 
 
 def _resolved(sample: Sample, cliques: DataFrame) -> DataFrame:
     return stored(graph.numbered(graph.resolve_conflicts(cliques, sample.frequencies).select("vs")))
 
 
-def long_haplotypes(sample: Sample, least: int, share: float, mode: str = "accurate", quality_filter: bool = True, least_reads: int = CLUSTER_READS) -> Found:
-    """Two passes: cliques of all reads, then of the nine tenths with fewest mistakes; all reads are then assigned."""
-    cliques = stored(merged(sample, edge_graph(sample, least, share, True), share, mode))
+def long_haplotypes(sample: Sample, least: int, share: float, mode: str = "accurate", quality_filter: bool = True, least_reads: int = CLUSTER_READS, non_edge_rate: float | None = None, by_component: bool = True, **region: int) -> Found:
+    """Two passes: cliques of all reads, then of the nine tenths with fewest mistakes; all reads are then assigned.
+
+    region: start and end, between which edges are looked for.
+    """
+    rate = share if non_edge_rate is None else non_edge_rate
+    cliques = stored(merged(sample, edge_graph(sample, least, share, True, **region), rate, mode, by_component))
     if quality_filter:
         places = graph.members(cliques).select("pos").distinct()
         good = stored(assign.low_quality_filter(sample.pile, sample.majors, places).select("read_id"))
-        second = Sample(sample.pile.join(good, "read_id", "left_semi"), sample.shapes.join(good, "read_id", "left_semi"), sample.length, sample.deletions, sample.error, sample.close, sample.majors)
-        cliques = stored(merged(second, edge_graph(second, least, share, True), share, mode))
+        second = sample.replaced(sample.pile.join(good, "read_id", "left_semi"), sample.shapes.join(good, "read_id", "left_semi"))
+        cliques = stored(merged(second, edge_graph(second, least, share, True, **region), rate, mode, by_component))
     rows = [r for r in process_cliques(sample, cliques, LONG_RATE, True, least_reads=least_reads) if r["frequency"] > share]
     return Found(rows) if rows else default_haplotype(sample, "all haplotypes are of low frequency", 5)
 
@@ -209,11 +242,12 @@ def windows(depth: dict[int, int], start: int, end: int, size: int) -> list[tupl
     return out
 
 
-def short_haplotypes(sample: Sample, least: int, share: float, mode: str = "accurate", start: int = 0, end: int = 1_000_000, fragment: int | None = None) -> Found:
+def short_haplotypes(sample: Sample, least: int, share: float, mode: str = "accurate", start: int = 0, end: int = 1_000_000, fragment: int | None = None, non_edge_rate: float | None = None, by_component: bool = True) -> Found:
     """Windows of a fragment's length, each with the edges inside it and within haplotypes found before."""
     end = min(end, sample.length - 1)
+    rate = share if non_edge_rate is None else non_edge_rate
     sample = rotated(sample, least, share)
-    edges = edge_graph(sample, least, share, False)
+    edges = edge_graph(sample, least, share, False, start=start, end=end)
     sizes = sample.shapes.select((F.when(F.col("r_off") >= 0, F.least(F.col("r_end"), F.lit(sample.length - 2))).otherwise(F.col("l_end")) - F.col("l_off") + 1).alias("size"))
     if fragment is None:
         counts = sorted((r["size"], r["n"]) for r in sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a length
@@ -232,7 +266,7 @@ def short_haplotypes(sample: Sample, least: int, share: float, mode: str = "accu
         both = edges.join(known.select(F.col("v").alias("u"), "hap"), "u").join(known.select("v", F.col("hap").alias("other")), "v").where("hap = other").select("u", "v")
         one = edges.join(known.select(F.col("v").alias("u")).distinct(), "u", "left_semi").where(inside("v")).union(edges.join(known.select("v").distinct(), "v", "left_semi").where(inside("u")).select("u", "v"))
         part = stored(edges.where(inside("u") & inside("v")).union(both).union(one).distinct())
-        cliques = _resolved(sample, merged(sample, part, share, mode, fragment=fragment))
+        cliques = _resolved(sample, merged(sample, part, rate, mode, by_component, fragment))
         found = process_cliques(sample, cliques, SHORT_RATE, False, start=start, end=end)
         near = dict(haplotypes.merge_near([(r["haplotype"], r["frequency"]) for r in found]))
         rows = [r | {"frequency": near[r["haplotype"]]} for r in found if near.get(r["haplotype"], 0.0) > share / 2]
@@ -243,7 +277,7 @@ def short_haplotypes(sample: Sample, least: int, share: float, mode: str = "accu
 
 
 def _vertices(snps: list[str]) -> list[str]:
-    return [f"{int(p):06d}{a}" for p, a in (s.split(":") for s in snps)]
+    return [f"{int(p):010d}{a}" for p, a in (s.split(":") for s in snps)]
 
 
 def _called(sample: Sample, rows: list[dict]) -> DataFrame:
@@ -251,10 +285,10 @@ def _called(sample: Sample, rows: list[dict]) -> DataFrame:
     return sample.pile.sparkSession.createDataFrame(snps, "pos int, allele string")
 
 
-def short_variants(sample: Sample, least: int, share: float) -> DataFrame:
+def short_variants(sample: Sample, least: int, share: float, top: int = TOP_EDGES) -> DataFrame:
     """pos, allele, freq, alleles and corrected of the SNPs of all haplotypes, from cliques that are not merged."""
     sample = rotated(sample, least, share)
-    cliques = stored(graph.numbered(graph.maximal_cliques(edge_graph(sample, least, share, False))))
+    cliques = stored(graph.numbered(graph.maximal_cliques(edge_graph(sample, least, share, False, top))))
     return haplotypes.vc_frequencies(_called(sample, process_cliques(sample, cliques, SHORT_RATE, False)), sample.counts)
 
 

@@ -12,16 +12,25 @@ from strandweave.operators import linkage, pileup
 from strandweave.sources import fixture
 from strandweave.storage import stored
 
+#: Fixed value: long-read minors on fewer reads have no edges.
+LEAST_ROWS = 10
+
 
 class Sample:
     """A pileup with what follows from it; each frame is made once, and those that many others read are stored.
 
-    deletions: whether `-` may be the consensus, and a minor. error and close: of the edge tests.
+    deletions: whether `-` may be the consensus, and a minor. error and close: of the edge tests. segments: the reads'
+    strings (off, seq), for runs of deletions. ignore_deletion: no `-` is a minor. ratio_reach: pairs further apart are
+    not linked by the ratio alone.
     """
 
-    def __init__(self, pile: DataFrame, shapes: DataFrame, length: int, deletions: bool, error: float, close: int = 0, majors: DataFrame | None = None):
+    def __init__(self, pile: DataFrame, shapes: DataFrame, length: int, deletions: bool, error: float, close: int = 0, majors: DataFrame | None = None, segments: DataFrame | None = None, ignore_deletion: bool = False, ratio_reach: float | None = None):
         self.pile, self.shapes, self.length, self.deletions, self.error, self.close = pile, shapes, length, deletions, error, close
-        self._majors = majors
+        self._majors, self.segments, self.ignore_deletion, self.ratio_reach = majors, segments, ignore_deletion, ratio_reach
+
+    def replaced(self, pile: DataFrame | None = None, shapes: DataFrame | None = None, majors: DataFrame | None = None) -> Sample:
+        """The same settings over other reads, or with another consensus."""
+        return Sample(pile or self.pile, shapes or self.shapes, self.length, self.deletions, self.error, self.close, majors or self.majors, self.segments, self.ignore_deletion, self.ratio_reach)
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -56,11 +65,14 @@ class Sample:
     def tested(self, least: int, share: float, start: int = 0, end: int = 1_000_000, drop_deletions: bool = False) -> DataFrame:
         """Candidates above the threshold, with is_edge."""
         found = self.found(least, start, end)
-        if drop_deletions:
+        if drop_deletions or self.ignore_deletion:
             found = found.where("a1 <> '-' AND a2 <> '-'")
+        if self.deletions and least < LEAST_ROWS:
+            found = linkage.between_frequent(found, self.cells, LEAST_ROWS)
         rows = self.table(found).where(fits_threshold(F.col("o22"), F.col("reads"), least, share))
         test = short_read_edge if not self.deletions else has_edge
-        return rows.withColumn("is_edge", test(*(F.col(c) for c in ("o11", "o12", "o21", "o22", "reads")), self.length, self.error))
+        near = None if self.ratio_reach is None else F.col("p2") - F.col("p1") <= self.ratio_reach
+        return rows.withColumn("is_edge", test(*(F.col(c) for c in ("o11", "o12", "o21", "o22", "reads")), self.length, self.error, near))
 
     def edges(self, least: int, share: float, **options: object) -> DataFrame:
         return self.tested(least, share, **options).where("is_edge").drop("is_edge")
@@ -74,7 +86,7 @@ def short_sample(spark: SparkSession, sf_dir: str) -> Sample:
     """The derived short reads."""
     bounds = fixture.segments(spark, sf_dir).groupBy("read_id").agg(*[F.max(F.when(F.col("mate") == m, F.col(c))).alias(n) for m, c, n in ((0, "off", "l_off"), (0, "fin", "l_end"), (1, "off", "r_off"), (1, "fin", "r_end"))])
     shapes = bounds.select("read_id", "l_off", "l_end", F.coalesce("r_off", F.lit(-1)).alias("r_off"), F.coalesce("r_end", F.lit(-2)).alias("r_end"))
-    return Sample(fixture.pileup(spark, sf_dir), shapes, fixture.LENGTH, deletions=False, error=0.2)
+    return Sample(fixture.pileup(spark, sf_dir), shapes, fixture.LENGTH, deletions=False, error=0.2, segments=fixture.segment_reads(spark, sf_dir))
 
 
 def long_sample(spark: SparkSession, sf_dir: str) -> Sample:

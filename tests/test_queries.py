@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from strandweave.plans import catalogue
+from strandweave.plans import catalogue, pipelines
+from strandweave.plans.samples import short_sample
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SLOW = {"haplotypes_long", "haplotypes_short", "variants_short", "variants_long", "merged_cliques"}
@@ -31,15 +32,13 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert _sorted(found) == _sorted(expected)
 
 
-def test_common_reads_of_all_positions(spark, sf_dir, duck):
-    """Against the SQL of common_reads_long, asked for every position."""
-    chosen = " AND pos % 10 = 5"
-    sql = catalogue.oracle_sql()["common_reads_long"]
-    assert chosen in sql
-    expected = duck.execute(f"SELECT p1, p2, reads FROM ({sql.replace(chosen, '')}) q").fetchall()
-    found = [tuple(r) for r in catalogue.queries()["common_reads_long_all"](spark, sf_dir).select("p1", "p2", "reads").collect()]
-    assert len(found) == 7140
-    assert _sorted(found) == _sorted(expected)
+def test_deletions_decide_edges(spark, sf_dir):
+    """The deletions of a region are linked to each other whether or not reads link them, unless deletions are ignored."""
+    s = short_sample(spark, sf_dir)
+    gone = {(r["u"], r["v"]) for r in catalogue.edge_graph_short(spark, sf_dir).where("u LIKE '%-' AND v LIKE '%-'").collect()}
+    assert gone
+    s.ignore_deletion = True
+    assert pipelines.edge_graph(s, 10, 0.02, False).where("u LIKE '%-' OR v LIKE '%-'").count() == 0
 
 
 def test_every_sql_has_a_query():
@@ -54,7 +53,7 @@ def test_planted_frequencies_come_back(spark, sf_dir):
 
 def test_merged_cliques_are_the_planted_haplotypes(spark, sf_dir):
     found = {tuple(r["vs"].split(",")) for r in catalogue.merged_cliques(spark, sf_dir).collect()}
-    places = sorted(tuple(int(v[:6]) for v in vs) for vs in found)
+    places = sorted(tuple(int(v[:10]) for v in vs) for vs in found)
     assert places == [(12, 37, 55, 80, 108), (20, 37, 62, 90), (30, 48, 49, 50, 51, 75, 100)]
 
 

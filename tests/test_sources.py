@@ -113,8 +113,10 @@ def test_reports(spark):
 
 
 def test_options():
-    p = cli.Params.parse(["-m", "snv-pacbio", "-t", "x", "-tf", "0.01", "-rn", "-in", "f.sam"])
-    assert (p.m, p.t, p.tf, p.rn, p.in_) == ("snv-pacbio", 10, 0.01, True, "f.sam")
+    p = cli.Params.parse(["-m", "snv-pacbio", "-t", "x", "-tf", "0.01", "-log", "-in", "f.sam"])
+    assert (p.m, p.t, p.tf, p.log, p.in_) == ("snv-pacbio", 10, 0.01, True, "f.sam")
+    with pytest.raises(SystemExit, match="-rn"):
+        cli.Params.parse(["-m", "snv-pacbio", "-rn"])
 
 
 def test_long_run_from_a_file(spark, tmp_path):
