@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -158,3 +159,50 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert docs.select("doc_id").distinct().count() == spark.read.parquet(str(tmp_path / "suffix_dedup")).count() < seen
     kept = spark.read.parquet(str(tmp_path / "exact_dedup"))
     assert kept.selectExpr("regexp_replace(text, '[ \\\\t-\\\\r]', '') AS t").distinct().count() == kept.count()
+
+
+def test_filters_against_brute_force(spark, sf_dir):
+    """Which documents the exact and near filters keep, worked out over all pairs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text), []).append((-len(text), i))
+    kept = sorted(min(g)[1] for g in groups.values())
+    exact = corpus_pipeline.exact_filter(spark, docs, sf_dir).cache()
+    assert sorted(r["doc_id"] for r in exact.select("doc_id").collect()) == kept
+
+    texts = dict(rows)
+    sets = {}
+    for i in kept:
+        words = texts[i].lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    up = {i: i for i in kept}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in kept:
+        for b in kept:
+            both = len(sets[a] & sets[b])
+            if a < b and (both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    near = corpus_pipeline.near_filter(spark, exact, sf_dir)
+    assert sorted(r["doc_id"] for r in near.select("doc_id").collect()) == [i for i in kept if find(i) == i]
+
+
+def test_stages_take_odd_rows(spark, odd, sf_dir):
+    """Null and repeated ids, null and empty texts, clashing columns, and no rows at all."""
+    for docs in (odd, odd.where("1 = 0")):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, docs, sf_dir)
+            if name != "packing":
+                assert made.columns == corpus_pipeline.COLUMNS
+                assert made.count() <= n
+                assert n == 0 or made.where("doc_id IS NULL").count() > 0
+            else:
+                assert (made.count() == 0) == (n == 0)
