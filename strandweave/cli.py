@@ -90,8 +90,16 @@ def _name(path: str) -> str:
 def long_sample(spark: SparkSession, p: Params, close: int = 5) -> Sample:
     reads = text.long_reads(spark, p.in_)
     length = reads.select(F.max(F.length("seq"))).first()[0] or 0
-    shapes = reads.select("read_id", F.lit(0).alias("l_off"), F.lit(length - 1).alias("l_end"), F.lit(-1).alias("r_off"), F.lit(-2).alias("r_end"))
-    return Sample(pipelines.stored(pileup.explode_reads(reads.withColumn("off", F.lit(0)))), pipelines.stored(shapes), length, True, 0.1, close if p.cpt < 0 else p.cpt)
+    return _padded_sample(reads, length, close if p.cpt < 0 else p.cpt)
+
+
+def _padded_sample(reads: DataFrame, length: int, close: int) -> Sample:
+    """Of reads (read_id, seq) that N pads to one length."""
+    reads = pipelines.stored(reads)
+    off, body = pileup.known_letters(F.col("seq"))
+    pile = pileup.explode_reads(reads.withColumn("off", F.lit(0)))
+    inner = pileup.explode_reads(reads.select("read_id", off.alias("off"), body.alias("seq")))
+    return Sample(pipelines.stored(pile), pipelines.stored(pileup.padded_shapes(reads)), length, True, 0.1, close, inner=inner)
 
 
 def short_sample(spark: SparkSession, p: Params) -> Sample:
@@ -157,8 +165,7 @@ def imputation(spark: SparkSession, p: Params) -> None:
     for row in reads.select("sample").distinct().orderBy("sample").toLocalIterator():
         own = reads.where(F.col("sample") == row["sample"])
         length = own.select(F.max(F.length("seq"))).first()[0] or 0
-        shapes = own.select("read_id", F.lit(0).alias("l_off"), F.lit(length - 1).alias("l_end"), F.lit(-1).alias("r_off"), F.lit(-2).alias("r_end"))
-        sample = Sample(pipelines.stored(pileup.explode_reads(own.withColumn("off", F.lit(0)))), shapes, length, True, 0.1, 0)
+        sample = _padded_sample(own, length, 0)
         filled = pipelines.impute(sample, p.t, p.tf).orderBy("read_id").select("value")
         filled.write.mode("overwrite").text(f"{p.outDir}/{row['sample']}_imputed")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.storage import small
+
 
 def clique_strings(members: DataFrame, majors: DataFrame) -> DataFrame:
     """clique_id, pos and allele at every position that any clique has: its own allele, or the major one.
@@ -27,7 +29,7 @@ def assign_reads(cells: DataFrame, strings: DataFrame) -> DataFrame:
     """
     bare = strings.groupBy("clique_id").agg((F.max(F.col("is_snp").cast("int")) == 0).alias("bare"))
     table = strings.join(bare, "clique_id").select("clique_id", "pos", F.col("allele").alias("letter"), (F.col("is_snp") | F.col("bare")).cast("int").alias("counts"))
-    met = cells.where("allele <> 'N'").join(table, "pos")
+    met = cells.where("allele <> 'N'").join(small(table), "pos")
     sums = met.groupBy("read_id", "clique_id").agg(F.sum((F.col("allele") != F.col("letter")).cast("int")).alias("d"), F.sum("counts").alias("coincidences"))
     fit = sums.where("coincidences > 0 AND coincidences <> d")
     by_read = Window.partitionBy("read_id")
@@ -50,7 +52,8 @@ def low_quality_filter(cells: DataFrame, majors: DataFrame, snp_positions: DataF
     A mistake is a letter other than the major one, outside N and the positions of cliques.  Reads are ranked by
     counting how many have each number of mistakes; only the reads of one number of mistakes need an order among them.
     """
-    marked = cells.join(majors, "pos").join(snp_positions.select("pos").distinct().withColumn("snp", F.lit(True)), "pos", "left")
+    marks = majors.join(snp_positions.select("pos").distinct().withColumn("snp", F.lit(True)), "pos", "left")
+    marked = cells.join(small(marks), "pos")
     wrong = (F.col("allele") != F.col("major")) & (F.col("allele") != "N") & F.col("snp").isNull()
     mistakes = marked.groupBy("read_id").agg(F.least(F.count_if(wrong), F.lit(cap)).alias("mistakes"))
     counts = mistakes.groupBy("mistakes").agg(F.count(F.lit(1)).alias("n"))

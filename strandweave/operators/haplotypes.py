@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.operators.pileup import consensus, weighted_profile
-from strandweave.storage import stored
+from strandweave.storage import small, stored
 
 
 def cluster_haplotypes(cells: DataFrame, assignment: DataFrame, majors: DataFrame, start: int = 0, end: int = 1_000_000, floor: float = 0.01) -> DataFrame:
@@ -62,7 +62,7 @@ def read_likelihoods(cells: DataFrame, haplotypes: DataFrame, rate: float, n_is_
     for want of precision, which means that a read tells nothing.
     """
     differ = (F.col("allele") != F.col("letter")) & (F.lit(n_is_mismatch) | (F.col("allele") != "N"))
-    met = cells.join(haplotypes.select("hap_id", "pos", F.col("allele").alias("letter")), "pos")
+    met = cells.join(small(haplotypes.select("hap_id", "pos", F.col("allele").alias("letter"))), "pos")
     sums = met.groupBy("read_id", "hap_id").agg(F.least(F.count_if(differ), F.lit(cap)).alias("misses"), F.least(F.count(F.lit(1)), F.lit(longest)).alias("size"))
     if length is not None:
         sums = sums.withColumn("size", F.lit(length).cast("long"))
@@ -126,5 +126,5 @@ def vc_frequencies(snps: DataFrame, counts: DataFrame) -> DataFrame:
 
 def impute(cells: DataFrame, matches: DataFrame, haplotypes: DataFrame) -> DataFrame:
     """N cells of reads that have a haplotype get its letter; matches has read_id and hap_id."""
-    known = cells.join(matches, "read_id", "left").join(haplotypes.select("hap_id", "pos", F.col("allele").alias("letter")), ["hap_id", "pos"], "left")
+    known = cells.join(matches, "read_id", "left").join(small(haplotypes.select("hap_id", "pos", F.col("allele").alias("letter"))), ["hap_id", "pos"], "left")
     return known.select("read_id", "pos", F.when(F.col("allele") == "N", F.coalesce("letter", F.lit("N"))).otherwise(F.col("allele")).alias("allele"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.operators.pileup import covers
+from strandweave.storage import small, stored
 
 KEYS = ["p1", "a1", "p2", "a2"]
 
@@ -45,30 +45,50 @@ def shape_counts(shapes: DataFrame) -> DataFrame:
     return shapes.groupBy("l_off", "l_end", "r_off", "r_end").agg(F.count(F.lit(1)).alias("reads"))
 
 
-def common_by_shape(pairs: DataFrame, shape_sizes: DataFrame) -> DataFrame:
-    """p1, p2 and covered: reads whose shape covers both positions, whatever the letter.
+def _bounds(reads: Column) -> Column:
+    """q and delta: how the number of covering reads changes from position q on; mates that overlap are one range."""
+    span = lambda first, last: (F.struct(first.alias("q"), reads.alias("delta")), F.struct((last + 1).alias("q"), (-reads).alias("delta")))
+    left, right = span(F.col("l_off"), F.col("l_end")), span(F.col("r_off"), F.col("r_end"))
+    apart = (F.col("r_off") > F.col("l_end")) | (F.col("r_end") < F.col("l_off"))
+    one = span(F.least("l_off", "r_off"), F.greatest("l_end", "r_end"))
+    return F.when(F.col("r_off") < 0, F.array(*left)).when(apart, F.array(*left, *right)).otherwise(F.array(*one))
+
+
+def _covering(rows: DataFrame, keys: list[str], asked: DataFrame) -> DataFrame:
+    """keys, q and x: of the rows (keys with pos, reads and their shape), how many reads cover q too; asked has pos and q.
 
-    Reads meet the pairs by position: each shape is listed under the positions of pairs that it covers.
+    Shapes are summed as changes at their bounds and added up along q, so no row meets all positions that it covers.
     """
-    places = pairs.select(F.col("p1").alias("at")).distinct()
+    changes = rows.select(*keys, F.inline(_bounds(F.col("reads")))).groupBy(*keys, "q").agg(F.sum("delta").alias("delta"))
+    asks = changes.select(*keys).distinct().join(asked, "pos").select(*keys, "q", F.lit(0).cast("long").alias("delta"), F.lit(1).alias("ask"))
+    both = changes.withColumn("ask", F.lit(0)).unionByName(asks).groupBy(*keys, "q").agg(F.sum("delta").alias("delta"), F.max("ask").alias("ask"))
+    upto = F.sum("delta").over(Window.partitionBy(*keys).orderBy("q").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("x", upto).where("ask = 1 AND x > 0").select(*keys, "q", "x")
+
+
+def common_by_shape(pairs: DataFrame, shape_sizes: DataFrame) -> DataFrame:
+    """p1, p2 and covered: reads whose shape covers both positions, whatever the letter."""
+    asked = pairs.select(F.col("p1").alias("pos"), F.col("p2").alias("q"))
     spans = F.sequence("l_off", "l_end")
     spans = F.when(F.col("r_off") >= 0, F.array_union(spans, F.sequence("r_off", "r_end"))).otherwise(spans)
-    listed = shape_sizes.withColumn("at", F.explode(spans)).join(places, "at", "left_semi")
-    met = listed.join(pairs, F.col("at") == F.col("p1")).where(covers(F.col("p2")))
-    return met.groupBy("p1", "p2").agg(F.sum("reads").alias("covered"))
+    listed = shape_sizes.withColumn("pos", F.explode(spans)).join(asked.select("pos").distinct(), "pos", "left_semi")
+    return _covering(listed, ["pos"], asked).select(F.col("pos").alias("p1"), F.col("q").alias("p2"), F.col("x").alias("covered"))
 
 
 def _reaching(cells: DataFrame, shapes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """x(p, a; q): reads with a cell at one position of a pair whose shape covers the other one."""
-    grouped = cells.join(shapes, "read_id").groupBy("pos", "allele", "l_off", "l_end", "r_off", "r_end").agg(F.count(F.lit(1)).alias("reads"))
-    first = grouped.join(pairs, F.col("pos") == F.col("p1")).where(covers(F.col("p2"))).groupBy("p1", "p2", F.col("allele").alias("a1")).agg(F.sum("reads").alias("x"))
-    second = grouped.join(pairs, F.col("pos") == F.col("p2")).where(covers(F.col("p1"))).groupBy("p1", "p2", F.col("allele").alias("a2")).agg(F.sum("reads").alias("x"))
+    forth = pairs.select(F.col("p1").alias("pos"), F.col("p2").alias("q"))
+    asked = small(forth.union(forth.select("q", "pos")))
+    rows = cells.join(asked, "pos", "left_semi").join(shapes, "read_id").withColumn("reads", F.lit(1).cast("long"))
+    found = stored(_covering(rows, ["pos", "allele"], asked))
+    first = found.where("pos < q").select(F.col("pos").alias("p1"), F.col("q").alias("p2"), F.col("allele").alias("a1"), "x")
+    second = found.where("pos > q").select(F.col("q").alias("p1"), F.col("pos").alias("p2"), F.col("allele").alias("a2"), "x")
     return first, second
 
 
 def common_reads(pairs: DataFrame, cells: DataFrame, shapes: DataFrame, joint: DataFrame) -> DataFrame:
     """p1, p2 and reads: those with a letter other than N at both positions."""
-    gone = cells.where("allele = 'N'")
+    gone, pairs = cells.where("allele = 'N'"), small(pairs)
     first, second = _reaching(gone, shapes, pairs)
     both = joint.where("a1 = 'N' AND a2 = 'N'").select("p1", "p2", F.col("n").alias("nn"))
     out = common_by_shape(pairs, shape_counts(shapes))
@@ -79,7 +99,7 @@ def common_reads(pairs: DataFrame, cells: DataFrame, shapes: DataFrame, joint: D
 
 def linkage_table(found: DataFrame, cells: DataFrame, shapes: DataFrame, joint: DataFrame) -> DataFrame:
     """found (p1, a1, p2, a2, o22) with o11, o12, o21 and reads."""
-    pairs = found.select("p1", "p2").distinct()
+    pairs = small(found.select("p1", "p2").distinct())
     inside = joint.join(pairs, ["p1", "p2"], "left_semi")
     minor1, minor2 = F.col("a1") != "N", F.col("a2") != "N"
     n = F.col("n")

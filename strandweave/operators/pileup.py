@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.alleles import ALPHABET, allele_index, merged_left, overlaps, split_code
+from strandweave.storage import small
 
 
 def explode_reads(reads: DataFrame, seq: str = "seq", off: str = "off") -> DataFrame:
@@ -65,13 +66,13 @@ def profile_matrix(counts: DataFrame) -> DataFrame:
 
 def sparse(pile: DataFrame, majors: DataFrame) -> DataFrame:
     """The cells that are not major (minors and N), with the minor's split code (null for N)."""
-    rows = pile.join(majors, "pos").where("allele <> major")
+    rows = pile.join(small(majors), "pos").where("allele <> major")
     code = F.when(F.col("allele") != "N", split_code(F.col("pos"), F.col("allele"), F.col("major")))
     return rows.select("read_id", "pos", "allele", "major", code.alias("v"))
 
 
 def major_counts(pile: DataFrame, majors: DataFrame) -> DataFrame:
-    return pile.join(majors, "pos").groupBy("pos").agg(F.count_if(F.col("allele") == F.col("major")).alias("majors"))
+    return pile.join(small(majors), "pos").groupBy("pos").agg(F.count_if(F.col("allele") == F.col("major")).alias("majors"))
 
 
 def n_counts(pile: DataFrame) -> DataFrame:
@@ -95,8 +96,17 @@ def shapes(pairs: DataFrame) -> DataFrame:
     return pairs.select("read_id", "l_off", (F.col("l_off") + F.length("l") - 1).alias("l_end"), "r_off", F.when(F.col("r_off") >= 0, F.col("r_off") + F.length("r") - 1).otherwise(F.lit(-2)).alias("r_end"))
 
 
-def covers(pos: Column) -> Column:
-    return pos.between(F.col("l_off"), F.col("l_end")) | pos.between(F.col("r_off"), F.col("r_end"))
+def known_letters(seq: Column) -> tuple[Column, Column]:
+    """Where a padded read's first known letter is, and its letters without the N at both ends."""
+    body = F.ltrim(seq, F.lit("N"))
+    return (F.length(seq) - F.length(body)).cast("int"), F.rtrim(body, F.lit("N"))
+
+
+def padded_shapes(reads: DataFrame) -> DataFrame:
+    """Like `shapes`, of padded reads (read_id, seq); a read of N alone covers nothing, written as -1 to -1."""
+    off, body = known_letters(F.col("seq"))
+    known = F.length(body) > 0
+    return reads.select("read_id", F.when(known, off).otherwise(-1).alias("l_off"), F.when(known, off + F.length(body) - 1).otherwise(-1).alias("l_end"), F.lit(-1).alias("r_off"), F.lit(-2).alias("r_end"))
 
 
 def read_stats(pairs: DataFrame) -> DataFrame:

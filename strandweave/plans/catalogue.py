@@ -131,7 +131,7 @@ def common_reads_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 def common_reads_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all pairs of positions."""
     s = long_sample(spark, sf_dir)
-    gone = s.pile.where("allele = 'N'")
+    gone = s.inner.where("allele = 'N'")
     places = spark.range(fixture.LENGTH).select(F.col("id").cast("int").alias("pos"))
     pairs = places.select(F.col("pos").alias("p1")).join(places.select(F.col("pos").alias("p2")), F.col("p1") < F.col("p2"))
     return linkage.common_reads(pairs, gone, s.shapes, linkage.joint_counts(gone))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandweave.functions import linkage_tests
 from strandweave.operators import assign, deletions, graph, haplotypes, linkage, pileup
 from strandweave.plans.samples import Sample
-from strandweave.storage import stored
+from strandweave.storage import small, stored
 
 __all__ = ["stored"]
 
@@ -212,7 +212,7 @@ def long_haplotypes(sample: Sample, least: int, share: float, mode: str = "accur
     if quality_filter:
         places = graph.members(cliques).select("pos").distinct()
         good = stored(assign.low_quality_filter(sample.pile, sample.majors, places).select("read_id"))
-        second = sample.replaced(sample.pile.join(good, "read_id", "left_semi"), sample.shapes.join(good, "read_id", "left_semi"))
+        second = sample.only(good)
         cliques = stored(merged(second, edge_graph(second, least, share, True, **region), rate, mode, by_component))
     rows = [r for r in process_cliques(sample, cliques, LONG_RATE, True, least_reads=least_reads) if r["frequency"] > share]
     return Found(rows) if rows else default_haplotype(sample, "all haplotypes are of low frequency", 5)
@@ -299,7 +299,7 @@ def long_variants(sample: Sample, least: int, share: float) -> DataFrame:
 
 def containing_haplotype(cells: DataFrame, found: DataFrame, ranks: DataFrame) -> DataFrame:
     """read_id and hap_id: the first haplotype by rank that agrees with all known letters of a read."""
-    met = cells.join(found.select("hap_id", "pos", F.col("allele").alias("letter")), "pos")
+    met = cells.join(small(found.select("hap_id", "pos", F.col("allele").alias("letter"))), "pos")
     bad = met.groupBy("read_id", "hap_id").agg(F.count_if((F.col("allele") != "N") & (F.col("allele") != F.col("letter"))).alias("bad"))
     return bad.where("bad = 0").join(F.broadcast(ranks), "hap_id").groupBy("read_id").agg(F.min_by("hap_id", "rank").alias("hap_id"))
 

@@ -21,16 +21,23 @@ class Sample:
 
     deletions: whether `-` may be the consensus, and a minor. error and close: of the edge tests. segments: the reads'
     strings (off, seq), for runs of deletions. ignore_deletion: no `-` is a minor. ratio_reach: pairs further apart are
-    not linked by the ratio alone.
+    not linked by the ratio alone. inner: the pileup without cells that shapes do not cover, such as the N that pad a long
+    read, which no pair of cells needs.
     """
 
-    def __init__(self, pile: DataFrame, shapes: DataFrame, length: int, deletions: bool, error: float, close: int = 0, majors: DataFrame | None = None, segments: DataFrame | None = None, ignore_deletion: bool = False, ratio_reach: float | None = None):
+    def __init__(self, pile: DataFrame, shapes: DataFrame, length: int, deletions: bool, error: float, close: int = 0, majors: DataFrame | None = None, segments: DataFrame | None = None, ignore_deletion: bool = False, ratio_reach: float | None = None, inner: DataFrame | None = None):
         self.pile, self.shapes, self.length, self.deletions, self.error, self.close = pile, shapes, length, deletions, error, close
         self._majors, self.segments, self.ignore_deletion, self.ratio_reach = majors, segments, ignore_deletion, ratio_reach
+        self.inner = pile if inner is None else inner
 
-    def replaced(self, pile: DataFrame | None = None, shapes: DataFrame | None = None, majors: DataFrame | None = None) -> Sample:
-        """The same settings over other reads, or with another consensus."""
-        return Sample(pile or self.pile, shapes or self.shapes, self.length, self.deletions, self.error, self.close, majors or self.majors, self.segments, self.ignore_deletion, self.ratio_reach)
+    def replaced(self, majors: DataFrame) -> Sample:
+        """The same reads with another consensus."""
+        return Sample(self.pile, self.shapes, self.length, self.deletions, self.error, self.close, majors, self.segments, self.ignore_deletion, self.ratio_reach, self.inner)
+
+    def only(self, reads: DataFrame) -> Sample:
+        """The same settings and consensus over some of the reads (read_id)."""
+        part = lambda frame: frame.join(reads, "read_id", "left_semi")
+        return Sample(part(self.pile), part(self.shapes), self.length, self.deletions, self.error, self.close, self.majors, self.segments, self.ignore_deletion, self.ratio_reach, part(self.inner))
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -50,7 +57,7 @@ class Sample:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return stored(pileup.sparse(self.pile, self.majors).select("read_id", "pos", "allele"))
+        return stored(pileup.sparse(self.inner, self.majors).select("read_id", "pos", "allele"))
 
     @cached_property
     def joint(self) -> DataFrame:
@@ -90,7 +97,7 @@ def short_sample(spark: SparkSession, sf_dir: str) -> Sample:
 
 
 def long_sample(spark: SparkSession, sf_dir: str) -> Sample:
-    """The derived long reads; every read covers the whole reference, with N at its ends."""
-    pile = fixture.long_pileup(spark, sf_dir)
-    shapes = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("read_id"), F.lit(0).alias("l_off"), F.lit(fixture.LENGTH - 1).alias("l_end"), F.lit(-1).alias("r_off"), F.lit(-2).alias("r_end"))
-    return Sample(pile, shapes, fixture.LENGTH, deletions=True, error=0.1, close=5)
+    """The derived long reads, padded with N to the whole reference."""
+    first, last = fixture.long_bounds(F.col("o_orderkey"))
+    shapes = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("read_id"), first.alias("l_off"), last.alias("l_end"), F.lit(-1).alias("r_off"), F.lit(-2).alias("r_end"))
+    return Sample(fixture.long_pileup(spark, sf_dir), shapes, fixture.LENGTH, deletions=True, error=0.1, close=5, inner=fixture.long_pileup(spark, sf_dir, padded=False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.storage import spread
+
 LENGTH = 120
 
 #: The planted differences from the base, as (positions, shift of the base, deleted positions).
@@ -40,7 +42,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ((rid * 37) % 61).cast("int")
     single = F.array(F.struct(F.lit(0).alias("mate"), s.alias("off"), (s + 59).alias("fin")))
     paired = F.array(F.struct(F.lit(0).alias("mate"), s.alias("off"), (s + 24).alias("fin")), F.struct(F.lit(1).alias("mate"), (s + 35).alias("off"), (s + 59).alias("fin")))
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
     return orders.select(rid.alias("read_id"), F.col("o_custkey").alias("ck"), F.inline(F.when(rid % 3 == 0, single).otherwise(paired)))
 
 
@@ -71,12 +73,18 @@ def pair_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mates.select("read_id", "l", "l_off", F.coalesce("r", F.lit("")).alias("r"), F.coalesce("r_off", F.lit(-1)).alias("r_off"))
 
 
-def long_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same reads over all positions; up to 9 at each end are N."""
+def long_bounds(read_id: Column) -> tuple[Column, Column]:
+    """The first and last position that a long read reaches."""
+    return (read_id % 10).cast("int"), (LENGTH - 1 - read_id % 7).cast("int")
+
+
+def long_pileup(spark: SparkSession, sf_dir: str, padded: bool = True) -> DataFrame:
+    """The same reads over all positions; up to 9 at each end are N, left out unless padded."""
     rid = F.col("o_orderkey")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(rid.alias("read_id"), F.col("o_custkey").alias("ck"))
-    cells = orders.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(LENGTH - 1))))
-    ends = (F.col("pos") < F.col("read_id") % 10) | (F.col("pos") >= LENGTH - F.col("read_id") % 7)
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(rid.alias("read_id"), F.col("o_custkey").alias("ck")))
+    first, last = long_bounds(F.col("read_id"))
+    cells = orders.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(LENGTH - 1)) if padded else F.sequence(first, last)))
+    ends = ~F.col("pos").between(first, last)
     return cells.select("read_id", "pos", F.when(ends, F.lit("N")).otherwise(_noisy(F.col("read_id"), F.col("ck"), F.col("pos"))).alias("allele"))
 
 

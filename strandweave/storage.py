@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Most rows of a table that is sent to all executors; beyond it a join is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -16,3 +20,15 @@ def stored(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many parts as tasks run at once; for rows of which each becomes many."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, stored and counted; to be broadcast where it has at most limit rows."""
+    kept = stored(df)
+    return F.broadcast(kept) if kept.count() <= limit else kept
