@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandweave.functions import alleles, linkage_tests
+from strandweave.functions import alleles, binomial, linkage_tests
 from strandweave.operators import assign, deletions, graph, haplotypes, linkage, pileup
 from strandweave.plans import oracles, pipelines
 from strandweave.plans.samples import Sample, long_sample, short_sample
@@ -380,6 +380,76 @@ def near_duplicate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(merged, "haplotype string, frequency double")
 
 
+def letter_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k, alleles.digit_letter((k % 7).cast("string")).alias("letter"))
+
+
+def padded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.segment_reads(spark, sf_dir).select("read_id", "mate", alleles.padded(F.col("seq"), F.lit(70)).alias("padded"))
+
+
+def letters_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each read the letter at a position of its own, within a mate, in the gap or outside."""
+    reads = fixture.pair_reads(spark, sf_dir).withColumn("pos", (30 + F.col("read_id") % 60).cast("int"))
+    return reads.select("read_id", "pos", alleles.char_at(*(F.col(c) for c in ("l", "l_off", "r", "r_off", "pos"))).alias("letter"))
+
+
+def normalised_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of letters; every tenth position has a total of 0, which leaves the count."""
+    counts = coverage_counts_no_n(spark, sf_dir)
+    total = F.when(F.col("pos") % 10 == 0, 0).otherwise(F.sum("n").over(Window.partitionBy("pos")))
+    return counts.withColumn("total", total).select("pos", "allele", F.round(alleles.normalised(F.col("n"), F.col("total")), 9).alias("share"))
+
+
+def minus_log_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How unlikely each count is among its position's reads if letters were even."""
+    rows = coverage_counts(spark, sf_dir).withColumn("depth", F.sum("n").over(Window.partitionBy("pos")))
+    value = binomial.binomial_minus_log(F.col("n").cast("double"), F.col("depth").cast("double"), F.lit(0.25))
+    return rows.select("pos", "allele", "n", F.round(value, 3).alias("minus_log"))
+
+
+def edge_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _linked(short_sample(spark, sf_dir)).where("o22 / reads > 0.02")
+    p = linkage_tests.edge_p(*(F.col(c) for c in ("o11", "o12", "o21", "o22", "reads")), linkage_tests.SHORT_READ_ERROR)
+    return rows.select("p1", "a1", "p2", "a2", F.round(p, 9).alias("p"))
+
+
+def linked_variants_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked minors of the long reads, more than five positions apart and without deletions."""
+    return long_sample(spark, sf_dir).edges(LEAST, SHARE, drop_deletions=True)
+
+
+def heaviest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assign.top_clusters(assign.cluster_sizes(read_assignment(spark, sf_dir)), 3)
+    return rows.withColumn("weight", F.round("weight", 6))
+
+
+def cluster_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = short_sample(spark, sf_dir)
+    rows = haplotypes.strings(haplotypes.cluster_haplotypes(s.pile, pipelines.stored(_assigned(s)), s.majors))
+    return rows.select("clique_id", "haplotype", F.array_join("snps", ",").alias("snps"))
+
+
+def source_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.source_clique(fixture.truth(spark).withColumnRenamed("haplotype", "hap_id"), _planted(short_sample(spark, sf_dir)))
+
+
+def _planted_cliques(s: Sample) -> DataFrame:
+    own = _planted(s).where("pos is not null")
+    return own.groupBy("clique_id").agg(F.array_sort(F.collect_set(graph.vertex(F.col("pos"), F.col("allele")))).alias("vs"))
+
+
+def truth_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = short_sample(spark, sf_dir)
+    return pipelines.truth_mismatches(_planted_cliques(s), _cliques(_graph(s)))
+
+
+def missed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = short_sample(spark, sf_dir)
+    return pipelines.missed_edges(_planted_cliques(s), _graph(s), fixture.LENGTH)
+
+
 def haplotypes_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.long_haplotypes(long_sample(spark, sf_dir), LEAST, 0.02).frame(spark)
 
@@ -405,7 +475,8 @@ _QUERIES = (
     conflict_resolution, frequent_minor_candidates, deletion_regions, deletion_edges, fragment_length, most_covered_position, read_stats, snp_components,
     maximal_cliques, merged_cliques, clique_strings, merge_scores, subset_elimination, edge_graph_short, no_edge_pairs, read_assignment, cluster_sizes, low_quality_filter, read_likelihood,
     em_one_step, em_frequencies, vc_frequencies, vcf_rows, imputed_reads, hamming_pairs, string_difference, nearest_truth, smart_double, si_format,
-    near_duplicate_merge, haplotypes_long, haplotypes_short, variants_short, variants_long,
+    letter_digits, padded_segments, letters_at, normalised_counts, minus_log_chances, edge_chances, linked_variants_long, heaviest_clusters, cluster_haplotypes,
+    source_cliques, truth_mismatches, missed_edges, near_duplicate_merge, haplotypes_long, haplotypes_short, variants_short, variants_long,
 )
 
 

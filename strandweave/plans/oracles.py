@@ -203,6 +203,38 @@ _SELECTS = {
         s AS (SELECT g, pos, arg_min(allele, (-n, strpos('ACGT-N', allele))) AS allele FROM c GROUP BY g, pos),
         d AS (SELECT t.haplotype, s.g, count(*) FILTER (s.allele <> t.allele) AS distance FROM truth t JOIN s USING (pos) GROUP BY ALL)
         SELECT CAST(haplotype AS INT) AS haplotype, arg_min(g, (distance, g)) AS nearest, min(distance) AS distance, min(distance) = 0 AS found FROM d GROUP BY haplotype""",
+    "padded_segments": f"SELECT read_id, CAST(mate AS INT) AS mate, rpad(seq, 70, '%') AS padded FROM ({_SEG})",
+    "letters_at": "SELECT rid AS read_id, CAST(30 + rid % 60 AS INT) AS pos, coalesce(p.allele, 'N') AS letter FROM o LEFT JOIN pile p ON p.read_id = rid AND p.pos = 30 + rid % 60",
+    "normalised_counts": "SELECT pos, allele, round(CASE WHEN pos % 10 = 0 THEN (SELECT n::DOUBLE FROM counts c WHERE c.pos = l.pos AND c.allele = l.allele) ELSE freq END, 9) AS share FROM letters l",
+    "minus_log_chances": """, d AS (SELECT *, sum(n) OVER (PARTITION BY pos) AS depth FROM counts)
+        SELECT pos, allele, n, round(-(x.f - y.f - z.f + n*ln(0.25) + (depth - n)*ln(0.75)), 3) AS minus_log FROM d JOIN lf x ON x.k = depth JOIN lf y ON y.k = n JOIN lf z ON z.k = depth - n""",
+    "edge_chances": "SELECT p1, a1, p2, a2, round(CASE WHEN p > 1 THEN 1 WHEN coalesce(ratio > 0.2, true) THEN 0 WHEN p < 1e-12 THEN 0 ELSE coalesce(tail, 0) END, 9) AS p FROM rated LEFT JOIN tails USING (p1, a1, p2, a2)",
+    "linked_variants_long": """, lc AS (SELECT pos, arg_min(allele, (-n, strpos('ACGT-N', allele))) AS major FROM (SELECT pos, allele, count(*) AS n FROM lpile WHERE allele <> 'N' GROUP BY ALL) GROUP BY pos),
+        lm AS (SELECT read_id, pos, allele FROM lpile JOIN lc USING (pos) WHERE allele NOT IN (major, 'N', '-')),
+        lh AS (SELECT a.pos AS p1, a.allele AS a1, b.pos AS p2, b.allele AS a2, count(*) AS o22 FROM lm a JOIN lm b ON a.read_id = b.read_id AND b.pos - a.pos > 5 GROUP BY ALL HAVING count(*) >= 10),
+        lt AS (SELECT h.p1, h.a1, h.p2, h.a2, count(*) FILTER (x.allele = m.major AND y.allele = n.major) AS o11, count(*) FILTER (x.allele = m.major AND y.allele = a2) AS o12,
+            count(*) FILTER (x.allele = a1 AND y.allele = n.major) AS o21, o22, count(*) AS reads
+          FROM lh h JOIN lpile x ON x.pos = p1 JOIN lpile y ON y.read_id = x.read_id AND y.pos = p2 JOIN lc m ON m.pos = p1 JOIN lc n ON n.pos = p2 WHERE x.allele <> 'N' AND y.allele <> 'N' GROUP BY h.p1, h.a1, h.p2, h.a2, o22),
+        lr AS (SELECT *, o12*o21 / (o11*reads)::DOUBLE AS p, o22 / nullif(0.1*o11 + 0.9*(o12+o21), 0)::DOUBLE AS ratio FROM lt WHERE o22 / reads > 0.02),
+        ls AS (SELECT p1, a1, p2, a2, sum(exp(n.f - k.f - r.f + k.k*ln(p) + (reads-k.k)*ln(1-p))) AS tail FROM lr JOIN lf n ON n.k = reads JOIN lf k ON k.k > o22 AND k.k <= reads JOIN lf r ON r.k = reads - k.k WHERE p > 0 AND p < 1 GROUP BY ALL)
+        SELECT p1, a1, p2, a2, o11, o12, o21, o22, reads FROM lr LEFT JOIN ls USING (p1, a1, p2, a2) WHERE p <= 1 AND (p < 1e-12 OR coalesce(tail, 0) < 1e-7 / (120*119/2) OR coalesce(ratio > 0.1, true))""",
+    "heaviest_clusters": "SELECT CAST(clique_id AS INT) AS clique_id, count(*) AS reads, round(sum(1.0::DOUBLE / k), 6) AS weight FROM assigned GROUP BY clique_id HAVING count(*) > 10 ORDER BY sum(1.0::DOUBLE / k) DESC, clique_id LIMIT 3",
+    "cluster_haplotypes": """, w AS (SELECT clique_id, pos, allele, sum(1.0::DOUBLE / k) AS weight FROM pile JOIN assigned USING (read_id) GROUP BY ALL),
+        f AS (SELECT *, weight / sum(weight) OVER (PARTITION BY clique_id, pos) AS freq FROM w),
+        own AS (SELECT clique_id, pos, CASE WHEN max(freq) < 0.01 THEN 'N' ELSE arg_min(allele, (-freq, strpos('ACGT-N', allele))) END AS a FROM f WHERE allele <> 'N' GROUP BY clique_id, pos),
+        g AS (SELECT i.clique_id, c.pos, c.major, CASE WHEN a <> 'N' THEN a ELSE c.major END AS allele FROM (SELECT DISTINCT clique_id FROM assigned) i CROSS JOIN cons c LEFT JOIN own ON own.clique_id = i.clique_id AND own.pos = c.pos)
+        SELECT CAST(clique_id AS INT) AS clique_id, string_agg(allele, '' ORDER BY pos) AS haplotype, coalesce(string_agg(pos || ':' || allele, ',' ORDER BY pos) FILTER (allele <> major), '') AS snps FROM g GROUP BY clique_id""",
+    "source_cliques": """, hit AS (SELECT t.haplotype, m.clique_id, count(*) AS hits FROM truth t JOIN pm m ON m.pos = t.pos AND m.allele = t.allele GROUP BY ALL),
+        sz AS (SELECT i.clique_id, count(pm.pos) AS size FROM ids i LEFT JOIN pm ON pm.clique_id = i.clique_id GROUP BY i.clique_id),
+        whole AS (SELECT haplotype, arg_min(clique_id, (-size, clique_id)) AS clique_id FROM hit JOIN sz USING (clique_id) WHERE hits = size GROUP BY haplotype)
+        SELECT CAST(h.haplotype AS INT) AS hap_id, CAST(coalesce(clique_id, (SELECT min(clique_id) FROM sz WHERE size = 0)) AS INT) AS clique_id FROM (SELECT DISTINCT haplotype FROM truth) h LEFT JOIN whole ON whole.haplotype = h.haplotype""",
+    "truth_mismatches": """, tv AS (SELECT clique_id, printf('%010d%s', pos, allele) AS v FROM pm),
+        hit AS (SELECT tv.clique_id AS t, m.clique_id AS c, count(*) AS hits FROM tv JOIN member m ON m.v = tv.v GROUP BY ALL),
+        best AS (SELECT t, max(hits) AS hits FROM hit GROUP BY t)
+        SELECT CAST(z.clique_id AS INT) AS truth, z.size - coalesce(hits, 0) AS missing FROM (SELECT clique_id, count(*) AS size FROM tv GROUP BY clique_id) z LEFT JOIN best ON t = z.clique_id""",
+    "missed_edges": """, tv AS (SELECT clique_id, pos, allele, printf('%010d%s', pos, allele) AS v FROM pm)
+        SELECT DISTINCT a.v AS u, b.v AS v FROM tv a JOIN tv b ON a.clique_id = b.clique_id AND a.v < b.v
+        WHERE b.pos - a.pos <= 120 AND NOT (a.allele = '-' AND b.allele = '-') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.u = a.v AND e.v = b.v)""",
     "no_edge_pairs": """, vx AS (SELECT DISTINCT p1 AS pos, a1 AS allele FROM edges UNION SELECT p2, a2 FROM edges),
         pr AS (SELECT x.pos AS p1, x.allele AS a1, y.pos AS p2, y.allele AS a2 FROM vx x JOIN vx y ON x.pos < y.pos),
         tb AS (SELECT pr.*, count(*) AS reads, count(*) FILTER (x.allele = m.major AND y.allele = n.major) AS o11, count(*) FILTER (x.allele = a1 AND y.allele = a2) AS o22
@@ -224,6 +256,7 @@ _SELECTS = {
 }
 
 _PLAIN = {
+    "letter_digits": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 5 THEN substr('ACGT-', CAST(o_orderkey % 7 + 1 AS INT), 1) ELSE 'N' END AS letter FROM orders",
     "cigar_projection": """WITH t AS (SELECT l_orderkey, l_linenumber, l_orderkey + l_linenumber AS k, substr(repeat('ACGTTGCATTAGC', 6), CAST(1 + l_partkey % 13 AS INT), 60) AS seq FROM lineitem),
         n AS (SELECT *, CAST(k % 4 AS INT) AS a, CAST(10 + k % 7 AS INT) AS b, CAST(1 + k % 3 AS INT) AS c, 12 AS d, CAST(1 + k % 5 AS INT) AS e FROM t)
         SELECT l_orderkey, l_linenumber, repeat('-', a) || substr(seq, a+1, b) || substr(seq, a+b+c+1, d) || repeat('-', e) || substr(seq, a+b+c+d+1, 60-a-b-c-d) AS projected FROM n""",
