@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from strandweave.plans import catalogue, pipelines
-from strandweave.plans.samples import short_sample
+from strandweave.plans.samples import long_sample, short_sample
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SLOW = {"haplotypes_long", "haplotypes_short", "variants_short", "variants_long", "merged_cliques"}
@@ -57,6 +57,13 @@ def test_merged_cliques_are_the_planted_haplotypes(spark, sf_dir):
     assert places == [(12, 37, 55, 80, 108), (20, 37, 62, 90), (30, 48, 49, 50, 51, 75, 100)]
 
 
+def test_long_reads_bring_back_all_planted_haplotypes(spark, sf_dir):
+    """Without the low-quality filter, which takes the deletions of the rarest haplotype for mistakes."""
+    rows = pipelines.long_haplotypes(long_sample(spark, sf_dir), 10, 0.02, quality_filter=False).rows
+    assert [[int(s.split(":")[0]) for s in r["snps"]] for r in rows] == [[], [12, 37, 55, 80, 108], [20, 37, 62, 90], [30, 48, 49, 50, 51, 75, 100]]
+    assert all(abs(r["frequency"] - share) < 0.04 for r, share in zip(rows, (0.5, 0.25, 0.15, 0.1), strict=True))
+
+
 def test_windowed_haplotypes_find_the_planted_ones(spark, sf_dir):
     rows = catalogue.haplotypes_short(spark, sf_dir).collect()
     assert {len(r["haplotype"]) for r in rows} == {120}
