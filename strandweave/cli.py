@@ -112,7 +112,7 @@ def short_sample(spark: SparkSession, p: Params) -> Sample:
     # In samples of single reads mostly, the ratio alone links only what lies well within a read.
     single = pileup.read_stats(pairs).first()["single_read"]
     reach = 0.8 * (p.fl if p.fl > 0 else pileup.fragment_length(pairs, length).first()["fragment_length"]) if single else None
-    return Sample(pipelines.stored(pileup.explode_reads(both(merged))), pipelines.stored(pileup.shapes(merged)), length, False, p.re, max(p.cpt, 0), before.majors, both(merged), p.ignoreDeletion, reach)
+    return Sample(pipelines.stored(pileup.explode_reads(both(merged))), pipelines.stored(pileup.shapes(merged)), length, False, p.re, max(p.cpt, 0), before.majors, lambda: both(merged), p.ignoreDeletion, reach)
 
 
 def _report(spark: SparkSession, p: Params, found: pipelines.Found) -> None:

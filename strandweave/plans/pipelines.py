@@ -168,7 +168,7 @@ def edge_graph(sample: Sample, least: int, share: float, long_reads: bool, top:
     rows = rows.select(*linkage.KEYS)
     if not long_reads and not sample.ignore_deletion and sample.segments is not None:
         gone = F.lit("-")
-        runs = deletions.deletion_edges(deletions.deletion_regions(sample.segments, least))
+        runs = deletions.deletion_edges(deletions.deletion_regions(sample.segments(), least))
         rows = rows.union(runs.select("p1", gone.alias("a1"), "p2", gone.alias("a2"))).distinct()
     pruned = linkage.prune_second_minors(stored(rows), sample.frequencies, deletions_only=not long_reads)
     return stored(pruned.select(graph.vertex(F.col("p1"), F.col("a1")).alias("u"), graph.vertex(F.col("p2"), F.col("a2")).alias("v")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +20,13 @@ LEAST_ROWS = 10
 class Sample:
     """A pileup with what follows from it; each frame is made once, and those that many others read are stored.
 
-    deletions: whether `-` may be the consensus, and a minor. error and close: of the edge tests. segments: the reads'
-    strings (off, seq), for runs of deletions. ignore_deletion: no `-` is a minor. ratio_reach: pairs further apart are
+    deletions: whether `-` may be the consensus, and a minor. error and close: of the edge tests. segments: gives the
+    reads' strings (off, seq), for runs of deletions. ignore_deletion: no `-` is a minor. ratio_reach: pairs further apart are
     not linked by the ratio alone. inner: the pileup without cells that shapes do not cover, such as the N that pad a long
     read, which no pair of cells needs.
     """
 
-    def __init__(self, pile: DataFrame, shapes: DataFrame, length: int, deletions: bool, error: float, close: int = 0, majors: DataFrame | None = None, segments: DataFrame | None = None, ignore_deletion: bool = False, ratio_reach: float | None = None, inner: DataFrame | None = None):
+    def __init__(self, pile: DataFrame, shapes: DataFrame, length: int, deletions: bool, error: float, close: int = 0, majors: DataFrame | None = None, segments: Callable[[], DataFrame] | None = None, ignore_deletion: bool = False, ratio_reach: float | None = None, inner: DataFrame | None = None):
         self.pile, self.shapes, self.length, self.deletions, self.error, self.close = pile, shapes, length, deletions, error, close
         self._majors, self.segments, self.ignore_deletion, self.ratio_reach = majors, segments, ignore_deletion, ratio_reach
         self.inner = pile if inner is None else inner
@@ -91,9 +92,7 @@ class Sample:
 
 def short_sample(spark: SparkSession, sf_dir: str) -> Sample:
     """The derived short reads."""
-    bounds = fixture.segments(spark, sf_dir).groupBy("read_id").agg(*[F.max(F.when(F.col("mate") == m, F.col(c))).alias(n) for m, c, n in ((0, "off", "l_off"), (0, "fin", "l_end"), (1, "off", "r_off"), (1, "fin", "r_end"))])
-    shapes = bounds.select("read_id", "l_off", "l_end", F.coalesce("r_off", F.lit(-1)).alias("r_off"), F.coalesce("r_end", F.lit(-2)).alias("r_end"))
-    return Sample(fixture.pileup(spark, sf_dir), shapes, fixture.LENGTH, deletions=False, error=0.2, segments=fixture.segment_reads(spark, sf_dir))
+    return Sample(fixture.pileup(spark, sf_dir), fixture.shapes(spark, sf_dir), fixture.LENGTH, deletions=False, error=0.2, segments=lambda: fixture.segment_reads(spark, sf_dir))
 
 
 def long_sample(spark: SparkSession, sf_dir: str) -> Sample:

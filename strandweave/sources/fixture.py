@@ -46,6 +46,15 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(rid.alias("read_id"), F.col("o_custkey").alias("ck"), F.inline(F.when(rid % 3 == 0, single).otherwise(paired)))
 
 
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id, l_off, l_end, r_off and r_end (inclusive) of each read; a single one has -1 and -2 on the right."""
+    rid = F.col("o_orderkey")
+    s = ((rid * 37) % 61).cast("int")
+    single = rid % 3 == 0
+    ends = F.when(single, s + 59).otherwise(s + 24), F.when(single, -1).otherwise(s + 35), F.when(single, -2).otherwise(s + 59)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(rid.alias("read_id"), s.alias("l_off"), *(c.alias(n) for c, n in zip(ends, ("l_end", "r_off", "r_end"), strict=True)))
+
+
 def _noisy(read_id: Column, ck: Column, pos: Column) -> Column:
     noise = (read_id * 7919 + pos * 104729 + read_id * pos) % 1009
     b = base_index(pos)
