@@ -20,10 +20,6 @@ from strandweave.sources import text, writers
 
 log = logging.getLogger(__name__)
 
-#: Options that would change results or reports and are not there: refused rather than ignored.
-REFUSED = {"rn", "filter", "addFnedges"}
-
-
 @dataclass(frozen=True)
 class Params:
     """Settings of a run, by option; -x without a value means true, and a value that is no number keeps the default."""
@@ -51,6 +47,9 @@ class Params:
     answer: str = ""
     tl: int = 10_800
     firstOnly: bool = False
+    rn: bool = False
+    filter: bool = False
+    addFnedges: bool = False
     log: bool = False
 
     @staticmethod
@@ -65,8 +64,6 @@ class Params:
             else:
                 given[name] = "true"
             i += 1
-        if refused := sorted(given.keys() & REFUSED):
-            raise SystemExit(f"not supported: {', '.join('-' + n for n in refused)}")
         values: dict[str, object] = {}
         for f in fields(Params):
             raw = given.get(f.name.rstrip("_"))
@@ -88,14 +85,13 @@ def _name(path: str) -> str:
 
 
 def long_sample(spark: SparkSession, p: Params, close: int = 5) -> Sample:
-    reads = text.long_reads(spark, p.in_)
+    reads = pipelines.stored(text.long_reads(spark, p.in_))
     length = reads.select(F.max(F.length("seq"))).first()[0] or 0
-    return _padded_sample(reads, length, close if p.cpt < 0 else p.cpt)
+    return _padded_sample(reads, length, close if p.cpt < 0 else p.cpt).named(reads)
 
 
 def _padded_sample(reads: DataFrame, length: int, close: int) -> Sample:
-    """Of reads (read_id, seq) that N pads to one length."""
-    reads = pipelines.stored(reads)
+    """Of stored reads (read_id, seq) that N pads to one length."""
     off, body = pileup.known_letters(F.col("seq"))
     pile = pileup.explode_reads(reads.withColumn("off", F.lit(0)))
     inner = pileup.explode_reads(reads.select("read_id", off.alias("off"), body.alias("seq")))
@@ -112,7 +108,17 @@ def short_sample(spark: SparkSession, p: Params) -> Sample:
     # In samples of single reads mostly, the ratio alone links only what lies well within a read.
     single = pileup.read_stats(pairs).first()["single_read"]
     reach = 0.8 * (p.fl if p.fl > 0 else pileup.fragment_length(pairs, length).first()["fragment_length"]) if single else None
-    return Sample(pipelines.stored(pileup.explode_reads(both(merged))), pipelines.stored(pileup.shapes(merged)), length, False, p.re, max(p.cpt, 0), before.majors, lambda: both(merged), p.ignoreDeletion, reach)
+    return Sample(pipelines.stored(pileup.explode_reads(both(merged))), pipelines.stored(pileup.shapes(merged)), length, False, p.re, max(p.cpt, 0), before.majors, lambda: both(merged), p.ignoreDeletion, reach).named(pairs)
+
+
+def _cells(rows: DataFrame, key: str) -> DataFrame:
+    """key, pos and allele of the strings seq."""
+    return rows.select(key, F.posexplode(F.split("seq", "")).alias("pos", "allele"))
+
+
+def _truth(spark: SparkSession, p: Params) -> DataFrame:
+    """truth (ordered as in the file), pos and allele of the haplotypes of the FASTA file that -answer names."""
+    return _cells(text.fasta(spark, p.answer).withColumnRenamed("read_id", "truth"), "truth")
 
 
 def _report(spark: SparkSession, p: Params, found: pipelines.Found) -> None:
@@ -131,13 +137,17 @@ def haplotypes(spark: SparkSession, p: Params, long_reads: bool) -> pipelines.Fo
         if long_reads:
             found = pipelines.long_haplotypes(sample, p.t, p.tf, p.cm, p.lowQFilter, **settings)
         else:
-            found = pipelines.short_haplotypes(sample, p.t, p.tf, p.cm, fragment=p.fl if p.fl > 0 else None, **settings)
+            truth = _truth(spark, p) if p.answer and p.addFnedges else None
+            found = pipelines.short_haplotypes(sample, p.t, p.tf, p.cm, fragment=p.fl if p.fl > 0 else None, recombinations=not p.filter, truth=truth, **settings)
     except PythonException as error:  # for a graph that is too dense the consensus stands, with the error beside it
         if graph.TOO_DENSE not in str(error):
             raise
         log.exception("the graph is too dense")
         found = pipelines.default_haplotype(sample, str(error), 6)
     _report(spark, p, found)
+    if p.rn:
+        lines = writers.read_name_lines(found.frame(spark), found.assigned, sample.names, _name(p.in_), p.fdf)
+        lines.write.mode("overwrite").text(f"{p.outDir}/{_name(p.in_)}_read_names")
     return found
 
 
@@ -172,9 +182,8 @@ def imputation(spark: SparkSession, p: Params) -> None:
 
 def check_answer(spark: SparkSession, p: Params, found: pipelines.Found) -> DataFrame:
     """truth, result, distance and found, against the haplotypes of a FASTA file."""
-    cells = lambda rows, key: rows.select(key, F.posexplode(F.split("seq", "")).alias("pos", "allele"))
-    truth = cells(text.fasta(spark, p.answer).withColumnRenamed("name", "truth"), "truth")
-    results = cells(spark.createDataFrame([(i, r["haplotype"]) for i, r in enumerate(found.rows)], "result int, seq string"), "result")
+    truth = _cells(text.fasta(spark, p.answer).withColumnRenamed("name", "truth"), "truth")
+    results = _cells(spark.createDataFrame([(i, r["haplotype"]) for i, r in enumerate(found.rows)], "result int, seq string"), "result")
     return pipelines.nearest_results(truth, results)
 
 

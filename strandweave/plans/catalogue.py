@@ -445,6 +445,13 @@ def truth_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.truth_mismatches(_planted_cliques(s), _cliques(_graph(s)))
 
 
+def clique_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each clique of the short reads' graph, the planted haplotype that lacks fewest of its SNPs."""
+    s = short_sample(spark, sf_dir)
+    rows = pipelines.clique_mismatches(_cliques(_graph(s)), _planted_cliques(s))
+    return rows.select("clique_id", "size", "truth", "mismatches")
+
+
 def missed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = short_sample(spark, sf_dir)
     return pipelines.missed_edges(_planted_cliques(s), _graph(s), fixture.LENGTH)
@@ -476,7 +483,7 @@ _QUERIES = (
     maximal_cliques, merged_cliques, clique_strings, merge_scores, subset_elimination, edge_graph_short, no_edge_pairs, read_assignment, cluster_sizes, low_quality_filter, read_likelihood,
     em_one_step, em_frequencies, vc_frequencies, vcf_rows, imputed_reads, hamming_pairs, string_difference, nearest_truth, smart_double, si_format,
     letter_digits, padded_segments, letters_at, normalised_counts, minus_log_chances, edge_chances, linked_variants_long, heaviest_clusters, cluster_haplotypes,
-    source_cliques, truth_mismatches, missed_edges, near_duplicate_merge, haplotypes_long, haplotypes_short, variants_short, variants_long,
+    source_cliques, truth_mismatches, clique_mismatches, missed_edges, near_duplicate_merge, haplotypes_long, haplotypes_short, variants_short, variants_long,
 )
 
 

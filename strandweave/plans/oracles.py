@@ -232,6 +232,11 @@ _SELECTS = {
         hit AS (SELECT tv.clique_id AS t, m.clique_id AS c, count(*) AS hits FROM tv JOIN member m ON m.v = tv.v GROUP BY ALL),
         best AS (SELECT t, max(hits) AS hits FROM hit GROUP BY t)
         SELECT CAST(z.clique_id AS INT) AS truth, z.size - coalesce(hits, 0) AS missing FROM (SELECT clique_id, count(*) AS size FROM tv GROUP BY clique_id) z LEFT JOIN best ON t = z.clique_id""",
+    "clique_mismatches": """, tv AS (SELECT clique_id, printf('%010d%s', pos, allele) AS v FROM pm),
+        hit AS (SELECT m.clique_id AS c, tv.clique_id AS t, count(*) AS hits FROM member m JOIN tv ON tv.v = m.v GROUP BY ALL),
+        best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY c ORDER BY hits DESC, t) = 1),
+        z AS (SELECT clique_id, count(*) AS size FROM member GROUP BY clique_id)
+        SELECT z.clique_id, CAST(z.size AS INT) AS size, CAST(t AS INT) AS truth, CAST(z.size - coalesce(hits, 0) AS INT) AS mismatches FROM z LEFT JOIN best ON c = z.clique_id""",
     "missed_edges": """, tv AS (SELECT clique_id, pos, allele, printf('%010d%s', pos, allele) AS v FROM pm)
         SELECT DISTINCT a.v AS u, b.v AS v FROM tv a JOIN tv b ON a.clique_id = b.clique_id AND a.v < b.v
         WHERE b.pos - a.pos <= 120 AND NOT (a.allele = '-' AND b.allele = '-') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.u = a.v AND e.v = b.v)""",

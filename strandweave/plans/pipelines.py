@@ -27,15 +27,19 @@ UNLINKED_P, INDUCED_P, INDUCED_BETWEEN_P = 0.01, 1e-6, 5e-5
 
 @dataclass
 class Found:
-    """Haplotypes of a sample, most frequent first: haplotype, snps, source and frequency."""
+    """Haplotypes of a sample, most frequent first: haplotype, snps, source, frequency and cliques.
+
+    assigned: read_id and clique_id of the reads behind them, several rows for a read that ties.
+    """
 
     rows: list[dict] = field(default_factory=list)
     error: str = ""
     code: int = 0
+    assigned: DataFrame | None = None
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        made = [(i, r["haplotype"], r["frequency"], r["snps"], r["source"]) for i, r in enumerate(self.rows)]
-        return spark.createDataFrame(made, "rank int, haplotype string, frequency double, snps array<string>, source array<string>")
+        made = [(i, r["haplotype"], r["frequency"], r["snps"], r["source"], r.get("cliques", [])) for i, r in enumerate(self.rows)]
+        return spark.createDataFrame(made, "rank int, haplotype string, frequency double, snps array<string>, source array<string>, cliques array<long>")
 
 
 def default_haplotype(sample: Sample, error: str = "", code: int = 0) -> Found:
@@ -119,7 +123,7 @@ def transitive(sample: Sample, edges: DataFrame) -> DataFrame:
     return kept.select("u", "v")
 
 
-def process_cliques(sample: Sample, cliques: DataFrame, rate: float, long_reads: bool, with_consensus: bool = True, least_reads: int = CLUSTER_READS, start: int = 0, end: int = 1_000_000) -> list[dict]:
+def process_cliques(sample: Sample, cliques: DataFrame, rate: float, long_reads: bool, with_consensus: bool = True, least_reads: int = CLUSTER_READS, start: int = 0, end: int = 1_000_000) -> Found:
     """Haplotypes of the clusters around cliques and their frequencies, most frequent first."""
     spark = sample.pile.sparkSession
     members = graph.members(cliques).select("clique_id", "pos", "allele")
@@ -127,7 +131,7 @@ def process_cliques(sample: Sample, cliques: DataFrame, rate: float, long_reads:
         members = members.union(spark.createDataFrame([(-1, None, None)], "clique_id long, pos int, allele string"))
     members = stored(members)
     if members.limit(1).count() == 0:
-        return []
+        return Found()
     strings = assign.clique_strings(members, sample.majors)
     assigned = stored(assign.assign_reads(sample.pile, strings))
     if members.where("pos is not null").limit(1).count() == 0:  # the consensus alone has all reads
@@ -154,7 +158,7 @@ def process_cliques(sample: Sample, cliques: DataFrame, rate: float, long_reads:
         freq = haplotypes.em_frequencies(liks.where(F.col("hap_id") != bare[0]))
     made = [{"haplotype": rows[k]["haplotype"], "frequency": f, "snps": list(rows[k]["snps"]), "source": names.get(sources.get(k), []), "cliques": list(rows[k]["cliques"])} for k, f in freq.items()]
     made.sort(key=lambda r: (-r["frequency"], r["haplotype"]))
-    return made if long_reads else [r for r in made if r["frequency"] > SHORT_CUT]
+    return Found(made if long_reads else [r for r in made if r["frequency"] > SHORT_CUT], assigned=assigned)
 
 
 def edge_graph(sample: Sample, least: int, share: float, long_reads: bool, top: int | None = None, **options: object) -> DataFrame:
@@ -214,8 +218,9 @@ def long_haplotypes(sample: Sample, least: int, share: float, mode: str = "accur
         good = stored(assign.low_quality_filter(sample.pile, sample.majors, places).select("read_id"))
         second = sample.only(good)
         cliques = stored(merged(second, edge_graph(second, least, share, True, **region), rate, mode, by_component))
-    rows = [r for r in process_cliques(sample, cliques, LONG_RATE, True, least_reads=least_reads) if r["frequency"] > share]
-    return Found(rows) if rows else default_haplotype(sample, "all haplotypes are of low frequency", 5)
+    found = process_cliques(sample, cliques, LONG_RATE, True, least_reads=least_reads)
+    rows = [r for r in found.rows if r["frequency"] > share]
+    return Found(rows, assigned=found.assigned) if rows else default_haplotype(sample, "all haplotypes are of low frequency", 5)
 
 
 def windows(depth: dict[int, int], start: int, end: int, size: int) -> list[tuple[int, int]]:
@@ -242,8 +247,20 @@ def windows(depth: dict[int, int], start: int, end: int, size: int) -> list[tupl
     return out
 
 
-def short_haplotypes(sample: Sample, least: int, share: float, mode: str = "accurate", start: int = 0, end: int = 1_000_000, fragment: int | None = None, non_edge_rate: float | None = None, by_component: bool = True) -> Found:
-    """Windows of a fragment's length, each with the edges inside it and within haplotypes found before."""
+def without_recombinations(rows: list[dict], low: int, high: int) -> list[dict]:
+    """The first of the haplotypes whose sources have the same SNPs between low and high, both in."""
+    first: dict[frozenset, dict] = {}
+    for r in rows:
+        first.setdefault(frozenset(s for s in r["source"] if low <= int(s.split(":")[0]) <= high), r)
+    return list(first.values())
+
+
+def short_haplotypes(sample: Sample, least: int, share: float, mode: str = "accurate", start: int = 0, end: int = 1_000_000, fragment: int | None = None, non_edge_rate: float | None = None, by_component: bool = True, recombinations: bool = True, truth: DataFrame | None = None) -> Found:
+    """Windows of a fragment's length, each with the edges inside it and within haplotypes found before.
+
+    recombinations: whether haplotypes that are equal outside the working window, in what was processed before, all stay.
+    truth: position and letter of true haplotypes (truth, pos, allele), whose edges within a fragment are added.
+    """
     end = min(end, sample.length - 1)
     rate = share if non_edge_rate is None else non_edge_rate
     sample = rotated(sample, least, share)
@@ -258,22 +275,30 @@ def short_haplotypes(sample: Sample, least: int, share: float, mode: str = "accu
                 break
         if fragment > 0.8 * (end - start):
             fragment = sample.length
+    if truth is not None:
+        known = true_cliques(truth.where(F.col("pos").between(start, end)), sample.majors)
+        edges = stored(edges.union(missed_edges(known, edges, fragment)))
     depth = {r["pos"]: r["depth"] for r in sample.counts.groupBy("pos").agg(F.sum("n").alias("depth")).collect()}  # one row a position
     rows: list[dict] = []
+    done, last = None, Found()
     for low, high in windows(depth, start, end, fragment):
+        done = (low, high) if done is None else (min(low, done[0]), max(high, done[1]))
         inside = lambda c: graph.vertex_pos(F.col(c)).between(low, high)  # noqa: B023, E731
         known = edges.sparkSession.createDataFrame([(i, v) for i, r in enumerate(rows) for v in _vertices(r["snps"])], "hap int, v string")
         both = edges.join(known.select(F.col("v").alias("u"), "hap"), "u").join(known.select("v", F.col("hap").alias("other")), "v").where("hap = other").select("u", "v")
         one = edges.join(known.select(F.col("v").alias("u")).distinct(), "u", "left_semi").where(inside("v")).union(edges.join(known.select("v").distinct(), "v", "left_semi").where(inside("u")).select("u", "v"))
         part = stored(edges.where(inside("u") & inside("v")).union(both).union(one).distinct())
         cliques = _resolved(sample, merged(sample, part, rate, mode, by_component, fragment))
-        found = process_cliques(sample, cliques, SHORT_RATE, False, start=start, end=end)
-        near = dict(haplotypes.merge_near([(r["haplotype"], r["frequency"]) for r in found]))
-        rows = [r | {"frequency": near[r["haplotype"]]} for r in found if near.get(r["haplotype"], 0.0) > share / 2]
+        last = process_cliques(sample, cliques, SHORT_RATE, False, start=start, end=end)
+        near = dict(haplotypes.merge_near([(r["haplotype"], r["frequency"]) for r in last.rows]))
+        rows = [r | {"frequency": near[r["haplotype"]]} for r in last.rows if near.get(r["haplotype"], 0.0) > share / 2]
+        outside = (high, done[1]) if low == done[0] else (done[0], low)
+        if not recombinations and outside[0] != outside[1]:
+            rows = without_recombinations(rows, *outside)
         closed = [(a, b) for r in rows for a in _vertices(r["source"]) for b in _vertices(r["source"]) if a < b]
         if closed:
             edges = stored(edges.union(edges.sparkSession.createDataFrame(closed, "u string, v string")).distinct())
-    return Found([r for r in rows if r["frequency"] > share])
+    return Found([r for r in rows if r["frequency"] > share], assigned=last.assigned)
 
 
 def _vertices(snps: list[str]) -> list[str]:
@@ -289,7 +314,7 @@ def short_variants(sample: Sample, least: int, share: float, top: int = TOP_EDGE
     """pos, allele, freq, alleles and corrected of the SNPs of all haplotypes, from cliques that are not merged."""
     sample = rotated(sample, least, share)
     cliques = stored(graph.numbered(graph.maximal_cliques(edge_graph(sample, least, share, False, top))))
-    return haplotypes.vc_frequencies(_called(sample, process_cliques(sample, cliques, SHORT_RATE, False)), sample.counts)
+    return haplotypes.vc_frequencies(_called(sample, process_cliques(sample, cliques, SHORT_RATE, False).rows), sample.counts)
 
 
 def long_variants(sample: Sample, least: int, share: float) -> DataFrame:
@@ -332,6 +357,24 @@ def truth_mismatches(truth: DataFrame, cliques: DataFrame) -> DataFrame:
     return sizes.join(best, "truth", "left").select("truth", (F.col("size") - F.coalesce("hits", F.lit(0))).alias("missing"))
 
 
+def true_cliques(truth: DataFrame, majors: DataFrame) -> DataFrame:
+    """clique_id (the truth) and vs: where true haplotypes (truth, pos, allele) differ from the consensus; those that never do have no row."""
+    rows = truth.join(small(majors), "pos").where("allele <> major")
+    return rows.groupBy(F.col("truth").alias("clique_id")).agg(F.array_sort(F.collect_set(graph.vertex(F.col("pos"), F.col("allele")))).alias("vs"))
+
+
+def clique_mismatches(cliques: DataFrame, truth: DataFrame) -> DataFrame:
+    """clique_id, size, truth and mismatches: the true clique (clique_id, vs) that lacks fewest SNPs of each found one.
+
+    Ties go to the smaller truth; a clique of which no true one has a SNP has a null truth and all its SNPs as mismatches.
+    """
+    own = cliques.select("clique_id", F.explode("vs").alias("v"))
+    hits = own.join(truth.select(F.col("clique_id").alias("truth"), F.explode("vs").alias("v")), "v").groupBy("clique_id", "truth").agg(F.count(F.lit(1)).cast("int").alias("hits"))
+    best = hits.groupBy("clique_id").agg(F.max_by(F.struct("truth", "hits"), F.struct("hits", -F.col("truth"))).alias("best"))
+    sizes = cliques.select("clique_id", F.size("vs").alias("size"))
+    return sizes.join(best, "clique_id", "left").select("clique_id", "size", "best.truth", (F.col("size") - F.coalesce("best.hits", F.lit(0))).alias("mismatches"))
+
+
 def missed_edges(truth: DataFrame, edges: DataFrame, fragment: int) -> DataFrame:
     """u < v of true cliques within a fragment, not both deletions, that are no edges."""
     pairs = graph.closure_edges(truth)

@@ -30,6 +30,12 @@ class Sample:
         self.pile, self.shapes, self.length, self.deletions, self.error, self.close = pile, shapes, length, deletions, error, close
         self._majors, self.segments, self.ignore_deletion, self.ratio_reach = majors, segments, ignore_deletion, ratio_reach
         self.inner = pile if inner is None else inner
+        self.names: DataFrame | None = None
+
+    def named(self, reads: DataFrame) -> Sample:
+        """This sample, with the names of its reads (read_id, name) for reports."""
+        self.names = reads.select("read_id", "name")
+        return self
 
     def replaced(self, majors: DataFrame) -> Sample:
         """The same reads with another consensus."""

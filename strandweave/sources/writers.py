@@ -39,7 +39,16 @@ def result_json(haplotypes: list[dict], settings: dict[str, str], error: str = "
 def read_names(haplotypes: DataFrame, assignment: DataFrame, reads: DataFrame) -> DataFrame:
     """rank and name: which reads each haplotype has, several for a read that ties. A table, as reads are many."""
     cliques = haplotypes.select("rank", F.explode("cliques").alias("clique_id"))
-    return cliques.join(assignment.select("read_id", "clique_id"), "clique_id").join(reads.select("read_id", "name"), "read_id").select("rank", "name").distinct()
+    own = assignment.select("read_id", "clique_id").join(F.broadcast(cliques), "clique_id").select("rank", "read_id").distinct()
+    return own.join(reads.select("read_id", "name"), "read_id").select("rank", "name")
+
+
+def read_name_lines(haplotypes: DataFrame, assignment: DataFrame | None, reads: DataFrame, sample: str, style: str = "short") -> DataFrame:
+    """value, in order: the name of each haplotype and then of its reads, a line each; without an assignment no reads."""
+    head = haplotypes.select("rank", F.lit(0).alias("row"), haplotype_name(F.col("rank"), F.col("frequency"), sample, style).alias("value"))
+    if assignment is not None:
+        head = head.union(read_names(haplotypes, assignment, reads).select("rank", F.lit(1), "name"))
+    return head.orderBy("rank", "row", "value").select("value")
 
 
 def vcf_rows(snps: DataFrame, majors: DataFrame, start: int = 0, end: int = 10_000_000) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strandweave import cli
 from strandweave.operators import assign, deletions, graph, haplotypes, pileup
+from strandweave.plans import pipelines
 from strandweave.sources import intervals, text, writers
 from strandweave.streaming.profile import start_profile
 
@@ -115,8 +116,8 @@ def test_reports(spark):
 def test_options():
     p = cli.Params.parse(["-m", "snv-pacbio", "-t", "x", "-tf", "0.01", "-log", "-in", "f.sam"])
     assert (p.m, p.t, p.tf, p.log, p.in_) == ("snv-pacbio", 10, 0.01, True, "f.sam")
-    with pytest.raises(SystemExit, match="-rn"):
-        cli.Params.parse(["-m", "snv-pacbio", "-rn"])
+    p = cli.Params.parse(["-m", "snv-illumina", "-rn", "-filter", "-addFnedges", "-answer", "t.fasta"])
+    assert (p.rn, p.filter, p.addFnedges, p.answer) == (True, True, True, "t.fasta")
 
 
 def test_long_run_from_a_file(spark, tmp_path):
@@ -124,10 +125,31 @@ def test_long_run_from_a_file(spark, tmp_path):
     other = base[:4] + "G" + base[5:15] + "C" + base[16:]
     path = tmp_path / "s.fas"
     path.write_text("".join(f">r{i}\n{base if i % 3 else other}\n" for i in range(60)))
-    found = cli.haplotypes(spark, cli.Params(m="snv-pacbio", in_=str(path), outDir=str(tmp_path / "out"), t=5, tf=0.05), True)
+    found = cli.haplotypes(spark, cli.Params(m="snv-pacbio", in_=str(path), outDir=str(tmp_path / "out"), t=5, tf=0.05, rn=True), True)
     assert found.error == ""
     assert [r["haplotype"] for r in found.rows] == [base, other]
     assert abs(found.rows[1]["frequency"] - 1 / 3) < 0.02
+    names = [r["value"] for r in spark.read.text(str(tmp_path / "out" / "s_read_names")).collect()]
+    heads = [i for i, n in enumerate(names) if n.startswith(">")]
+    assert [n.split("_fr_")[0] for n in names if n.startswith(">")] == [">0", ">1"]
+    assert sorted(names[heads[0] + 1 : heads[1]]) == sorted(f"r{i}" for i in range(60) if i % 3)
+    assert sorted(names[heads[1] + 1 :]) == sorted(f"r{i}" for i in range(60) if i % 3 == 0)
+
+
+def test_recombinations_go():
+    rows = [{"haplotype": h, "source": src} for h, src in (("a", ["1:A", "9:C"]), ("b", ["1:A", "8:C"]), ("c", ["2:A"]), ("d", []), ("e", ["9:T"]))]
+    assert [r["haplotype"] for r in pipelines.without_recombinations(rows, 0, 5)] == ["a", "c", "d"]
+    assert pipelines.without_recombinations([], 0, 5) == []
+
+
+def test_true_cliques_and_mismatches(spark):
+    majors = spark.createDataFrame([(p, "A") for p in range(4)], "pos int, major string")
+    truth = spark.createDataFrame([(t, p, a) for t, seq in ((1, "AAAA"), (2, "CACA"), (3, "CGAA")) for p, a in enumerate(seq)], "truth long, pos int, allele string")
+    known = pipelines.true_cliques(truth, majors)
+    v = lambda p, a: f"{p:010d}{a}"
+    assert {r["clique_id"]: r["vs"] for r in known.collect()} == {2: [v(0, "C"), v(2, "C")], 3: [v(0, "C"), v(1, "G")]}
+    found = spark.createDataFrame([(0, [v(0, "C"), v(2, "C"), v(3, "T")]), (1, [v(0, "C"), v(3, "G")]), (2, [v(3, "T")])], "clique_id long, vs array<string>")
+    assert sorted(tuple(r) for r in pipelines.clique_mismatches(found, known).collect()) == [(0, 3, 2, 1), (1, 2, 2, 1), (2, 1, None, 1)]
 
 
 def test_stream_equals_batch(spark, tmp_path):
