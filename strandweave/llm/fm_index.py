@@ -27,28 +27,80 @@ class Bits:
         return self.before[word] + np.bitwise_count(self.words[word] & below)
 
 
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Bits of each symbol's code in a tree of least total length; 0 where the count is 0, or only one is not."""
+    used = np.flatnonzero(counts)
+    order = used[np.argsort(counts[used], kind="stable")]
+    n, leaf, node = len(order), 0, 0
+    weight, joined, parent = counts[order].tolist(), [], [0] * max(2 * len(order) - 1, 0)
+    for new in range(n, 2 * n - 1):
+        total = 0
+        for _ in range(2):  # the two lightest of the leaves and nodes that are left
+            if leaf < n and (node == len(joined) or weight[leaf] <= joined[node]):
+                total, parent[leaf], leaf = total + weight[leaf], new, leaf + 1
+            else:
+                total, parent[n + node], node = total + joined[node], new, node + 1
+        joined.append(total)
+    depth = [0] * len(parent)
+    for x in range(len(parent) - 2, -1, -1):
+        depth[x] = depth[parent[x]] + 1
+    out = np.zeros(len(counts), np.int8)
+    out[order] = depth[:n]
+    return out
+
+
 class WaveletTree:
-    """A sequence of symbols, one bit vector a level from the highest bit on; equal prefixes of bits stand together."""
+    """A sequence of symbols in the shape of a Huffman tree, about as many bits as its entropy and one a symbol.
+
+    A level has a bit vector of the next code bits of all symbols whose codes go on there, node by node.  Codes grow with
+    their length, so at each level the nodes that go on are those from a first prefix on.
+    """
 
     def __init__(self, symbols: np.ndarray, size: int):
-        self.levels = max(1, int(size - 1).bit_length())
-        self.bits, self.zeros = [], []
-        for level in range(self.levels - 1, -1, -1):
-            bit = (symbols >> level) & 1
-            self.bits.append(Bits(bit))
-            self.zeros.append(int(len(bit) - bit.sum()))
-            symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
-        self.base = self._down(np.arange(size), np.zeros(size, np.int64))
-
-    def _down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        for k, (bits, zeros) in enumerate(zip(self.bits, self.zeros, strict=True)):
-            ones = bits.ones(i)
-            i = np.where((symbol >> (self.levels - 1 - k)) & 1, zeros + ones, i - ones)
-        return i
+        counts = np.bincount(symbols, minlength=size)
+        self.absent = counts == 0
+        self.sizes = code_lengths(counts)
+        longest = int(self.sizes.max(initial=0))
+        order = np.lexsort((np.arange(size), self.sizes))
+        order = order[self.sizes[order] > 0]
+        rest = longest - self.sizes[order].astype(np.int64)
+        self.codes = np.zeros(size, np.int64)
+        self.codes[order] = (np.cumsum(1 << rest) - (1 << rest)) >> rest
+        self.levels = []
+        for level in range(longest):
+            code, left = self.codes[symbols], self.sizes[symbols] - level
+            node = code >> left
+            first = int(node[0])
+            node -= first
+            bit = (code >> (left - 1)) & 1
+            starts = np.append(0, np.cumsum(np.bincount(node)))
+            bits = Bits(bit)
+            before = bits.ones(starts)
+            self.levels.append((bits, first, starts[:-1].astype(np.int32), before[:-1].astype(np.int32)))
+            # Stable within each node: zeros, then ones.
+            zeros = np.diff(starts) - np.diff(before)
+            ones = np.cumsum(bit) - bit - before[node]
+            place = np.where(bit == 1, starts[node] + zeros[node] + ones, np.arange(len(node)) - ones)
+            moved = np.empty_like(symbols)
+            moved[place] = symbols
+            symbols = moved[self.sizes[moved] > level + 1]
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """How often symbol occurs among the first i."""
-        return self._down(symbol, i) - self.base[symbol]
+        """How often symbol occurs among the first i; i may have rows of places."""
+        sizes = self.sizes[symbol]
+        order = np.argsort(-sizes, kind="stable")  # those with longer codes go on
+        sizes, code, at = sizes[order], self.codes[symbol[order]], i[..., order]
+        active = len(sizes) - np.cumsum(np.bincount(sizes, minlength=len(self.levels) + 1))
+        for n, left, (bits, first, starts, before) in zip(active.tolist(), range(len(self.levels)), self.levels, strict=False):
+            if n == 0:
+                break
+            shift = sizes[:n] - left
+            node = (code[:n] >> shift) - first
+            ones = bits.ones(at[..., :n] + starts[node]) - before[node]
+            at[..., :n] = np.where((code[:n] >> (shift - 1)) & 1, ones, at[..., :n] - ones)
+        out = np.empty_like(at)
+        out[..., order] = at
+        return np.where(self.absent[symbol], 0, out)
 
 
 def suffix_order(keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

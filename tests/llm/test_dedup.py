@@ -234,12 +234,29 @@ def test_suffix_array_and_fm_index():
         assert all(len(x) == 1 for x in texts.values()) and len(set.union(*texts.values())) == len(texts)
 
 
-def test_wavelet_rank():
+@pytest.mark.parametrize("skew", [0, 1, 3])
+@pytest.mark.parametrize("size", [1, 2, 11, 300])
+def test_wavelet_rank(size, skew):
     rng = np.random.default_rng(1)
-    symbols = rng.integers(0, 11, 500)
-    tree = fm_index.WaveletTree(symbols, 11)
-    where, which = rng.integers(0, 501, 200), rng.integers(0, 11, 200)
-    assert tree.rank(which, where).tolist() == [int((symbols[:i] == c).sum()) for c, i in zip(which, where, strict=True)]
+    symbols = (size * rng.random(500) ** (1 + skew)).astype(np.int64)
+    tree = fm_index.WaveletTree(symbols, size + 1)
+    where, which = rng.integers(0, 501, (2, 200)), rng.integers(0, size + 1, 200)
+    wanted = [[int((symbols[:i] == c).sum()) for c, i in zip(which, row, strict=True)] for row in where]
+    assert tree.rank(which, where).tolist() == wanted
+    assert tree.rank(which, where[0]).tolist() == wanted[0]
+
+
+def test_code_lengths():
+    counts = np.array([5, 0, 1, 1, 2, 9])
+    sizes = fm_index.code_lengths(counts)
+    assert sizes.tolist() == [2, 0, 4, 4, 3, 1]
+    assert fm_index.code_lengths(np.array([0, 7])).tolist() == [0, 0]
+    rng = np.random.default_rng(2)
+    counts = rng.geometric(0.05, 400)
+    sizes = fm_index.code_lengths(counts).astype(float)
+    share = counts / counts.sum()
+    assert (2.0**-sizes).sum() == 1
+    assert -(share * np.log2(share)).sum() <= (share * sizes).sum() <= 1 - (share * np.log2(share)).sum()
 
 
 @pytest.mark.parametrize(("sql", "made", "columns"), [(OP9, exact_dedup.exact_groups, "doc_id, keep_id, group_size, kept, text_sha256"), (OP6, fm_index.remove_repeated_words, "doc_id, n_words, n_removed, kept_sha256"), (OP10, suffix_array.remove_repeated_bytes, "doc_id, n_bytes, n_removed, n_spans, kept_sha256")])
