@@ -156,7 +156,7 @@ def merge_accurate(cliques: DataFrame, edges: DataFrame, no_edge: DataFrame | No
 def merge_fast(cliques: list[tuple[str, ...]], score: dict[tuple[int, int], float], refused: set[tuple[int, int]]) -> list[tuple[str, ...]]:
     """Each clique takes in, again and again, the one with the best score for its size.
 
-    Only a few hundred cliques come here.  The refusal is tested against the best so far, as the reference result does.
+    The cliques are those of one component, in order.
     """
     left, out = list(range(len(cliques))), []
     key = lambda a, b: (min(a, b), max(a, b))
@@ -173,6 +173,27 @@ def merge_fast(cliques: list[tuple[str, ...]], score: dict[tuple[int, int], floa
     return sorted(set(out))
 
 
+def merge_fast_by_component(cliques: DataFrame, edges: DataFrame, refused: DataFrame) -> DataFrame:
+    """vs of the merged cliques; a clique only takes in what a score links to it, so each component is a task's group."""
+    scores = stored(merge_scores(cliques, edges))
+    groups = components(scores, "c1", "c2").withColumnRenamed("node", "clique_id")
+    labels = cliques.select("clique_id").join(groups, "clique_id", "left").select("clique_id", F.coalesce("component", "clique_id").alias("component"))
+    pairs = scores.join(refused.select("c1", "c2", F.lit(True).alias("refused")).distinct(), ["c1", "c2"], "full")
+    inside = pairs.join(labels.toDF("c1", "component"), "c1").join(labels.toDF("c2", "other"), "c2").where("component = other")
+    rows = cliques.join(labels, "clique_id").select("component", F.col("clique_id").cast("long").alias("c1"), F.lit(None).cast("long").alias("c2"), F.lit(0.0).alias("score"), F.lit(False).alias("refused"), "vs")
+    rows = rows.unionByName(inside.select("component", F.col("c1").cast("long").alias("c1"), F.col("c2").cast("long").alias("c2"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), F.coalesce("refused", F.lit(False)).alias("refused")), allowMissingColumns=True)
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        alone = frame["c2"].isna()
+        own = frame[alone].sort_values("c1")
+        at = {c: i for i, c in enumerate(own["c1"])}
+        linked = [(at[int(r.c1)], at[int(r.c2)], r.score, r.refused) for r in frame[~alone].itertuples()]
+        made = merge_fast([tuple(vs) for vs in own["vs"]], {(a, b): x for a, b, x, _ in linked}, {(a, b) for a, b, _, no in linked if no})
+        return pd.DataFrame({"vs": [list(vs) for vs in made]})
+
+    return rows.groupBy("component").applyInPandas(merge, "vs array<string>")
+
+
 def resolve_conflicts(cliques: DataFrame, freq: DataFrame) -> DataFrame:
     """clique_id and vs without alleles that a more frequent one of the same position and clique beats; ties stay."""
     m = members(cliques).join(freq.select("pos", "allele", "freq"), ["pos", "allele"])

@@ -88,10 +88,7 @@ def merged(sample: Sample, edges: DataFrame, rate: float, mode: str = "accurate"
     refused = stored(no_edge_pairs(sample, cliques, edges, rate, fragment))
     if mode == "accurate":
         return graph.numbered(graph.merge_accurate(cliques, edges, refused, by_component))
-    rows = [tuple(r["vs"]) for r in cliques.orderBy("clique_id").collect()]
-    scores = {(r["c1"], r["c2"]): float(r["score"]) for r in graph.merge_scores(cliques, edges).collect()}
-    made = graph.merge_fast(rows, scores, {(r["c1"], r["c2"]) for r in refused.collect()})
-    return graph.numbered(cliques.sparkSession.createDataFrame([(list(vs),) for vs in made], "vs array<string>"))
+    return graph.numbered(graph.merge_fast_by_component(cliques, edges, refused))
 
 
 def transitive(sample: Sample, edges: DataFrame) -> DataFrame:

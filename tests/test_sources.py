@@ -83,6 +83,20 @@ def test_fast_merge():
     assert graph.merge_fast(cliques, {(0, 1): 2.0}, {(0, 1)}) == sorted(cliques[:2] + [("8A", "9T")])
 
 
+def test_fast_merge_by_component_is_the_merge_of_all(spark):
+    v = lambda p: f"{p:010d}A"
+    vs = [sorted(map(v, c)) for c in ((1, 2), (2, 3), (3, 4), (7, 8), (8, 9), (20, 21))]
+    cliques = spark.createDataFrame(list(enumerate(vs)), "clique_id long, vs array<string>")
+    edges = spark.createDataFrame([(a, b) for a, b in vs] + [(v(1), v(3))], "u string, v string")
+    refused = spark.createDataFrame([(1, 2), (0, 5)], "c1 long, c2 long")
+    scores = {(r["c1"], r["c2"]): float(r["score"]) for r in graph.merge_scores(cliques, edges).collect()}
+    wanted = graph.merge_fast([tuple(c) for c in vs], scores, {(1, 2), (0, 5)})
+    found = [tuple(r["vs"]) for r in graph.merge_fast_by_component(cliques, edges, refused).collect()]
+    assert sorted(found) == wanted and len(wanted) < len(vs)
+    none = spark.createDataFrame([], "clique_id long, vs array<string>")
+    assert graph.merge_fast_by_component(none, edges, refused).count() == 0
+
+
 def test_ties_in_assignment(spark):
     cells = spark.createDataFrame([(1, 0, "A"), (1, 1, "C"), (2, 0, "G"), (2, 1, "N")], "read_id long, pos int, allele string")
     majors = spark.createDataFrame([(0, "A"), (1, "C")], "pos int, major string")
