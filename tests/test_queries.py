@@ -5,6 +5,7 @@ import pytest
 
 from strandweave.plans import catalogue, pipelines
 from strandweave.plans.samples import long_sample, short_sample
+from strandweave.sources import fixture
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SLOW = {"haplotypes_long", "haplotypes_short", "variants_short", "variants_long", "merged_cliques"}
@@ -68,3 +69,17 @@ def test_windowed_haplotypes_find_the_planted_ones(spark, sf_dir):
     rows = catalogue.haplotypes_short(spark, sf_dir).collect()
     assert {len(r["haplotype"]) for r in rows} == {120}
     assert any({"12:G", "37:T", "55:C", "80:A", "108:A"} <= set(r["snps"]) for r in rows)
+
+
+def test_true_edges_are_added_and_recombinations_go(spark, sf_dir):
+    """With the planted haplotypes as the answer, all of their SNPs come back together."""
+    truth = fixture.truth(spark).withColumnRenamed("haplotype", "truth")
+    s = short_sample(spark, sf_dir)
+    known = pipelines.true_cliques(truth, s.majors)
+    edges = pipelines.edge_graph(s, 10, 0.02, False)
+    assert pipelines.missed_edges(known, edges, 120).count() > 0
+    found = pipelines.short_haplotypes(s, 10, 0.02, fragment=120, recombinations=False, truth=truth)
+    assert {len(r["haplotype"]) for r in found.rows} == {120}
+    assert any({"12:G", "37:T", "55:C", "80:A", "108:A"} <= set(r["snps"]) for r in found.rows)
+    ids = {c for r in found.rows for c in r["cliques"]}
+    assert ids <= {r["clique_id"] for r in found.assigned.select("clique_id").distinct().collect()}
