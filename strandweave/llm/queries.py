@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, exact_dedup, fm_index, packing, quality, sharding, simhash, suffix_array, token_counts
+from . import audio, bpe, exact_dedup, fm_index, language, packing, periods, quality, resampling, sharding, simhash, suffix_array, token_counts
 
 #: Where the vocabulary lies; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,8 +59,32 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeated_bytes(_documents(spark, sf_dir), length=50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(periods.with_planted_runs(_documents(spark, sf_dir)), least=24, exponent=3)
+    best = periods.strongest(F.col("runs"))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    rows = found.withColumn("best", best)
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.resample(_documents(spark, sf_dir), target, percent=5, least_words=20).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_bpe, op4_packing, op5_quality, op6_substring_dedup, op7_audio, op8_token_counts, op9_exact_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_bpe, op4_packing, op5_quality, op6_substring_dedup, op7_audio, op8_token_counts, op9_exact_dedup, op10_suffix_dedup, op11_periodic_runs, op12_importance_resampling, op13_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
