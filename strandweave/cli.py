@@ -12,6 +12,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave import limits
 from strandweave.operators import graph, pileup
 from strandweave.plans import pipelines
 from strandweave.plans.samples import Sample
@@ -20,9 +21,16 @@ from strandweave.sources import text, writers
 
 log = logging.getLogger(__name__)
 
+#: Accepted without effect, for old command lines: Spark's master decides.
+WITHOUT_EFFECT = ("threads",)
+
+
 @dataclass(frozen=True)
 class Params:
-    """Settings of a run, by option; -x without a value means true, and a value that is no number keeps the default."""
+    """Settings of a run, by option; -x without a value means true, and a value that is no number keeps the default.
+
+    Unknown options are refused. tl: seconds that haplotypes may take once the reads are read.
+    """
 
     m: str = ""
     in_: str = ""
@@ -64,6 +72,11 @@ class Params:
             else:
                 given[name] = "true"
             i += 1
+        known = {f.name.rstrip("_") for f in fields(Params)}
+        if unknown := sorted(given.keys() - known - set(WITHOUT_EFFECT)):
+            raise SystemExit(f"unknown options: {', '.join('-' + name for name in unknown)}\n{usage()}")
+        for name in sorted(given.keys() & set(WITHOUT_EFFECT)):
+            log.warning("-%s has no effect: Spark's master decides", name)
         values: dict[str, object] = {}
         for f in fields(Params):
             raw = given.get(f.name.rstrip("_"))
@@ -79,6 +92,13 @@ class Params:
     def settings(self) -> dict[str, str]:
         return {k.rstrip("_"): str(v) for k, v in asdict(self).items()}
 
+    def region(self) -> dict[str, int]:
+        return {"start": max(self.sp, 0), "end": self.ep}
+
+    def merging(self) -> dict[str, object]:
+        """How cliques are merged."""
+        return {"mode": self.cm, "non_edge_rate": self.net if self.net > 0 else None, "by_component": not self.ignorecomponents}
+
 
 def _name(path: str) -> str:
     return PurePosixPath(path).name.rsplit(".", 1)[0]
@@ -131,29 +151,41 @@ def _report(spark: SparkSession, p: Params, found: pipelines.Found) -> None:
 
 
 def haplotypes(spark: SparkSession, p: Params, long_reads: bool) -> pipelines.Found:
+    """A run over its limit, or one whose graph is too dense, reports the consensus, with the error beside it.
+
+    The short mode gives the error a code, 4 or 6; the long one says it in words only.
+    """
     sample = long_sample(spark, p) if long_reads else short_sample(spark, p)
-    settings = {"start": p.sp, "end": p.ep, "non_edge_rate": p.net if p.net > 0 else None, "by_component": not p.ignorecomponents}
+    settings = p.region() | p.merging()
     try:
-        if long_reads:
-            found = pipelines.long_haplotypes(sample, p.t, p.tf, p.cm, p.lowQFilter, **settings)
-        else:
-            truth = _truth(spark, p) if p.answer and p.addFnedges else None
-            found = pipelines.short_haplotypes(sample, p.t, p.tf, p.cm, fragment=p.fl if p.fl > 0 else None, recombinations=not p.filter, truth=truth, **settings)
-    except PythonException as error:  # for a graph that is too dense the consensus stands, with the error beside it
+        with limits.time_limit(spark, p.tl):
+            if long_reads:
+                found = pipelines.long_haplotypes(sample, p.t, p.tf, quality_filter=p.lowQFilter, **settings)
+            else:
+                truth = _truth(spark, p) if p.answer and p.addFnedges else None
+                found = pipelines.short_haplotypes(sample, p.t, p.tf, fragment=p.fl if p.fl > 0 else None, recombinations=not p.filter, truth=truth, **settings)
+    except limits.TimeLimitError:
+        log.exception("the time limit has been reached")
+        found = pipelines.default_haplotype(sample, "Timeout reached", 0 if long_reads else 4)
+    except PythonException as error:
         if graph.TOO_DENSE not in str(error):
             raise
         log.exception("the graph is too dense")
-        found = pipelines.default_haplotype(sample, str(error), 6)
+        found = pipelines.default_haplotype(sample, str(error), 0 if long_reads else 6)
     _report(spark, p, found)
-    if p.rn:
+    if p.rn and found.assigned is not None:
         lines = writers.read_name_lines(found.frame(spark), found.assigned, sample.names, _name(p.in_), p.fdf)
         lines.write.mode("overwrite").text(f"{p.outDir}/{_name(p.in_)}_read_names")
     return found
 
 
 def variants(spark: SparkSession, p: Params, long_reads: bool) -> None:
+    """The long mode takes all settings of its haplotypes; the short one doesn't merge cliques."""
     sample = long_sample(spark, p) if long_reads else short_sample(spark, p)
-    called = pipelines.long_variants(sample, p.t, p.tf) if long_reads else pipelines.short_variants(sample, p.t, p.tf, p.el)
+    if long_reads:
+        called = pipelines.long_variants(sample, p.t, p.tf, **p.region(), **p.merging())
+    else:
+        called = pipelines.short_variants(sample, p.t, p.tf, p.el, **p.region())
     writers.write_text(writers.vcf_lines(writers.vcf_rows(called, sample.majors, p.os, p.oe)), f"{p.outDir}/{_name(p.in_)}.vcf")
 
 
@@ -193,11 +225,17 @@ def replay(spark: SparkSession, p: Params) -> None:
         run(spark, Params.parse(row["value"].split()))
 
 
+MODES = {"snv-pacbio": (haplotypes, True), "snv-illumina": (haplotypes, False), "snv-pacbio-vc": (variants, True), "snv-illumina-vc": (variants, False), "consensus-pacbio": (consensus, True), "consensus-illumina": (consensus, False), "profile-pacbio": (profile, True), "profile-illumina": (profile, False)}
+
+
+def usage() -> str:
+    return f"{__doc__}\nModes: {', '.join([*MODES, 'imputation', 'test'])}\nOptions: {', '.join('-' + f.name.rstrip('_') for f in fields(Params))}"
+
+
 def run(spark: SparkSession, p: Params) -> None:
     ship(spark)
-    modes = {"snv-pacbio": (haplotypes, True), "snv-illumina": (haplotypes, False), "snv-pacbio-vc": (variants, True), "snv-illumina-vc": (variants, False), "consensus-pacbio": (consensus, True), "consensus-illumina": (consensus, False), "profile-pacbio": (profile, True), "profile-illumina": (profile, False)}
-    if p.m in modes:
-        function, long_reads = modes[p.m]
+    if p.m in MODES:
+        function, long_reads = MODES[p.m]
         found = function(spark, p, long_reads)
         if p.answer and found is not None:
             print(json.dumps([r.asDict() for r in check_answer(spark, p, found).collect()]))
@@ -206,7 +244,7 @@ def run(spark: SparkSession, p: Params) -> None:
     elif p.m == "test":
         replay(spark, p)
     else:
-        raise SystemExit(f"{__doc__}\nModes: {', '.join([*modes, 'imputation', 'test'])}\nOptions: {', '.join('-' + f.name.rstrip('_') for f in fields(Params))}")
+        raise SystemExit(usage())
 
 
 if __name__ == "__main__":
