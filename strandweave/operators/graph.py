@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from strandweave.storage import stored
 
-#: What an error says when a component has too many cliques to list.
-TOO_DENSE = "too many maximal cliques in one component"
+#: What a row says of p, a neighbour of a vertex after it in the order: that it is one, or is linked to q, another of these or an earlier one.
+LATER, LINK, BEFORE = 0, 1, 2
+
+#: What an error says when a vertex has too many cliques to list.
+TOO_DENSE = "too many maximal cliques around one vertex"
 
 
 def vertex(pos: Column, allele: Column) -> Column:
@@ -46,40 +49,115 @@ def components(edges: DataFrame, a: str = "u", b: str = "v", rounds: int = 64) -
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def bron_kerbosch(neighbours: dict, limit: int = 1_000_000) -> Iterator[frozenset]:
-    """Maximal cliques, with a pivot of most neighbours; a graph without vertices has the empty one."""
-    found = 0
-    stack = [(frozenset(), set(neighbours), set())]
+def bron_kerbosch(neighbours: dict, closed: frozenset = frozenset(), limit: int = 1_000_000) -> Iterator[frozenset]:
+    """Maximal cliques outside closed that no vertex of it extends; a graph without vertices has the empty one.
+
+    Sets of vertices are the bits of whole numbers; pivots have most neighbours.
+    """
+    names = sorted(neighbours)
+    at = {v: k for k, v in enumerate(names)}
+    near = [sum(1 << at[w] for w in neighbours[v]) for v in names]
+    shut = sum(1 << at[v] for v in closed)
+    found, stack = 0, [(0, (1 << len(names)) - 1 & ~shut, shut)]
     while stack:
-        clique, open_, closed = stack.pop()
-        if not open_ and not closed:
-            found += 1
-            if found > limit:
-                raise RuntimeError(f"{TOO_DENSE}: more than {limit}")
-            yield clique
+        clique, open_, gone = stack.pop()
+        if not open_:
+            if not gone:
+                found += 1
+                if found > limit:
+                    raise RuntimeError(f"{TOO_DENSE}: more than {limit}")
+                yield frozenset(names[k] for k in _bits(clique))
             continue
-        pivot = max(sorted(open_ | closed), key=lambda u: len(neighbours[u] & open_))
-        for v in sorted(open_ - neighbours[pivot]):
-            stack.append((clique | {v}, open_ & neighbours[v], closed & neighbours[v]))
-            open_ = open_ - {v}
-            closed = closed | {v}
+        pivot = max(_bits(open_ | gone), key=lambda v: (near[v] & open_).bit_count())
+        for v in _bits(open_ & ~near[pivot]):
+            stack.append((clique | 1 << v, open_ & near[v], gone & near[v]))
+            open_ &= ~(1 << v)
+            gone |= 1 << v
 
 
-def maximal_cliques(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
-    """vs, the sorted vertices of each maximal clique of two vertices or more; each component is a task's group."""
-    labels = components(edges, a, b)
-    rows = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).join(labels.withColumnRenamed("node", "u"), "u")
+def _bits(x: int) -> list[int]:
+    out = []
+    while x:
+        low = x & -x
+        out.append(low.bit_length() - 1)
+        x ^= low
+    return out
+
+
+def _vertex_cliques(own: object, later: list, links: list[tuple], before: list[tuple]) -> list[list]:
+    """Maximal cliques of two vertices or more whose first vertex is own.
+
+    later: its neighbours further on in the order; links: edges among them; before: (p, x), where x is an earlier
+    neighbour of own that p of later is linked to.
+    """
+    closed = frozenset(x for _, x in before)
+    near: dict = {v: set() for v in (*later, *closed)}
+    for u, v in (*links, *before):
+        near[u].add(v)
+        near[v].add(u)
+    return sorted(sorted([own, *clique]) for clique in bron_kerbosch(near, closed))
 
-    def cliques(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for u, v in zip(frame["u"], frame["v"], strict=True):
-            if u != v:
-                near.setdefault(u, set()).add(v)
-                near.setdefault(v, set()).add(u)
-        return pd.DataFrame({"vs": sorted(sorted(c) for c in bron_kerbosch(near) if len(c) > 1)})
 
+def ordered_edges(edges: DataFrame, a: str = "u", b: str = "v", most: int = 512) -> DataFrame:
+    """u and v of each distinct edge, u first in an order that leaves each vertex few neighbours after it.
+
+    The order goes by degree, which leaves at most sqrt(2 * edges). Where more than `most` are left, it goes by layers:
+    each takes off the vertices of at most three times the remaining vertices' mean degree, halving them, so that at
+    most six times the degeneracy of the graph are left. Layers are logarithmic in the number of vertices.
+    """
+    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    pairs = stored(pairs.union(pairs.select("v", "u")).distinct())
+
+    def directed(order: DataFrame) -> DataFrame:
+        ranks = order.select("u", F.struct(*[c for c in order.columns if c != "u"], "u").alias("rank"))
+        both = pairs.join(ranks, "u").join(ranks.toDF("v", "other"), "v")
+        return stored(both.where("rank < other").select("u", "v"))
+
+    out = directed(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("degree")))
+    after = out.groupBy("u").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if not after or after <= most:
+        return out
+    left, layers, layer = pairs, [], 0
+    while True:
+        degrees = stored(left.groupBy("u").agg(F.count(F.lit(1)).alias("degree")))
+        mean = degrees.agg(F.avg("degree")).first()[0]
+        if mean is None:
+            break
+        off = degrees.where(F.col("degree") <= 3 * mean).select("u", F.lit(layer).alias("layer"))
+        layers.append(off)
+        rest = degrees.where(F.col("degree") > 3 * mean).select("u")
+        # Vertices whose neighbours are all gone come last.
+        kept = stored(left.join(rest, "u", "left_semi").join(rest.toDF("v"), "v", "left_semi").select("u", "v"))
+        layers.append(rest.join(kept, "u", "left_anti").select("u", F.lit(layer + 1).alias("layer")))
+        left, layer = kept, layer + 1
+    order = layers[0]
+    for one in layers[1:]:
+        order = order.union(one)
+    return directed(order.groupBy("u").agg(F.max("layer").alias("layer")))
+
+
+def maximal_cliques(edges: DataFrame, a: str = "u", b: str = "v", most: int = 512) -> DataFrame:
+    """vs, the sorted vertices of each maximal clique of two vertices or more.
+
+    Each vertex is a group with its neighbours after it in an order of few such, and finds the cliques that it is first
+    in; so one large component is the work of many tasks. A group holds the triangles of its vertex.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(edges.dtypes)[a]
-    return rows.groupBy("component").applyInPandas(cliques, f"vs array<{kind}>")
+    on = ordered_edges(edges, a, b, most)
+    # Triangles u, v, w in the order; all have two edges from u.
+    triangles = on.join(on.select("u", F.col("v").alias("w")), "u").join(on.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"])
+    row = lambda own, p, q, what: F.struct(F.col(own).alias("own"), F.col(p).alias("p"), F.col(q).alias("q"), F.lit(what).alias("what"))
+    rows = on.select(F.inline(F.array(row("u", "v", "v", LATER))))
+    each = triangles.select(F.inline(F.array(row("u", "v", "w", LINK), row("v", "w", "u", BEFORE))))
+
+    def cliques(frame: pd.DataFrame) -> pd.DataFrame:
+        of = lambda what, c: frame.loc[frame["what"] == what, c].tolist()
+        pairs = lambda what: list(zip(of(what, "p"), of(what, "q"), strict=True))
+        return pd.DataFrame({"vs": pd.Series(_vertex_cliques(frame["own"].tolist()[0], of(LATER, "p"), pairs(LINK), pairs(BEFORE)), dtype=object)})
+
+    # A stated number of partitions: groups are small in bytes, and few of them may be much work.
+    return rows.union(each).repartition(parts, "own").groupBy("own").applyInPandas(cliques, f"vs array<{kind}>")
 
 
 def numbered(cliques: DataFrame) -> DataFrame:
