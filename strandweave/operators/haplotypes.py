@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.functions.alleles import hamming
 from strandweave.operators.pileup import consensus, weighted_profile
 from strandweave.storage import small, stored
 
@@ -55,6 +56,34 @@ def merge_near(rows: list[tuple[str, float]], radius: int = 1) -> list[tuple[str
     return [(t, f) for t, f in kept]
 
 
+def merge_near_rows(rows: DataFrame, radius: int = 1) -> DataFrame:
+    """The same over rows (haplotype, frequency) of any number: the kept haplotypes with the sums of what joined them.
+
+    Haplotypes within radius of each other have one of radius + 1 pieces in common, so they meet by these.  Rounds then
+    settle those that nothing undecided precedes: kept without a kept one before them within radius, else joined. Equal
+    haplotypes count as one, at the highest of their frequencies.
+    """
+    order = F.struct((-F.col("top")).alias("top"), F.col("haplotype"))
+    nodes = stored(rows.groupBy("haplotype").agg(F.sum("frequency").alias("frequency"), F.max("frequency").alias("top")).withColumn("place", order))
+    size = F.length("haplotype")
+    cut = lambda k: F.floor(size * k / (radius + 1)).cast("int")
+    pieces = nodes.select("haplotype", "place", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), size.alias("size"), F.substring("haplotype", cut(k) + 1, cut(k + 1) - cut(k)).alias("piece")) for k in range(radius + 1)])))
+    other = pieces.select(F.col("haplotype").alias("before"), F.col("place").alias("before_place"), "k", "size", "piece")
+    near = pieces.join(other, ["k", "size", "piece"]).where((F.col("before_place") < F.col("place")) & (hamming(F.col("haplotype"), F.col("before")) <= radius))
+    near = stored(near.select("haplotype", "before", "before_place").distinct())
+    kept = nodes.select("haplotype", F.lit(None).cast("boolean").alias("kept"))
+    state = stored(kept)
+    while state.where("kept is null").limit(1).count():
+        seen = near.join(state.where("kept is null").select("haplotype"), "haplotype", "left_semi").join(state.select(F.col("haplotype").alias("before"), F.col("kept").alias("before_kept")), "before")
+        seen = seen.groupBy("haplotype").agg(F.coalesce(F.bool_or("before_kept"), F.lit(False)).alias("joins"), F.bool_or(F.col("before_kept").isNull()).alias("waits"))
+        new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("joins"), False).when(~F.coalesce("waits", F.lit(False)), True)
+        state = stored(state.join(seen, "haplotype", "left").select("haplotype", new.alias("kept")))
+    heads = state.where("kept").select(F.col("haplotype").alias("before"))
+    target = near.join(heads, "before", "left_semi").groupBy("haplotype").agg(F.min_by("before", "before_place").alias("target"))
+    joined = nodes.join(state.where("not kept").select("haplotype"), "haplotype", "left_semi").join(target, "haplotype").select(F.col("target").alias("haplotype"), "frequency")
+    return nodes.join(state.where("kept").select("haplotype"), "haplotype", "left_semi").select("haplotype", "frequency").union(joined).groupBy("haplotype").agg(F.sum("frequency").alias("frequency"))
+
+
 def read_likelihoods(cells: DataFrame, haplotypes: DataFrame, rate: float, n_is_mismatch: bool, length: int | None = None, cap: int = 999, longest: int = 2999) -> DataFrame:
     """read_id, hap_id, misses, size and h = (1 - rate)^(size - misses) * (rate / 3)^misses.
 

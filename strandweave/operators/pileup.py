@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.alleles import ALPHABET, allele_index, merged_left, overlaps, split_code
-from strandweave.storage import small
 
 
 def explode_reads(reads: DataFrame, seq: str = "seq", off: str = "off") -> DataFrame:
@@ -66,13 +65,13 @@ def profile_matrix(counts: DataFrame) -> DataFrame:
 
 def sparse(pile: DataFrame, majors: DataFrame) -> DataFrame:
     """The cells that are not major (minors and N), with the minor's split code (null for N)."""
-    rows = pile.join(small(majors), "pos").where("allele <> major")
+    rows = pile.join(F.broadcast(majors), "pos").where("allele <> major")
     code = F.when(F.col("allele") != "N", split_code(F.col("pos"), F.col("allele"), F.col("major")))
     return rows.select("read_id", "pos", "allele", "major", code.alias("v"))
 
 
 def major_counts(pile: DataFrame, majors: DataFrame) -> DataFrame:
-    return pile.join(small(majors), "pos").groupBy("pos").agg(F.count_if(F.col("allele") == F.col("major")).alias("majors"))
+    return pile.join(F.broadcast(majors), "pos").groupBy("pos").agg(F.count_if(F.col("allele") == F.col("major")).alias("majors"))
 
 
 def n_counts(pile: DataFrame) -> DataFrame:

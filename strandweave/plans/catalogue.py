@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandweave.functions import alleles, binomial, linkage_tests
-from strandweave.operators import assign, deletions, graph, haplotypes, linkage, pileup
+from strandweave.functions import alleles, binomial, linkage_tests, pair_em
+from strandweave.operators import assign, bitmaps, deletions, graph, haplotypes, linkage, pileup, seek
 from strandweave.plans import oracles, pipelines
 from strandweave.plans.samples import Sample, long_sample, short_sample
 from strandweave.sources import fixture, intervals, text, writers
@@ -125,7 +125,7 @@ def minor_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def common_reads_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = short_sample(spark, sf_dir)
-    return linkage.common_reads(s.found(LEAST).select("p1", "p2").distinct(), s.cells, s.shapes, s.joint)
+    return linkage.common_reads(s.found(LEAST).select("p1", "p2").distinct(), s.cells, s.shapes)
 
 
 def common_reads_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ def common_reads_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = s.inner.where("allele = 'N'")
     places = spark.range(fixture.LENGTH).select(F.col("id").cast("int").alias("pos"))
     pairs = places.select(F.col("pos").alias("p1")).join(places.select(F.col("pos").alias("p2")), F.col("p1") < F.col("p2"))
-    return linkage.common_reads(pairs, gone, s.shapes, linkage.joint_counts(gone))
+    return linkage.common_reads(pairs, gone, s.shapes)
 
 
 def _linked(s: Sample) -> DataFrame:
@@ -370,14 +370,46 @@ def si_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consensus strings of the 20 customer groups, merged within one difference; twenty rows by construction."""
+    """Consensus strings of the 20 customer groups, merged within one difference."""
     owners = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("read_id"), (F.col("o_custkey") % 20).alias("g"))
     rows = fixture.pileup(spark, sf_dir).join(owners, "read_id")
     counts = rows.groupBy("g", "pos", "allele").agg(F.count(F.lit(1)).alias("n"))
     found = pileup.consensus_string(pileup.consensus(counts, by=["g"]), by=["g"]).join(owners.groupBy("g").agg(F.count(F.lit(1)).alias("reads")), "g")
-    total = owners.count()
-    merged = haplotypes.merge_near([(r["consensus"], r["reads"] / total) for r in found.collect()])
-    return spark.createDataFrame(merged, "haplotype string, frequency double")
+    rows = found.select(F.col("consensus").alias("haplotype"), (F.col("reads") / owners.count()).alias("frequency"))
+    return haplotypes.merge_near_rows(rows).select("haplotype", F.round("frequency", 9).alias("frequency"))
+
+
+def minor_hits_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joint counts of minors from bitmaps of their reads instead of joined reads."""
+    cells = short_sample(spark, sf_dir).cells.where("allele <> 'N'")
+    return bitmaps.intersections(bitmaps.index(cells)).withColumnRenamed("n", "o22")
+
+
+def minor_reads_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each minor's bitmaps, how many reads they hold, and the least and greatest of them."""
+    found = bitmaps.index(short_sample(spark, sf_dir).cells.where("allele <> 'N'"))
+    ends = bitmaps.reads_of(found).groupBy("pos", "allele").agg(F.min("read_id").alias("first_read"), F.max("read_id").alias("last_read"))
+    return bitmaps.sizes(found).join(ends, ["pos", "allele"])
+
+
+def floor_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each line's order the last of a list of numbers that does not exceed it."""
+    values = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") * 13).alias("value"))
+    asks = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    return seek.floor_seek(values, asks, ask="l_orderkey").select("l_orderkey", "l_linenumber", "floor", F.col("index").alias("place"))
+
+
+def transitive_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the transitive way of merging: pairs of a component that chance doesn't explain."""
+    s = short_sample(spark, sf_dir)
+    return pipelines.transitive(s, _graph(s))
+
+
+def pair_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Haplotype frequencies of each candidate pair of minors, with errors of one in a hundred."""
+    rows = _linked(short_sample(spark, sf_dir))
+    em = pair_em.pair_frequencies([F.col(c) for c in ("o11", "o12", "o21", "o22")], (0.01, 0.01), (0.01, 0.01))
+    return rows.withColumn("em", em).select("p1", "a1", "p2", "a2", *[F.round(F.col("em.f")[k], 6).alias(n) for k, n in enumerate(("f11", "f12", "f21", "f22"))], "em.rounds")
 
 
 def letter_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -483,7 +515,7 @@ _QUERIES = (
     maximal_cliques, merged_cliques, clique_strings, merge_scores, subset_elimination, edge_graph_short, no_edge_pairs, read_assignment, cluster_sizes, low_quality_filter, read_likelihood,
     em_one_step, em_frequencies, vc_frequencies, vcf_rows, imputed_reads, hamming_pairs, string_difference, nearest_truth, smart_double, si_format,
     letter_digits, padded_segments, letters_at, normalised_counts, minus_log_chances, edge_chances, linked_variants_long, heaviest_clusters, cluster_haplotypes,
-    source_cliques, truth_mismatches, clique_mismatches, missed_edges, near_duplicate_merge, haplotypes_long, haplotypes_short, variants_short, variants_long,
+    source_cliques, truth_mismatches, clique_mismatches, missed_edges, near_duplicate_merge, minor_hits_bitmap, minor_reads_bitmap, floor_seek, transitive_graph, pair_frequencies, haplotypes_long, haplotypes_short, variants_short, variants_long,
 )
 
 

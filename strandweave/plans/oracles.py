@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 ALPHABET = "ACGT-N"
 
 _NOISE = "(rid*7919 + pos*104729 + rid*pos) % 1009"
@@ -260,7 +262,52 @@ _SELECTS = {
         SELECT p1, a1, p2, a2, reads, z AS o22 FROM lo WHERE cdf < 1e-4""",
 }
 
+_SELECTS["minor_hits_bitmap"] = _SELECTS["minor_hits"]
+_SELECTS["minor_reads_bitmap"] = "SELECT pos, allele, count(*) AS n, min(read_id) AS first_read, max(read_id) AS last_read FROM minors GROUP BY pos, allele"
+_SELECTS["pair_frequencies"] = """, h AS (SELECT t, o, ([[0.99::DOUBLE, 0.01], [0.01, 0.99]])[t // 2 + 1][o // 2 + 1] * ([[0.99::DOUBLE, 0.01], [0.01, 0.99]])[t % 2 + 1][o % 2 + 1] AS c FROM (SELECT range AS t FROM range(4)), (SELECT range AS o FROM range(4))),
+    em AS (
+      SELECT p1, a1, p2, a2, [o11, o12, o21, o22] AS n, 0 AS rounds, [0.25::DOUBLE, 0.25, 0.25, 0.25] AS f, 1.0::DOUBLE AS change FROM link
+      UNION ALL
+      SELECT p1, a1, p2, a2, n, rounds + 1, g, sqrt((g[1]-f[1])**2 + (g[2]-f[2])**2 + (g[3]-f[3])**2 + (g[4]-f[4])**2) FROM (
+        SELECT *, list_transform(m, lambda x: x / list_sum(m)) AS g FROM (
+          SELECT em.*, list_transform([1, 2, 3, 4], lambda t: f[t] * list_sum(list_transform([1, 2, 3, 4], lambda o: coalesce(n[o] * c[t][o] / nullif(f[1]*c[1][o] + f[2]*c[2][o] + f[3]*c[3][o] + f[4]*c[4][o], 0), 0)))) AS m
+          FROM em, (SELECT list(row_ ORDER BY t) AS c FROM (SELECT t, list(c ORDER BY o) AS row_ FROM h GROUP BY t)) k
+          WHERE change > 0.001 AND rounds < 100)))
+    SELECT p1, a1, p2, a2, round(f[1], 6) AS f11, round(f[2], 6) AS f12, round(f[3], 6) AS f21, round(f[4], 6) AS f22, CAST(rounds AS INT) AS rounds
+    FROM em QUALIFY row_number() OVER (PARTITION BY p1, a1, p2, a2 ORDER BY rounds DESC) = 1"""
+_SELECTS["near_duplicate_merge"] = """, c AS (SELECT ck % 20 AS g, pos, allele, count(*) AS n FROM pile2 WHERE allele <> 'N' GROUP BY ALL),
+    s AS (SELECT g, string_agg(major, '' ORDER BY pos) AS text FROM (SELECT g, pos, arg_min(allele, (-n, strpos('ACGT-N', allele))) AS major FROM c GROUP BY g, pos) GROUP BY g),
+    q AS (SELECT text, n / (SELECT count(*) FROM o) AS freq FROM s JOIN (SELECT ck % 20 AS g, count(*) AS n FROM o GROUP BY 1) USING (g)),
+    u AS (SELECT text, sum(freq) AS freq, row_number() OVER (ORDER BY max(freq) DESC, text) AS i FROM q GROUP BY text),
+    fold AS (
+      SELECT 0::BIGINT AS i, []::VARCHAR[] AS kept
+      UNION ALL
+      SELECT u.i, CASE WHEN len(list_filter(kept, lambda k: length(k) = length(text) AND hamming(k, text) <= 1)) = 0 THEN list_append(kept, text) ELSE kept END
+      FROM fold JOIN u ON u.i = fold.i + 1),
+    ends AS (SELECT u.freq, list_filter(kept, lambda k: length(k) = length(text) AND hamming(k, text) <= 1)[1] AS haplotype FROM u JOIN fold USING (i))
+    SELECT haplotype, round(sum(freq), 9) AS frequency FROM ends GROUP BY haplotype"""
+_SELECTS["transitive_graph"] = """, reach AS (SELECT u AS a, u AS b FROM nodes UNION SELECT reach.a, w.v FROM reach JOIN ways w ON w.u = reach.b),
+    vx AS (SELECT DISTINCT u, CAST(substr(u, 1, 10) AS INT) AS pos, substr(u, 11) AS allele FROM nodes),
+    pr AS (SELECT x.u, y.u AS v, x.pos AS p1, x.allele AS a1, y.pos AS p2, y.allele AS a2 FROM reach JOIN vx x ON x.u = a JOIN vx y ON y.u = b WHERE x.pos < y.pos),
+    tb AS (SELECT p1, a1, p2, a2, count(*) AS reads, count(*) FILTER (x.allele = m.major AND y.allele = n.major) AS o11, count(*) FILTER (x.allele = m.major AND y.allele = a2) AS o12,
+        count(*) FILTER (x.allele = a1 AND y.allele = n.major) AS o21, count(*) FILTER (x.allele = a1 AND y.allele = a2) AS o22
+      FROM pr JOIN pile x ON x.pos = p1 JOIN pile y ON y.read_id = x.read_id AND y.pos = p2 JOIN cons m ON m.pos = p1 JOIN cons n ON n.pos = p2 WHERE x.allele <> 'N' AND y.allele <> 'N' GROUP BY p1, a1, p2, a2),
+    sw AS (SELECT *, CASE WHEN o11 = 0 THEN o22 ELSE o11 END AS x11, CASE WHEN o11 = 0 THEN o11 ELSE o22 END AS x22 FROM tb),
+    ch AS (SELECT *, CASE WHEN x11 = 0 OR reads = 0 THEN CASE WHEN o12*o21 = 0 THEN 0 ELSE 'inf'::DOUBLE END ELSE o12*o21 / (x11*reads)::DOUBLE END AS pp, coalesce(x22 / nullif(0.2*x11 + 0.8*(o12+o21), 0)::DOUBLE, 'inf'::DOUBLE) AS ra FROM sw),
+    ta AS (SELECT p1, a1, p2, a2, sum(exp(n.f - k.f - r.f + k.k*ln(pp) + (reads-k.k)*ln(1-pp))) AS tl FROM ch JOIN lf n ON n.k = reads JOIN lf k ON k.k > x22 AND k.k <= reads JOIN lf r ON r.k = reads - k.k WHERE pp > 1e-12 AND pp < 1 AND ra <= 0.2 AND reads >= 50 GROUP BY ALL),
+    pv AS (SELECT pr.u, pr.v, CASE WHEN ch.reads IS NULL OR ch.reads < 50 THEN 0 WHEN pp > 1 THEN 1 WHEN ra > 0.2 THEN 0 WHEN pp < 1e-12 THEN 0 ELSE coalesce(tl, 0) END AS p FROM pr LEFT JOIN ch USING (p1, a1, p2, a2) LEFT JOIN ta USING (p1, a1, p2, a2)),
+    gone AS (SELECT u, v FROM pv WHERE p > 0.01),
+    bo AS (SELECT u AS f, v AS s FROM gone UNION SELECT v, u FROM gone),
+    beside AS (SELECT least(f, w.v) AS u, greatest(f, w.v) AS v FROM bo JOIN ways w ON w.u = s),
+    between_ AS (SELECT least(x.v, y.v) AS u, greatest(x.v, y.v) AS v FROM bo JOIN ways x ON x.u = f JOIN ways y ON y.u = s),
+    own AS (SELECT least(u, v) AS u, greatest(u, v) AS v FROM edges)
+    SELECT u, v FROM pv WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.u = pv.u AND g.v = pv.v)
+      AND (p <= 1e-6 OR EXISTS (SELECT 1 FROM own e WHERE e.u = pv.u AND e.v = pv.v) OR NOT EXISTS (SELECT 1 FROM beside b WHERE b.u = pv.u AND b.v = pv.v))
+      AND (p <= 5e-5 OR EXISTS (SELECT 1 FROM own e WHERE e.u = pv.u AND e.v = pv.v) OR NOT EXISTS (SELECT 1 FROM between_ b WHERE b.u = pv.u AND b.v = pv.v))"""
+
 _PLAIN = {
+    "floor_seek": """WITH v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM (SELECT DISTINCT o_custkey * 13 AS value FROM orders))
+        SELECT l_orderkey, l_linenumber, v.value AS floor, coalesce(i, 0) AS place FROM lineitem ASOF LEFT JOIN v ON l_orderkey >= v.value""",
     "letter_digits": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 5 THEN substr('ACGT-', CAST(o_orderkey % 7 + 1 AS INT), 1) ELSE 'N' END AS letter FROM orders",
     "cigar_projection": """WITH t AS (SELECT l_orderkey, l_linenumber, l_orderkey + l_linenumber AS k, substr(repeat('ACGTTGCATTAGC', 6), CAST(1 + l_partkey % 13 AS INT), 60) AS seq FROM lineitem),
         n AS (SELECT *, CAST(k % 4 AS INT) AS a, CAST(10 + k % 7 AS INT) AS b, CAST(1 + k % 3 AS INT) AS c, 12 AS d, CAST(1 + k % 5 AS INT) AS e FROM t)
@@ -278,5 +325,21 @@ _PLAIN = {
 }
 
 
+def _needed(select: str) -> str:
+    """BASE with only the tables that a query reads, directly or through others."""
+    head, body = BASE.split(" ", 2)[:2], BASE.split(" ", 2)[2]
+    tables = dict(re.findall(r"^(\w+) AS (\(.*?\))(?:,(?=\n\w+ AS \()|\Z)", body.strip(), re.DOTALL | re.MULTILINE))
+    wanted: list[str] = []
+    open_ = [select]
+    while open_:
+        text = open_.pop()
+        for name in tables:
+            if name not in wanted and re.search(rf"\b{name}\b", text):
+                wanted.append(name)
+                open_.append(tables[name])
+    listed = ",\n".join(f"{name} AS {tables[name]}" for name in tables if name in wanted)
+    return f"{' '.join(head)} {listed}\n{select}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: BASE + select for name, select in _SELECTS.items()} | _PLAIN
+    return {name: _needed(select) for name, select in _SELECTS.items()} | _PLAIN

@@ -51,16 +51,16 @@ def default_haplotype(sample: Sample, error: str = "", code: int = 0) -> Found:
 def non_edges(sample: Sample, nodes: DataFrame, rate: float, fragment: int | None = None) -> DataFrame:
     """Pairs of minors (nodes: u) seen together less than a true link of that rate would be, with their tables.
 
-    Pairs at about the fragment length, covered by few reads, or closer than the sample's limit do not count.  The pairs of
-    the graph's vertices are asked for, which are few beside the reads.
+    Pairs at about the fragment length, covered by few reads, or closer than the sample's limit do not count.  Pairs of
+    positions that enough reads' shapes cover come first, and minors join them by position.
     """
-    one = nodes.select(graph.vertex_pos(F.col("u")).alias("p1"), graph.vertex_allele(F.col("u")).alias("a1"))
-    two = one.toDF("p2", "a2")
-    pairs = one.join(two, (F.col("p2") - F.col("p1") > sample.close) & (F.col("p1") < F.col("p2")))
+    one = small(nodes.select(graph.vertex_pos(F.col("u")).alias("pos"), graph.vertex_allele(F.col("u")).alias("allele")))
+    places = linkage.far_pairs(linkage.position_pairs(one), sample.close)
     if fragment is not None:
-        pairs = pairs.where(F.abs(F.col("p2") - F.col("p1") - fragment) > 9)
-    found = pairs.join(sample.joint.withColumnRenamed("n", "o22"), linkage.KEYS, "left").fillna(0, ["o22"])
-    rows = sample.table(found).where(F.col("reads") >= MANY_READS)
+        places = places.where(F.abs(F.col("p2") - F.col("p1") - fragment) > 9)
+    places = linkage.common_by_shape(places, sample.shape_sizes).where(F.col("covered") >= MANY_READS)
+    pairs = places.join(one.toDF("p1", "a1"), "p1").join(one.toDF("p2", "a2"), "p2").select(*linkage.KEYS, "covered")
+    rows = sample.table(linkage.hits(pairs, sample.cells)).where(F.col("reads") >= MANY_READS)
     _, hits = linkage_tests.swapped(F.col("o11"), F.col("o22"))
     return rows.where(linkage_tests.non_edge_p(F.col("o11"), F.col("o22"), F.col("reads"), rate) < NON_EDGE_P).withColumn("o22", hits)
 
@@ -101,9 +101,11 @@ def transitive(sample: Sample, edges: DataFrame) -> DataFrame:
     at = lambda c: (graph.vertex_pos(F.col(c)), graph.vertex_allele(F.col(c)))
     (p1, a1), (p2, a2) = at("u"), at("v")
     asked = pairs.select(p1.alias("p1"), a1.alias("a1"), p2.alias("p2"), a2.alias("a2")).where("p1 < p2")
-    found = asked.join(sample.joint.withColumnRenamed("n", "o22"), linkage.KEYS, "left").fillna(0, ["o22"])
+    found = linkage.hits(asked, sample.cells)
     p = linkage_tests.edge_p(*(F.col(c) for c in ("o11", "o12", "o21", "o22", "reads")), sample.error)
-    rows = sample.table(found).withColumn("p", F.when(F.col("reads") < MANY_READS, 0.0).otherwise(p))
+    # A pair that few reads cover, or none, may be one haplotype's.
+    table = sample.table(found).select(*linkage.KEYS, F.when(F.col("reads") < MANY_READS, 0.0).otherwise(p).alias("p"))
+    rows = asked.join(table, linkage.KEYS, "left").fillna(0.0, ["p"])
     rows = stored(rows.select(graph.vertex(F.col("p1"), F.col("a1")).alias("u"), graph.vertex(F.col("p2"), F.col("a2")).alias("v"), "p", (F.col("p2") - F.col("p1") > sample.close).alias("far")))
     gone = rows.where(F.col("far") & (F.col("p") > UNLINKED_P)).select("u", "v")
     both = gone.union(gone.select("v", "u")).toDF("f", "s")
@@ -206,7 +208,7 @@ def _resolved(sample: Sample, cliques: DataFrame) -> DataFrame:
 def long_haplotypes(sample: Sample, least: int, share: float, mode: str = "accurate", quality_filter: bool = True, least_reads: int = CLUSTER_READS, non_edge_rate: float | None = None, by_component: bool = True, **region: int) -> Found:
     """Two passes: cliques of all reads, then of the nine tenths with fewest mistakes; all reads are then assigned.
 
-    region: start and end, between which edges are looked for.
+    region: start and end, between which edges are looked for; outside haplotypes are the consensus.
     """
     rate = share if non_edge_rate is None else non_edge_rate
     cliques = stored(merged(sample, edge_graph(sample, least, share, True, **region), rate, mode, by_component))
@@ -215,7 +217,7 @@ def long_haplotypes(sample: Sample, least: int, share: float, mode: str = "accur
         good = stored(assign.low_quality_filter(sample.pile, sample.majors, places).select("read_id"))
         second = sample.only(good)
         cliques = stored(merged(second, edge_graph(second, least, share, True, **region), rate, mode, by_component))
-    found = process_cliques(sample, cliques, LONG_RATE, True, least_reads=least_reads)
+    found = process_cliques(sample, cliques, LONG_RATE, True, least_reads=least_reads, **region)
     rows = [r for r in found.rows if r["frequency"] > share]
     return Found(rows, assigned=found.assigned) if rows else default_haplotype(sample, "all haplotypes are of low frequency", 5)
 
@@ -307,15 +309,19 @@ def _called(sample: Sample, rows: list[dict]) -> DataFrame:
     return sample.pile.sparkSession.createDataFrame(snps, "pos int, allele string")
 
 
-def short_variants(sample: Sample, least: int, share: float, top: int = TOP_EDGES) -> DataFrame:
-    """pos, allele, freq, alleles and corrected of the SNPs of all haplotypes, from cliques that are not merged."""
+def short_variants(sample: Sample, least: int, share: float, top: int = TOP_EDGES, **region: int) -> DataFrame:
+    """pos, allele, freq, alleles and corrected of the SNPs of all haplotypes, from cliques that are not merged.
+
+    region: start and end, between which edges are looked for and haplotypes may differ from the consensus.
+    """
     sample = rotated(sample, least, share)
-    cliques = stored(graph.numbered(graph.maximal_cliques(edge_graph(sample, least, share, False, top))))
-    return haplotypes.vc_frequencies(_called(sample, process_cliques(sample, cliques, SHORT_RATE, False).rows), sample.counts)
+    cliques = stored(graph.numbered(graph.maximal_cliques(edge_graph(sample, least, share, False, top, **region))))
+    return haplotypes.vc_frequencies(_called(sample, process_cliques(sample, cliques, SHORT_RATE, False, **region).rows), sample.counts)
 
 
-def long_variants(sample: Sample, least: int, share: float) -> DataFrame:
-    rows = long_haplotypes(sample, least, share, quality_filter=True).rows
+def long_variants(sample: Sample, least: int, share: float, **settings: object) -> DataFrame:
+    """The same from the haplotypes of long reads, always of those with fewest mistakes; settings are those of long_haplotypes."""
+    rows = long_haplotypes(sample, least, share, quality_filter=True, **settings).rows
     return haplotypes.vc_frequencies(_called(sample, rows), sample.counts)
 
 

@@ -68,21 +68,39 @@ class Sample:
 
     @cached_property
     def joint(self) -> DataFrame:
+        """Joint counts of all cells, single reads' noise included."""
         return stored(linkage.joint_counts(self.cells))
 
+    @cached_property
+    def shape_sizes(self) -> DataFrame:
+        return stored(linkage.shape_counts(self.shapes))
+
+    def minors(self, least: int, drop_deletions: bool = False) -> DataFrame:
+        """Letters that are neither major nor N, on at least that many reads."""
+        rows = linkage.frequent_minors(self.counts, self.majors, least)
+        return rows.where("allele <> '-'") if drop_deletions or self.ignore_deletion else rows
+
     def found(self, least: int, start: int = 0, end: int = 1_000_000) -> DataFrame:
-        return linkage.candidates(self.joint, least, self.close, start, end)
+        """Pairs of minors with at least that many joint reads, far enough apart and within the region; o22 is their count.
+
+        Only minors on so many reads are paired.
+        """
+        cells = self.cells.join(F.broadcast(self.minors(least)), ["pos", "allele"], "left_semi")  # a few letters a position
+        joint = linkage.joint_counts(cells).where(F.col("n") >= least).withColumnRenamed("n", "o22")
+        return linkage.far_pairs(joint, self.close, start, end)
+
+    def likely(self, least: int, share: float, start: int, end: int, drop_deletions: bool) -> DataFrame:
+        """The same for pairs that may exceed that share of their common reads; pairs that can't are never counted."""
+        least_row = max(least, LEAST_ROWS) if self.deletions else least
+        pairs = linkage.likely_pairs(self.minors(least_row, drop_deletions), self.counts, self.shape_sizes, share)
+        return linkage.hits(linkage.far_pairs(pairs, self.close, start, end), self.cells).where(F.col("o22") >= least)
 
     def table(self, found: DataFrame) -> DataFrame:
-        return linkage.linkage_table(found, self.cells, self.shapes, self.joint)
+        return linkage.linkage_table(found, self.cells, self.shapes)
 
     def tested(self, least: int, share: float, start: int = 0, end: int = 1_000_000, drop_deletions: bool = False) -> DataFrame:
         """Candidates above the threshold, with is_edge."""
-        found = self.found(least, start, end)
-        if drop_deletions or self.ignore_deletion:
-            found = found.where("a1 <> '-' AND a2 <> '-'")
-        if self.deletions and least < LEAST_ROWS:
-            found = linkage.between_frequent(found, self.cells, LEAST_ROWS)
+        found = stored(self.likely(least, share, start, end, drop_deletions))
         rows = self.table(found).where(fits_threshold(F.col("o22"), F.col("reads"), least, share))
         test = short_read_edge if not self.deletions else has_edge
         near = None if self.ratio_reach is None else F.col("p2") - F.col("p1") <= self.ratio_reach
