@@ -1,4 +1,4 @@
-"""Readers of FASTA, line-per-read text and SAM, on Spark's text source."""
+"""Readers of FASTA, line-per-read text and SAM, on Spark's text source, and of BAM."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bam import bam, bam_header
+
 
 def sample_name(path: Column) -> Column:
     """The file's name without its extension."""
@@ -34,8 +36,14 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("read_id"), F.col("value").alias("seq"), sample_name(F.col("_metadata.file_path")).alias("sample"))
 
 
+def is_bam(path: str) -> bool:
+    return path.lower().rstrip("/").endswith(".bam")
+
+
 def sam_header(spark: SparkSession, path: str) -> DataFrame:
-    """contig, length and interval of the first @SQ line."""
+    """contig, length and interval of the first @SQ line, or of the first contig of a BAM file."""
+    if is_bam(path):
+        return bam_header(spark, path)
     first = spark.read.text(path).where("value LIKE '@SQ%'").limit(1)
     name, length = F.regexp_extract("value", r"\tSN:([^\t]*)", 1), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("int")
     return first.select(name.alias("contig"), length.alias("length"), F.concat(name, F.lit(":0-"), length.cast("string")).alias("interval"))
@@ -46,7 +54,9 @@ SAM_FIELDS = {"qname": (0, "string"), "flag": (1, "int"), "rname": (2, "string")
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment lines, with rec_id in file order."""
+    """Alignment lines, or the records of a BAM file, with rec_id in file order."""
+    if is_bam(path):
+        return bam(spark, path)
     parts = F.split("value", "\t")
     rows = spark.read.text(path).where("value <> '' AND NOT value LIKE '@%'").select(F.monotonically_increasing_id().alias("rec_id"), parts.alias("f"))
     return rows.select("rec_id", *[F.get("f", F.lit(i)).cast(kind).alias(name) for name, (i, kind) in SAM_FIELDS.items()])
@@ -141,7 +151,7 @@ def short_reads(spark: SparkSession, path: str, limit: int = 1_000_000, first_on
 
 
 def long_reads(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, name and seq, by the file's ending: FASTA for .fas, .fasta and .fa, else SAM."""
+    """read_id, name and seq, by the file's ending: FASTA for .fas, .fasta and .fa, else SAM or BAM."""
     if PurePosixPath(path).suffix.lower() in (".fas", ".fasta", ".fa"):
         return fasta(spark, path).select("read_id", "name", "seq")
     return padded_reads(sam(spark, path), sam_header(spark, path).first()["length"])
