@@ -12,7 +12,7 @@ from .anchors import HOT_RUNS, Finder, Segments, Spans, Units, binary, kept_text
 
 
 class Bits:
-    """A bit vector with constant-time rank: 64-bit words and the ones before each."""
+    """A bit vector with rank and select: 64-bit words and the ones before each, a bit and a half a bit in all."""
 
     def __init__(self, bits: np.ndarray):
         padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, np.uint8)
@@ -26,6 +26,23 @@ class Bits:
         below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[word] + np.bitwise_count(self.words[word] & below)
 
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """Where the one after k others is: its word by the counts, then halves of the word by theirs."""
+        word = np.searchsorted(self.before, k.astype(np.int32), side="right") - 1
+        rest, x, at = k - self.before[word], self.words[word], word.astype(np.int64) << 6
+        for width in (32, 16, 8, 4, 2, 1):
+            low = x & np.uint64((1 << width) - 1)
+            ones = np.bitwise_count(low)
+            upper = rest >= ones
+            rest = rest - np.where(upper, ones, 0)
+            at += np.where(upper, width, 0)
+            x = np.where(upper, x >> np.uint64(width), low)
+        return at
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.before.nbytes
+
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
     """Bits of each symbol's code in a tree of least total length; 0 where the count is 0, or only one is not."""
@@ -102,6 +119,10 @@ class WaveletTree:
         out[..., order] = at
         return np.where(self.absent[symbol], 0, out)
 
+    @property
+    def nbytes(self) -> int:
+        return sum(bits.nbytes + starts.nbytes + before.nbytes for bits, _, starts, before in self.levels) + self.absent.nbytes + self.sizes.nbytes + self.codes.nbytes
+
 
 def suffix_order(keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, and whether each differs from the one before it in its first `length` symbols.
@@ -137,8 +158,9 @@ def suffix_order(keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
 class FMIndex:
     """Segments of symbols, each ended by 0, searched backward; symbols are 1 to size - 1.
 
-    What is kept is the wavelet tree over the Burrows-Wheeler transform, where each symbol begins, and one bit a suffix:
-    whether it differs from the one before in its first `length` symbols.  No suffix array is kept.
+    What is kept is the wavelet tree over the Burrows-Wheeler transform, where each symbol begins, and one bit a suffix
+    with counts for rank and select: whether it differs from the one before in its first `length` symbols.  No suffix array,
+    and nothing else of its size, is kept.
     """
 
     def __init__(self, symbols: np.ndarray, size: int, length: int):
@@ -148,13 +170,17 @@ class FMIndex:
         order, head = suffix_order(np.where(ends, np.cumsum(ends) - 1, int(ends.sum()) + symbols), length)
         self.tree = WaveletTree(symbols[order - 1], size)
         self.before = np.append(0, np.cumsum(np.bincount(symbols, minlength=size)))[:-1]
-        self.heads = Bits(head)
-        self.select = np.append(np.flatnonzero(head), self.n).astype(np.int32)
+        # A last one after the suffixes ends the last interval.
+        self.heads = Bits(np.append(head, True))
+
+    @property
+    def nbytes(self) -> int:
+        return self.tree.nbytes + self.before.nbytes + self.heads.nbytes
 
     def shortened(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The number and the interval of the suffixes that agree with the one at low in `length` symbols."""
         number = self.heads.ones(low + 1) - 1
-        return number, self.select[number], self.select[number + 1]
+        return number, self.heads.select(number), self.heads.select(number + 1)
 
     def step(self, symbol: np.ndarray, both: np.ndarray) -> np.ndarray:
         """The intervals (low in the first row, high in the second) of the matches with symbol before them."""

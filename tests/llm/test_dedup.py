@@ -234,6 +234,34 @@ def test_suffix_array_and_fm_index():
         assert all(len(x) == 1 for x in texts.values()) and len(set.union(*texts.values())) == len(texts)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.5, 1.0])
+def test_select(share):
+    rng = np.random.default_rng(1)
+    for n in (1, 63, 64, 65, 1000, 5000):
+        bits = rng.random(n) < share
+        bits[-1] = True
+        own = fm_index.Bits(bits)
+        places = np.flatnonzero(bits)
+        assert own.select(np.arange(len(places))).tolist() == places.tolist()
+        assert own.ones(places).tolist() == list(range(len(places)))
+
+
+@pytest.mark.parametrize("size", [4, 1000, 50_000])
+def test_index_is_compressed(size):
+    """The index takes the entropy of its symbols, half of that and two bits a symbol more, and what each distinct symbol has."""
+    rng = np.random.default_rng(size)
+    n = 200_000
+    symbols = np.minimum(rng.zipf(1.3, n), size - 1).astype(np.int64)
+    symbols[::97] = 0
+    symbols[-1] = 0
+    index = fm_index.FMIndex(symbols, size, 20)
+    counts = np.bincount(symbols)
+    counts = counts[counts > 0]
+    entropy = float((counts * np.log2(n / counts)).sum()) / n
+    assert index.nbytes * 8 <= n * (1.5 * (entropy + 1) + 2) + 600 * size
+    assert size > 1000 or index.nbytes < 0.6 * 4 * n
+
+
 @pytest.mark.parametrize("skew", [0, 1, 3])
 @pytest.mark.parametrize("size", [1, 2, 11, 300])
 def test_wavelet_rank(size, skew):
