@@ -12,7 +12,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave import limits
+from strandweave import limits, metrics
 from strandweave.operators import graph, pileup
 from strandweave.plans import pipelines
 from strandweave.plans.samples import Sample
@@ -141,12 +141,12 @@ def _truth(spark: SparkSession, p: Params) -> DataFrame:
     return _cells(text.fasta(spark, p.answer).withColumnRenamed("read_id", "truth"), "truth")
 
 
-def _report(spark: SparkSession, p: Params, found: pipelines.Found) -> None:
+def _report(spark: SparkSession, p: Params, found: pipelines.Found, figures: dict | None = None) -> None:
     name = _name(p.in_)
     frame = found.frame(spark)
     writers.write_text(writers.fasta_lines(frame, name, p.fdf, p.os, p.oe if p.oe < 10_000_000 else None), f"{p.outDir}/{name}.fasta")
     rows = [{"frequency": r["frequency"], "name": f"{i}_fr_{r['frequency']}", "snps": r["snps"], "sourceClique": r["source"], "haplotype": r["haplotype"]} for i, r in enumerate(found.rows)]
-    made = spark.createDataFrame([(writers.result_json(rows, p.settings(), found.error, found.code),)], "value string")
+    made = spark.createDataFrame([(writers.result_json(rows, p.settings(), found.error, found.code, figures),)], "value string")
     writers.write_text(made, f"{p.outDir}/{name}.json")
 
 
@@ -156,14 +156,15 @@ def haplotypes(spark: SparkSession, p: Params, long_reads: bool) -> pipelines.Fo
     The short mode gives the error a code, 4 or 6; the long one says it in words only.
     """
     sample = long_sample(spark, p) if long_reads else short_sample(spark, p)
-    settings = p.region() | p.merging()
+    settings, figures = p.region() | p.merging(), None
     try:
-        with limits.time_limit(spark, p.tl):
+        with limits.time_limit(spark, p.tl), metrics.collected() as notes:
             if long_reads:
                 found = pipelines.long_haplotypes(sample, p.t, p.tf, quality_filter=p.lowQFilter, **settings)
             else:
                 truth = _truth(spark, p) if p.answer and p.addFnedges else None
                 found = pipelines.short_haplotypes(sample, p.t, p.tf, fragment=p.fl if p.fl > 0 else None, recombinations=not p.filter, truth=truth, **settings)
+        figures = metrics.values(notes)
     except limits.TimeLimitError:
         log.exception("the time limit has been reached")
         found = pipelines.default_haplotype(sample, "Timeout reached", 0 if long_reads else 4)
@@ -172,7 +173,7 @@ def haplotypes(spark: SparkSession, p: Params, long_reads: bool) -> pipelines.Fo
             raise
         log.exception("the graph is too dense")
         found = pipelines.default_haplotype(sample, str(error), 0 if long_reads else 6)
-    _report(spark, p, found)
+    _report(spark, p, found, figures)
     if p.rn and found.assigned is not None:
         lines = writers.read_name_lines(found.frame(spark), found.assigned, sample.names, _name(p.in_), p.fdf)
         lines.write.mode("overwrite").text(f"{p.outDir}/{_name(p.in_)}_read_names")

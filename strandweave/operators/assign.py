@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.storage import small
+from strandweave.storage import ranked, small, stored
 
 
 def clique_strings(members: DataFrame, majors: DataFrame) -> DataFrame:
@@ -50,18 +50,19 @@ def low_quality_filter(cells: DataFrame, majors: DataFrame, snp_positions: DataF
     """read_id and mistakes of the reads with fewest mistakes, the first ceil(share * n).
 
     A mistake is a letter other than the major one, outside N and the positions of cliques.  Reads are ranked by
-    counting how many have each number of mistakes; only the reads of one number of mistakes need an order among them.
+    counting how many have each number of mistakes; only the reads of one number of mistakes need an order among them,
+    and are numbered by ranges of their ids.
     """
     marks = majors.join(snp_positions.select("pos").distinct().withColumn("snp", F.lit(True)), "pos", "left")
     marked = cells.join(small(marks), "pos")
     wrong = (F.col("allele") != F.col("major")) & (F.col("allele") != "N") & F.col("snp").isNull()
-    mistakes = marked.groupBy("read_id").agg(F.least(F.count_if(wrong), F.lit(cap)).alias("mistakes"))
+    mistakes = stored(marked.groupBy("read_id").agg(F.least(F.count_if(wrong), F.lit(cap)).alias("mistakes")))
     counts = mistakes.groupBy("mistakes").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("mistakes").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("mistakes", "n", before.alias("before"), F.ceil(F.sum("n").over(Window.partitionBy()) * F.lit(share)).alias("limit"))
     whole = counts.where("before + n <= limit").select("mistakes")
     partly = counts.where("before < limit AND before + n > limit").select("mistakes", (F.col("limit") - F.col("before")).alias("room"))
-    at_border = mistakes.join(partly, "mistakes").withColumn("place", F.row_number().over(Window.partitionBy("mistakes").orderBy("read_id"))).where("place <= room")
+    at_border = ranked(mistakes.join(F.broadcast(partly), "mistakes"), [F.col("read_id")], "place").where("place <= room")
     return mistakes.join(whole, "mistakes", "left_semi").select("read_id", "mistakes").union(at_border.select("read_id", "mistakes"))
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.metrics import note
 from strandweave.storage import stored
 
 #: What a row says of p, a neighbour of a vertex after it in the order: that it is one, or is linked to q, another of these or an earlier one.
@@ -113,7 +114,8 @@ def ordered_edges(edges: DataFrame, a: str = "u", b: str = "v", most: int = 512)
         both = pairs.join(ranks, "u").join(ranks.toDF("v", "other"), "v")
         return stored(both.where("rank < other").select("u", "v"))
 
-    out = directed(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("degree")))
+    degrees = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("degree"))
+    out = directed(stored(note(degrees, "graph", F.count(F.lit(1)).alias("vertices"), F.sum("degree").alias("ends"), F.max("degree").alias("most_neighbours"))))
     after = out.groupBy("u").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if not after or after <= most:
         return out
@@ -276,7 +278,8 @@ def resolve_conflicts(cliques: DataFrame, freq: DataFrame) -> DataFrame:
     """clique_id and vs without alleles that a more frequent one of the same position and clique beats; ties stay."""
     m = members(cliques).join(freq.select("pos", "allele", "freq"), ["pos", "allele"])
     best = F.max("freq").over(Window.partitionBy("clique_id", "pos"))
-    return m.withColumn("best", best).where("freq = best").groupBy("clique_id").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    rated = note(m.withColumn("best", best), "conflicts", F.count_if(F.col("freq") < F.col("best")).alias("resolved"))
+    return rated.where("freq = best").groupBy("clique_id").agg(F.array_sort(F.collect_list("v")).alias("vs"))
 
 
 def closure_edges(cliques: DataFrame) -> DataFrame:

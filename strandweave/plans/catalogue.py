@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandweave import metrics
 from strandweave.functions import alleles, binomial, linkage_tests, pair_em
 from strandweave.operators import assign, bitmaps, deletions, graph, haplotypes, linkage, pileup, seek
 from strandweave.plans import oracles, pipelines
@@ -405,6 +406,18 @@ def transitive_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.transitive(s, _graph(s))
 
 
+def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the graph, its cliques and the pairs of them that can't be joined, as observed while they were made."""
+    s = short_sample(spark, sf_dir)
+    with metrics.collected() as notes:
+        edges = _graph(s)
+        cliques = pipelines.unmerged(edges)
+        pipelines.refused(s, cliques, edges, SHARE)
+    found = metrics.values(notes)
+    rows = [(name, figure, int(value or 0)) for name, times in found.items() for each in times for figure, value in each.items()]
+    return spark.createDataFrame(rows, "part string, figure string, value long")
+
+
 def pair_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Haplotype frequencies of each candidate pair of minors, with errors of one in a hundred."""
     rows = _linked(short_sample(spark, sf_dir))
@@ -515,7 +528,7 @@ _QUERIES = (
     maximal_cliques, merged_cliques, clique_strings, merge_scores, subset_elimination, edge_graph_short, no_edge_pairs, read_assignment, cluster_sizes, low_quality_filter, read_likelihood,
     em_one_step, em_frequencies, vc_frequencies, vcf_rows, imputed_reads, hamming_pairs, string_difference, nearest_truth, smart_double, si_format,
     letter_digits, padded_segments, letters_at, normalised_counts, minus_log_chances, edge_chances, linked_variants_long, heaviest_clusters, cluster_haplotypes,
-    source_cliques, truth_mismatches, clique_mismatches, missed_edges, near_duplicate_merge, minor_hits_bitmap, minor_reads_bitmap, floor_seek, transitive_graph, pair_frequencies, haplotypes_long, haplotypes_short, variants_short, variants_long,
+    source_cliques, truth_mismatches, clique_mismatches, missed_edges, near_duplicate_merge, minor_hits_bitmap, minor_reads_bitmap, floor_seek, transitive_graph, pair_frequencies, graph_metrics, haplotypes_long, haplotypes_short, variants_short, variants_long,
 )
 
 

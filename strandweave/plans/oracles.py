@@ -115,6 +115,19 @@ _PAIRS = f"""pairs AS (
 _DIGITS = "CASE WHEN x >= 1 THEN 2 WHEN x >= 0.1 THEN 3 WHEN x >= 0.01 THEN 4 WHEN x >= 0.001 THEN 5 WHEN x >= 1e-4 THEN 6 WHEN x >= 1e-5 THEN 7 WHEN x >= 1e-6 THEN 8 WHEN x >= 1e-7 THEN 9 WHEN x >= 1e-8 THEN 10 WHEN x >= 1e-9 THEN 11 ELSE 1 END"
 _SMART = "CASE " + " ".join(f"WHEN {_DIGITS} = {d} THEN CAST(CAST(CAST(x AS VARCHAR) AS DECIMAL(30,{d})) AS VARCHAR)" for d in range(1, 12)) + " END"
 
+#: Pairs of vertices, both ways, that reads do not link, and the pairs of cliques that they or a position keep apart.
+_UNLINKED = """, vx AS (SELECT DISTINCT p1 AS pos, a1 AS allele FROM edges UNION SELECT p2, a2 FROM edges),
+        pr AS (SELECT x.pos AS p1, x.allele AS a1, y.pos AS p2, y.allele AS a2 FROM vx x JOIN vx y ON x.pos < y.pos),
+        tb AS (SELECT pr.*, count(*) AS reads, count(*) FILTER (x.allele = m.major AND y.allele = n.major) AS o11, count(*) FILTER (x.allele = a1 AND y.allele = a2) AS o22
+          FROM pr JOIN pile x ON x.pos = p1 JOIN pile y ON y.read_id = x.read_id AND y.pos = p2 JOIN cons m ON m.pos = p1 JOIN cons n ON n.pos = p2 WHERE x.allele <> 'N' AND y.allele <> 'N' GROUP BY p1, a1, p2, a2),
+        sw AS (SELECT *, CASE WHEN o11 = 0 THEN o11 ELSE o22 END AS z FROM tb WHERE reads >= 50),
+        lo AS (SELECT p1, a1, p2, a2, reads, z, sum(exp(n.f - k.f - r.f + k.k*ln(0.02) + (reads-k.k)*ln(0.98))) AS cdf FROM sw JOIN lf n ON n.k = reads JOIN lf k ON k.k <= z JOIN lf r ON r.k = reads - k.k GROUP BY ALL),
+        bad AS (SELECT printf('%010d%s', p1, a1) AS x, printf('%010d%s', p2, a2) AS y FROM lo WHERE cdf < 1e-4),
+        un AS (SELECT x, y FROM bad WHERE NOT EXISTS (SELECT 1 FROM edges WHERE u = x AND v = y)),
+        both_ways AS (SELECT x, y FROM un UNION SELECT y, x FROM un)"""
+_APART = """SELECT DISTINCT a.clique_id AS c1, b.clique_id AS c2 FROM member a JOIN member b ON a.clique_id < b.clique_id
+        WHERE (a.pos = b.pos AND a.v <> b.v) OR EXISTS (SELECT 1 FROM both_ways w WHERE w.x = a.v AND w.y = b.v)"""
+
 _SELECTS = {
     "coverage_counts": "SELECT pos, allele, n FROM counts",
     "coverage_counts_no_n": "SELECT pos, allele, n FROM counts WHERE allele <> 'N'",
@@ -242,17 +255,7 @@ _SELECTS = {
     "missed_edges": """, tv AS (SELECT clique_id, pos, allele, printf('%010d%s', pos, allele) AS v FROM pm)
         SELECT DISTINCT a.v AS u, b.v AS v FROM tv a JOIN tv b ON a.clique_id = b.clique_id AND a.v < b.v
         WHERE b.pos - a.pos <= 120 AND NOT (a.allele = '-' AND b.allele = '-') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.u = a.v AND e.v = b.v)""",
-    "no_edge_pairs": """, vx AS (SELECT DISTINCT p1 AS pos, a1 AS allele FROM edges UNION SELECT p2, a2 FROM edges),
-        pr AS (SELECT x.pos AS p1, x.allele AS a1, y.pos AS p2, y.allele AS a2 FROM vx x JOIN vx y ON x.pos < y.pos),
-        tb AS (SELECT pr.*, count(*) AS reads, count(*) FILTER (x.allele = m.major AND y.allele = n.major) AS o11, count(*) FILTER (x.allele = a1 AND y.allele = a2) AS o22
-          FROM pr JOIN pile x ON x.pos = p1 JOIN pile y ON y.read_id = x.read_id AND y.pos = p2 JOIN cons m ON m.pos = p1 JOIN cons n ON n.pos = p2 WHERE x.allele <> 'N' AND y.allele <> 'N' GROUP BY p1, a1, p2, a2),
-        sw AS (SELECT *, CASE WHEN o11 = 0 THEN o11 ELSE o22 END AS z FROM tb WHERE reads >= 50),
-        lo AS (SELECT p1, a1, p2, a2, reads, z, sum(exp(n.f - k.f - r.f + k.k*ln(0.02) + (reads-k.k)*ln(0.98))) AS cdf FROM sw JOIN lf n ON n.k = reads JOIN lf k ON k.k <= z JOIN lf r ON r.k = reads - k.k GROUP BY ALL),
-        bad AS (SELECT printf('%010d%s', p1, a1) AS x, printf('%010d%s', p2, a2) AS y FROM lo WHERE cdf < 1e-4),
-        un AS (SELECT x, y FROM bad WHERE NOT EXISTS (SELECT 1 FROM edges WHERE u = x AND v = y)),
-        both_ways AS (SELECT x, y FROM un UNION SELECT y, x FROM un)
-        SELECT DISTINCT a.clique_id AS c1, b.clique_id AS c2 FROM member a JOIN member b ON a.clique_id < b.clique_id
-        WHERE (a.pos = b.pos AND a.v <> b.v) OR EXISTS (SELECT 1 FROM both_ways w WHERE w.x = a.v AND w.y = b.v)""",
+    "no_edge_pairs": f"{_UNLINKED} {_APART}",
     "non_edges": """, vx AS (SELECT DISTINCT p1 AS pos, a1 AS allele FROM edges UNION SELECT p2, a2 FROM edges),
         pr AS (SELECT x.pos AS p1, x.allele AS a1, y.pos AS p2, y.allele AS a2 FROM vx x JOIN vx y ON x.pos < y.pos),
         tb AS (SELECT pr.*, count(*) AS reads, count(*) FILTER (x.allele = m.major AND y.allele = n.major) AS o11, count(*) FILTER (x.allele = a1 AND y.allele = a2) AS o22
@@ -286,6 +289,16 @@ _SELECTS["near_duplicate_merge"] = """, c AS (SELECT ck % 20 AS g, pos, allele,
       FROM fold JOIN u ON u.i = fold.i + 1),
     ends AS (SELECT u.freq, list_filter(kept, lambda k: length(k) = length(text) AND hamming(k, text) <= 1)[1] AS haplotype FROM u JOIN fold USING (i))
     SELECT haplotype, round(sum(freq), 9) AS frequency FROM ends GROUP BY haplotype"""
+_SELECTS["graph_metrics"] = f"""{_UNLINKED}, apart AS ({_APART}),
+    figures AS (
+      SELECT 'graph' AS part, 'vertices' AS figure, count(*) AS value FROM nodes
+      UNION ALL SELECT 'graph', 'ends', count(*) FROM ways
+      UNION ALL SELECT 'graph', 'most_neighbours', max(n) FROM (SELECT count(*) AS n FROM ways GROUP BY u)
+      UNION ALL SELECT 'cliques', 'cliques', count(*) FROM cliques
+      UNION ALL SELECT 'cliques', 'vertices', count(*) FROM member
+      UNION ALL SELECT 'cliques', 'largest', max(len(vs)) FROM cliques
+      UNION ALL SELECT 'no_edges', 'pairs', count(*) FROM apart)
+    SELECT part, figure, value FROM figures"""
 _SELECTS["transitive_graph"] = """, reach AS (SELECT u AS a, u AS b FROM nodes UNION SELECT reach.a, w.v FROM reach JOIN ways w ON w.u = reach.b),
     vx AS (SELECT DISTINCT u, CAST(substr(u, 1, 10) AS INT) AS pos, substr(u, 11) AS allele FROM nodes),
     pr AS (SELECT x.u, y.u AS v, x.pos AS p1, x.allele AS a1, y.pos AS p2, y.allele AS a2 FROM reach JOIN vx x ON x.u = a JOIN vx y ON y.u = b WHERE x.pos < y.pos),

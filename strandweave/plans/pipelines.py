@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions import linkage_tests
+from strandweave.metrics import note
 from strandweave.operators import assign, deletions, graph, haplotypes, linkage, pileup
 from strandweave.plans.samples import Sample
 from strandweave.storage import small, stored
@@ -78,17 +79,28 @@ def no_edge_pairs(sample: Sample, cliques: DataFrame, edges: DataFrame, rate: fl
     return graph.conflicts(cliques).union(unlinked).distinct()
 
 
+def unmerged(edges: DataFrame) -> DataFrame:
+    """The maximal cliques of an edge table, numbered and stored."""
+    figures = F.count(F.lit(1)).alias("cliques"), F.sum(F.size("vs")).alias("vertices"), F.max(F.size("vs")).alias("largest")
+    return stored(note(graph.numbered(graph.maximal_cliques(edges)), "cliques", *figures))
+
+
+def refused(sample: Sample, cliques: DataFrame, edges: DataFrame, rate: float, fragment: int | None = None) -> DataFrame:
+    """The pairs of cliques that cannot be one haplotype, stored."""
+    return stored(note(no_edge_pairs(sample, cliques, edges, rate, fragment), "no_edges", F.count(F.lit(1)).alias("pairs")))
+
+
 def merged(sample: Sample, edges: DataFrame, rate: float, mode: str = "accurate", by_component: bool = True, fragment: int | None = None) -> DataFrame:
     """Merged cliques (clique_id, vs) of an edge table (u, v); mode is accurate, transitive or fast."""
     if mode == "transitive":
         edges = stored(transitive(sample, edges))
-    cliques = stored(graph.numbered(graph.maximal_cliques(edges)))
+    cliques = unmerged(edges)
     if mode == "transitive" or cliques.limit(1).count() == 0:
         return cliques
-    refused = stored(no_edge_pairs(sample, cliques, edges, rate, fragment))
+    apart = refused(sample, cliques, edges, rate, fragment)
     if mode == "accurate":
-        return graph.numbered(graph.merge_accurate(cliques, edges, refused, by_component))
-    return graph.numbered(graph.merge_fast_by_component(cliques, edges, refused))
+        return graph.numbered(graph.merge_accurate(cliques, edges, apart, by_component))
+    return graph.numbered(graph.merge_fast_by_component(cliques, edges, apart))
 
 
 def transitive(sample: Sample, edges: DataFrame) -> DataFrame:

@@ -31,9 +31,10 @@ def write_text(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").text(path)
 
 
-def result_json(haplotypes: list[dict], settings: dict[str, str], error: str = "", code: int = 0) -> str:
-    """The result of a run; haplotypes have frequency, name, snps, sourceClique and haplotype."""
-    return json.dumps({"version": VERSION, "settings": settings, "error": error, "errorCode": code, "foundHaplotypes": len(haplotypes), "haplotypes": haplotypes}, indent=2)
+def result_json(haplotypes: list[dict], settings: dict[str, str], error: str = "", code: int = 0, metrics: dict | None = None) -> str:
+    """The result of a run; haplotypes have frequency, name, snps, sourceClique and haplotype. metrics: figures of its graphs."""
+    made = {"version": VERSION, "settings": settings, "error": error, "errorCode": code, "foundHaplotypes": len(haplotypes), "haplotypes": haplotypes}
+    return json.dumps(made | ({"metrics": metrics} if metrics else {}), indent=2)
 
 
 def read_names(haplotypes: DataFrame, assignment: DataFrame, reads: DataFrame) -> DataFrame:

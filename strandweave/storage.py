@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most rows of a table that is sent to all executors; beyond it a join is shuffled.
@@ -32,3 +32,13 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df, stored and counted; to be broadcast where it has at most limit rows."""
     kept = stored(df)
     return F.broadcast(kept) if kept.count() <= limit else kept
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its rows' places from 1 on in that order, as `name`: dealt by ranges, stored, counted within each and offset by the ranges before."""
+    dealt = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    within = Window.partitionBy("_range").orderBy(*order)
+    # A row a range.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return dealt.join(F.broadcast(sizes), "_range").withColumn(name, F.col("_before") + F.row_number().over(within)).drop("_range", "_before")
