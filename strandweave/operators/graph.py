@@ -172,6 +172,12 @@ def members(cliques: DataFrame) -> DataFrame:
     return cliques.select("clique_id", F.explode("vs").alias("v")).select("clique_id", "v", vertex_pos(v).alias("pos"), vertex_allele(v).alias("allele"))
 
 
+def clique_slice(cliques: DataFrame, start: int, end: int) -> DataFrame:
+    """clique_id and vs of the positions from start to end, both in; with an end of 0 none."""
+    inside = F.filter("vs", lambda v: vertex_pos(v).between(start, end) & (F.lit(end) != 0))
+    return cliques.select("clique_id", inside.alias("vs"))
+
+
 def merge_scores(cliques: DataFrame, edges: DataFrame) -> DataFrame:
     """c1 < c2 and score: shared vertices and edges between them; pairs with two alleles of a position have none.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from strandweave.functions.alleles import hamming
 from strandweave.operators.pileup import consensus, weighted_profile
 from strandweave.storage import small, stored
 
+log = logging.getLogger(__name__)
+
 
 def cluster_haplotypes(cells: DataFrame, assignment: DataFrame, majors: DataFrame, start: int = 0, end: int = 1_000_000, floor: float = 0.01) -> DataFrame:
     """clique_id, pos and allele: the weighted consensus of each cluster.
@@ -118,13 +122,14 @@ def em_frequencies(likelihoods: DataFrame, tolerance: float = 1e-3, rounds: int
     """Frequencies from equal ones on, until the Euclidean change is at most tolerance; haplotypes are at most a hundred or so."""
     patterns = stored(likelihood_patterns(likelihoods))
     ids = [r["hap_id"] for r in patterns.select(F.explode("pattern.hap_id").alias("hap_id")).distinct().collect()]
-    freq = {k: 1 / len(ids) for k in ids}
+    freq, change = {k: 1 / len(ids) for k in ids}, 0.0
     for _ in range(rounds):
         new = em_step(patterns, freq)
         change = sum((new[k] - freq[k]) ** 2 for k in freq) ** 0.5
         freq = new
         if change <= tolerance:
-            break
+            return freq
+    log.warning("frequencies still moved by %g after %d rounds", change, rounds)
     return freq
 
 

@@ -63,6 +63,12 @@ def profile_matrix(counts: DataFrame) -> DataFrame:
     return cells.groupBy("row_no", "allele").agg(line.alias("line"))
 
 
+def profile_columns(counts: DataFrame, letters: str = "ACGT-") -> DataFrame:
+    """The profile's matrix with positions as rows: pos and line, the counts of the letters in order."""
+    each = [F.sum(F.when(F.col("allele") == c, F.col("n")).otherwise(0)).cast("string") for c in letters]
+    return counts.groupBy("pos").agg(F.concat_ws("\t", *each).alias("line"))
+
+
 def sparse(pile: DataFrame, majors: DataFrame) -> DataFrame:
     """The cells that are not major (minors and N), with the minor's split code (null for N)."""
     rows = pile.join(F.broadcast(majors), "pos").where("allele <> major")

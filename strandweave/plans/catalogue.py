@@ -406,6 +406,74 @@ def transitive_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.transitive(s, _graph(s))
 
 
+def _strings(rows: DataFrame, key: str) -> DataFrame:
+    return pileup.consensus_string(rows, "allele", by=[key]).withColumnRenamed("consensus", "haplotype")
+
+
+def haplotype_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A FASTA report of the planted haplotypes with their shares of the reads, over a part of the reference."""
+    owners = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(fixture.haplotype_of(F.col("o_custkey")).alias("rank")).agg(F.count(F.lit(1)).alias("n"))
+    shares = owners.withColumn("frequency", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    rows = _strings(fixture.truth(spark).withColumnRenamed("haplotype", "rank"), "rank").join(shares, "rank")
+    return writers.fasta_lines(rows, "sample", "extended3", 10, 60)
+
+
+def equal_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer groups whose consensus is one string, as one haplotype."""
+    owners = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("read_id"), (F.col("o_custkey") % 20).alias("g"))
+    counts = fixture.pileup(spark, sf_dir).join(owners, "read_id").groupBy("g", "pos", "allele").agg(F.count(F.lit(1)).alias("n"))
+    found = pileup.consensus_string(pileup.consensus(counts, by=["g"]), by=["g"]).select(F.col("g").alias("clique_id"), F.col("consensus").alias("haplotype"), F.array().cast("array<string>").alias("snps"))
+    return haplotypes.merge_equal(found).select("haplotype", "hap_id", F.array_join(F.col("cliques").cast("array<string>"), ",").alias("groups"))
+
+
+def read_assignment_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(long_sample(spark, sf_dir))
+
+
+def read_likelihood_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the long form: N is no mismatch, and every read is as long as the reference."""
+    planted = fixture.truth(spark).withColumnRenamed("haplotype", "hap_id")
+    return haplotypes.read_likelihoods(fixture.long_pileup(spark, sf_dir), planted, 0.01, n_is_mismatch=False, length=fixture.LENGTH).withColumn("h", F.round("h", 9))
+
+
+def default_haplotype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.default_haplotype(short_sample(spark, sf_dir)).frame(spark).select("haplotype", "frequency")
+
+
+def read_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which reads each planted haplotype has."""
+    s = short_sample(spark, sf_dir)
+    ranks = spark.range(4).select(F.col("id").cast("int").alias("rank"), F.array("id").alias("cliques"))
+    names = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("read_id"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("name"))
+    return writers.read_names(ranks, _assigned(s), names)
+
+
+def exploded_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts from the strings of the reads instead of their cells."""
+    return pileup.coverage(pileup.explode_reads(fixture.segment_reads(spark, sf_dir)))
+
+
+def closure_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.closure_edges(_cliques(_graph(short_sample(spark, sf_dir))))
+
+
+def clique_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graph.clique_slice(_cliques(_graph(short_sample(spark, sf_dir))), 30, 60)
+    return rows.select("clique_id", F.array_join("vs", ",").alias("vs"))
+
+
+def deletion_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deletions.islands(fixture.pileup(spark, sf_dir))
+
+
+def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.profile_columns(short_sample(spark, sf_dir).counts)
+
+
+def haplotypes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.whole_haplotypes(short_sample(spark, sf_dir), LEAST, 0.02).frame(spark)
+
+
 def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of the graph, its cliques and the pairs of them that can't be joined, as observed while they were made."""
     s = short_sample(spark, sf_dir)
@@ -528,7 +596,8 @@ _QUERIES = (
     maximal_cliques, merged_cliques, clique_strings, merge_scores, subset_elimination, edge_graph_short, no_edge_pairs, read_assignment, cluster_sizes, low_quality_filter, read_likelihood,
     em_one_step, em_frequencies, vc_frequencies, vcf_rows, imputed_reads, hamming_pairs, string_difference, nearest_truth, smart_double, si_format,
     letter_digits, padded_segments, letters_at, normalised_counts, minus_log_chances, edge_chances, linked_variants_long, heaviest_clusters, cluster_haplotypes,
-    source_cliques, truth_mismatches, clique_mismatches, missed_edges, near_duplicate_merge, minor_hits_bitmap, minor_reads_bitmap, floor_seek, transitive_graph, pair_frequencies, graph_metrics, haplotypes_long, haplotypes_short, variants_short, variants_long,
+    source_cliques, truth_mismatches, clique_mismatches, missed_edges, near_duplicate_merge, minor_hits_bitmap, minor_reads_bitmap, floor_seek, transitive_graph, pair_frequencies, graph_metrics, haplotype_fasta, equal_haplotypes, read_assignment_long,
+    read_likelihood_long, default_haplotype, read_names, exploded_coverage, closure_edges, clique_slices, deletion_islands, profile_columns, haplotypes_whole, haplotypes_long, haplotypes_short, variants_short, variants_long,
 )
 
 

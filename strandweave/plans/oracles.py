@@ -318,6 +318,32 @@ _SELECTS["transitive_graph"] = """, reach AS (SELECT u AS a, u AS b FROM nodes U
       AND (p <= 1e-6 OR EXISTS (SELECT 1 FROM own e WHERE e.u = pv.u AND e.v = pv.v) OR NOT EXISTS (SELECT 1 FROM beside b WHERE b.u = pv.u AND b.v = pv.v))
       AND (p <= 5e-5 OR EXISTS (SELECT 1 FROM own e WHERE e.u = pv.u AND e.v = pv.v) OR NOT EXISTS (SELECT 1 FROM between_ b WHERE b.u = pv.u AND b.v = pv.v))"""
 
+_GROUPS = """c AS (SELECT ck % 20 AS g, pos, allele, count(*) AS n FROM pile2 WHERE allele <> 'N' GROUP BY ALL),
+    s AS (SELECT g, string_agg(major, '' ORDER BY pos) AS text FROM (SELECT g, pos, arg_min(allele, (-n, strpos('ACGT-N', allele))) AS major FROM c GROUP BY g, pos) GROUP BY g)"""
+_SELECTS |= {
+    "haplotype_fasta": """, f AS (SELECT h, count(*) AS n FROM (SELECT CASE WHEN ck % 20 < 10 THEN 0 WHEN ck % 20 < 15 THEN 1 WHEN ck % 20 < 18 THEN 2 ELSE 3 END AS h FROM o) GROUP BY h)
+        SELECT printf('>sample_%d_%.3f', h, n / (SELECT count(*) FROM o)) || chr(10) || string_agg(allele, '' ORDER BY pos) || chr(10) AS value FROM f JOIN truth ON haplotype = h WHERE pos >= 10 AND pos < 60 GROUP BY h, n""",
+    "equal_haplotypes": f", {_GROUPS} SELECT text AS haplotype, min(g) AS hap_id, string_agg(g::VARCHAR, ',' ORDER BY g) AS groups FROM s GROUP BY text",
+    "read_assignment_long": """, lc AS (SELECT pos, arg_min(allele, (-n, strpos('ACGT-N', allele))) AS major FROM (SELECT pos, allele, count(*) AS n FROM lpile WHERE allele <> 'N' GROUP BY ALL) GROUP BY pos),
+        lpm AS (SELECT haplotype AS clique_id, pos, allele FROM truth JOIN lc USING (pos) WHERE allele <> major),
+        lst AS (SELECT i.clique_id, c.pos, coalesce(p.allele, major) AS allele, p.allele IS NOT NULL AS is_snp FROM ids i CROSS JOIN (SELECT pos, major FROM lc WHERE pos IN (SELECT pos FROM lpm)) c LEFT JOIN lpm p ON p.clique_id = i.clique_id AND p.pos = c.pos),
+        lb AS (SELECT clique_id, NOT bool_or(is_snp) AS bare FROM lst GROUP BY clique_id),
+        ld AS (SELECT read_id, clique_id, count(*) FILTER (p.allele <> s.allele) AS d, count(*) FILTER (is_snp OR bare) AS coincidences FROM lpile p JOIN lst s USING (pos) JOIN lb USING (clique_id) WHERE p.allele <> 'N' GROUP BY read_id, clique_id),
+        ln_ AS (SELECT *, min(d) OVER (PARTITION BY read_id) AS least FROM ld WHERE coincidences > 0 AND coincidences <> d)
+        SELECT read_id, CAST(clique_id AS INT) AS clique_id, count(*) OVER (PARTITION BY read_id) AS k FROM ln_ WHERE d = least""",
+    "read_likelihood_long": """, m AS (SELECT read_id, haplotype, count(*) FILTER (p.allele <> t.allele AND p.allele <> 'N') AS misses FROM lpile p JOIN truth t USING (pos) GROUP BY ALL)
+        SELECT read_id, CAST(haplotype AS INT) AS hap_id, misses, 120::BIGINT AS size, round(pow(0.99, 120 - misses) * pow(0.01/3, misses), 9) AS h FROM m""",
+    "default_haplotype": "SELECT string_agg(major, '' ORDER BY pos) AS haplotype, 1.0::DOUBLE AS frequency FROM cons",
+    "read_names": "SELECT DISTINCT CAST(clique_id AS INT) AS rank, 'r' || read_id AS name FROM assigned",
+    "exploded_coverage": "SELECT pos, allele, n FROM counts",
+    "closure_edges": "SELECT DISTINCT a.v AS u, b.v AS v FROM member a JOIN member b ON a.clique_id = b.clique_id AND a.v < b.v",
+    "clique_slices": "SELECT clique_id, array_to_string(list_filter(vs, lambda v: CAST(substr(v, 1, 10) AS INT) BETWEEN 30 AND 60), ',') AS vs FROM cliques",
+    "deletion_islands": """, g AS (SELECT read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS run FROM pile WHERE allele = '-')
+        SELECT read_id, CAST(min(pos) AS INT) AS s, CAST(max(pos) AS INT) AS e FROM g GROUP BY read_id, run""",
+    "profile_columns": """, r AS (SELECT i, substr('ACGT-', CAST(i+1 AS INT), 1) AS allele FROM (SELECT range AS i FROM range(5)))
+        SELECT p.pos, string_agg(coalesce(n, 0)::VARCHAR, chr(9) ORDER BY i) AS line FROM r CROSS JOIN (SELECT DISTINCT pos FROM counts) p LEFT JOIN counts c ON c.pos = p.pos AND c.allele = r.allele GROUP BY p.pos""",
+}
+
 _PLAIN = {
     "floor_seek": """WITH v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM (SELECT DISTINCT o_custkey * 13 AS value FROM orders))
         SELECT l_orderkey, l_linenumber, v.value AS floor, coalesce(i, 0) AS place FROM lineitem ASOF LEFT JOIN v ON l_orderkey >= v.value""",

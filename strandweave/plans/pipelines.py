@@ -312,6 +312,20 @@ def short_haplotypes(sample: Sample, least: int, share: float, mode: str = "accu
     return Found([r for r in rows if r["frequency"] > share], assigned=last.assigned)
 
 
+def whole_haplotypes(sample: Sample, least: int, share: float, mode: str = "accurate", non_edge_rate: float | None = None, by_component: bool = True, **region: int) -> Found:
+    """Haplotypes of short reads from the cliques of the whole reference at once, without windows.
+
+    For references not much longer than a fragment; distant SNPs are joined only through those between them.
+    """
+    rate = share if non_edge_rate is None else non_edge_rate
+    sample = rotated(sample, least, share)
+    cliques = _resolved(sample, merged(sample, edge_graph(sample, least, share, False, **region), rate, mode, by_component))
+    found = process_cliques(sample, cliques, SHORT_RATE, False, **region)
+    near = dict(haplotypes.merge_near([(r["haplotype"], r["frequency"]) for r in found.rows]))
+    rows = [r | {"frequency": near[r["haplotype"]]} for r in found.rows if near.get(r["haplotype"], 0.0) > share / 2]
+    return Found(rows, assigned=found.assigned) if rows else default_haplotype(sample, "all haplotypes are of low frequency", 5)
+
+
 def _vertices(snps: list[str]) -> list[str]:
     return [f"{int(p):010d}{a}" for p, a in (s.split(":") for s in snps)]
 
