@@ -49,6 +49,24 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str, hot_share: int = 1024) -> DataFrame:
+    """rows with the columns of their group (stored, one row a binary key, with the number of its rows as size).
+
+    Groups of at least 1/hot_share of all rows, at most hot_share of them by counting, are broadcast; the others are
+    joined.  Rows of hot groups get a key of their own there, from the column spread; whether that is a group's by
+    chance does not matter, as what was broadcast stands.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) * hot_share >= max(total, 2 * hot_share)
+    columns = [c for c in groups.columns if c != key]
+    hot = groups.where(is_hot).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in columns])
+    cold = groups.where(~is_hot).select(F.col(key).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in columns])
+    keyed = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    keyed = keyed.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.col(spread).cast("string").cast("binary")))
+    met = keyed.join(cold, F.col("_key") == F.col("_cold"), "left")
+    return met.select(*rows.columns, *[F.when(F.col("_hot").isNotNull(), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

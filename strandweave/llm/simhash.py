@@ -394,7 +394,8 @@ def near_groups(df: DataFrame, width: int = 3, radius: int = 2, spare: int = 2,
     Rows with one fingerprint (with similarity: one set of shingles) are one node, whose number is their smallest id; close nodes are linked and
     component_id is the smallest id reachable.  Texts without words have fingerprint zero and are linked like
     any other; a null text has no words.  A null id orders before every other one and stays null in both columns.
-    Repeated rows are answered each; an empty table gives no rows.
+    Repeated rows are answered each; an empty table gives no rows.  Rows come back to their node's label by a join
+    that spreads the rows of the largest nodes.
     """
     words, key = (1, "fp") if similarity is None else (words, "digest")
     docs = fr.stored(fingerprints(df, width, seed, words, id_col, text_col, similarity is not None).withColumn("doc_id", F.coalesce("doc_id", F.lit(int(fr.NULL_ID)))))
@@ -407,9 +408,9 @@ def near_groups(df: DataFrame, width: int = 3, radius: int = 2, spare: int = 2,
     # Rows of different texts may share an id; their fingerprints are then one node.
     labels = nodes.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = labels.groupBy("component").agg(F.sum("n").alias("group_size"))
-    labels = labels.join(sizes, "component").select(key, "component", "group_size")
+    labels = fr.stored(labels.join(sizes, "component").select(key, "component", "group_size", "n"))
     null_id = F.lit(int(fr.NULL_ID))
-    return docs.join(labels, key).select(
+    return fr.join_groups(docs, labels, key, "n", "doc_id").select(
         F.nullif(F.col("doc_id"), null_id).alias("doc_id"),
         F.lower(F.hex("fp")).alias("fingerprint"),
         F.nullif(F.col("component"), null_id).alias("component_id"),

@@ -8,8 +8,10 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from strandweave.llm import components, exact_dedup, fm_index, sharding, simhash, suffix_array
+from strandweave.llm import frames as fr
 from strandweave.llm.queries import OP6, OP9, OP10
 
 LOW = -(1 << 63)
@@ -83,6 +85,17 @@ def test_near_groups(odd, rows):
     assert simhash.near_groups(odd.where("1 = 0")).count() == 0
 
 
+def test_rows_of_hot_groups_come_back(spark):
+    """A third of the rows has one key, and another hot one is spread to a key that a group has."""
+    keys = ["a" if i % 3 else "b" if i % 2 else f"{i}" for i in range(600)]
+    rows = spark.createDataFrame([(i, k.encode(), 5) for i, k in enumerate(keys)], "doc_id long, k binary, x int")
+    groups = fr.stored(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")))
+    for share in (4, 1024):
+        found = fr.join_groups(rows, groups, "k", "n", "doc_id", share).collect()
+        assert sorted((r["doc_id"], r["n"], r["first"], r["x"]) for r in found) == [(i, keys.count(k), keys.index(k), 5) for i, k in enumerate(keys)]
+    assert fr.join_groups(rows.limit(0), fr.stored(groups.limit(0)), "k", "n", "doc_id").count() == 0
+
+
 @pytest.mark.parametrize(("words", "radius"), [(1, 0), (1, 2), (1, 7), (3, 20)])
 def test_bit_slices(words, radius):
     rng = np.random.default_rng(words * radius)
