@@ -310,7 +310,7 @@ def em_one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def em_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     freq = haplotypes.em_frequencies(_likelihoods(spark, sf_dir))
-    return spark.createDataFrame(list(freq.items()), "hap_id int, frequency double")
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in freq.items()], "hap_id int, frequency double")
 
 
 def _called(s: Sample) -> DataFrame:

@@ -318,6 +318,33 @@ _SELECTS["transitive_graph"] = """, reach AS (SELECT u AS a, u AS b FROM nodes U
       AND (p <= 1e-6 OR EXISTS (SELECT 1 FROM own e WHERE e.u = pv.u AND e.v = pv.v) OR NOT EXISTS (SELECT 1 FROM beside b WHERE b.u = pv.u AND b.v = pv.v))
       AND (p <= 5e-5 OR EXISTS (SELECT 1 FROM own e WHERE e.u = pv.u AND e.v = pv.v) OR NOT EXISTS (SELECT 1 FROM between_ b WHERE b.u = pv.u AND b.v = pv.v))"""
 
+_SELECTS["merged_cliques"] = f"""{_UNLINKED}, apart AS ({_APART}),
+    pair AS (SELECT a.clique_id AS c1, b.clique_id AS c2, a.v AS x, b.v AS y, a.pos AS px, b.pos AS py FROM member a JOIN member b ON a.clique_id < b.clique_id),
+    scored AS (SELECT c1, c2 FROM pair GROUP BY c1, c2
+      HAVING count(*) FILTER (px = py AND x <> y) = 0 AND count(*) FILTER (x = y OR EXISTS (SELECT 1 FROM ways w WHERE w.u = x AND w.v = y)) > 0),
+    beside AS (SELECT c1 AS x, c2 AS y FROM scored UNION SELECT c2, c1 FROM scored),
+    alike AS (SELECT clique_id AS a, clique_id AS b FROM cliques UNION SELECT alike.a, beside.y FROM alike JOIN beside ON beside.x = alike.b),
+    joined AS (SELECT a AS x, b AS y FROM alike WHERE a <> b AND NOT EXISTS (SELECT 1 FROM apart WHERE c1 = least(a, b) AND c2 = greatest(a, b))),
+    larger AS (
+      SELECT [clique_id] AS cs FROM cliques
+      UNION ALL
+      SELECT list_append(cs, j.y) FROM larger JOIN joined j ON j.x = cs[1]
+      WHERE j.y > cs[-1] AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(cs) AS c) t WHERE NOT EXISTS (SELECT 1 FROM joined q WHERE q.x = t.c AND q.y = j.y))),
+    whole AS (
+      SELECT cs FROM larger WHERE NOT EXISTS (
+        SELECT 1 FROM cliques k WHERE NOT list_contains(cs, k.clique_id)
+        AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(cs) AS c) t WHERE NOT EXISTS (SELECT 1 FROM joined q WHERE q.x = t.c AND q.y = k.clique_id)))),
+    unions AS (SELECT DISTINCT vs FROM (SELECT cs, list(DISTINCT v ORDER BY v) AS vs FROM (SELECT cs, unnest(cs) AS c FROM whole) JOIN member ON clique_id = c GROUP BY cs))
+    SELECT array_to_string(vs, ',') AS vs FROM unions x WHERE NOT EXISTS (SELECT 1 FROM unions y WHERE len(y.vs) > len(x.vs) AND list_has_all(y.vs, x.vs))"""
+_SELECTS["em_frequencies"] = """, patterns AS (SELECT list(struct_pack(h := h, n := n)) AS p FROM (SELECT h, count(*) AS n FROM (SELECT read_id, list(h ORDER BY hap_id) AS h FROM likely GROUP BY read_id) GROUP BY h)),
+    em AS (
+      SELECT 0 AS i, [0.25::DOUBLE, 0.25, 0.25, 0.25] AS f, 1.0::DOUBLE AS change
+      UNION ALL
+      SELECT i + 1, g, sqrt((g[1]-f[1])**2 + (g[2]-f[2])**2 + (g[3]-f[3])**2 + (g[4]-f[4])**2) FROM (
+        SELECT *, list_transform(m, lambda x: x / list_sum(m)) AS g FROM (
+          SELECT em.*, list_transform([1, 2, 3, 4], lambda j: list_sum(list_transform(p, lambda r: coalesce(r.n * f[j] * r.h[j] / nullif(f[1]*r.h[1] + f[2]*r.h[2] + f[3]*r.h[3] + f[4]*r.h[4], 0), 0)))) AS m
+          FROM em, patterns WHERE change > 0.001)))
+    SELECT CAST(j - 1 AS INT) AS hap_id, round(f[j], 6) AS frequency FROM (SELECT f FROM em ORDER BY i DESC LIMIT 1), (SELECT unnest([1, 2, 3, 4]) AS j)"""
 _GROUPS = """c AS (SELECT ck % 20 AS g, pos, allele, count(*) AS n FROM pile2 WHERE allele <> 'N' GROUP BY ALL),
     s AS (SELECT g, string_agg(major, '' ORDER BY pos) AS text FROM (SELECT g, pos, arg_min(allele, (-n, strpos('ACGT-N', allele))) AS major FROM c GROUP BY g, pos) GROUP BY g)"""
 _SELECTS |= {
