@@ -285,9 +285,9 @@ _SELECTS["near_duplicate_merge"] = """, c AS (SELECT ck % 20 AS g, pos, allele,
     fold AS (
       SELECT 0::BIGINT AS i, []::VARCHAR[] AS kept
       UNION ALL
-      SELECT u.i, CASE WHEN len(list_filter(kept, lambda k: length(k) = length(text) AND hamming(k, text) <= 1)) = 0 THEN list_append(kept, text) ELSE kept END
+      SELECT u.i, CASE WHEN len(list_filter(kept, lambda k: CASE WHEN length(k) = length(text) THEN hamming(k, text) <= 1 ELSE false END)) = 0 THEN list_append(kept, text) ELSE kept END
       FROM fold JOIN u ON u.i = fold.i + 1),
-    ends AS (SELECT u.freq, list_filter(kept, lambda k: length(k) = length(text) AND hamming(k, text) <= 1)[1] AS haplotype FROM u JOIN fold USING (i))
+    ends AS (SELECT u.freq, list_filter(kept, lambda k: CASE WHEN length(k) = length(text) THEN hamming(k, text) <= 1 ELSE false END)[1] AS haplotype FROM u JOIN fold USING (i))
     SELECT haplotype, round(sum(freq), 9) AS frequency FROM ends GROUP BY haplotype"""
 _SELECTS["graph_metrics"] = f"""{_UNLINKED}, apart AS ({_APART}),
     figures AS (
