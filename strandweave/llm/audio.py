@@ -155,7 +155,7 @@ def audio_columns(df: DataFrame, spec: AudioSpec | None = None, id_col: str = "d
 
     The payload is the text's UTF-8 with blanks up to a positive multiple of 192 bytes; it is stored as 8-bit
     samples, read back from the stored form, and only what was read back is measured.  A null text is empty,
-    a null id stays null, equal texts get equal values and repeated rows are answered each.
+    a null id stays null, equal texts get equal values and repeated rows are answered each; an empty table gives no rows.
     """
     spec = spec or AudioSpec()
     schema = pa.schema(

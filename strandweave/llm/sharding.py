@@ -64,6 +64,7 @@ def shard_documents(df: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
 
     The law is `key`: the id and the shard count decide.  Nulls: a null text has size 1 and the checksum of
     no bytes; a null id is one key.  Equal ids go to one shard.  Other columns are ignored.
+    Repeated rows get a slot each; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col).cast("long")
