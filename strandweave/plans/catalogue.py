@@ -470,6 +470,23 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.profile_columns(short_sample(spark, sf_dir).counts)
 
 
+def window_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a window in the middle, with two planted haplotypes known."""
+    s = short_sample(spark, sf_dir)
+    known = _planted(s).where("clique_id IN (1, 3) AND pos is not null").select(F.col("clique_id").alias("hap"), graph.vertex(F.col("pos"), F.col("allele")).alias("v"))
+    return pipelines.window_edges(_graph(s), known, 30, 62)
+
+
+def masked_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster haplotypes, with the consensus where a cluster has few reads, or where the one without SNPs has few of its letter."""
+    s = short_sample(spark, sf_dir)
+    assigned = pipelines.stored(_assigned(s))
+    letters = haplotypes.cluster_haplotypes(s.pile, assigned, s.majors)
+    empty = _planted(s).groupBy("clique_id").agg(F.count("pos").alias("size")).where("size = 0")
+    rows = haplotypes.mask_low_support(letters, pipelines.support(s.pile, assigned, letters), empty, least_depth=200, least_count=4000)
+    return haplotypes.strings(rows).select("clique_id", "haplotype")
+
+
 def haplotypes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.whole_haplotypes(short_sample(spark, sf_dir), LEAST, 0.02).frame(spark)
 
@@ -597,7 +614,7 @@ _QUERIES = (
     em_one_step, em_frequencies, vc_frequencies, vcf_rows, imputed_reads, hamming_pairs, string_difference, nearest_truth, smart_double, si_format,
     letter_digits, padded_segments, letters_at, normalised_counts, minus_log_chances, edge_chances, linked_variants_long, heaviest_clusters, cluster_haplotypes,
     source_cliques, truth_mismatches, clique_mismatches, missed_edges, near_duplicate_merge, minor_hits_bitmap, minor_reads_bitmap, floor_seek, transitive_graph, pair_frequencies, graph_metrics, haplotype_fasta, equal_haplotypes, read_assignment_long,
-    read_likelihood_long, default_haplotype, read_names, exploded_coverage, closure_edges, clique_slices, deletion_islands, profile_columns, haplotypes_whole, haplotypes_long, haplotypes_short, variants_short, variants_long,
+    read_likelihood_long, default_haplotype, read_names, exploded_coverage, closure_edges, clique_slices, deletion_islands, profile_columns, window_edges, masked_haplotypes, haplotypes_whole, haplotypes_long, haplotypes_short, variants_short, variants_long,
 )
 
 

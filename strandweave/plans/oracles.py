@@ -128,6 +128,12 @@ _UNLINKED = """, vx AS (SELECT DISTINCT p1 AS pos, a1 AS allele FROM edges UNION
 _APART = """SELECT DISTINCT a.clique_id AS c1, b.clique_id AS c2 FROM member a JOIN member b ON a.clique_id < b.clique_id
         WHERE (a.pos = b.pos AND a.v <> b.v) OR EXISTS (SELECT 1 FROM both_ways w WHERE w.x = a.v AND w.y = b.v)"""
 
+#: Clusters around the planted haplotypes, and the letters g of each.
+_CLUSTERS = """, w AS (SELECT clique_id, pos, allele, sum(1.0::DOUBLE / k) AS weight FROM pile JOIN assigned USING (read_id) GROUP BY ALL),
+        f AS (SELECT *, weight / sum(weight) OVER (PARTITION BY clique_id, pos) AS freq FROM w),
+        own AS (SELECT clique_id, pos, CASE WHEN max(freq) < 0.01 THEN 'N' ELSE arg_min(allele, (-freq, strpos('ACGT-N', allele))) END AS a FROM f WHERE allele <> 'N' GROUP BY clique_id, pos),
+        g AS (SELECT i.clique_id, c.pos, c.major, CASE WHEN a <> 'N' THEN a ELSE c.major END AS allele FROM (SELECT DISTINCT clique_id FROM assigned) i CROSS JOIN cons c LEFT JOIN own ON own.clique_id = i.clique_id AND own.pos = c.pos)"""
+
 _SELECTS = {
     "coverage_counts": "SELECT pos, allele, n FROM counts",
     "coverage_counts_no_n": "SELECT pos, allele, n FROM counts WHERE allele <> 'N'",
@@ -234,10 +240,7 @@ _SELECTS = {
         ls AS (SELECT p1, a1, p2, a2, sum(exp(n.f - k.f - r.f + k.k*ln(p) + (reads-k.k)*ln(1-p))) AS tail FROM lr JOIN lf n ON n.k = reads JOIN lf k ON k.k > o22 AND k.k <= reads JOIN lf r ON r.k = reads - k.k WHERE p > 0 AND p < 1 GROUP BY ALL)
         SELECT p1, a1, p2, a2, o11, o12, o21, o22, reads FROM lr LEFT JOIN ls USING (p1, a1, p2, a2) WHERE p <= 1 AND (p < 1e-12 OR coalesce(tail, 0) < 1e-7 / (120*119/2) OR coalesce(ratio > 0.1, true))""",
     "heaviest_clusters": "SELECT CAST(clique_id AS INT) AS clique_id, count(*) AS reads, round(sum(1.0::DOUBLE / k), 6) AS weight FROM assigned GROUP BY clique_id HAVING count(*) > 10 ORDER BY sum(1.0::DOUBLE / k) DESC, clique_id LIMIT 3",
-    "cluster_haplotypes": """, w AS (SELECT clique_id, pos, allele, sum(1.0::DOUBLE / k) AS weight FROM pile JOIN assigned USING (read_id) GROUP BY ALL),
-        f AS (SELECT *, weight / sum(weight) OVER (PARTITION BY clique_id, pos) AS freq FROM w),
-        own AS (SELECT clique_id, pos, CASE WHEN max(freq) < 0.01 THEN 'N' ELSE arg_min(allele, (-freq, strpos('ACGT-N', allele))) END AS a FROM f WHERE allele <> 'N' GROUP BY clique_id, pos),
-        g AS (SELECT i.clique_id, c.pos, c.major, CASE WHEN a <> 'N' THEN a ELSE c.major END AS allele FROM (SELECT DISTINCT clique_id FROM assigned) i CROSS JOIN cons c LEFT JOIN own ON own.clique_id = i.clique_id AND own.pos = c.pos)
+    "cluster_haplotypes": _CLUSTERS + """
         SELECT CAST(clique_id AS INT) AS clique_id, string_agg(allele, '' ORDER BY pos) AS haplotype, coalesce(string_agg(pos || ':' || allele, ',' ORDER BY pos) FILTER (allele <> major), '') AS snps FROM g GROUP BY clique_id""",
     "source_cliques": """, hit AS (SELECT t.haplotype, m.clique_id, count(*) AS hits FROM truth t JOIN pm m ON m.pos = t.pos AND m.allele = t.allele GROUP BY ALL),
         sz AS (SELECT i.clique_id, count(pm.pos) AS size FROM ids i LEFT JOIN pm ON pm.clique_id = i.clique_id GROUP BY i.clique_id),
@@ -360,6 +363,16 @@ _SELECTS |= {
         SELECT read_id, CAST(clique_id AS INT) AS clique_id, count(*) OVER (PARTITION BY read_id) AS k FROM ln_ WHERE d = least""",
     "read_likelihood_long": """, m AS (SELECT read_id, haplotype, count(*) FILTER (p.allele <> t.allele AND p.allele <> 'N') AS misses FROM lpile p JOIN truth t USING (pos) GROUP BY ALL)
         SELECT read_id, CAST(haplotype AS INT) AS hap_id, misses, 120::BIGINT AS size, round(pow(0.99, 120 - misses) * pow(0.01/3, misses), 9) AS h FROM m""",
+    "window_edges": """, kn AS (SELECT clique_id AS hap, printf('%010d%s', pos, allele) AS v FROM pm WHERE clique_id IN (1, 3)),
+        e AS (SELECT u, v, p1 BETWEEN 30 AND 62 AS in1, p2 BETWEEN 30 AND 62 AS in2, EXISTS (SELECT 1 FROM kn WHERE kn.v = edges.u) AS k1, EXISTS (SELECT 1 FROM kn WHERE kn.v = edges.v) AS k2,
+          EXISTS (SELECT 1 FROM kn a JOIN kn b ON a.hap = b.hap WHERE a.v = edges.u AND b.v = edges.v) AS one FROM edges)
+        SELECT u, v FROM e WHERE (in1 AND in2) OR one OR (k1 AND in2) OR (k2 AND in1)""",
+    "masked_haplotypes": _CLUSTERS + """,
+        own_ AS (SELECT clique_id, pos, allele, count(*) AS n FROM pile JOIN assigned USING (read_id) GROUP BY ALL),
+        dp AS (SELECT clique_id, pos, sum(n) AS depth FROM own_ GROUP BY ALL),
+        mk AS (SELECT g.clique_id, g.pos, CASE WHEN coalesce(depth, 0) < 200 OR (g.clique_id NOT IN (SELECT clique_id FROM pm) AND coalesce(n, 0) < 4000) THEN major ELSE g.allele END AS allele
+          FROM g LEFT JOIN dp ON dp.clique_id = g.clique_id AND dp.pos = g.pos LEFT JOIN own_ o_ ON o_.clique_id = g.clique_id AND o_.pos = g.pos AND o_.allele = g.allele)
+        SELECT CAST(clique_id AS INT) AS clique_id, string_agg(allele, '' ORDER BY pos) AS haplotype FROM mk GROUP BY clique_id""",
     "default_haplotype": "SELECT string_agg(major, '' ORDER BY pos) AS haplotype, 1.0::DOUBLE AS frequency FROM cons",
     "read_names": "SELECT DISTINCT CAST(clique_id AS INT) AS rank, 'r' || read_id AS name FROM assigned",
     "exploded_coverage": "SELECT pos, allele, n FROM counts",

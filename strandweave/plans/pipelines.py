@@ -134,6 +134,13 @@ def transitive(sample: Sample, edges: DataFrame) -> DataFrame:
     return kept.select("u", "v")
 
 
+def support(pile: DataFrame, assigned: DataFrame, letters: DataFrame) -> DataFrame:
+    """clique_id, pos, depth and count: a cluster's reads at each position, and those with its haplotype's letter."""
+    own = pile.join(assigned, "read_id").groupBy("clique_id", "pos", "allele").agg(F.count(F.lit(1)).alias("n"))
+    depth = own.groupBy("clique_id", "pos").agg(F.sum("n").alias("depth")).join(letters.select("clique_id", "pos", "allele"), ["clique_id", "pos"])
+    return depth.join(own.withColumnRenamed("n", "count"), ["clique_id", "pos", "allele"], "left").select("clique_id", "pos", "depth", "count")
+
+
 def process_cliques(sample: Sample, cliques: DataFrame, rate: float, long_reads: bool, with_consensus: bool = True, least_reads: int = CLUSTER_READS, start: int = 0, end: int = 1_000_000) -> Found:
     """Haplotypes of the clusters around cliques and their frequencies, most frequent first."""
     spark = sample.pile.sparkSession
@@ -151,9 +158,7 @@ def process_cliques(sample: Sample, cliques: DataFrame, rate: float, long_reads:
     assigned = assigned.join(F.broadcast(best), "clique_id")
     letters = stored(haplotypes.cluster_haplotypes(sample.pile, assigned, sample.majors, start, end))
     if not long_reads:
-        own = sample.pile.join(assigned, "read_id").groupBy("clique_id", "pos", "allele").agg(F.count(F.lit(1)).alias("n"))
-        depth = own.groupBy("clique_id", "pos").agg(F.sum("n").alias("depth")).join(letters.select("clique_id", "pos", "allele"), ["clique_id", "pos"])
-        depth = depth.join(own.withColumnRenamed("n", "count"), ["clique_id", "pos", "allele"], "left").select("clique_id", "pos", "depth", "count")
+        depth = support(sample.pile, assigned, letters)
         empty = assign.source_clique(letters.withColumnRenamed("clique_id", "hap_id"), members).join(members.groupBy("clique_id").agg(F.count("pos").alias("size")), "clique_id").where("size = 0")
         letters = stored(haplotypes.mask_low_support(letters, depth, empty.select(F.col("hap_id").alias("clique_id"))))
     found = stored(haplotypes.merge_equal(haplotypes.strings(letters)))
@@ -258,6 +263,15 @@ def windows(depth: dict[int, int], start: int, end: int, size: int) -> list[tupl
     return out
 
 
+def window_edges(edges: DataFrame, known: DataFrame, low: int, high: int) -> DataFrame:
+    """The edges (u, v) of a working window: both ends in it, both in one known haplotype (hap, v), or one in any of these and the other in the window."""
+    inside = lambda c: graph.vertex_pos(F.col(c)).between(low, high)
+    both = edges.join(known.select(F.col("v").alias("u"), "hap"), "u").join(known.select("v", F.col("hap").alias("other")), "v").where("hap = other").select("u", "v")
+    first = edges.join(known.select(F.col("v").alias("u")).distinct(), "u", "left_semi").where(inside("v")).select("u", "v")
+    second = edges.join(known.select("v").distinct(), "v", "left_semi").where(inside("u")).select("u", "v")
+    return edges.where(inside("u") & inside("v")).select("u", "v").union(both).union(first).union(second).distinct()
+
+
 def without_recombinations(rows: list[dict], low: int, high: int) -> list[dict]:
     """The first of the haplotypes whose sources have the same SNPs between low and high, both in."""
     first: dict[frozenset, dict] = {}
@@ -294,11 +308,8 @@ def short_haplotypes(sample: Sample, least: int, share: float, mode: str = "accu
     done, last = None, Found()
     for low, high in windows(depth, start, end, fragment):
         done = (low, high) if done is None else (min(low, done[0]), max(high, done[1]))
-        inside = lambda c: graph.vertex_pos(F.col(c)).between(low, high)  # noqa: B023, E731
         known = edges.sparkSession.createDataFrame([(i, v) for i, r in enumerate(rows) for v in _vertices(r["snps"])], "hap int, v string")
-        both = edges.join(known.select(F.col("v").alias("u"), "hap"), "u").join(known.select("v", F.col("hap").alias("other")), "v").where("hap = other").select("u", "v")
-        one = edges.join(known.select(F.col("v").alias("u")).distinct(), "u", "left_semi").where(inside("v")).union(edges.join(known.select("v").distinct(), "v", "left_semi").where(inside("u")).select("u", "v"))
-        part = stored(edges.where(inside("u") & inside("v")).union(both).union(one).distinct())
+        part = stored(window_edges(edges, known, low, high))
         cliques = _resolved(sample, merged(sample, part, rate, mode, by_component, fragment))
         last = process_cliques(sample, cliques, SHORT_RATE, False, start=start, end=end)
         near = dict(haplotypes.merge_near([(r["haplotype"], r["frequency"]) for r in last.rows]))
