@@ -17,6 +17,10 @@ from .components import components
 
 #: Bits of one word of a fingerprint.
 BITS = 64
+#: Columns that name a meeting, and one that was cut again.
+MEETING, CUT = ("band", "key", "a", "b"), ("band", "key", "a", "b", "c", "d")
+#: Shingles that a meeting brings together to be checked, but for single texts that have more.
+MEETING_SHINGLES = 1 << 22
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> Iterator[np.ndarray]:
@@ -59,23 +63,25 @@ def fingerprint(text: str, width: int = 3, seed: int = 42, words: int = 1) -> np
 
 
 def fingerprints(df: DataFrame, width: int = 3, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id and fp, the fingerprint's words as big-endian bytes; with digest, also one of the set of shingles."""
+    """doc_id and fp, the fingerprint's words as big-endian bytes; with digest, also one of the set of shingles, and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in fr.batches_of(batches):
-            fps, digests = [], []
+            fps, digests, sizes = [], [], []
             for text in table.column("text").to_pylist():
                 hashes = shingle_hashes(text, width, seed)
                 if digest:
                     hashes = list(hashes)
-                    digests.append(_digest(_set(hashes)))
+                    own = _set(hashes)
+                    digests.append(_digest(own))
+                    sizes.append(len(own))
                 fps.append(fingerprint_of(hashes, words).astype(">u8").tobytes())
             found = {"doc_id": table.column("doc_id").combine_chunks(), "fp": pa.array(fps, pa.binary())}
             if digest:
-                found["digest"] = pa.array(digests, pa.binary())
+                found |= {"digest": pa.array(digests, pa.binary()), "size": pa.array(sizes, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
 
-    return fr.with_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp binary" + ", digest binary" * digest)
+    return fr.with_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp binary" + ", digest binary, size long" * digest)
 
 
 def stretches(radius: int, spare: int) -> np.ndarray:
@@ -232,7 +238,7 @@ def meetings(nodes: DataFrame, masks: np.ndarray, cell: int = 4096) -> DataFrame
     return rows.select("band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "fp")
 
 
-def each_meeting(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def each_meeting(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, keys: tuple[str, ...] = MEETING) -> DataFrame:
     """What work makes of tables that hold whole meetings, and the number of each row's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,15 +248,14 @@ def each_meeting(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], Iterato
                 continue
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            group = _groups(held)
+            group = _groups(held, keys)
             last = int(np.searchsorted(group, group[-1]))
             if last:
                 yield from work(held.slice(0, last), group[:last])
                 held = held.slice(last)
         if held is not None and held.num_rows:
-            yield from work(held, _groups(held))
+            yield from work(held, _groups(held, keys))
 
-    keys = ("band", "key", "a", "b")
     return rows.repartition(fr.partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node").mapInArrow(run, schema)
 
 
@@ -275,9 +280,21 @@ def _matrix(column: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").reshape(-1, words).astype(np.uint64)
 
 
-def _groups(table: pa.Table) -> np.ndarray:
-    keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("band", "key", "a", "b")], axis=1)
-    return np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1)))
+def _groups(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    values = np.stack([table.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
+    return np.cumsum(np.append(False, (values[1:] != values[:-1]).any(axis=1)))
+
+
+def cut_meetings(met: DataFrame, most: int = MEETING_SHINGLES) -> DataFrame:
+    """met with columns c and d, so that (meeting, c, d) holds about `most` shingles: the sum of its column size.
+
+    The rows of a larger meeting are dealt to cells of half as many, and every two cells meet, so no pair is lost.
+    """
+    heavy = met.groupBy(*MEETING).agg(F.ceil(F.sum("size") * 2 / most).cast("int").alias("cells")).where(F.col("cells") > 2)
+    rows = met.join(fr.broadcast_if_small(fr.stored(heavy)), list(MEETING), "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", "node"), F.col("cells")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    return rows.withColumns({"c": F.least("own", "other"), "d": F.greatest("own", "other")}).drop("cells", "own", "other")
 
 
 def _set(hashes: list[np.ndarray]) -> np.ndarray:
@@ -338,11 +355,12 @@ def unite(root: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.
     return u, v
 
 
-def similar_links(df: DataFrame, nodes: DataFrame, width: int, seed: int, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
+def similar_links(df: DataFrame, nodes: DataFrame, width: int, seed: int, similarity: float, words: int, id_col: str, text_col: str, most: int = MEETING_SHINGLES) -> DataFrame:
     """Verified edges (u, v) that join all nodes (node, digest, fp) found to have that similarity.
 
     Nodes that have a candidate take their sets of shingles to the meetings where the candidate is first met; pairs are
-    checked there, and only a spanning forest of the verified ones goes out.
+    checked there, and only a spanning forest of the verified ones goes out.  Meetings with many shingles are cut, so
+    that what a task holds does not grow with the length of the texts.
     """
     share, bits = apart(similarity), words * BITS
     radius = int(bits * share + 3 * np.sqrt(bits * share * (1 - share)))
@@ -379,12 +397,12 @@ def similar_links(df: DataFrame, nodes: DataFrame, width: int, seed: int, simila
     own = docs.join(asked, "node", "left_semi").select("node", "text").mapInArrow(shingled, "node long, digest binary, shingles binary")
     # Rows that share an id may differ in text; a node's own sets are those of its digests.
     sets = own.join(nodes.join(asked, "node", "left_semi").select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"])
-    fps = nodes.select("node", "digest", "fp")
-    rows = met.join(fps, ["node", "fp"]).join(sets, ["node", "digest"]).select("band", "key", "a", "b", "node", "fp", "shingles")
-    return each_meeting(rows, check, "u long, v long")
+    sized = cut_meetings(met.join(nodes.select("node", "digest", "fp", "size"), ["node", "fp"]), most)
+    rows = sized.join(sets, ["node", "digest"]).select(*CUT, "node", "fp", "shingles")
+    return each_meeting(rows, check, "u long, v long", CUT)
 
 
-def near_groups(df: DataFrame, width: int = 3, radius: int = 2, spare: int = 2, seed: int = 42, similarity: float | None = None, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(df: DataFrame, width: int = 3, radius: int = 2, spare: int = 2, seed: int = 42, similarity: float | None = None, words: int = 4, id_col: str = "doc_id", text_col: str = "text", meeting_shingles: int = MEETING_SHINGLES) -> DataFrame:
     """doc_id, fingerprint, component_id and group_size of every row.
 
     Without similarity, fingerprints have 64 bits and all that differ in at most radius bits are linked.  With it,
@@ -403,8 +421,8 @@ def near_groups(df: DataFrame, width: int = 3, radius: int = 2, spare: int = 2,
         nodes = fr.stored(docs.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
         edges = links(nodes, stretches(radius, spare), radius)
     else:
-        nodes = fr.stored(docs.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
-        edges = similar_links(df, nodes, width, seed, similarity, words, id_col, text_col)
+        nodes = fr.stored(docs.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.count(F.lit(1)).alias("n")))
+        edges = similar_links(df, nodes, width, seed, similarity, words, id_col, text_col, meeting_shingles)
     # Rows of different texts may share an id; their fingerprints are then one node.
     labels = nodes.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = labels.groupBy("component").agg(F.sum("n").alias("group_size"))

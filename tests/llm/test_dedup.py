@@ -141,6 +141,21 @@ def test_links_have_the_similarity(spark):
     assert found <= close
     assert len(found) >= 0.95 * len(close)
     print("recall", len(found), len(close))
+    cut = simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), width=5, similarity=0.8, meeting_shingles=400).where("group_size > 1").collect()
+    assert sorted(cut) == sorted(made)
+
+
+def test_cut_meetings_keep_all_pairs(spark):
+    """A meeting of many shingles is cut so that all pairs still meet and no piece is much larger than asked; others stay whole."""
+    rows = [(0, 7, 0, 0, i, bytes([i % 256]), 100) for i in range(300)] + [(1, 7, 0, 1, i, b"x", 100) for i in range(3)]
+    met = spark.createDataFrame(rows, "band int, key long, a int, b int, node long, fp binary, size long")
+    pieces = {}
+    for r in simhash.cut_meetings(met, 6000).collect():
+        pieces.setdefault(tuple(r[c] for c in simhash.CUT), set()).add(r["node"])
+    assert pieces.pop((1, 7, 0, 1, 0, 0)) == {0, 1, 2}
+    together = {(x, y) for nodes in pieces.values() for x in nodes for y in nodes}
+    assert len(together) == 300 * 300
+    assert max(map(len, pieces.values())) * 100 < 1.7 * 6000
 
 
 def test_components(spark):
