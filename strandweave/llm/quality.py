@@ -27,6 +27,8 @@ START, END = 0, 1
 FIRST_WORD = 3
 #: Bytes of text in a block: few large ones share more n-grams; it is split into words by pieces.
 BLOCK_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
+#: Places whose chances are worked out at once, in double precision.
+SLICE = 1 << 18
 #: Bits of a symbol or an n-gram's key.
 KEY_BITS = 48
 
@@ -72,6 +74,16 @@ def _edges(ascending: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted((ascending * np.uint64(parts)) >> np.uint64(KEY_BITS), np.arange(parts + 1))
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, each once, and where each key is among them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    head = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(head, dtype=np.int32) - 1
+    return keys[head], place
+
+
 class Grams:
     """Distinct n-grams by key: the words, the language and the whole numbers of each."""
 
@@ -79,10 +91,10 @@ class Grams:
         """Rows of one key are added up."""
         key = gram_keys(words)
         order = np.argsort(key)
-        sorted_key = key[order]
-        head = np.flatnonzero(np.append(True, sorted_key[1:] != sorted_key[:-1])[: len(key)])
+        key = key[order]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         first = order[head]
-        self.key, self.words, self.lang, self.langs = sorted_key[head], [w[first] for w in words], lang[first], langs
+        self.key, self.words, self.lang, self.langs = key[head], [w[first] for w in words], lang[first], langs
         self.counts = {c: np.add.reduceat(x[order], head, dtype=np.int64) if len(head) else x.astype(np.int64) for c, x in counts.items()}
 
     def dealt(self, parts: int) -> Iterator[tuple[int, bytes]]:
@@ -148,7 +160,7 @@ class Block:
         self.n_words = np.concatenate(sizes)
         length = self.n_words + 3
         ends = np.cumsum(length)
-        self.doc = np.repeat(np.arange(len(length)), length)
+        self.doc = np.repeat(np.arange(len(length), dtype=np.int32), length)
         word = np.ones(len(self.doc), bool)
         for back in (1, length, length - 1):
             word[ends - back] = False
@@ -158,7 +170,7 @@ class Block:
         self.line[ends - 1] = _special(END, seeds)[lang]
         self.line[ends - length] = self.line[ends - length + 1] = _special(START, seeds)[lang]
         word[ends - 1] = True
-        self.at = np.flatnonzero(word)
+        self.at = np.flatnonzero(word).astype(np.int32)  # a block's text is below 2 GB
 
     def words(self, order: int, last: np.ndarray | slice) -> list[np.ndarray]:
         """The words of the n-grams that end at these places; a slice stands for all that have one."""
@@ -169,14 +181,13 @@ class Block:
     def counted(self, order: int) -> Grams:
         """The n-grams of the documents that are counted."""
         last = self.at[self.mark[self.doc[self.at]] == 1]
-        return Grams(self.words(order, last), self.lang[self.doc[last]], self.langs, {"c": np.ones(len(last), np.int64)})
+        return Grams(self.words(order, last), self.lang[self.doc[last]], self.langs, {"c": np.ones(len(last), np.uint8)})
 
     def asked(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each order, distinct keys, and for the n-gram that ends at each place, where its key is."""
         made = []
         for k in range(1, order + 1):
-            distinct, place = np.unique(gram_keys(self.words(k, self.at if k == order else slice(None))), return_inverse=True)
-            made.append((distinct, place.astype(np.int32)))
+            made.append(_distinct(gram_keys(self.words(k, self.at if k == order else slice(None)))))
         return made
 
 
@@ -210,6 +221,38 @@ def discounts(ones: float, twos: float, threes: float, fours: float) -> np.ndarr
     return np.array([0.0] + [max(0.1, min(k - 0.1, k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and y is not None else k * 0.5)) for k in (1, 2, 3)])
 
 
+def log_chances(own: Block, order: int, answers: list[bytes], discount: dict[int, dict[str, np.ndarray]], base: dict[str, tuple[float, float]]) -> np.ndarray:
+    """The logarithm of the chance of what stands at each place of a block, from the answers of all parts; nan without a model."""
+    got = [fr.bytes_to_arrays(x) for x in answers]
+    names = [("c", k) for k in range(1, order + 1)] + [(c, k) for k in range(1, order) for c in COUNTS[1:]]
+    values = {(c, k): np.concatenate([x[f"{c}{k}"] for x in got]) for c, k in names}
+    del got
+    places = [place for _, place in own.asked(order)]
+    cut = {k: np.array([d.get(v, np.zeros(4)) for v in own.langs]).reshape(-1, 4) for k, d in discount.items()}
+    totals, shares = (np.array([base.get(v, (np.nan, np.nan))[n] for v in own.langs]) for n in (0, 1))
+    logp = np.empty(len(own.at))
+    for lo in range(0, len(own.at), SLICE):
+        here = slice(lo, lo + SLICE)
+        at = own.at[here]
+        lang = own.lang[own.doc[at]]
+
+        def column(name: str, k: int, last: np.ndarray, here: slice = here) -> np.ndarray:
+            return values[name, k][places[k - 1][here] if k == order else places[k - 1][last - k + 1]].astype(np.float64)
+
+        p = None
+        for k in range(1, order + 1):
+            c = column("c", k, at)
+            share = c - cut[k][lang, np.minimum(c, 3).astype(np.int8)]
+            if p is None:
+                p = share / totals[lang] + shares[lang]
+                continue
+            total = column("total", k - 1, at - 1)
+            free = sum(cut[k][lang, j] * column(f"n{j}", k - 1, at - 1) for j in (1, 2, 3))
+            p = np.where(total > 0, (share + free * p) / np.maximum(total, 1), p)
+        logp[here] = np.log(p)
+    return logp
+
+
 def perplexities(df: DataFrame, trusted: DataFrame, order: int = 3, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", broadcast_ids: int = fr.BROADCAST_ROWS) -> DataFrame:
     """doc_id, lang, n_words, perplexity and held_out of every row, under its language's model of trusted text.
 
@@ -273,31 +316,7 @@ def perplexities(df: DataFrame, trusted: DataFrame, order: int = 3, parts: int |
 
     def finish(block: int, payload: bytes, found: list[dict[int, bytes]]) -> pd.DataFrame:
         own = Block(payload)
-        asked = own.asked(order)
-        got = [fr.bytes_to_arrays(found[0][p]) for p in range(parts)]
-        at, lang = own.at, own.lang[own.doc[own.at]]
-
-        def column(name: str, k: int, last: np.ndarray) -> np.ndarray:
-            values = np.concatenate([x[f"{name}{k}"] for x in got])
-            place = asked[k - 1][1]
-            return values[place if k == order else place[last - k + 1]].astype(np.float64)
-
-        def discount_of(k: int) -> np.ndarray:
-            return np.array([discount[k].get(v, np.zeros(4)) for v in own.langs]).reshape(-1, 4)
-
-        total, last_share = (np.array([base.get(v, (np.nan, np.nan))[n] for v in own.langs])[lang] for n in (0, 1))
-        p = None
-        for k in range(1, order + 1):
-            d = discount_of(k)
-            c = column("c", k, at)
-            share = c - d[lang, np.minimum(c, 3).astype(np.int8)]
-            if p is None:
-                p = share / total + last_share
-                continue
-            total = column("total", k - 1, at - 1)
-            free = sum(d[lang, j] * column(f"n{j}", k - 1, at - 1) for j in (1, 2, 3))
-            p = np.where(total > 0, (share + free * p) / np.maximum(total, 1), p)
-        logp = np.log(p)
+        logp = log_chances(own, order, [found[0].pop(p) for p in range(parts)], discount, base)
         n = own.n_words + 1
         sums = np.add.reduceat(logp, np.cumsum(n) - n) if len(n) else np.zeros(0)
         return pd.DataFrame({"doc_id": fr.nullable(own.doc_id), "lang": [own.langs[k] for k in own.lang], "n_words": n - 1, "perplexity": np.exp(-sums / n), "held_out": own.mark == 2})
