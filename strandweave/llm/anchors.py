@@ -434,7 +434,7 @@ def remove_repeats(df: DataFrame, finder: Finder, rows_of: Callable[[Units, np.n
         frame = frame.sort_values("block")
         return frame.assign(payload=finder.matched(frame["block"].tolist(), frame["payload"].tolist()))
 
-    found = segments.groupBy("part").applyInPandas(match, fr.PART_SCHEMA)
+    found = segments.groupBy("part").applyInPandas(fr.tidy_group(match), fr.PART_SCHEMA)
 
     def finish(block: int, payload: bytes, answers: list[dict[int, bytes]]) -> pd.DataFrame:
         units, ids, spans = finder.covered(payload, *answers)

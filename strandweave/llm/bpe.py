@@ -19,6 +19,9 @@ RARE = 0x20000
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 
+#: Words that the tokenizer gets at once; what it makes of a word takes far more memory than the ids.
+SLICE = 1 << 13
+
 #: The contractions that are words of their own, after an apostrophe.
 ONE_LETTER = "stmd"
 TWO_LETTERS = ("re", "ve", "ll")
@@ -147,8 +150,8 @@ def encode_words(words: list[bytes], path: str) -> list[bytes]:
     tok = tokenizer(path)
     tok.encode_special_tokens = True
     plain = [w.decode("utf-8") for w in words if w not in special]
-    found = iter(tok.encode_batch_fast(plain, add_special_tokens=False))
-    return [np.array([special[w]] if w in special else next(found).ids, dtype="<u4").tobytes() for w in words]
+    found = (e.ids for lo in range(0, len(plain), SLICE) for e in tok.encode_batch_fast(plain[lo : lo + SLICE], add_special_tokens=False))
+    return [np.array([special[w]] if w in special else next(found), dtype="<u4").tobytes() for w in words]
 
 
 class Memo:

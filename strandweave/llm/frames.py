@@ -8,9 +8,11 @@ hot word, line or passage costs one entry a block and never one row an occurrenc
 
 from __future__ import annotations
 
+import ctypes
 import json
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -67,6 +69,36 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     return met.select(*rows.columns, *[F.when(F.col("_hot").isNotNull(), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in columns])
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed; else it stays with a Python worker until the session ends."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
+def tidy_task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function of a task's batches, that gives memory back at the end of the task."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """run, a function of a group's rows, that gives memory back after each group."""
+
+    def tidied(frame: pd.DataFrame) -> pd.DataFrame:
+        out = run(frame)
+        give_back()
+        return out
+
+    return tidied
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -163,7 +195,7 @@ def block_rows(df: DataFrame, pack: Callable[[pa.Table], bytes] = table_to_bytes
         for block, table in numbered(batches, limit):
             yield pa.RecordBatch.from_pydict({"block": [block], "payload": [pack(table)]}, schema=pa.schema([("block", pa.int64()), ("payload", pa.binary())]))
 
-    return df.mapInArrow(run, BLOCK_SCHEMA)
+    return df.mapInArrow(tidy_task(run), BLOCK_SCHEMA)
 
 
 def part_rows_of(df: DataFrame, split: Callable[[pa.Table], list[tuple[int, bytes]]], limit: int = BLOCK_BYTES) -> DataFrame:
@@ -173,7 +205,7 @@ def part_rows_of(df: DataFrame, split: Callable[[pa.Table], list[tuple[int, byte
         for block, table in numbered(batches, limit):
             yield _parts(block, split(table))
 
-    return df.mapInArrow(run, PART_SCHEMA)
+    return df.mapInArrow(tidy_task(run), PART_SCHEMA)
 
 
 def _parts(block: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -189,7 +221,7 @@ def part_rows(blocks: DataFrame, split: Callable[[int, bytes], Iterator[tuple[in
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
                 yield _parts(block, list(split(block, payload.as_py())))
 
-    return blocks.mapInArrow(run, PART_SCHEMA)
+    return blocks.mapInArrow(tidy_task(run), PART_SCHEMA)
 
 
 def by_part(parts: DataFrame, answer: Callable[[list[bytes]], Iterator[bytes]]) -> DataFrame:
@@ -199,7 +231,7 @@ def by_part(parts: DataFrame, answer: Callable[[list[bytes]], Iterator[bytes]])
         frame = frame.sort_values("block", kind="stable")
         return frame.assign(payload=list(answer(frame["payload"].tolist())))
 
-    return parts.groupBy("part").applyInPandas(run, PART_SCHEMA)
+    return parts.groupBy("part").applyInPandas(tidy_group(run), PART_SCHEMA)
 
 
 def by_block(blocks: DataFrame, parts: list[DataFrame], finish: Callable[[int, bytes, list[dict[int, bytes]]], pd.DataFrame], schema: str) -> DataFrame:
@@ -219,7 +251,7 @@ def by_block(blocks: DataFrame, parts: list[DataFrame], finish: Callable[[int, b
                 answers[kind][part] = payload
         return finish(int(frame["block"].iloc[0]), frame.loc[own, "payload"].iloc[0], answers)
 
-    return rows.groupBy("block").applyInPandas(run, schema)
+    return rows.groupBy("block").applyInPandas(tidy_group(run), schema)
 
 
 def nullable(ids: np.ndarray) -> pd.Series:

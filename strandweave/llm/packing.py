@@ -112,13 +112,13 @@ def pack_documents(df: DataFrame, path: str, size: int = 2048, end_id: int = 1,
             yield from batch(False)
         yield from batch(True)
 
-    placed = fr.stored(fr.with_text(df, id_col, text_col).mapInArrow(run, SCHEMA))
+    placed = fr.stored(fr.with_text(df, id_col, text_col).mapInArrow(fr.tidy_task(run), SCHEMA))
     done, left = [placed.where("unit < 0")], placed.where("unit >= 0")
     top, level = left.agg(F.max("unit")).first()[0], 0
     while top is not None:
         level += 1
         merge = _merger(size, fan_in, level << 56)
-        merged = fr.stored(left.groupBy(F.floor(F.col("unit") / fan_in).alias("fan")).applyInPandas(merge, SCHEMA))
+        merged = fr.stored(left.groupBy(F.floor(F.col("unit") / fan_in).alias("fan")).applyInPandas(fr.tidy_group(merge), SCHEMA))
         done.append(merged.where("unit < 0"))
         left = merged.where("unit >= 0")
         if top < fan_in:

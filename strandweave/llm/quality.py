@@ -209,7 +209,7 @@ def counts_of(blocks: DataFrame, order: int, parts: int) -> list[DataFrame]:
     rows = fr.part_rows(blocks, lambda _, payload: Block(payload).counted(order).dealt(parts)).select("part", "payload")
     levels = []
     for k in range(order, 0, -1):
-        levels.append(fr.stored(rows.groupBy("part").applyInPandas(merge(k), LEVEL_SCHEMA)))
+        levels.append(fr.stored(rows.groupBy("part").applyInPandas(fr.tidy_group(merge(k)), LEVEL_SCHEMA)))
         rows = levels[-1].where(F.col("kind") == LOWER).select("part", "payload")
     return levels
 
@@ -312,7 +312,7 @@ def perplexities(df: DataFrame, trusted: DataFrame, order: int = 3, parts: int |
     sent = fr.part_rows(blocks, ask)
     for k, level in zip(range(order, 0, -1), levels, strict=True):
         sent = sent.unionByName(level.where(F.col("kind") == TABLE).select(F.lit(-k).cast("long").alias("block"), "part", "payload"))
-    answers = sent.groupBy("part").applyInPandas(answer, fr.PART_SCHEMA)
+    answers = sent.groupBy("part").applyInPandas(fr.tidy_group(answer), fr.PART_SCHEMA)
 
     def finish(block: int, payload: bytes, found: list[dict[int, bytes]]) -> pd.DataFrame:
         own = Block(payload)

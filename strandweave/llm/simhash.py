@@ -81,7 +81,7 @@ def fingerprints(df: DataFrame, width: int = 3, seed: int = 42, words: int = 1,
                 found |= {"digest": pa.array(digests, pa.binary()), "size": pa.array(sizes, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
 
-    return fr.with_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp binary" + ", digest binary, size long" * digest)
+    return fr.with_text(df, id_col, text_col).mapInArrow(fr.tidy_task(run), "doc_id long, fp binary" + ", digest binary, size long" * digest)
 
 
 def stretches(radius: int, spare: int) -> np.ndarray:
@@ -230,7 +230,7 @@ def meetings(nodes: DataFrame, masks: np.ndarray, cell: int = 4096) -> DataFrame
                     key = mix(key ^ (fps[:, k] & mask[k]))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("fp"), pa.array(np.full(len(fps), band, np.int32)), pa.array(key.view(np.int64))], schema=schema)
 
-    rows = nodes.select("node", "fp").mapInArrow(keyed, "node long, fp binary, band int, key long")
+    rows = nodes.select("node", "fp").mapInArrow(fr.tidy_task(keyed), "node long, fp binary, band int, key long")
     sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cells = F.ceil(F.col("n") / cell).cast("int")
     rows = rows.join(sizes, ["band", "key"]).withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
@@ -256,7 +256,7 @@ def each_meeting(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], Iterato
         if held is not None and held.num_rows:
             yield from work(held, _groups(held, keys))
 
-    return rows.repartition(fr.partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node").mapInArrow(run, schema)
+    return rows.repartition(fr.partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node").mapInArrow(fr.tidy_task(run), schema)
 
 
 def links(nodes: DataFrame, masks: np.ndarray, radius: int, cell: int = 4096) -> DataFrame:
@@ -394,7 +394,7 @@ def similar_links(df: DataFrame, nodes: DataFrame, width: int, seed: int, simila
 
     met = fr.stored(each_meeting(meetings(nodes, masks), candidates, "band int, key long, a int, b int, node long, fp binary"))
     asked = fr.broadcast_if_small(fr.stored(met.select("node").distinct()))
-    own = docs.join(asked, "node", "left_semi").select("node", "text").mapInArrow(shingled, "node long, digest binary, shingles binary")
+    own = docs.join(asked, "node", "left_semi").select("node", "text").mapInArrow(fr.tidy_task(shingled), "node long, digest binary, shingles binary")
     # Rows that share an id may differ in text; a node's own sets are those of its digests.
     sets = own.join(nodes.join(asked, "node", "left_semi").select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"])
     sized = cut_meetings(met.join(nodes.select("node", "digest", "fp", "size"), ["node", "fp"]), most)
