@@ -50,7 +50,7 @@ def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of trusted text does not reject."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return _keep(docs, quality.classify(docs, trusted, order=ORDER))
+    return _keep(docs, quality.classify(docs, trusted, order=ORDER, rounds=1))
 
 
 @_small_batches

@@ -12,6 +12,7 @@ import ctypes
 import json
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -42,6 +43,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What queries that are made and run in here have shuffled is deleted when each ends; store what they return."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Rows of a few bytes each (ids, marks) that are broadcast at most; more are joined by shuffling.
 BROADCAST_ROWS = 1 << 20
 
@@ -188,11 +201,13 @@ def numbered(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Ite
         yield (part << 32) | n, table
 
 
-def block_rows(df: DataFrame, pack: Callable[[pa.Table], bytes] = table_to_bytes, limit: int = BLOCK_BYTES) -> DataFrame:
-    """One row (block, payload) for each few MB of df's column text."""
+def block_rows(df: DataFrame, pack: Callable[[pa.Table], bytes] = table_to_bytes, limit: int = BLOCK_BYTES, pick: Callable[[int], bool] = lambda _: True) -> DataFrame:
+    """One row (block, payload) for each few MB of df's column text, of the blocks that pick takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in numbered(batches, limit):
+            if not pick(block):
+                continue
             yield pa.RecordBatch.from_pydict({"block": [block], "payload": [pack(table)]}, schema=pa.schema([("block", pa.int64()), ("payload", pa.binary())]))
 
     return df.mapInArrow(tidy_task(run), BLOCK_SCHEMA)

@@ -1,22 +1,26 @@
 """A quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 Every word is a symbol of its own, a 48-bit hash salted with its language; words that trusted text lacks share the mass
-of the open vocabulary.  Count tables are sharded by the hash of the n-gram.  Each order's table gives the next lower one
-what it needs: how many n-grams end in a shorter one (its continuation count), and for a context the sum of its counts
-and how many of them are 1, 2 or more.  Blocks of documents ask the tables for these whole numbers of their distinct
-n-grams of every order, and interpolate in double precision.  All counts are taken over all trusted documents, so
-nothing depends on how blocks are cut.
+of the open vocabulary.  Counts are sharded by the hash of the n-gram, from the highest order down.  In a part of an
+order's keys the n-grams of trusted text meet the distinct n-grams that blocks of documents ask for; the blocks get whole
+numbers back, and the next lower order gets what it needs: how many n-grams end in a shorter one (its continuation
+count), and for a context the sum of its counts and how many of them are 1, 2 or more.  Blocks interpolate in double
+precision.  All counts are taken over all trusted documents, so nothing depends on how blocks are cut.
+
+Questions take more room than the text, so an order's parts go in rounds, and so do the blocks that meet their answers:
+what a round shuffles is gone when its results are stored.  Every round reads all documents.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import frames as fr
@@ -31,11 +35,26 @@ BLOCK_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
 SLICE = 1 << 18
 #: Bits of a symbol or an n-gram's key.
 KEY_BITS = 48
+#: Rounds in which an order's parts are worked on, and in which blocks meet their answers.
+ROUNDS = 4
 
 COUNTS = ("c", "total", "n1", "n2", "n3")
 STATS = ("ones", "twos", "threes", "fours", "grams", "sum", "known")
-LEVEL_SCHEMA = "kind int, part int, payload binary, lang string, " + ", ".join(f"{c} long" for c in STATS)
-TABLE, LOWER, STATISTICS = 0, 1, 2
+LEVEL_SCHEMA = "kind int, block long, part int, payload binary, lang string, " + ", ".join(f"{c} long" for c in STATS)
+ANSWER, LOWER, STATISTICS = 0, 1, 2
+
+
+@dataclass(frozen=True)
+class Span:
+    """The parts first to end - 1 of all."""
+
+    parts: int
+    first: int
+    end: int
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        part = (keys * np.uint64(self.parts)) >> np.uint64(KEY_BITS)
+        return (part >= self.first) & (part < self.end)
 
 
 def _seeds(langs: list[str]) -> np.ndarray:
@@ -69,6 +88,20 @@ def _ascending(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+def _packed(**columns: np.ndarray) -> bytes:
+    """Arrays, the first bytes of all items before the second ones: hashes' bytes do not compress, the others then do."""
+    return fr.arrays_to_bytes(**{f"{name} {x.dtype.str}": np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.ravel() for name, x in columns.items()})
+
+
+def _unpacked(payload: bytes) -> dict[str, np.ndarray]:
+    out = {}
+    for name, raw in fr.bytes_to_arrays(payload).items():
+        name, kind = name.split(" ")
+        size = np.dtype(kind).itemsize
+        out[name] = np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+    return out
+
+
 def _edges(ascending: np.ndarray, parts: int) -> np.ndarray:
     """Where each part's keys begin."""
     return np.searchsorted((ascending * np.uint64(parts)) >> np.uint64(KEY_BITS), np.arange(parts + 1))
@@ -87,9 +120,12 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Grams:
     """Distinct n-grams by key: the words, the language and the whole numbers of each."""
 
-    def __init__(self, words: list[np.ndarray], lang: np.ndarray, langs: list[str], counts: dict[str, np.ndarray]):
-        """Rows of one key are added up."""
+    def __init__(self, words: list[np.ndarray], lang: np.ndarray, langs: list[str], counts: dict[str, np.ndarray], span: Span | None = None):
+        """Rows of one key are added up; others than the span's are left out."""
         key = gram_keys(words)
+        if span is not None:
+            on = np.flatnonzero(span.holds(key))
+            key, words, lang, counts = key[on], [w[on] for w in words], lang[on], {c: x[on] for c, x in counts.items()}
         order = np.argsort(key)
         key = key[order]
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
@@ -97,30 +133,31 @@ class Grams:
         self.key, self.words, self.lang, self.langs = key[head], [w[first] for w in words], lang[first], langs
         self.counts = {c: np.add.reduceat(x[order], head, dtype=np.int64) if len(head) else x.astype(np.int64) for c, x in counts.items()}
 
-    def dealt(self, parts: int) -> Iterator[tuple[int, bytes]]:
-        """Each part's rows, by their first word."""
+    def packed(self, own: slice = slice(None)) -> dict[str, np.ndarray]:
+        """These rows by their first word, with words as places among the distinct ones."""
+        by = np.argsort(self.words[0][own])
+        distinct, place = np.unique(np.concatenate([w[own][by] for w in self.words]), return_inverse=True)
+        place = place.reshape(len(self.words), -1)
+        arrays = {"words": _steps(distinct), "w0": _small(np.diff(place[0], prepend=0))}
+        arrays |= {f"w{k}": _small(w) for k, w in enumerate(place[1:], 1)}
+        arrays |= {c: _small(x[own][by]) for c, x in self.counts.items()}
+        return arrays | {"lang": _small(self.lang[own][by]), "langs": np.frombuffer(json.dumps(self.langs).encode(), np.uint8)}
+
+    def dealt(self, parts: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+        """Each part's rows."""
         edges = _edges(self.key, parts)
         for p in np.flatnonzero(np.diff(edges)).tolist():
-            own = slice(edges[p], edges[p + 1])
-            by = np.argsort(self.words[0][own])
-            arrays = {"w0": _steps(self.words[0][own][by])}
-            for k, w in enumerate(self.words[1:], 1):
-                arrays[f"w{k}"] = w[own][by].view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].ravel()
-            arrays |= {c: _small(x[own][by]) for c, x in self.counts.items()}
-            arrays |= {"lang": _small(self.lang[own][by]), "langs": np.frombuffer(json.dumps(self.langs).encode(), np.uint8)}
-            yield p, fr.arrays_to_bytes(**arrays)
+            yield p, self.packed(slice(edges[p], edges[p + 1]))
 
     @staticmethod
-    def merged(payloads: list[bytes], order: int) -> Grams:
-        sent = [fr.bytes_to_arrays(p) for p in payloads]
+    def merged(sent: list[dict[str, np.ndarray]], order: int, span: Span | None = None) -> Grams:
         langs = sorted({lang for x in sent for lang in json.loads(x["langs"].tobytes())})
         place = {lang: k for k, lang in enumerate(langs)}
-        words = [np.concatenate([_ascending(x["w0"]) for x in sent])]
-        for k in range(1, order):
-            raw = np.concatenate([x[f"w{k}"] for x in sent]).reshape(-1, KEY_BITS // 8)
-            words.append(np.pad(raw, ((0, 0), (0, 8 - KEY_BITS // 8))).view("<u8").ravel())
-        lang = np.concatenate([np.array([place[v] for v in json.loads(x["langs"].tobytes())])[x["lang"]] for x in sent])
-        return Grams(words, lang, langs, {c: np.concatenate([x[c] for x in sent]) for c in COUNTS if c in sent[0]})
+        known = [_ascending(x["words"]) for x in sent]
+        words = [np.concatenate([w[np.cumsum(x["w0"], dtype=np.int64)] for w, x in zip(known, sent, strict=True)])]
+        words += [np.concatenate([w[x[f"w{k}"]] for w, x in zip(known, sent, strict=True)]) for k in range(1, order)]
+        lang = np.concatenate([np.array([place[v] for v in json.loads(x["langs"].tobytes())], np.int64)[x["lang"]] for x in sent])
+        return Grams(words, lang, langs, {c: np.concatenate([x[c] for x in sent]) for c in COUNTS if c in sent[0]}, span)
 
     def lower(self) -> Grams:
         """What the next lower order needs: a continuation for each n-gram's end, its count for its beginning."""
@@ -144,8 +181,7 @@ class Grams:
 class Block:
     """line holds the symbols of each document between two STARTs and an END; at are the places of words and ENDs."""
 
-    def __init__(self, payload: bytes):
-        table = fr.bytes_to_table(payload)
+    def __init__(self, table: pa.Table):
         self.doc_id, self.mark = fr.ids_of(table.column("doc_id")), table.column("mark").to_numpy()
         langs = table.column("lang").combine_chunks().dictionary_encode()
         self.langs, self.lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()
@@ -178,39 +214,85 @@ class Block:
             return [self.line[k : len(self.line) - order + 1 + k] for k in range(order)]
         return [self.line[last - order + 1 + k] for k in range(order)]
 
-    def counted(self, order: int) -> Grams:
-        """The n-grams of the documents that are counted."""
+    def counted(self, order: int, span: Span) -> Grams:
+        """The span's n-grams of the documents that are counted."""
         last = self.at[self.mark[self.doc[self.at]] == 1]
-        return Grams(self.words(order, last), self.lang[self.doc[last]], self.langs, {"c": np.ones(len(last), np.uint8)})
+        return Grams(self.words(order, last), self.lang[self.doc[last]], self.langs, {"c": np.ones(len(last), np.uint8)}, span)
+
+    def keys(self, k: int, order: int) -> np.ndarray:
+        """The key of the n-gram of k words that ends at each place; of the highest order, at words and ENDs only."""
+        return gram_keys(self.words(k, self.at if k == order else slice(None)))
 
     def asked(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each order, distinct keys, and for the n-gram that ends at each place, where its key is."""
-        made = []
-        for k in range(1, order + 1):
-            made.append(_distinct(gram_keys(self.words(k, self.at if k == order else slice(None)))))
-        return made
+        return [_distinct(self.keys(k, order)) for k in range(1, order + 1)]
+
 
+def found_in(grams: Grams | None, key: np.ndarray, columns: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The whole numbers of these keys; 0 where trusted text has no such n-gram."""
+    if grams is None or not len(grams.key):
+        return {c: np.zeros(len(key), np.uint8) for c in columns}
+    at = np.minimum(np.searchsorted(grams.key, key), len(grams.key) - 1)
+    there = grams.key[at] == key
+    return {c: _small(np.where(there, grams.counts[c][at], 0)) for c in columns}
 
-def counts_of(blocks: DataFrame, order: int, parts: int) -> list[DataFrame]:
-    """The stored rows of each order's level, from the highest: tables, what goes to the next lower one, statistics."""
 
-    def merge(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def level(frame: pd.DataFrame) -> pd.DataFrame:
-            grams = Grams.merged(frame["payload"].tolist(), k)
-            own = {c: _small(x) for c, x in grams.counts.items()}
-            out = [(TABLE, frame["part"].iloc[0], fr.arrays_to_bytes(steps=_steps(grams.key), **own))]
-            if k > 1:
-                out += [(LOWER, p, x) for p, x in grams.lower().dealt(parts)]
-            made = pd.concat([pd.DataFrame(out, columns=["kind", "part", "payload"]), grams.statistics().assign(kind=STATISTICS)], ignore_index=True)
-            return made[["kind", "part", "payload", "lang", *STATS]].astype(dict.fromkeys(("part", *STATS), "Int64"))
+def levels_of(split: Callable[[Callable[[Block], list[tuple[int, bytes]]]], DataFrame], order: int, parts: int, rounds: int) -> list[DataFrame]:
+    """The stored rows of each order, from the highest: answers to blocks, what goes to the next lower order, statistics.
 
-        return level
+    split gives the rows (block, part, payload) that a function makes of each block.
+    """
 
-    rows = fr.part_rows(blocks, lambda _, payload: Block(payload).counted(order).dealt(parts)).select("part", "payload")
-    levels = []
+    def send(k: int, span: Span) -> Callable[[Block], list[tuple[int, bytes]]]:
+        def run(own: Block) -> list[tuple[int, bytes]]:
+            keys = own.keys(k, order)
+            keys = np.sort(keys[span.holds(keys)])
+            keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+            edges = _edges(keys, span.parts)
+            counted = dict(own.counted(order, span).dealt(span.parts)) if k == order else {}
+            return [(p, _packed(asked=_steps(keys[edges[p] : edges[p + 1]]), **counted.get(p, {}))) for p in range(span.first, span.end)]
+
+        return run
+
+    def deal(k: int, span: Span) -> Callable[[int, bytes], Iterator[tuple[int, bytes]]]:
+        return lambda _, payload: ((p, _packed(**x)) for p, x in Grams.merged([_unpacked(payload)], k, span).dealt(span.parts))
+
+    def level(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        columns = COUNTS[: 1 if k == order else 5]
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            part, out = frame["part"].iloc[0], []
+            sent = [_unpacked(p) for p in frame["payload"]]
+            own = [x for x in sent if "words" in x]
+            grams = Grams.merged(own, k) if own else None
+            for block, x in zip(frame["block"], sent, strict=True):
+                if "asked" in x:
+                    out.append((ANSWER, block, part, _packed(**found_in(grams, _ascending(x["asked"]), columns))))
+            if grams is not None and k > 1:
+                out.append((LOWER, -1, part, _packed(**grams.lower().packed())))
+            made = pd.DataFrame(out, columns=["kind", "block", "part", "payload"])
+            if grams is not None:
+                made = pd.concat([made, grams.statistics().assign(kind=STATISTICS, block=-1, part=part)], ignore_index=True)
+            made = made.reindex(columns=["kind", "block", "part", "payload", "lang", *STATS])
+            return made.astype(dict.fromkeys(("block", "part", *STATS), "Int64") | {"lang": object})
+
+        return run
+
+    levels: list[DataFrame] = []
     for k in range(order, 0, -1):
-        levels.append(fr.stored(rows.groupBy("part").applyInPandas(fr.tidy_group(merge(k)), LEVEL_SCHEMA)))
-        rows = levels[-1].where(F.col("kind") == LOWER).select("part", "payload")
+        # Less is stored before the highest order is worked on; single words are few, and parts send rows to all parts.
+        turns, own_parts = {order: max(rounds // 2, 1), 1: 1}.get(k, rounds), parts if k > 1 else max(parts // 4, 1)
+        cuts = [own_parts * r // turns for r in range(turns + 1)]
+        made = None
+        for span in (Span(own_parts, a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a):
+            rows = split(send(k, span))
+            if k < order:
+                lower = levels[-1].where(F.col("kind") == LOWER).select(F.lit(-1).cast("long").alias("block"), "payload")
+                rows = rows.unionByName(fr.part_rows(lower, deal(k, span)))
+            with fr.freed_shuffles(rows.sparkSession):
+                own = fr.stored(rows.groupBy("part").applyInPandas(fr.tidy_group(level(k)), LEVEL_SCHEMA))
+            made = own if made is None else made.unionByName(own)
+        levels.append(made)
     return levels
 
 
@@ -221,13 +303,16 @@ def discounts(ones: float, twos: float, threes: float, fours: float) -> np.ndarr
     return np.array([0.0] + [max(0.1, min(k - 0.1, k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and y is not None else k * 0.5)) for k in (1, 2, 3)])
 
 
-def log_chances(own: Block, order: int, answers: list[bytes], discount: dict[int, dict[str, np.ndarray]], base: dict[str, tuple[float, float]]) -> np.ndarray:
-    """The logarithm of the chance of what stands at each place of a block, from the answers of all parts; nan without a model."""
-    got = [fr.bytes_to_arrays(x) for x in answers]
-    names = [("c", k) for k in range(1, order + 1)] + [(c, k) for k in range(1, order) for c in COUNTS[1:]]
-    values = {(c, k): np.concatenate([x[f"{c}{k}"] for x in got]) for c, k in names}
-    del got
-    places = [place for _, place in own.asked(order)]
+def log_chances(own: Block, order: int, answers: list[list[bytes]], discount: dict[int, dict[str, np.ndarray]], base: dict[str, tuple[float, float]]) -> np.ndarray:
+    """The logarithm of the chance of what stands at each place of a block, from each order's answers of all parts; nan without a model."""
+    values, places = {}, []
+    for k, (keys, place) in enumerate(own.asked(order), 1):
+        got = [_unpacked(x) for x in answers[k - 1]]
+        values |= {(c, k): np.concatenate([x[c] for x in got]) for c in (COUNTS[:1] if k == order else COUNTS)}
+        if len(values["c", k]) != len(keys):
+            raise ValueError("a block was cut differently when it was read again; store the input first")
+        places.append(place)
+        del got
     cut = {k: np.array([d.get(v, np.zeros(4)) for v in own.langs]).reshape(-1, 4) for k, d in discount.items()}
     totals, shares = (np.array([base.get(v, (np.nan, np.nan))[n] for v in own.langs]) for n in (0, 1))
     logp = np.empty(len(own.at))
@@ -253,25 +338,51 @@ def log_chances(own: Block, order: int, answers: list[bytes], discount: dict[int
     return logp
 
 
-def perplexities(df: DataFrame, trusted: DataFrame, order: int = 3, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", broadcast_ids: int = fr.BROADCAST_ROWS) -> DataFrame:
+def _round_of(block: int | Column, rounds: int) -> int | Column:
+    """The round of a block: its task's number and its own within the task, added up, modulo rounds."""
+    return block % ((1 << 32) - 1) % rounds
+
+
+def perplexities(df: DataFrame, trusted: DataFrame, order: int = 3, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", broadcast_ids: int = fr.BROADCAST_ROWS, rounds: int = ROUNDS, files: bool = False) -> DataFrame:
     """doc_id, lang, n_words, perplexity and held_out of every row, under its language's model of trusted text.
 
     trusted has the ids of trusted documents.  One third of them, by a hash of the id, is held out of the counts and
     marked, for thresholds that do not favour text which the model has seen; if that leaves a language without
     counts, it has no model.  Perplexity is null for a language without a model.  order is 2 or 3 words.
+
+    The rows are read in every round.  files tells that df comes from files as they are, so that they are cut the same way each
+    time; else, and where there are more than broadcast_ids trusted ids, they are stored first.
     """
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
     parts = parts or 2 * fr.partitions(df.sparkSession)
     chosen = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     chosen = chosen.withColumn("mark", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0, 2).otherwise(1).cast("byte"))
-    chosen = fr.broadcast_if_small(chosen, broadcast_ids)
+    if chosen.limit(broadcast_ids + 1).count() <= broadcast_ids:
+        chosen = F.broadcast(chosen)
+    else:
+        files = False  # rows come out of a shuffle
     docs = fr.with_text(df, id_col, text_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     # 1: counted, 2: held out, 0: not trusted.
     docs = docs.join(chosen, "doc_id", "left").withColumn("mark", F.coalesce("mark", F.lit(0).cast("byte")))
-    blocks = fr.stored(fr.block_rows(docs, limit=BLOCK_BYTES))
+    if files:
+
+        def split(make: Callable[[Block], list[tuple[int, bytes]]]) -> DataFrame:
+            return fr.part_rows_of(docs, lambda table: make(Block(table)), BLOCK_BYTES)
+
+        def blocks_of(r: int) -> DataFrame:
+            return fr.block_rows(docs, limit=BLOCK_BYTES, pick=lambda block: _round_of(block, rounds) == r)
 
-    levels = counts_of(blocks, order, parts)
+    else:
+        blocks = fr.stored(fr.block_rows(docs, limit=BLOCK_BYTES))
+
+        def split(make: Callable[[Block], list[tuple[int, bytes]]]) -> DataFrame:
+            return fr.part_rows(blocks, lambda _, payload: iter(make(Block(fr.bytes_to_table(payload)))))
+
+        def blocks_of(r: int) -> DataFrame:
+            return blocks.where(_round_of(F.col("block"), rounds) == r)
+
+    levels = levels_of(split, order, parts, rounds)
     discount: dict[int, dict[str, np.ndarray]] = {}
     for k, level in zip(range(order, 0, -1), levels, strict=True):
         rows = level.where(F.col("kind") == STATISTICS).groupBy("lang").agg(*[F.sum(c).alias(c) for c in STATS]).collect()  # a row a language
@@ -284,45 +395,20 @@ def perplexities(df: DataFrame, trusted: DataFrame, order: int = 3, parts: int |
         free = d[1] * r["ones"] + d[2] * r["twos"] + d[3] * (r["grams"] - r["ones"] - r["twos"])
         base[r["lang"]] = (float(r["sum"]), free / r["sum"] / (FIRST_WORD + r["known"]))
 
-    def ask(block: int, payload: bytes) -> Iterator[tuple[int, bytes]]:
-        keys = [distinct for distinct, _ in Block(payload).asked(order)]
-        edges = [_edges(key, parts) for key in keys]
-        for p in range(parts):
-            yield p, fr.arrays_to_bytes(**{f"s{k}": _steps(key[e[p] : e[p + 1]]) for k, (key, e) in enumerate(zip(keys, edges, strict=True), 1)})
-
-    def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        tables = {-block: fr.bytes_to_arrays(p) for block, p in zip(frame["block"], frame["payload"], strict=True) if block < 0}
-        known = {k: _ascending(t["steps"]) for k, t in tables.items()}
-        out = []
-        for block, part, payload in frame.loc[frame["block"] >= 0, ["block", "part", "payload"]].itertuples(index=False):
-            sent = fr.bytes_to_arrays(payload)
-            found = {}
-            for k in range(1, order + 1):
-                key = _ascending(sent[f"s{k}"])
-                columns = COUNTS[: 1 if k == order else 5]
-                if k not in tables:
-                    found |= {f"{c}{k}": np.zeros(len(key), np.uint8) for c in columns}
-                    continue
-                at = np.minimum(np.searchsorted(known[k], key), len(known[k]) - 1)
-                there = known[k][at] == key
-                found |= {f"{c}{k}": _small(np.where(there, tables[k][c][at], 0)) for c in columns}
-            out.append((block, part, fr.arrays_to_bytes(**found)))
-        return pd.DataFrame(out, columns=["block", "part", "payload"])
-
-    sent = fr.part_rows(blocks, ask)
-    for k, level in zip(range(order, 0, -1), levels, strict=True):
-        sent = sent.unionByName(level.where(F.col("kind") == TABLE).select(F.lit(-k).cast("long").alias("block"), "part", "payload"))
-    answers = sent.groupBy("part").applyInPandas(fr.tidy_group(answer), fr.PART_SCHEMA)
-
     def finish(block: int, payload: bytes, found: list[dict[int, bytes]]) -> pd.DataFrame:
-        own = Block(payload)
-        logp = log_chances(own, order, [found[0].pop(p) for p in range(parts)], discount, base)
+        own = Block(fr.bytes_to_table(payload))
+        logp = log_chances(own, order, [[of.pop(p) for p in sorted(of)] for of in found], discount, base)
         n = own.n_words + 1
         sums = np.add.reduceat(logp, np.cumsum(n) - n) if len(n) else np.zeros(0)
         return pd.DataFrame({"doc_id": fr.nullable(own.doc_id), "lang": [own.langs[k] for k in own.lang], "n_words": n - 1, "perplexity": np.exp(-sums / n), "held_out": own.mark == 2})
 
-    out = fr.by_block(blocks, [answers], finish, "doc_id long, lang string, n_words long, perplexity double, held_out boolean")
-    return out.withColumn("perplexity", F.nanvl("perplexity", F.lit(None).cast("double")))
+    made = None
+    for r in range(rounds):
+        answers = [level.where((F.col("kind") == ANSWER) & (_round_of(F.col("block"), rounds) == r)) for level in reversed(levels)]
+        with fr.freed_shuffles(df.sparkSession):
+            own = fr.stored(fr.by_block(blocks_of(r), answers, finish, "doc_id long, lang string, n_words long, perplexity double, held_out boolean"))
+        made = own if made is None else made.unionByName(own)
+    return made.withColumn("perplexity", F.nanvl("perplexity", F.lit(None).cast("double")))
 
 
 def classify(df: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: float = 1.25, prior_words: float = 20.0, **options: object) -> DataFrame:
@@ -334,7 +420,7 @@ def classify(df: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin:
     text, and where it has no word, as nothing then speaks against it.  A null language is a language of its own;
     a null id stays null and is never trusted; repeated rows are answered each; an empty table gives no rows.
     """
-    scored = fr.stored(perplexities(df, trusted, **options))
+    scored = perplexities(df, trusted, **options)
     held = scored.where("held_out and perplexity is not null")
 
     means = fr.broadcast_if_small(held.groupBy("lang").agg((F.sum(F.log("perplexity") * (F.col("n_words") + 1)) / F.sum(F.col("n_words") + 1)).alias("mean")))

@@ -36,7 +36,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return quality.classify(_documents(spark, sf_dir), trusted)
+    return quality.classify(_documents(spark, sf_dir), trusted, files=True)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

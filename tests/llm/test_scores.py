@@ -3,8 +3,10 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,24 @@ def test_blocks_and_other_languages_do_not_change_a_model(spark):
         assert all(abs(other[i] - p) < 1e-6 * p for i, p in found[0].items())
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_rounds_do_not_change_a_model_and_free_what_they_shuffle(spark, sf_dir, order):
+    """The same perplexities whatever the rounds; the files that were shuffled are gone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    shuffled = lambda: {f for f in local.rglob("shuffle_*.data") if f.stat().st_size > 20_000}
+    before, found = shuffled(), []
+    for options in ({"rounds": 1}, {"rounds": 5, "files": True}, {"rounds": 2, "files": True, "parts": 3}):
+        found.append({r["doc_id"]: (r["perplexity"], r["held_out"]) for r in quality.perplexities(docs, trusted, order=order, **options).collect()})
+    assert found[0] == found[1] == found[2]
+    assert len(found[0]) == docs.count()
+    until = time.time() + 20  # files are deleted behind the caller's back
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+
+
 def test_junk_goes_and_clean_text_stays(spark):
     rng = np.random.default_rng(4)
     clean = lambda: " ".join(rng.choice(["the", "of", "house", "river", "walks", "over", "a", "small"], 60)) + "."
