@@ -22,3 +22,10 @@ def _by_read(plan):
 
 def test_weighted_profile_shuffles_cells(spark, sf_dir, assigned):
     assert _by_read(_physical(pileup.weighted_profile(short_sample(spark, sf_dir).pile, assigned, by=["clique_id"]))) == ["SortMergeJoin"]
+
+
+def test_support_shuffles_cells(spark, sf_dir, assigned, monkeypatch):
+    monkeypatch.setattr(pipelines, "stored", lambda df: df)
+    letters = spark.createDataFrame([(0, 5, "A")], "clique_id long, pos int, allele string")
+    kinds = _by_read(_physical(pipelines.support(short_sample(spark, sf_dir).pile, assigned, letters)))
+    assert kinds and set(kinds) == {"SortMergeJoin"}
