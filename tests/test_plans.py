@@ -14,6 +14,14 @@ def _physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _lines(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+
+@pytest.fixture
+def assigned(spark, sf_dir):
+    return stored(short_sample(spark, sf_dir).shapes.selectExpr("read_id", "read_id % 4 AS clique_id", "1L AS k"))
+
 
 def _by_read(plan):
     """The kinds of the plan's joins by read."""
@@ -29,3 +37,27 @@ def test_support_shuffles_cells(spark, sf_dir, assigned, monkeypatch):
     letters = spark.createDataFrame([(0, 5, "A")], "clique_id long, pos int, allele string")
     kinds = _by_read(_physical(pipelines.support(short_sample(spark, sf_dir).pile, assigned, letters)))
     assert kinds and set(kinds) == {"SortMergeJoin"}
+
+
+def test_part_of_a_sample_is_shuffled(spark, sf_dir, assigned):
+    part = short_sample(spark, sf_dir).only(assigned.select("read_id").where("read_id % 2 = 0"))
+    assert _by_read(_physical(part.pile)) == _by_read(_physical(part.shapes)) == ["SortMergeJoin"]
+
+
+def test_reads_that_reach_a_position_are_shuffled(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(linkage, "stored", lambda df: seen.append(_physical(df)) or df)
+    s = short_sample(spark, sf_dir)
+    linkage._reaching(s.pile, s.shapes, spark.createDataFrame([(3, 9)], "p1 int, p2 int"))
+    kinds = _by_read("".join(seen))
+    assert kinds and set(kinds) == {"SortMergeJoin"}
+
+
+def test_merged_cliques_are_a_short_plan(spark):
+    """Its parts are stored: what follows does not plan them again (537 lines before)."""
+    v = lambda *places: [f"{p:010d}A" for p in places]
+    cliques = stored(spark.createDataFrame([(0, v(1, 2)), (1, v(2, 3)), (2, v(7, 8))], "clique_id long, vs array<string>"))
+    edges = stored(spark.createDataFrame([(*v(1, 2),), (*v(2, 3),), (*v(7, 8),)], "u string, v string"))
+    merged = graph.merge_accurate(cliques, edges)
+    assert _lines(merged) < 30
+    assert sorted(r["vs"] for r in merged.collect()) == [v(1, 2, 3), v(7, 8)]
