@@ -4,9 +4,10 @@ import re
 
 import pytest
 
-from strandweave.operators import graph, linkage, pileup
-from strandweave.plans import pipelines
+from strandweave.operators import graph, haplotypes, linkage, pileup
+from strandweave.plans import catalogue, pipelines
 from strandweave.plans.samples import short_sample
+from strandweave.sources import fixture, writers
 from strandweave.storage import stored
 
 
@@ -61,3 +62,31 @@ def test_merged_cliques_are_a_short_plan(spark):
     merged = graph.merge_accurate(cliques, edges)
     assert _lines(merged) < 30
     assert sorted(r["vs"] for r in merged.collect()) == [v(1, 2, 3), v(7, 8)]
+
+
+def test_imputed_reads_are_not_shuffled(spark, sf_dir):
+    plan = _physical(catalogue.imputed_reads(spark, sf_dir))
+    assert "Exchange" not in re.sub(r"Exchange RoundRobin\w*", "", plan)
+
+
+def _by_cells(spark, sf_dir):
+    """The imputed reads as cells joined with haplotypes have them."""
+    pile = fixture.long_pileup(spark, sf_dir)
+    planted = fixture.truth(spark).withColumnRenamed("haplotype", "hap_id")
+    ranks = spark.range(4).selectExpr("CAST(id AS INT) AS hap_id", "CAST(id AS INT) AS rank")
+    return writers.imputed_lines(haplotypes.impute(pile, pipelines.containing_haplotype(pile, planted, ranks), planted))
+
+
+def test_odd_orders_are_imputed_as_cells_are(spark, tmp_path):
+    """Negative, large, missing and repeated keys, and missing customers."""
+    rows = [(-7, 3), (-999, 16), (10**14, 19), (5, None), (None, 4), (None, 11), (8, 2), (8, 17), (9, -3), (0, 12), (1009, 0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    found, expected = (sorted(map(repr, map(tuple, f(spark, str(tmp_path)).collect()))) for f in (catalogue.imputed_reads, _by_cells))
+    assert len(found) == 9
+    assert found == expected
+
+
+def test_reads_of_several_lengths_are_filled(spark):
+    reads = spark.createDataFrame([(1, "ANNT"), (2, "NCN"), (3, "NNNNN"), (4, "GNNN"), (5, "")], "read_id long, seq string")
+    found = dict(haplotypes.impute_strings(reads, ["ACGT", "TCA"]).collect())
+    assert found == {1: "ACGT", 2: "ACG", 3: "ACGTN", 4: "GNNN", 5: ""}
